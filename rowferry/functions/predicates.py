@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rowferry.config import Filter
+from rowferry.functions.literals import value_literal
 
 _SCALARS = (str, bytes, bool, int, float, dt.date, dt.datetime, type(None))
 
@@ -21,7 +22,7 @@ def _text(value: object) -> str:
 
 def _membership(column: Column, values: object) -> Column:
     listed = list(values) if isinstance(values, (list, tuple, set, frozenset)) else []
-    return column.isin(listed) if listed else F.lit(False)
+    return column.isin([value_literal(v) for v in listed]) if listed else F.lit(False)
 
 
 def _document_membership(column: Column, values: object) -> Column:
@@ -31,10 +32,10 @@ def _document_membership(column: Column, values: object) -> Column:
 
 
 _SHARED: dict[str, Callable[[Column, object], Column]] = {
-    "lt": lambda c, v: c < F.lit(v),
-    "lte": lambda c, v: c <= F.lit(v),
-    "gt": lambda c, v: c > F.lit(v),
-    "gte": lambda c, v: c >= F.lit(v),
+    "lt": lambda c, v: c < value_literal(v),
+    "lte": lambda c, v: c <= value_literal(v),
+    "gt": lambda c, v: c > value_literal(v),
+    "gte": lambda c, v: c >= value_literal(v),
     "isNull": lambda c, _: c.isNull(),
     "notNull": lambda c, _: c.isNotNull(),
 }
@@ -42,8 +43,8 @@ _SHARED: dict[str, Callable[[Column, object], Column]] = {
 _DIALECTS: dict[str, dict[str, Callable[[Column, object], Column]]] = {
     "sql": {
         **_SHARED,
-        "eq": lambda c, v: c == F.lit(v),
-        "neq": lambda c, v: c != F.lit(v),
+        "eq": lambda c, v: c == value_literal(v),
+        "neq": lambda c, v: c != value_literal(v),
         # % and _ inside the value stay wildcards in this dialect
         "contains": lambda c, v: c.cast("string").ilike(f"%{_text(v)}%"),
         "startsWith": lambda c, v: c.cast("string").ilike(f"{_text(v)}%"),
@@ -52,9 +53,9 @@ _DIALECTS: dict[str, dict[str, Callable[[Column, object], Column]]] = {
     },
     "document": {
         **_SHARED,
-        "eq": lambda c, v: c.isNull() if v is None else c == F.lit(v),
+        "eq": lambda c, v: c.isNull() if v is None else c == value_literal(v),
         # a missing field differs from every value
-        "neq": lambda c, v: c.isNotNull() if v is None else ~c.eqNullSafe(F.lit(v)),
+        "neq": lambda c, v: c.isNotNull() if v is None else ~c.eqNullSafe(value_literal(v)),
         "contains": lambda c, v: F.contains(F.lower(c), F.lower(F.lit(_text(v)))),
         "startsWith": lambda c, v: F.startswith(F.lower(c), F.lower(F.lit(_text(v)))),
         "endsWith": lambda c, v: F.endswith(F.lower(c), F.lower(F.lit(_text(v)))),

@@ -148,7 +148,7 @@ def sql_literal(column: Column, dtype: T.DataType, dialect: str) -> Column:
 
 def bytes_tag(column: Column) -> Column:
     """``{"$bytes": base64}`` text of a binary value."""
-    return F.concat(F.lit('{"$bytes":"'), F.base64(column), F.lit('"}'))
+    return F.concat(F.lit('{"$bytes":"'), F.translate(F.base64(column), "\r\n", ""), F.lit('"}'))
 
 
 def bytes_untag(column: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.config import OPERATIONS
+from rowferry.functions.literals import value_literal
 from rowferry.functions.positions import WITHOUT_WATERMARK, position_order
 from rowferry.functions.predicates import matches_glob
 
@@ -143,9 +144,10 @@ def after_position(feed: DataFrame, order: Sequence[str], position: Sequence | N
         return feed
     later = F.lit(False)
     for column, value in reversed(list(zip(order, position))):
-        later = (F.col(column) > F.lit(value)) | ((F.col(column) == F.lit(value)) & later)
+        bound = value_literal(value)
+        later = (F.col(column) > bound) | ((F.col(column) == bound) & later)
     # the plain bound on the leading column reaches the file scan
-    return feed.where((F.col(order[0]) >= F.lit(position[0])) & later)
+    return feed.where((F.col(order[0]) >= value_literal(position[0])) & later)
 
 
 def dedupe_positions(
@@ -188,7 +190,7 @@ def gap_detect(feed: DataFrame, order: Sequence[str], stored: Sequence) -> DataF
     A lost gap means a restart from now; ``restart`` carries that position.
     """
     kept = F.struct(*order)
-    wanted = F.struct(*[F.lit(v).alias(c) for c, v in zip(order, stored)])
+    wanted = F.struct(*[value_literal(v).alias(c) for c, v in zip(order, stored)])
     edges = feed.agg(F.min(kept).alias("oldest"), F.max(kept).alias("newest"))
     lost = F.coalesce(F.col("oldest") > wanted, F.lit(False))
     restart = F.when(lost, F.col("newest")).otherwise(wanted)

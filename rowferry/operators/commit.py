@@ -55,7 +55,7 @@ class SnapshotTable:
         _, folder, fs = self._files()
         if not fs.exists(folder):
             return []
-        shape = "version bigint, batch_id string, layout map<int,string>, position string"
+        shape = "version bigint, batch_id string, layout map<string,string>, position string"
         rows = self.spark.read.schema(shape).json(f"{self.path}/_versions").collect()
         return sorted((r.asDict() for r in rows), key=lambda r: r["version"])
 
@@ -84,7 +84,7 @@ class SnapshotTable:
         chosen = [
             f"{self.path}/{folder}/{BUCKET}={bucket}"
             for bucket, folder in layout.items()
-            if buckets is None or bucket in buckets
+            if buckets is None or int(bucket) in buckets
         ]
         if not chosen:
             return self.spark.createDataFrame([], self.schema)
@@ -128,13 +128,13 @@ class SnapshotTable:
             )
             written = self._written_buckets(folder)
             for bucket in touched:
-                layout.pop(bucket, None)
+                layout.pop(str(bucket), None)
                 if bucket in written:
-                    layout[bucket] = folder
+                    layout[str(bucket)] = folder
         marker = {
             "version": (published[-1]["version"] if published else 0) + 1,
             "batch_id": batch_id,
-            "layout": {str(k): v for k, v in layout.items()},
+            "layout": layout,
             "position": json.dumps(list(position)) if position is not None else None,
         }
         if position is None and published:

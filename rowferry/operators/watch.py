@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.config import DEFAULT_PER_POLL, MAX_PER_POLL, WatchStrategy
+from rowferry.functions.literals import value_literal
 from rowferry.functions.text import row_key
 from rowferry.session import freeze
 
@@ -97,7 +98,7 @@ def watch_page(
     tracked = F.col(strategy.column)
     rows = df
     if state.cursor is not None:
-        bound = F.lit(state.cursor)
+        bound = value_literal(state.cursor)
         rows = df.where(tracked > bound if strategy.kind == "increment" else tracked >= bound)
         if strategy.kind == "timestamp" and state.keys is not None:
             # later rows cannot be in the boundary, so only its instant is joined
@@ -127,7 +128,7 @@ def watch_poll(
         return page, replace(state, polls=state.polls + 1)
     if strategy.kind == "increment":
         return page, WatchState("increment", newest, None, state.polls + 1)
-    boundary = page.where(F.col(strategy.column) == F.lit(newest)).select(
+    boundary = page.where(F.col(strategy.column) == value_literal(newest)).select(
         row_key(page.schema, list(keys)).alias("_key")
     )
     if newest == state.cursor and state.keys is not None:
@@ -162,7 +163,7 @@ def watch_start_now(
         return empty_state(strategy)
     if strategy.kind == "increment":
         return WatchState("increment", newest)
-    boundary = df.where(F.col(strategy.column) == F.lit(newest)).select(
+    boundary = df.where(F.col(strategy.column) == value_literal(newest)).select(
         row_key(df.schema, list(keys)).alias("_key")
     )
     return WatchState("timestamp", newest, freeze(boundary, "boundary"))

@@ -151,7 +151,7 @@ def _(t):
 
 @query(
     "position_order_lsn",
-    """SELECT position, CAST(pos_file AS DECIMAL(20,0)) * 4294967296 + pos_offset AS number, pos_ordinal AS ordinal,
+    """SELECT position, pos_file * 4294967296 + pos_offset AS number, pos_ordinal AS ordinal,
               false AS noise_is_new
        FROM @change_log""",
 )

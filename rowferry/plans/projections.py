@@ -194,7 +194,7 @@ def _(t):
 
 @query(
     "ts_norm",
-    """SELECT event_id, ts AS from_stamp, ts AS from_text, epoch_ms(epoch_ms(ts)) AS from_millis,
+    """SELECT event_id, ts AS from_stamp, ts AS from_text, date_trunc('millisecond', ts) AS from_millis,
               CAST(NULL AS TIMESTAMP) AS from_noise FROM events""",
 )
 def _(t):
@@ -202,7 +202,7 @@ def _(t):
         "event_id",
         "ts",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("iso"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("millis"),
+        F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("millis"),
         "event_type",
     )
     return shapes.select(

@@ -135,8 +135,8 @@ def _(t):
 @query(
     "scan_keyspace",
     """SELECT key, type, ttl,
-              CASE WHEN type = 'list' THEN to_json(list_slice(CAST(value AS JSON[]), 1, 25))
-                   WHEN type = 'zset' THEN to_json(list_slice(CAST(value AS JSON[]), 1, 50))
+              CASE WHEN type = 'list' THEN CAST(to_json(list_slice(TRY_CAST(value AS JSON[]), 1, 25)) AS VARCHAR)
+                   WHEN type = 'zset' THEN CAST(to_json(list_slice(TRY_CAST(value AS JSON[]), 1, 50)) AS VARCHAR)
                    ELSE value END AS value
        FROM @keyspace WHERE regexp_matches(key, '^.*:.1.*$')""",
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowferry.config import WatchStrategy
+from rowferry.functions.literals import value_literal
 from rowferry.operators import watch
 from rowferry.plans.registry import query
 
@@ -37,7 +38,7 @@ def _(t):
     rows = t.orders.select("o_orderkey", "o_orderdate")
     _, state = watch.watch_poll(rows, _STAMP, None, _KEY, 700)
     page, state = watch.watch_poll(rows, _STAMP, state, _KEY, 700)
-    return page.withColumn("at_boundary", F.col("o_orderdate") == F.lit(state.cursor))
+    return page.withColumn("at_boundary", F.col("o_orderdate") == value_literal(state.cursor))
 
 
 @query(
@@ -69,7 +70,7 @@ def _(t):
 )
 def _(t):
     state = watch.watch_start_now(t.orders, _STAMP, _KEY)
-    return state.keys.select(F.col("_key").alias("boundary_key"), F.lit(state.cursor).alias("cursor"))
+    return state.keys.select(F.col("_key").alias("boundary_key"), value_literal(state.cursor).alias("cursor"))
 
 
 @query(

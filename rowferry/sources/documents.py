@@ -35,11 +35,14 @@ def scan_documents(df: DataFrame, column: str, keep: Sequence[str] = ()) -> Data
 def document_fields(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     """One row per field: type where it first appears, and document count."""
     fields = (
-        df.withColumn("doc", F.try_parse_json(F.col(column)))
-        .withColumn("field", F.explode(F.json_object_keys(F.col(column))))
+        df.select(
+            *order,
+            F.try_parse_json(F.col(column)).alias("parsed"),
+            F.explode(F.json_object_keys(F.col(column))).alias("field"),
+        )
         .withColumn(
             "value",
-            F.try_variant_get("doc", F.concat(F.lit("$['"), F.col("field"), F.lit("']")), "variant"),
+            F.try_variant_get("parsed", F.concat(F.lit("$['"), F.col("field"), F.lit("']")), "variant"),
         )
     )
     shape = F.schema_of_variant("value")
