@@ -101,7 +101,7 @@ def main() -> None:
         seconds[name] = round(median_seconds(run, REPEATS), 3)
         rates[name] = round(sum(sizes[t] for t in inputs) / seconds[name])
         sql = ORACLES[name]
-        duck[name] = round(median_seconds(lambda: con.execute(sql).fetch_arrow_table(), 1), 3)
+        duck[name] = round(median_seconds(lambda: con.execute(sql).to_arrow_table(), 1), 3)
         print(f"{name}: {seconds[name]}s, DuckDB {duck[name]}s", file=sys.stderr, flush=True)
     print(
         json.dumps(

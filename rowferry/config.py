@@ -121,3 +121,31 @@ class WatchStrategy:
             raise ValueError(f"the {self.kind} strategy needs a column")
         if self.kind == "snapshot":
             _in_range("max_tracked", self.max_tracked, MIN_TRACKED, MAX_TRACKED)
+
+
+@dataclass(frozen=True)
+class Bridge:
+    """A source table or query, where its rows go, and what starts it."""
+
+    bridge_id: str
+    source: str
+    primary_key: tuple[str, ...] = ()
+    filters: tuple[Filter, ...] = ()
+    sort: tuple[Sort, ...] = ()
+    targets: tuple[Target, ...] = ()
+    payload: Payload | None = None
+    delivery: Delivery = field(default_factory=Delivery)
+    trigger: str = "replay"
+    strategy: WatchStrategy | None = None
+    operations: tuple[str, ...] = OPERATIONS
+    per_poll: int = DEFAULT_PER_POLL
+    enabled: bool = True
+
+    def __post_init__(self) -> None:
+        if self.trigger not in ("replay", "watch", "cdc"):
+            raise ValueError(f"unknown trigger {self.trigger!r}")
+        if bool(self.targets) == (self.payload is not None):
+            raise ValueError("a bridge writes either to tables or to a payload outbox")
+        if self.trigger == "watch" and self.strategy is None:
+            raise ValueError("a watch needs a strategy")
+        _in_range("per_poll", self.per_poll, 1, MAX_PER_POLL)

@@ -7,15 +7,15 @@ orders changes that share a position.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.config import OPERATIONS
+from rowferry.config import OPERATIONS, Filter
 from rowferry.functions.literals import value_literal
 from rowferry.functions.positions import WITHOUT_WATERMARK, position_order
-from rowferry.functions.predicates import matches_glob
+from rowferry.functions.predicates import compile_filters, matches_glob
 
 # Event names of the sources.
 ROW_EVENTS = {"writerows": "insert", "updaterows": "update", "deleterows": "delete"}
@@ -138,6 +138,13 @@ def filter_change_ops(
     return feed.where(name.isin(*sorted(admitted)))
 
 
+def filter_changes(
+    feed: DataFrame, filters: Iterable[Filter], dialect: str = "sql", op: str = "op"
+) -> DataFrame:
+    """Source filters on the row image; deletes always pass."""
+    return feed.where((F.col(op) == "delete") | compile_filters(filters, dialect))
+
+
 def after_position(feed: DataFrame, order: Sequence[str], position: Sequence | None) -> DataFrame:
     """Changes strictly after a position given as order column values."""
     if position is None:

@@ -1,10 +1,10 @@
 """All-or-nothing publication of a target written by Spark jobs.
 
 A target is a folder of parquet data plus one small marker file per version.
-A marker lists which data folder holds each key bucket. It is created without
+A marker says which data folder holds each key bucket, which log position has
+been reached and which batches went in lately. It is created without
 overwrite, so exactly one writer publishes a version, and readers see either
-the old or the new version. A batch id that is already in the markers is not
-applied again.
+the old or the new version. Only the newest marker is ever read.
 """
 
 from __future__ import annotations
@@ -12,16 +12,31 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET = "_bucket"
+# Batches remembered for repeats; a stream repeats its latest batch only.
+REMEMBERED_BATCHES = 1000
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int = 0
+    layout: dict[str, str] = field(default_factory=dict)
+    position: list | None = None
+    batches: list[str] = field(default_factory=list)
 
 
 class SnapshotTable:
-    """A versioned parquet target split into key buckets."""
+    """A versioned parquet target split into key buckets.
+
+    ``buckets`` should give bucket sizes of a few gigabytes; a large bucket is
+    still written by several tasks.
+    """
 
     def __init__(
         self,
@@ -42,45 +57,53 @@ class SnapshotTable:
     def bucket_of(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    # markers -----------------------------------------------------------------
+    # versions ----------------------------------------------------------------
 
-    def _files(self):
-        jvm = self.spark.sparkContext._jvm  # noqa: SLF001
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
-        return jvm, folder, folder.getFileSystem(conf)
+    def _folder(self, name: str):
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")  # noqa: SLF001
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())  # noqa: SLF001
 
-    def versions(self) -> list[dict]:
-        """Published markers, oldest first."""
-        _, folder, fs = self._files()
-        if not fs.exists(folder):
+    def _names(self, folder: str) -> list[str]:
+        path, fs = self._folder(folder)
+        if not fs.exists(path):
             return []
-        shape = "version bigint, batch_id string, layout map<string,string>, position string"
-        rows = self.spark.read.schema(shape).json(f"{self.path}/_versions").collect()
-        return sorted((r.asDict() for r in rows), key=lambda r: r["version"])
-
-    def _publish(self, marker: dict) -> bool:
-        """Create the marker; False when another writer took the version."""
-        jvm, folder, fs = self._files()
-        name = jvm.org.apache.hadoop.fs.Path(folder, f"v{marker['version']:012d}.json")
+        return sorted(status.getPath().getName() for status in fs.listStatus(path))
+
+    def _marker(self, name: str) -> Version:
+        path, fs = self._folder(f"_versions/{name}")
+        stream = fs.open(path)
+        try:
+            io = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils  # noqa: SLF001
+            return Version(**json.loads(io.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+
+    def version(self) -> Version:
+        """The newest published version."""
+        names = [n for n in self._names("_versions") if n.endswith(".json")]
+        return self._marker(names[-1]) if names else Version()
+
+    def _publish(self, version: Version) -> None:
+        path, fs = self._folder(f"_versions/v{version.number:012d}.json")
         try:
-            stream = fs.create(name, False)
-        except Exception as error:  # noqa: BLE001
-            if "AlreadyExists" in str(error) or "already exists" in str(error):
-                return False
+            stream = fs.create(path, False)
+        except Exception as error:
+            if "exist" in str(error):
+                raise RuntimeError(
+                    "another writer published this version; run the batch again"
+                ) from error
             raise
         try:
-            stream.write(bytearray(json.dumps(marker).encode()))
+            stream.write(bytearray(json.dumps(version.__dict__).encode()))
         finally:
             stream.close()
-        return True
 
     # reading -----------------------------------------------------------------
 
-    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
-        """The newest version, or some of its buckets."""
-        published = self.versions()
-        layout = published[-1]["layout"] if published else {}
+    def read(self, version: Version | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """One version, the newest by default, or some of its buckets."""
+        layout = (version or self.version()).layout
         chosen = [
             f"{self.path}/{folder}/{BUCKET}={bucket}"
             for bucket, folder in layout.items()
@@ -90,12 +113,6 @@ class SnapshotTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*chosen)
 
-    def position(self) -> list | None:
-        """Highest log position applied so far."""
-        published = self.versions()
-        text = published[-1]["position"] if published else None
-        return json.loads(text) if text else None
-
     # writing -----------------------------------------------------------------
 
     def apply(
@@ -103,51 +120,62 @@ class SnapshotTable:
         delta: DataFrame,
         merge: Callable[[DataFrame, DataFrame], DataFrame],
         batch_id: str,
-        position: Sequence | None = None,
+        position: Sequence[str] = (),
     ) -> bool:
-        """Merge a delta and publish; False when the batch was applied before.
+        """Merge a delta and publish; False when the batch went in before.
 
-        Only buckets with a key in ``delta`` are read and rewritten. Keys are
-        unique in a target, so hashing them gives even buckets.
+        ``delta`` is evaluated more than once and must be stable (a frozen
+        table). Only buckets with a key in it are read and rewritten; keys are
+        unique in a target, so hashing them gives even buckets. ``position``
+        names the columns of the log position, of which the highest is stored.
         """
-        published = self.versions()
-        if any(v["batch_id"] == batch_id for v in published):
+        current = self.version()
+        if batch_id in current.batches:
             return False
-        # at most one row per bucket comes to the driver
-        touched = sorted(
-            r[0] for r in delta.select(self.bucket_of().alias(BUCKET)).distinct().collect()
-        )
-        layout = dict(published[-1]["layout"]) if published else {}
+        reached = F.max(F.struct(*position)) if position else F.lit(None).cast("int")
+        # one row per touched bucket comes to the driver
+        touched = {
+            row["bucket"]: row["reached"]
+            for row in delta.groupBy(self.bucket_of().alias("bucket"))
+            .agg(reached.alias("reached"))
+            .collect()
+        }
+        layout = dict(current.layout)
         if touched:
             folder = f"data/{uuid.uuid4().hex}"
-            merged = merge(self.read(touched), delta).select(*self.schema.names)
-            placed = merged.withColumn(BUCKET, self.bucket_of())
-            # rebalancing keeps one bucket per file group and splits large ones
-            placed.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(
-                f"{self.path}/{folder}"
-            )
-            written = self._written_buckets(folder)
+            merged = merge(self.read(current, list(touched)), delta).select(*self.schema.names)
+            # rebalancing puts a bucket in few files and splits a large one over tasks
+            merged.withColumn(BUCKET, self.bucket_of()).hint("rebalance", BUCKET).write.partitionBy(
+                BUCKET
+            ).parquet(f"{self.path}/{folder}")
+            filled = self._names(folder)
             for bucket in touched:
                 layout.pop(str(bucket), None)
-                if bucket in written:
+                if f"{BUCKET}={bucket}" in filled:
                     layout[str(bucket)] = folder
-        marker = {
-            "version": (published[-1]["version"] if published else 0) + 1,
-            "batch_id": batch_id,
-            "layout": layout,
-            "position": json.dumps(list(position)) if position is not None else None,
-        }
-        if position is None and published:
-            marker["position"] = published[-1]["position"]
-        if not self._publish(marker):
-            raise RuntimeError("another writer published this version; run the batch again")
+        seen = [list(r) for r in touched.values() if r is not None]
+        self._publish(
+            Version(
+                current.number + 1,
+                layout,
+                max([*seen, *([current.position] if current.position else [])], default=None),
+                [*current.batches, batch_id][-REMEMBERED_BATCHES:],
+            )
+        )
         return True
 
-    def _written_buckets(self, folder: str) -> set[int]:
-        jvm, _, fs = self._files()
-        listed = fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}"))
-        names = [status.getPath().getName() for status in listed]
-        return {int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}=")}
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Remove data folders that the newest ``keep`` versions do not use."""
+        markers = [n for n in self._names("_versions") if n.endswith(".json")]
+        used = {f for name in markers[-max(keep, 1) :] for f in self._marker(name).layout.values()}
+        stale = [f"data/{n}" for n in self._names("data") if f"data/{n}" not in used]
+        for name in stale:
+            path, fs = self._folder(name)
+            fs.delete(path, True)
+        for name in markers[: -max(keep, 1)]:
+            path, fs = self._folder(f"_versions/{name}")
+            fs.delete(path, False)
+        return stale
 
 
 def atomic_commit(

@@ -115,6 +115,9 @@ def upsert_rows(
     keys = _need_keys(keys)
     if not rows.columns:
         raise ValueError("cannot upsert rows without values")
+    unknown = [c for c in rows.columns if c not in target.columns and c not in order]
+    if unknown:
+        raise ValueError(f"the target has no column {unknown}")
     delta = last_per_key(rows, keys, order) if order else rows
     delta = delta.select(*[c for c in rows.columns if c in target.columns])
     given = [c for c in delta.columns if c not in keys and c not in on_insert_only]
@@ -144,6 +147,14 @@ def upsert_keyspace(keyspace: DataFrame, rows: DataFrame) -> DataFrame:
     return upsert_rows(keyspace, written, ["key"])
 
 
+def apply_last_changes(
+    target: DataFrame, last: DataFrame, keys: Sequence[str], op: str = "op"
+) -> DataFrame:
+    """Apply a stable table that holds one change per key."""
+    kept = target.join(last.select(*_need_keys(keys)), list(keys), "left_anti")
+    return kept.unionByName(last.where(F.col(op) != "delete").select(*target.columns))
+
+
 def apply_changes(
     target: DataFrame,
     feed: DataFrame,

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowferry.config import ColumnMapping, Target
-from rowferry.operators import ddl, merge
+from rowferry.config import Bridge, ColumnMapping, Delivery, Filter, Target
+from rowferry.operators import ddl, merge, runs
 from rowferry.operators.commit import SnapshotTable, atomic_commit
 from rowferry.operators.fanout import fan_out, write_target
 from rowferry.plans.inputs import ORDER
@@ -339,3 +340,67 @@ def _(t):
         F.col("l_suppkey").alias("table_id")
     )
     return ddl.drop_relations(t.catalog_tables, named).select("schema_name", "table_name", "kind")
+
+
+# bulk copy runs
+
+
+def _copy(t, label):
+    """A bridge from orders to a table of large orders, in deliveries of 250 rows."""
+    bridge = Bridge(
+        "large-orders",
+        "orders",
+        primary_key=("o_orderkey",),
+        filters=(Filter("o_totalprice", "gte", 50000.0),),
+        targets=(
+            Target(
+                "large",
+                key_columns=("id",),
+                mapping=(ColumnMapping("o_orderkey", "id"), ColumnMapping("o_totalprice", "amount")),
+            ),
+        ),
+        delivery=Delivery(batch_size=250),
+    )
+    schema = T.StructType().add("id", T.LongType()).add("amount", T.DoubleType())
+    path = scratch_path(t.spark, label)
+    return bridge, {"large": SnapshotTable(t.spark, path, schema, ["id"], 8)}
+
+
+@query("replay_run", "SELECT o_orderkey AS id, o_totalprice AS amount FROM orders WHERE o_totalprice >= 50000")
+def _(t):
+    """The target after a bulk copy and the same copy again."""
+    bridge, tables = _copy(t, "replay-run")
+    first = runs.run_replay(bridge, t.orders, tables, "run-1")
+    runs.run_replay(bridge, t.orders, tables, "run-1", first.deliveries)
+    return tables["large"].read()
+
+
+_REPLAY_LEDGER = """
+    SELECT 'run-1' AS run_id, i // 250 AS sequence, min(i) AS row_index, count(*) AS row_count,
+           'success' AS status, CAST(1 AS INTEGER) AS attempts, CAST(NULL AS VARCHAR) AS error
+    FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_totalprice >= 50000)
+    GROUP BY 2"""
+
+
+@query("replay_ledger", _REPLAY_LEDGER)
+def _(t):
+    """The ledger of a bulk copy."""
+    bridge, tables = _copy(t, "replay-ledger")
+    return runs.run_replay(bridge, t.orders, tables, "run-1").deliveries
+
+
+@query(
+    "replay_resumed",
+    """SELECT o_orderkey AS id, o_totalprice AS amount FROM
+         (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_totalprice >= 50000)
+       WHERE i >= 1000 OR i // 250 = 2""",
+)
+def _(t):
+    """A resumed copy writes what the ledger does not settle: here all but
+    deliveries 0, 1 and 3."""
+    bridge, tables = _copy(t, "replay-resumed")
+    settled = t.spark.createDataFrame(
+        [("run-1", s, s * 250, 250, "success", 1, None) for s in (0, 1, 3)], runs.LEDGER_SCHEMA
+    )
+    runs.run_replay(bridge, t.orders, tables, "run-1", settled, attempt=2)
+    return tables["large"].read()

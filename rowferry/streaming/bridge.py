@@ -1,16 +1,17 @@
-"""Change feeds and polls as Structured Streaming queries."""
+"""Change feeds as Structured Streaming queries."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rowferry.operators.changes import dedupe_positions, filter_change_ops, log_end
+from rowferry.config import OPERATIONS
+from rowferry.operators.changes import after_position, filter_change_ops
 from rowferry.operators.commit import SnapshotTable
-from rowferry.operators.merge import apply_changes, split_null_keys
+from rowferry.operators.merge import apply_last_changes, last_per_key, split_null_keys
 from rowferry.session import freeze
 
 
@@ -19,22 +20,27 @@ def apply_batch(
     table: SnapshotTable,
     order: Sequence[str],
     batch_id: str,
-    operations: Sequence[str] = ("insert", "update", "delete"),
+    operations: Sequence[str] = OPERATIONS,
 ) -> bool:
     """Apply one batch of changes: drop what was seen, merge, publish.
 
-    The batch is frozen first: its content decides touched buckets, position
-    and merge, and all three must see the same rows.
+    Changes up to the target's position are late repeats and are dropped. The
+    rest is reduced to one change per key and frozen, so that touched buckets,
+    new position and merge all see the same rows.
     """
-    seen = table.position()
-    fresh = dedupe_positions(filter_change_ops(changes, operations), order, seen)
-    valid, _ = split_null_keys(freeze(fresh, "changes"), table.keys)
-    reached = log_end(valid, order)
+    if batch_id in table.version().batches:
+        return False
+    fresh = after_position(
+        filter_change_ops(changes, operations), order, table.version().position
+    )
+    valid, _ = split_null_keys(fresh, table.keys)
+    columns = dict.fromkeys(["op", *order, *table.schema.names])
+    last = freeze(last_per_key(valid.select(*columns), table.keys, order), "changes")
 
     def merge(current: DataFrame, delta: DataFrame) -> DataFrame:
-        return apply_changes(current, delta, table.keys, order)
+        return apply_last_changes(current, delta, table.keys)
 
-    return table.apply(valid, merge, batch_id, reached)
+    return table.apply(last, merge, batch_id, order)
 
 
 def start_bridge(
@@ -45,12 +51,12 @@ def start_bridge(
     bridge_id: str,
     normalize: Callable[[DataFrame], DataFrame] | None = None,
     once: bool = True,
-    operations: Sequence[str] = ("insert", "update", "delete"),
+    operations: Sequence[str] = OPERATIONS,
 ) -> StreamingQuery:
     """Keep a target in step with a change stream.
 
-    Spark's checkpoint resumes the source; the batch id in the target's
-    markers makes a repeated micro-batch a no-op.
+    Spark's checkpoint resumes the source; the batch id in the target's marker
+    makes a repeated micro-batch a no-op.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -62,14 +68,11 @@ def start_bridge(
     return writer.start()
 
 
-def change_log_stream(spark, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+def change_log_stream(
+    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
+) -> DataFrame:
     """A folder of change-log files as a stream; bounded per micro-batch if asked."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
-
-
-def append_log(feed: DataFrame, path: str) -> None:
-    """Append changes to a change-log folder."""
-    feed.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
