@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.config import (
@@ -24,19 +24,27 @@ from rowferry.config import (
     TERMINAL_RUN_STATUSES,
 )
 from rowferry.operators.merge import apply_changes, upsert_rows
+from rowferry.operators.skew import group_for_join
 
 KEY = ["run_id", "sequence"]
 _CHUNK = 65_536
 
 
+def _delivery_count() -> Column:
+    return F.expr("(total_count + batch_size - 1) div batch_size")
+
+
+def _last_batch_size() -> Column:
+    total, batch = F.col("total_count"), F.col("batch_size")
+    return F.when(total > 0, total - (_delivery_count() - 1) * batch)
+
+
 def planned_deliveries(runs: DataFrame) -> DataFrame:
     """Number of deliveries of each run and the size of the last one."""
-    total, batch = F.col("total_count"), F.greatest(F.col("batch_size"), F.lit(1))
-    count = F.ceil(total / batch).cast("bigint")
     return runs.select(
         "run_id",
-        count.alias("delivery_count"),
-        F.when(total > 0, total - (count - 1) * batch).cast("bigint").alias("last_batch_size"),
+        _delivery_count().alias("delivery_count"),
+        _last_batch_size().cast("bigint").alias("last_batch_size"),
     )
 
 
@@ -44,7 +52,7 @@ def expand_sequences(ranges: DataFrame, first: str = "first", last: str = "last"
     """One row per sequence of each inclusive range, in a ``sequence`` column.
 
     Long ranges open in two steps with a repartition between them, so one big
-    run is neither one array nor one task.
+    run is neither one large array nor one task.
     """
     low, high = F.col(first).cast("bigint"), F.col(last).cast("bigint")
     chunks = (
@@ -52,20 +60,23 @@ def expand_sequences(ranges: DataFrame, first: str = "first", last: str = "last"
         .withColumn("_from", F.explode(F.sequence(low, high, F.lit(_CHUNK).cast("bigint"))))
         .withColumn("_to", F.least(F.col("_from") + (_CHUNK - 1), high))
     )
-    spread = chunks.repartition(*[c for c in ("run_id", "_from") if c in chunks.columns])
+    # a fixed number: AQE would merge partitions by the few bytes of the chunks
+    parts = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = chunks.repartition(parts, *[c for c in ("run_id", "_from") if c in chunks.columns])
     return spread.withColumn("sequence", F.explode(F.sequence("_from", "_to"))).drop(
         first, last, "_from", "_to"
     )
 
 
-def planned_sequences(runs: DataFrame) -> DataFrame:
-    """Every planned (run, sequence) with its row range."""
+def planned_sequences(runs: DataFrame, from_cursor: bool = False) -> DataFrame:
+    """Every planned (run, sequence) with its row range, all or from the cursor on."""
+    first = F.expr("cursor_offset div batch_size") if from_cursor else F.lit(0).cast("bigint")
     plan = runs.where("total_count > 0").select(
         "run_id",
         "batch_size",
         "total_count",
-        F.lit(0).cast("bigint").alias("first"),
-        (F.ceil(F.col("total_count") / F.col("batch_size")) - 1).cast("bigint").alias("last"),
+        first.alias("first"),
+        (_delivery_count() - 1).alias("last"),
     )
     rows = expand_sequences(plan)
     start = F.col("sequence") * F.col("batch_size")
@@ -82,8 +93,12 @@ def settled_sequences(deliveries: DataFrame) -> DataFrame:
     return deliveries.where(F.col("status").isin(*SETTLED_DELIVERY_STATUSES)).select(*KEY)
 
 
-def pending_deliveries(runs: DataFrame, deliveries: DataFrame) -> DataFrame:
-    return planned_sequences(runs).join(settled_sequences(deliveries), KEY, "left_anti")
+def pending_deliveries(
+    runs: DataFrame, deliveries: DataFrame, from_cursor: bool = False
+) -> DataFrame:
+    """Planned deliveries that are not settled."""
+    planned = planned_sequences(runs, from_cursor)
+    return planned.join(settled_sequences(deliveries), KEY, "left_anti")
 
 
 def run_counters(deliveries: DataFrame) -> DataFrame:
@@ -142,12 +157,13 @@ def record_deliveries(deliveries: DataFrame, outcomes: DataFrame) -> DataFrame:
 def skip_sequences(runs: DataFrame, deliveries: DataFrame, wanted: DataFrame) -> DataFrame:
     """Skipped deliveries for the wanted sequences that have no delivery yet."""
     fresh = wanted.select(*KEY).distinct().join(deliveries.select(*KEY), KEY, "left_anti")
-    sized = fresh.join(
-        runs.join(planned_deliveries(runs), "run_id").select(
-            "run_id", "batch_size", "delivery_count", "last_batch_size"
-        ),
+    plan = runs.select(
         "run_id",
+        "batch_size",
+        _delivery_count().alias("delivery_count"),
+        _last_batch_size().alias("last_batch_size"),
     )
+    sized = fresh.join(plan, "run_id")
     is_last = F.coalesce(F.col("sequence") == F.col("delivery_count") - 1, F.lit(False))
     return sized.select(
         "run_id",
@@ -178,15 +194,7 @@ def skip_range(
 def resume_plan(runs: DataFrame, deliveries: DataFrame) -> DataFrame:
     """Deliveries left from the cursor on, for runs that can be resumed."""
     resumable = runs.where(F.col("status").isin(*RESUMABLE_RUN_STATUSES))
-    start = resumable.select(
-        "run_id", F.floor(F.col("cursor_offset") / F.col("batch_size")).cast("bigint").alias("_start")
-    )
-    return (
-        pending_deliveries(resumable, deliveries)
-        .join(start, "run_id")
-        .where("sequence >= _start")
-        .drop("_start")
-    )
+    return pending_deliveries(resumable, deliveries, from_cursor=True)
 
 
 def retry_failed_plan(runs: DataFrame, deliveries: DataFrame) -> DataFrame:
@@ -224,8 +232,10 @@ def resend_failed(
 
 def abort_cut(deliveries: DataFrame) -> DataFrame:
     """With on-error abort: nothing of a run after its first failed sequence."""
-    first = deliveries.where("status = 'failed'").groupBy("run_id").agg(
-        F.min("sequence").alias("_stop")
+    first = group_for_join(
+        deliveries.where("status = 'failed'"),
+        {"run_id": F.col("run_id")},
+        F.min("sequence").alias("_stop"),
     )
     return (
         deliveries.join(first, "run_id", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.operators.ledger import bridge_status
+from rowferry.operators.skew import group_for_join, keys_for_join
 
 
 def _table_label(target: Column) -> Column:
@@ -131,8 +132,8 @@ def fk_edges(tables: DataFrame, foreign_keys: DataFrame) -> DataFrame:
         F.col("schema_name").alias("_schema"), F.col("table_name").alias("_table"),
         F.lit(True).alias("_exact"),
     )
-    by_name = tables.groupBy(F.col("table_name").alias("_name")).agg(
-        F.min("schema_name").alias("_first_schema")
+    by_name = group_for_join(
+        tables, {"_name": F.col("table_name")}, F.min("schema_name").alias("_first_schema")
     )
     wanted = F.coalesce("referenced_schema", "schema_name")
     resolved = (
@@ -177,4 +178,4 @@ def orphan_check(
 
 def select_rows_by_key(df: DataFrame, keys: DataFrame, primary_key: str) -> DataFrame:
     """Rows whose single primary key is in the list."""
-    return df.join(keys.select(primary_key).distinct(), primary_key, "left_semi")
+    return df.join(keys_for_join(keys, [primary_key]), primary_key, "left_semi")

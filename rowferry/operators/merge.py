@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowferry.operators.skew import group_for_join, keys_for_join
+
 _CHANGED = "_changed"
 
 
@@ -53,8 +55,11 @@ def touched_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def without_keys(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``target`` whose key does not occur in ``rows``."""
-    return target.join(touched_keys(rows, keys), list(keys), "left_anti")
+    """Rows of ``target`` whose key does not occur in ``rows``.
+
+    The keys need not be unique in ``target``: a hot one can be split.
+    """
+    return target.join(keys_for_join(rows, keys), list(keys), "left_anti")
 
 
 def insert_rows(target: DataFrame, rows: DataFrame) -> DataFrame:
@@ -126,7 +131,8 @@ def upsert_rows(
         return insert_rows(target, without_keys(delta, existing, keys))
     missing = [c for c in target.columns if c not in delta.columns]
     if not on_insert_only and not (partial and missing):
-        return insert_rows(without_keys(target, delta, keys), delta)
+        kept = target.join(touched_keys(delta, keys), keys, "left_anti")
+        return insert_rows(kept, delta)
     existing = target.select(*keys).join(touched_keys(delta, keys), keys, "left_semi")
     updated = update_rows(target, delta.select(*keys, *given), keys)
     return insert_rows(updated, without_keys(delta, existing, keys))
@@ -212,8 +218,10 @@ def apply_changes_append(
     keys = _need_keys(keys)
     columns = target.columns
     position = F.struct(*order)
-    deletes = (
-        feed.where(F.col(op) == "delete").groupBy(*keys).agg(F.max(position).alias("_deleted_at"))
+    deletes = group_for_join(
+        feed.where(F.col(op) == "delete"),
+        {key: F.col(key) for key in keys},
+        F.max(position).alias("_deleted_at"),
     )
     appended = (
         feed.where(F.col(op) != "delete")

@@ -280,7 +280,9 @@ def retry_due(deliveries: DataFrame, delivery: Delivery, retry_after: str | None
     delay = F.least(ceiling, doubled)
     if retry_after:
         asked = F.col(retry_after).try_cast("double") * 1000
-        delay = F.greatest(delay, F.coalesce(F.least(asked, ceiling), delay))
+        delay = F.when(asked.isNull(), delay).otherwise(
+            F.greatest(delay, F.least(asked, ceiling))
+        )
     due = (
         (F.col("status") == "failed")
         & (F.col("http_status").isNull() | F.col("http_status").isin(*RETRYABLE_STATUS))

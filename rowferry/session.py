@@ -18,6 +18,9 @@ ENGINE_SETTINGS = {
 }
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def build_session(
     app: str = "rowferry", master: str | None = None, **settings: str
 ) -> SparkSession:
@@ -44,9 +47,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="rowferry-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[application] = tempfile.mkdtemp(prefix="rowferry-")
+    return _LOCAL_ROOTS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
