@@ -2,28 +2,50 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 _STAMPS = (T.TimestampType, T.TimestampNTZType)
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType)
-_JSON_OPTIONS = {
-    "ignoreNullFields": "false",
-    "timestampFormat": ISO_FORMAT,
-    "timestampNTZFormat": ISO_FORMAT,
-}
+# Digits of a second: payloads show milliseconds, dumps keep all that Spark has.
+MILLIS, MICROS = 3, 6
 
 # Dialect quote characters and boolean literals.
 IDENTIFIER_QUOTES = {"postgres": '"', "mysql": "`", "sqlite": '"'}
 BOOLEAN_LITERALS = {"postgres": ("TRUE", "FALSE"), "mysql": ("1", "0"), "sqlite": ("1", "0")}
 
 
-def iso_text(column: Column) -> Column:
-    return F.date_format(column, ISO_FORMAT)
+def json_options(digits: int = MILLIS) -> dict[str, str]:
+    """Options that make nested JSON agree with :func:`json_text`."""
+    pattern = f"yyyy-MM-dd'T'HH:mm:ss.{'S' * digits}'Z'"
+    return {
+        "ignoreNullFields": "false",
+        "timeZone": "UTC",
+        "timestampFormat": pattern,
+        "timestampNTZFormat": pattern,
+    }
+
+
+def iso_text(column: Column, dtype: T.DataType, digits: int = MILLIS) -> Column:
+    """ISO text in UTC; no step depends on the session's time zone."""
+    if isinstance(dtype, T.TimestampType):
+        seconds = (F.unix_micros(column).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+        column = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    shown = column.cast("string")
+    clock = F.split_part(shown, F.lit(" "), F.lit(2))
+    return F.concat(
+        F.split_part(shown, F.lit(" "), F.lit(1)),
+        F.lit("T"),
+        F.substring(clock, 1, 8),
+        F.lit("."),
+        F.rpad(F.substring(clock, 10, digits), digits, "0"),
+        F.lit("Z"),
+    )
 
 
 def number_text(column: Column) -> Column:
@@ -49,18 +71,18 @@ def number_text(column: Column) -> Column:
     )
 
 
-def json_text(column: Column, dtype: T.DataType) -> Column:
+def json_text(column: Column, dtype: T.DataType, digits: int = MILLIS) -> Column:
     """JSON text of one value; NULL becomes the word null."""
     if isinstance(dtype, _REAL):
         piece = number_text(column)
     elif isinstance(dtype, (*_WHOLE, T.DecimalType, T.BooleanType)):
         piece = column.cast("string")
     elif isinstance(dtype, _STAMPS):
-        piece = F.concat(F.lit('"'), iso_text(column), F.lit('"'))
+        piece = F.concat(F.lit('"'), iso_text(column, dtype, digits), F.lit('"'))
     elif isinstance(dtype, T.BinaryType):
         piece = bytes_tag(column)
     elif isinstance(dtype, _NESTED):
-        piece = F.to_json(column, _JSON_OPTIONS)
+        piece = F.to_json(column, json_options(digits))
     else:
         piece = quoted_json(column.cast("string"))
     return F.coalesce(piece, F.lit("null"))
@@ -72,23 +94,18 @@ def quoted_json(column: Column) -> Column:
     return F.when(column.isNotNull(), F.substring(boxed, F.lit(2), F.length(boxed) - 2))
 
 
-def json_object(members: list[tuple[str, Column, T.DataType]]) -> Column:
+def json_object(members: list[tuple[str, Column, T.DataType]], digits: int = MILLIS) -> Column:
     """JSON object text from (key, value, type) members."""
-    import json
-
     pieces = [
-        F.concat(F.lit(json.dumps(key, ensure_ascii=False) + ":"), json_text(value, dtype))
+        F.concat(F.lit(json.dumps(key, ensure_ascii=False) + ":"), json_text(value, dtype, digits))
         for key, value, dtype in members
     ]
     return F.concat(F.lit("{"), F.concat_ws(",", *pieces), F.lit("}"))
 
 
-def row_json(schema: T.StructType, rename: dict[str, str] | None = None) -> Column:
+def row_json(schema: T.StructType, digits: int = MILLIS) -> Column:
     """JSON object text of a whole row; NULL fields are kept."""
-    names = rename or {}
-    return json_object(
-        [(names.get(f.name, f.name), F.col(f"`{f.name}`"), f.dataType) for f in schema.fields]
-    )
+    return json_object([(f.name, F.col(f"`{f.name}`"), f.dataType) for f in schema.fields], digits)
 
 
 def plain_text(column: Column, dtype: T.DataType) -> Column:
@@ -96,11 +113,11 @@ def plain_text(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, _REAL):
         shown = number_text(column)
     elif isinstance(dtype, _STAMPS):
-        shown = iso_text(column)
+        shown = iso_text(column, dtype)
     elif isinstance(dtype, T.BinaryType):
         shown = bytes_tag(column)
     elif isinstance(dtype, _NESTED):
-        shown = F.to_json(column, _JSON_OPTIONS)
+        shown = F.to_json(column, json_options())
     else:
         shown = column.cast("string")
     return F.coalesce(shown, F.lit(""))

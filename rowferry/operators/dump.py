@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.text import (
+    MICROS,
     bytes_untag,
     csv_cell,
     csv_escape,
+    json_options,
     plain_text,
     quoted_name,
     row_json,
@@ -28,7 +30,7 @@ _MANIFEST = "manifest"
 
 def dump_lines(name: str, df: DataFrame) -> DataFrame:
     """Rows of one table as JSON text; NULLs stay, bytes are tagged."""
-    return df.select(F.lit(name).alias("table_name"), row_json(df.schema).alias("line"))
+    return df.select(F.lit(name).alias("table_name"), row_json(df.schema, MICROS).alias("line"))
 
 
 def backup_json(
@@ -50,7 +52,7 @@ def backup_json(
     ]
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.select(row_json(df.schema)).write.text(f"{path}/rows/{name}")
+        df.select(row_json(df.schema, MICROS)).write.text(f"{path}/rows/{name}")
     # the manifest is written last: a dump without it is incomplete
     spark.createDataFrame(
         manifest,
@@ -73,7 +75,9 @@ def read_manifest(spark: SparkSession, path: str) -> list[T.Row]:
 def _restored(field: T.StructField, source: Column) -> Column:
     if isinstance(field.dataType, T.BinaryType):
         return bytes_untag(source)
-    return source.cast(field.dataType)
+    if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+        return source.cast(field.dataType)
+    return source
 
 
 def _transport(field: T.StructField) -> T.StructField:
@@ -86,7 +90,7 @@ def _transport(field: T.StructField) -> T.StructField:
 def decode_lines(lines: DataFrame, schema: T.StructType, column: str = "line") -> DataFrame:
     """Rows of JSON text back in their types."""
     shape = T.StructType([_transport(f) for f in schema.fields])
-    parsed = lines.select(F.from_json(F.col(column), shape).alias("row"))
+    parsed = lines.select(F.from_json(F.col(column), shape, json_options(MICROS)).alias("row"))
     return parsed.select(
         *[_restored(f, F.col("row")[f.name]).alias(f.name) for f in schema.fields]
     )

@@ -64,7 +64,7 @@ def coerce_for_target(df: DataFrame, engine: str) -> DataFrame:
         elif engine == "sqlite" and isinstance(kind, T.BooleanType):
             column = column.cast("int")
         elif engine == "sqlite" and isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            column = iso_text(column)
+            column = iso_text(column, kind)
         columns.append(column.alias(field.name))
     return df.select(*columns)
 

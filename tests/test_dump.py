@@ -17,7 +17,7 @@ STORE = "key string, type string, ttl bigint, value string"
 def test_json_round_trip_keeps_every_type(spark, rows):
     df = spark.createDataFrame(
         [
-            (1, bytearray([0, 1, 2, 250, 255]), 0.1, dt.datetime(2024, 1, 2, 3, 4, 5), True, [1, 2], None),
+            (1, bytearray([0, 1, 2, 250, 255]), 0.1, dt.datetime(2024, 3, 10, 2, 30, 5, 123456), True, [1, 2], None),
             (2, None, 1e300, None, None, None, 'q"\n'),
         ],
         "id int, data binary, x double, at timestamp_ntz, ok boolean, list array<int>, s string",
@@ -181,3 +181,26 @@ def test_log_positions(spark, rows):
     assert not kept["history_lost"] and kept["restart_f"] == 1
     ordered = changes.with_order(spark.createDataFrame([("0/A",), ("bad",)], "position string"), "postgres")
     assert [int(r["position_order"]) for r in ordered.collect()] == [10]
+
+
+def test_times_do_not_depend_on_the_session_zone(spark, rows):
+    """02:30 does not exist that day in Los Angeles; it must survive all the same."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.sql(
+        "SELECT timestamp_ntz'2024-03-10 02:30:00.123456' AS a, timestamp'2024-03-10 02:30:00.5 UTC' AS b, "
+        "named_struct('t', timestamp'2024-03-10 02:30:00.25 UTC') AS c"
+    )
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        line = dump.export_json(df).first()["line"]
+        path = scratch_path(spark, "zones")
+        dump.backup_json({"t": df}, path)
+        back = dump.restore_json(spark, path)["t"]
+        assert back.exceptAll(df).count() == 0 and back.count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert json.loads(line) == {
+        "a": "2024-03-10T02:30:00.123Z",
+        "b": "2024-03-10T02:30:00.500Z",
+        "c": {"t": "2024-03-10T02:30:00.250Z"},
+    }
