@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowferry.config import Target
+from rowferry.config import ColumnMapping, Target
 from rowferry.operators.ddl import ensure_target
 from rowferry.operators.merge import (
     apply_changes,
@@ -26,13 +26,12 @@ def write_target(
     op: str | None = None,
 ) -> DataFrame:
     """The new content of one target after writing ``rows``."""
-    control = [c for c in dict.fromkeys([*order, *([op] if op else [])])]
-    mapped = map_columns(rows, target.mapping)
-    if target.mapping:
-        mapped = map_columns(
-            rows,
-            [*target.mapping, *[_same(c) for c in control if c not in mapped.columns]],
-        )
+    control = list(dict.fromkeys([*order, *([op] if op else [])]))
+    mapping = list(target.mapping)
+    if mapping:
+        named = {m.target for m in mapping}
+        mapping += [ColumnMapping(c, c) for c in control if c not in named]
+    mapped = map_columns(rows, mapping)
     image = mapped.drop(*[c for c in control if table is None or c not in table.columns])
     current = ensure_target(table, target, image.schema, rows.sparkSession)
     if op:
@@ -47,12 +46,6 @@ def write_target(
     return upsert_rows(current, mapped, target.key_columns, order, partial=True)
 
 
-def _same(column: str):
-    from rowferry.config import ColumnMapping
-
-    return ColumnMapping(column, column)
-
-
 def fan_out(
     rows: DataFrame,
     targets: Sequence[Target],
@@ -64,6 +57,7 @@ def fan_out(
 
     Returns the new tables by label and one outcome row per target. The loop
     runs over targets, never over rows; row counts come from one aggregate.
+    Every target reads ``rows`` again, so derived rows should be frozen first.
     """
     if not targets:
         raise ValueError("at least one target is needed")

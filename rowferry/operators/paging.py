@@ -14,6 +14,7 @@ from rowferry.functions.predicates import compile_filters
 from rowferry.operators.counts import count_estimated, count_rows
 from rowferry.operators.projection import map_columns
 from rowferry.operators.row_index import order_columns, row_index_sequence, total_order
+from rowferry.session import freeze
 
 # Beyond this many leading rows a page is cut from the row index instead of a
 # single top-k task.
@@ -55,6 +56,7 @@ def page_offset(
             .orderBy("_at")
             .drop("_at", "_seq")
         )
+    probe = freeze(probe, "page")
     has_more = probe.count() > limit
     page = probe.orderBy(*order_columns(order)).limit(limit)
     return page.withColumn("has_more", F.lit(has_more))

@@ -95,7 +95,8 @@ def run_replay(
 ) -> RunResult:
     """Copy a source to its targets; with a ledger, only what is not settled.
 
-    Each target gets all pending rows as one version: one read, one write. A
+    The numbered source is a written table, so every target and the ledger see
+    the same rows. Each target gets all pending rows as one version. A
     target that fails leaves the others written and the deliveries failed, and
     running again sends them again, which changes nothing where they arrived.
     """
@@ -117,7 +118,7 @@ def run_replay(
             bridge.primary_key,
         )
         return RunResult(ledger, "queued", outbox=outbox)
-    return _deliver(bridge, freeze(pending, "pending"), tables, run_id, ledger, str(attempt))
+    return _deliver(bridge, pending, tables, run_id, ledger, str(attempt))
 
 
 def _deliver(bridge, rows, tables, run_id, ledger, tag, state=None) -> RunResult:

@@ -342,6 +342,22 @@ def _(t):
     return ddl.drop_relations(t.catalog_tables, named).select("schema_name", "table_name", "kind")
 
 
+@query(
+    "create_drop_database",
+    """SELECT DISTINCT schema_name AS database_name FROM @catalog_tables
+       WHERE schema_name NOT IN (SELECT schema_name FROM @catalog_tables WHERE kind = 'view')
+       UNION
+       SELECT DISTINCT name FROM @column_defs WHERE regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_$]*')""",
+)
+def _(t):
+    """Databases after one was created per defined name and those with views were dropped."""
+    database = F.col("schema_name").alias("database_name")
+    present = t.catalog_tables.select(database).distinct()
+    gone = t.catalog_tables.where("kind = 'view'").select(database)
+    names = t.column_defs.select(F.col("name").alias("database_name"))
+    return ddl.create_relations(ddl.drop_relations(present, gone), names, "database_name")
+
+
 # bulk copy runs
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,20 @@ ENGINE_SETTINGS = {
 }
 
 
+def sized_settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a job that shuffles about ``shuffle_bytes``.
+
+    Aims at 200 MB per shuffle partition and at least two tasks per core, so
+    that a partition sorts in memory; AQE merges what turns out smaller.
+    """
+    parts = max(-(-shuffle_bytes // (200 * 1024 * 1024)), 2 * cores)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200m",
+    }
+
+
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -53,9 +69,24 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[application]
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/rowferry/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/rowferry/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, location: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(location)  # noqa: SLF001
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has frozen; frozen tables are gone then."""
+    _remove(spark, _scratch_root(spark))
 
 
 def freeze(df: DataFrame, label: str) -> DataFrame:
@@ -64,6 +95,19 @@ def freeze(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage, so later stages see one fixed row set even if executors
     are lost, and keeps column pruning for every reader.
     """
-    path = scratch_path(df.sparkSession, label)
+    return _freeze_at(df, scratch_path(df.sparkSession, label))
+
+
+def _freeze_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def frozen(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """:func:`freeze` for the length of a block; the copy is removed afterwards."""
+    path = scratch_path(df.sparkSession, label)
+    try:
+        yield _freeze_at(df, path)
+    finally:
+        _remove(df.sparkSession, path)

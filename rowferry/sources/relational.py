@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rowferry.config import Filter, Sort
 from rowferry.functions.predicates import compile_filters
 from rowferry.operators.paging import sort_rows
+from rowferry.session import freeze
 
 
 def load_table(spark: SparkSession, directory: str, table: str) -> DataFrame:
@@ -47,11 +48,12 @@ def scan_query(
     rows = spark.sql(text, args=args)
     if max_rows is None:
         return rows
-    page = rows.limit(max_rows)
-    truncated = rows.limit(max_rows + 1).count() > max_rows
+    # the query runs once; at most one row more than the cap is kept
+    probe = freeze(rows.limit(max_rows + 1), "query")
+    truncated = probe.count() > max_rows
     if truncated and refuse_truncated:
         raise ValueError(f"the query returns more than {max_rows} rows")
-    return page.withColumn("truncated", F.lit(truncated))
+    return probe.limit(max_rows).withColumn("truncated", F.lit(truncated))
 
 
 def key_ranges(column: str, low: int, high: int, parts: int) -> list[str]:

@@ -12,7 +12,7 @@ from rowferry.config import OPERATIONS
 from rowferry.operators.changes import after_position, filter_change_ops
 from rowferry.operators.commit import SnapshotTable
 from rowferry.operators.merge import apply_last_changes, last_per_key, split_null_keys
-from rowferry.session import freeze
+from rowferry.session import frozen
 
 
 def apply_batch(
@@ -28,19 +28,19 @@ def apply_batch(
     rest is reduced to one change per key and frozen, so that touched buckets,
     new position and merge all see the same rows.
     """
-    if batch_id in table.version().batches:
+    current = table.version()
+    if batch_id in current.batches:
         return False
-    fresh = after_position(
-        filter_change_ops(changes, operations), order, table.version().position
-    )
+    fresh = after_position(filter_change_ops(changes, operations), order, current.position)
     valid, _ = split_null_keys(fresh, table.keys)
     columns = dict.fromkeys(["op", *order, *table.schema.names])
-    last = freeze(last_per_key(valid.select(*columns), table.keys, order), "changes")
+    last = last_per_key(valid.select(*columns), table.keys, order)
 
     def merge(current: DataFrame, delta: DataFrame) -> DataFrame:
         return apply_last_changes(current, delta, table.keys)
 
-    return table.apply(last, merge, batch_id, order)
+    with frozen(last, "changes") as delta:
+        return table.apply(delta, merge, batch_id, order)
 
 
 def start_bridge(
