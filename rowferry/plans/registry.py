@@ -25,8 +25,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         derive = inputs.DERIVED.get(name)
         if derive is not None:
-            return derive(self)
-        return load_table(self.spark, self.directory, name)
+            found = derive(self)
+        else:
+            found = load_table(self.spark, self.directory, name)
+        # found again as a plain attribute, so each file schema is read once
+        self.__dict__[name] = found
+        return found
 
 
 def query(name: str, sql: str | None = None):
