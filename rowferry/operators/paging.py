@@ -14,11 +14,12 @@ from rowferry.functions.predicates import compile_filters
 from rowferry.operators.counts import count_estimated, count_rows
 from rowferry.operators.projection import map_columns
 from rowferry.operators.row_index import order_columns, row_index_sequence, total_order
+from rowferry.operators.top import top_rows
 from rowferry.session import freeze
 
 # Beyond this many leading rows a page is cut from the row index instead of a
 # single top-k task.
-DEEP_PAGE_ROWS = 100_000
+DEEP_PAGE_ROWS = 10_000
 
 
 def sort_rows(df: DataFrame, sort: Sequence[Sort], keys: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +49,8 @@ def page_offset(
     limit, offset = page_bounds(limit, offset, dialect)
     order = total_order(sort, keys)
     if offset + limit < DEEP_PAGE_ROWS:
-        probe = df.orderBy(*order_columns(order)).offset(offset).limit(limit + 1)
+        columns = order_columns(order)
+        probe = top_rows(df, columns, offset + limit + 1).orderBy(*columns).offset(offset)
     else:
         numbered = row_index_sequence(df, order, index="_at", sequence="_seq")
         probe = (
@@ -83,7 +85,7 @@ def page_keyset(
     """The next page after the last key; the bound prunes row groups."""
     order = [Sort(key) for key in keys]
     rows = df.where(after_key(order, last)) if last is not None else df
-    return rows.orderBy(*order_columns(order)).limit(limit)
+    return top_rows(rows, order_columns(order), limit)
 
 
 def resolve_order(

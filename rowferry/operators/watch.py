@@ -14,9 +14,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.config import DEFAULT_PER_POLL, MAX_PER_POLL, WatchStrategy
+from rowferry.config import DEFAULT_PER_POLL, MAX_PER_POLL, Sort, WatchStrategy
 from rowferry.functions.literals import value_literal
 from rowferry.functions.text import row_key
+from rowferry.operators.row_index import row_index_sequence
+from rowferry.operators.top import top_rows
 from rowferry.session import freeze
 
 
@@ -108,7 +110,7 @@ def watch_page(
             fresh = at_bound.join(state.keys, "_key", "left_anti").drop("_key")
             rows = rows.where(tracked > bound).unionByName(fresh)
     ties = [F.col(k).asc_nulls_first() for k in keys if k != strategy.column]
-    return rows.orderBy(tracked.asc_nulls_last(), *ties).limit(limit)
+    return top_rows(rows, [tracked.asc_nulls_last(), *ties], limit)
 
 
 def watch_poll(
@@ -145,8 +147,12 @@ def _next_snapshot(page, strategy, state, keys) -> WatchState:
         row_key(page.schema, list(keys)).alias("_key"), F.lit(number).alias("_poll")
     )
     seen = fresh if state.keys is None else state.keys.unionByName(fresh)
-    newest = seen.orderBy(F.desc("_poll"), F.desc("_key")).limit(strategy.max_tracked)
-    return WatchState("snapshot", None, freeze(newest, "seen"), number)
+    known = page.count() + (0 if state.keys is None else state.keys.count())
+    if known > strategy.max_tracked:
+        # ranked in range partitions: the first poll may find any number of keys
+        ranked = row_index_sequence(seen, [Sort("_poll", "desc"), Sort("_key", "desc")])
+        seen = ranked.where(F.col("row_index") < strategy.max_tracked).select("_key", "_poll")
+    return WatchState("snapshot", None, freeze(seen, "seen"), number)
 
 
 def watch_start_now(

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rowferry.config import Bridge, ColumnMapping, Filter, Target
 from rowferry.functions.positions import binlog_order, lsn_order
 from rowferry.operators import changes, merge
 from rowferry.operators.commit import SnapshotTable
 from rowferry.plans.inputs import ORDER
 from rowferry.plans.registry import query
 from rowferry.session import scratch_path
-from rowferry.streaming.bridge import apply_batch, change_log_stream, start_bridge
+from rowferry.streaming.bridge import (
+    apply_batch,
+    apply_to_targets,
+    change_log_stream,
+    start_bridge,
+)
 
 _IMAGE = ["order_key", "price", "state", "changed_at", "ref_key"]
 
@@ -265,6 +272,46 @@ def _(t):
     return table.read()
 
 
+@query(
+    "cdc_fan_out",
+    """SELECT 'totals' AS target, order_key AS id, price AS amount FROM @last_final_change WHERE op <> 'delete'
+       UNION ALL
+       SELECT 'journal', c.order_key, price
+       FROM (SELECT DISTINCT * FROM @change_log WHERE op <> 'delete' AND state = 'F') c
+       LEFT JOIN (SELECT order_key, max((pos_file, pos_offset, pos_ordinal)) AS gone FROM @change_log
+                  WHERE op = 'delete' GROUP BY order_key) d ON d.order_key = c.order_key
+       WHERE gone IS NULL OR (pos_file, pos_offset, pos_ordinal) > gone""",
+)
+def _(t):
+    """Two targets of one bridge: an upsert target and a journal that appends.
+
+    The bridge keeps state F; deletes pass its filter whatever their state.
+    """
+    mapping = (ColumnMapping("order_key", "id"), ColumnMapping("price", "amount"))
+    bridge = Bridge(
+        "final",
+        "orders",
+        filters=(Filter("state", "eq", "F"),),
+        targets=(
+            Target("totals", key_columns=("id",), mapping=mapping),
+            Target("journal", key_columns=("id",), mapping=mapping, write_mode="insert"),
+        ),
+        trigger="cdc",
+    )
+    schema = T.StructType().add("id", T.LongType()).add("amount", T.DoubleType())
+    tables = {
+        name: SnapshotTable(t.spark, scratch_path(t.spark, name), schema, ["id"], 8)
+        for name in ("totals", "journal")
+    }
+    for batch in ("batch-1", "batch-1"):
+        apply_to_targets(bridge, t.change_log, tables, ORDER, batch)
+    first, second = (
+        table.read().select(F.lit(name).alias("target"), "id", "amount")
+        for name, table in tables.items()
+    )
+    return first.unionByName(second)
+
+
 @query("exactly_once_replay", _SYNCED)
 def _(t):
     """The same batch three times, once under another name: nothing changes."""

@@ -115,6 +115,10 @@ SELECT * FROM @change_log
 QUALIFY row_number() OVER (PARTITION BY order_key
                            ORDER BY pos_file DESC, pos_offset DESC, pos_ordinal DESC) = 1"""
 
+_LAST_FINAL_CHANGE = """
+SELECT * FROM @change_log WHERE state = 'F' OR op = 'delete'
+QUALIFY row_number() OVER (PARTITION BY order_key
+                           ORDER BY pos_file DESC, pos_offset DESC, pos_ordinal DESC) = 1"""
 _MOVED_LOG = """
 SELECT *, CASE WHEN op = 'update' THEN ref_key ELSE order_key END AS old_key FROM @change_log"""
 
@@ -594,6 +598,7 @@ DERIVED_SQL = {
     "change_once": _CHANGE_ONCE,
     "change_log": _CHANGE_LOG,
     "last_change": _LAST_CHANGE,
+    "last_final_change": _LAST_FINAL_CHANGE,
     "moved_log": _MOVED_LOG,
     "sparse_orders": _SPARSE_ORDERS,
     "event_docs": _EVENT_DOCS,

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from rowferry.config import DEFAULT_FIND_LIMIT, Filter, Sort
 from rowferry.functions.predicates import compile_filters
 from rowferry.operators.row_index import order_columns
+from rowferry.operators.top import top_rows
 
 
 def document_schema(df: DataFrame, column: str) -> T.StructType:
@@ -69,6 +70,4 @@ def find_documents(
 ) -> DataFrame:
     """Filtered, sorted and limited documents; the top rows need no full sort."""
     rows = df.where(compile_filters(filters, "document"))
-    if sort:
-        rows = rows.orderBy(*order_columns(sort))
-    return rows.limit(limit)
+    return top_rows(rows, order_columns(sort), limit) if sort else rows.limit(limit)

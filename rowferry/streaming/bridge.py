@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rowferry.config import OPERATIONS
-from rowferry.operators.changes import after_position, filter_change_ops
+from rowferry.config import OPERATIONS, Bridge, ColumnMapping
+from rowferry.operators.changes import (
+    after_position,
+    dedupe_positions,
+    filter_change_ops,
+    filter_changes,
+)
 from rowferry.operators.commit import SnapshotTable
-from rowferry.operators.merge import apply_last_changes, last_per_key, split_null_keys
+from rowferry.operators.merge import (
+    apply_changes_append,
+    apply_last_changes,
+    last_per_key,
+    split_null_keys,
+)
+from rowferry.operators.projection import map_columns
 from rowferry.session import frozen
 
 
@@ -21,12 +32,14 @@ def apply_batch(
     order: Sequence[str],
     batch_id: str,
     operations: Sequence[str] = OPERATIONS,
+    write_mode: str = "upsert",
 ) -> bool:
     """Apply one batch of changes: drop what was seen, merge, publish.
 
     Changes up to the target's position are late repeats and are dropped. The
-    rest is reduced to one change per key and frozen, so that touched buckets,
-    new position and merge all see the same rows.
+    rest is frozen, so that touched buckets, new position and merge all see the
+    same rows: one change per key for an upsert target, each position once for
+    a target that appends.
     """
     current = table.version()
     if batch_id in current.batches:
@@ -34,15 +47,54 @@ def apply_batch(
     fresh = after_position(filter_change_ops(changes, operations), order, current.position)
     valid, _ = split_null_keys(fresh, table.keys)
     columns = dict.fromkeys(["op", *order, *table.schema.names])
-    last = last_per_key(valid.select(*columns), table.keys, order)
+    rows = valid.select(*columns)
+    staged = (
+        dedupe_positions(rows, order)
+        if write_mode == "insert"
+        else last_per_key(rows, table.keys, order)
+    )
 
     def merge(current: DataFrame, delta: DataFrame) -> DataFrame:
+        if write_mode == "insert":
+            return apply_changes_append(current, delta, table.keys, order)
         return apply_last_changes(current, delta, table.keys)
 
-    with frozen(last, "changes") as delta:
+    with frozen(staged, "changes") as delta:
         return table.apply(delta, merge, batch_id, order)
 
 
+def apply_to_targets(
+    bridge: Bridge,
+    changes: DataFrame,
+    tables: Mapping[str, SnapshotTable],
+    order: Sequence[str],
+    batch_id: str,
+) -> dict[str, str | None]:
+    """One batch of changes to every target of a bridge; the error per target.
+
+    Each target keeps its own position, so one that fails stays behind and
+    takes up the missed changes when the batch comes again.
+    """
+    fresh = filter_changes(changes, bridge.filters)
+    control = [ColumnMapping(c, c) for c in ("op", *order)]
+    errors: dict[str, str | None] = {}
+    for target in bridge.targets:
+        mapped = map_columns(fresh, [*target.mapping, *control] if target.mapping else ())
+        try:
+            apply_batch(
+                mapped,
+                tables[target.label],
+                order,
+                f"{batch_id}:{target.label}",
+                bridge.operations,
+                target.write_mode,
+            )
+            errors[target.label] = None
+        except (ValueError, KeyError, RuntimeError) as error:
+            errors[target.label] = str(error)
+    return errors
+
+
 def start_bridge(
     stream: DataFrame,
     table: SnapshotTable,
@@ -63,6 +115,36 @@ def start_bridge(
         changes = normalize(batch) if normalize else batch
         apply_batch(changes, table, order, f"{bridge_id}:{batch_id}", operations)
 
+    return _start(stream, apply, checkpoint, once)
+
+
+def start_fan_out(
+    stream: DataFrame,
+    bridge: Bridge,
+    tables: Mapping[str, SnapshotTable],
+    order: Sequence[str],
+    checkpoint: str,
+    once: bool = True,
+) -> StreamingQuery:
+    """Keep all targets of a bridge in step with a change stream.
+
+    A failed target stops the query after the others were written; the same
+    micro-batch comes again on restart and changes nothing where it arrived.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        with frozen(batch, "batch") as changes:
+            errors = apply_to_targets(
+                bridge, changes, tables, order, f"{bridge.bridge_id}:{batch_id}"
+            )
+        failed = {label: error for label, error in errors.items() if error}
+        if failed:
+            raise RuntimeError(f"targets failed: {failed}")
+
+    return _start(stream, apply, checkpoint, once)
+
+
+def _start(stream: DataFrame, apply: Callable, checkpoint: str, once: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer
     return writer.start()

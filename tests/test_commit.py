@@ -11,7 +11,7 @@ from rowferry.operators import runs
 from rowferry.operators.commit import SnapshotTable, Version
 from rowferry.operators.merge import upsert_rows
 from rowferry.session import freeze, scratch_path, shared_root
-from rowferry.streaming.bridge import apply_batch, change_log_stream, start_bridge
+from rowferry.streaming.bridge import apply_batch, change_log_stream, start_bridge, start_fan_out
 
 SCHEMA = T.StructType().add("id", T.LongType()).add("v", T.StringType())
 FEED = "op string, pos bigint, id bigint, v string"
@@ -117,6 +117,30 @@ def test_late_repeats_are_dropped(spark, rows):
     assert rows(table.read()) == [(1, "new")] and table.version().position == [5]
 
 
+def test_fan_out_stream_heals_a_failed_target(spark, rows):
+    """The journal appends every change once; the late target catches up."""
+    log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "checkpoint")
+    feed = [("insert", 1, 1, "a"), ("update", 2, 1, "b"), ("update", 2, 1, "b"), ("insert", 3, 2, "c"), ("delete", 4, 2, None), ("insert", 5, 9, "no")]
+    spark.createDataFrame(feed, FEED).coalesce(1).write.parquet(log)
+    bridge = Bridge(
+        "b", "s", filters=(Filter("v", "neq", "no"),), trigger="cdc",
+        targets=(Target("journal", key_columns=("id",), write_mode="insert"), Target("late", key_columns=("id",))),
+    )
+    tables = {"journal": new_table(spark)}
+
+    def run():
+        stream = change_log_stream(spark, log, spark.createDataFrame([], FEED).schema)
+        start_fan_out(stream, bridge, tables, ["pos"], checkpoint).awaitTermination()
+
+    with pytest.raises(Exception, match="targets failed"):
+        run()
+    assert rows(tables["journal"].read()) == [(1, "a"), (1, "b")]
+    tables["late"] = new_table(spark)
+    run()
+    assert rows(tables["journal"].read()) == [(1, "a"), (1, "b")]
+    assert rows(tables["late"].read()) == [(1, "b")]
+
+
 def test_only_enabled_operations_apply(spark, rows):
     table = new_table(spark)
     table.apply(values(spark, (1, "a")), put, "base")

@@ -5,7 +5,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from rowferry.config import Filter
 from rowferry.operators import changes, dump

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowferry.config import ColumnMapping, Filter, Sort
-from rowferry.operators import paging
+from rowferry.operators import paging, top
 from rowferry.operators.counts import analyzed_count, count_estimated, key_candidates, table_stats
 from rowferry.operators.ddl import drop_table, save_table
 from rowferry.operators.projection import coerce_object_ids, infer_value_types, map_columns
@@ -53,6 +53,16 @@ def test_pages_cover_the_table_once(spark, monkeypatch):
         assert seen == list(range(94, -1, -1))
 
 
+def test_top_rows_merged_in_groups(spark, monkeypatch):
+    df = spark.range(20_000, numPartitions=7).select((F.col("id") * 7919 % 20_011).alias("k"))
+    plain = [r["k"] for r in top.top_rows(df, [F.desc("k")], 300).collect()]
+    monkeypatch.setattr(top, "MERGED_ROWS", 10)
+    grouped = top.top_rows(df, [F.desc("k")], 300)
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert [r["k"] for r in grouped.collect()] == plain == sorted(plain, reverse=True)
+    assert plan.index("WindowGroupLimit") < plan.index("hashpartitioning(_group")
+
+
 def test_page_bounds_are_clamped_and_checked():
     assert paging.page_bounds(0, 0) == (1, 0)
     assert paging.page_bounds(10**6, 3) == (5000, 3)
