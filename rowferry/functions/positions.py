@@ -6,6 +6,8 @@ engine has an expression that turns it into a struct or number to sort by.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,16 +54,31 @@ def binlog_order(position: Column) -> Column:
     )
 
 
-POSITION_ORDER = {
-    "postgres": lsn_order,
-    "mysql": binlog_order,
-    # opaque tokens that already sort in log order
-    "mongodb": lambda position: position,
-    "redis": lambda position: position,
+def event_order(position: Column) -> dict[str, Column]:
+    """``millis:counter`` of events without a durable position."""
+
+    def part(index: int) -> Column:
+        return F.split_part(position, F.lit(":"), F.lit(index)).try_cast("bigint")
+
+    return {"order_millis": part(1), "order_counter": F.coalesce(part(2), F.lit(0).cast("bigint"))}
+
+
+def _binlog_columns(position: Column) -> dict[str, Column]:
+    order = binlog_order(position)
+    return {f"order_{name}": order[name] for name in ("file", "pos", "row")}
+
+
+POSITION_ORDER: dict[str, Callable[[Column], dict[str, Column]]] = {
+    "postgres": lambda position: {"order_lsn": lsn_order(position)},
+    "mysql": _binlog_columns,
+    # resume tokens sort in log order as they are
+    "mongodb": lambda position: {"order_token": position},
+    "redis": event_order,
 }
 # These sources hand every event over as new, so no watermark applies.
 WITHOUT_WATERMARK = ("mongodb", "redis")
 
 
-def position_order(engine: str, position: Column) -> Column:
+def position_order(engine: str, position: Column) -> dict[str, Column]:
+    """Sortable columns of a text position, by name and in order."""
     return POSITION_ORDER[engine](position)

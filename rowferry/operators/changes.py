@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowferry.config import OPERATIONS, Filter
 from rowferry.functions.literals import value_literal
-from rowferry.functions.positions import WITHOUT_WATERMARK, position_order
+from rowferry.functions.positions import position_order
 from rowferry.functions.predicates import compile_filters, matches_glob
 
 # Event names of the sources.
@@ -208,10 +208,19 @@ def gap_detect(feed: DataFrame, order: Sequence[str], stored: Sequence) -> DataF
     )
 
 
-def with_order(feed: DataFrame, engine: str, column: str = "position") -> DataFrame:
-    """Add the sortable form of a text position as ``position_order``."""
-    ordered = feed.withColumn("position_order", position_order(engine, F.col(column)))
-    if engine in WITHOUT_WATERMARK:
-        return ordered
-    # a position that cannot be read never counts as new
-    return ordered.where(F.col("position_order").isNotNull())
+def as_feed(changes: DataFrame, engine: str) -> tuple[DataFrame, list[str]]:
+    """Normalized changes as a flat feed, and the columns that give its order.
+
+    The row image becomes plain columns and the text position sortable ones. A
+    position that cannot be read never counts as new, so its change is dropped.
+    """
+    columns = position_order(engine, F.col("position"))
+    feed = changes.select(
+        "op",
+        "position",
+        *[column.alias(name) for name, column in columns.items()],
+        F.col("ordinal").alias("order_ordinal"),
+        "row.*",
+    )
+    order = [*columns, "order_ordinal"]
+    return feed.where(F.col(order[0]).isNotNull()), order

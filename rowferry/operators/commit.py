@@ -95,7 +95,7 @@ class SnapshotTable:
                 ) from error
             raise
         try:
-            stream.write(bytearray(json.dumps(version.__dict__).encode()))
+            stream.write(bytearray(json.dumps(version.__dict__, default=int).encode()))
         finally:
             stream.close()
 
@@ -127,7 +127,8 @@ class SnapshotTable:
         ``delta`` is evaluated more than once and must be stable (a frozen
         table). Only buckets with a key in it are read and rewritten; keys are
         unique in a target, so hashing them gives even buckets. ``position``
-        names the columns of the log position, of which the highest is stored.
+        names the columns of the log position (numbers or text), of which the
+        highest is stored.
         """
         current = self.version()
         if batch_id in current.batches:
@@ -165,7 +166,10 @@ class SnapshotTable:
         return True
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Remove data folders that the newest ``keep`` versions do not use."""
+        """Remove data folders that the newest ``keep`` versions do not use.
+
+        To be run while no writer is at work: its folder is in no version yet.
+        """
         markers = [n for n in self._names("_versions") if n.endswith(".json")]
         used = {f for name in markers[-max(keep, 1) :] for f in self._marker(name).layout.values()}
         stale = [f"data/{n}" for n in self._names("data") if f"data/{n}" not in used]

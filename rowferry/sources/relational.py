@@ -98,3 +98,18 @@ def scan_jdbc_partitioned(
     predicates = key_ranges(column, *bounds, parts)
     rows = spark.read.jdbc(url, table, predicates=predicates, properties=options)
     return rows.where(compile_filters(filters))
+
+
+def write_jdbc(
+    rows: DataFrame,
+    url: str,
+    table: str,
+    connections: int = 8,
+    properties: dict[str, str] | None = None,
+) -> None:
+    """Append rows to a relational target over a bounded number of connections.
+
+    JDBC has no upsert: write to a staging table and merge it in the database.
+    """
+    options = {"batchsize": "1000", "numPartitions": str(connections), **(properties or {})}
+    rows.write.jdbc(url, table, mode="append", properties=options)

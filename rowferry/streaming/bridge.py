@@ -33,18 +33,21 @@ def apply_batch(
     batch_id: str,
     operations: Sequence[str] = OPERATIONS,
     write_mode: str = "upsert",
+    always_new: bool = False,
 ) -> bool:
     """Apply one batch of changes: drop what was seen, merge, publish.
 
     Changes up to the target's position are late repeats and are dropped. The
     rest is frozen, so that touched buckets, new position and merge all see the
     same rows: one change per key for an upsert target, each position once for
-    a target that appends.
+    a target that appends. ``always_new`` is for sources without a durable
+    position, whose events are never late.
     """
     current = table.version()
     if batch_id in current.batches:
         return False
-    fresh = after_position(filter_change_ops(changes, operations), order, current.position)
+    seen = None if always_new else current.position
+    fresh = after_position(filter_change_ops(changes, operations), order, seen)
     valid, _ = split_null_keys(fresh, table.keys)
     columns = dict.fromkeys(["op", *order, *table.schema.names])
     rows = valid.select(*columns)

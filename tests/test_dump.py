@@ -7,8 +7,11 @@ import json
 import pytest
 
 from rowferry.config import Filter
+from rowferry.functions.positions import WITHOUT_WATERMARK
 from rowferry.operators import changes, dump
+from rowferry.operators.commit import SnapshotTable
 from rowferry.session import scratch_path
+from rowferry.streaming.bridge import apply_batch
 
 STORE = "key string, type string, ttl bigint, value string"
 
@@ -178,8 +181,37 @@ def test_log_positions(spark, rows):
     assert lost["history_lost"] and (lost["restart_f"], lost["restart_n"]) == (2, 0)
     kept = changes.gap_detect(feed, order, (1, 0)).first()
     assert not kept["history_lost"] and kept["restart_f"] == 1
-    ordered = changes.with_order(spark.createDataFrame([("0/A",), ("bad",)], "position string"), "postgres")
-    assert [int(r["position_order"]) for r in ordered.collect()] == [10]
+
+@pytest.mark.parametrize(
+    ("engine", "positions", "columns"),
+    [
+        ("postgres", ["0/A", "0/FF", "1/0"], ["order_lsn"]),
+        ("mysql", ["f.1:4:9", "f.1:4:10", "f.1:12:0", "f.2:4:0"], ["order_file", "order_pos", "order_row"]),
+        ("mongodb", ["82A", "82B"], ["order_token"]),
+        ("redis", ["999:7", "1000:1", "1000:2"], ["order_millis", "order_counter"]),
+    ],
+)
+def test_text_positions_drive_a_target(spark, rows, engine, positions, columns):
+    """Later positions win, also where their text sorts the other way."""
+    shape = "op string, position string, ordinal bigint, row struct<id:bigint,v:string>"
+    events = [("update", p, 0, (1, p)) for p in positions]
+    feed, order = changes.as_feed(spark.createDataFrame(list(reversed(events)), shape), engine)
+    assert order == [*columns, "order_ordinal"]
+    schema = feed.select("id", "v").schema
+    table = SnapshotTable(spark, scratch_path(spark, "t"), schema, ["id"], 2)
+    apply_batch(feed, table, order, "one", always_new=engine in WITHOUT_WATERMARK)
+    assert rows(table.read()) == [(1, positions[-1])]
+    again, _ = changes.as_feed(spark.createDataFrame(events[:1], shape), engine)
+    apply_batch(again, table, order, "two", always_new=engine in WITHOUT_WATERMARK)
+    late_counts = engine in WITHOUT_WATERMARK
+    assert rows(table.read()) == [(1, positions[0] if late_counts else positions[-1])]
+
+
+def test_unreadable_positions_are_not_new(spark):
+    shape = "op string, position string, ordinal bigint, row struct<id:bigint>"
+    feed, _ = changes.as_feed(spark.createDataFrame([("update", "bad", 0, (1,))], shape), "postgres")
+    assert feed.count() == 0
+
 
 
 def test_times_do_not_depend_on_the_session_zone(spark, rows):
