@@ -22,8 +22,10 @@ from rowferry.config import (
     RUN_LIST_LIMIT,
     SETTLED_DELIVERY_STATUSES,
     TERMINAL_RUN_STATUSES,
+    Sort,
 )
 from rowferry.operators.merge import apply_changes, upsert_rows
+from rowferry.operators.paging import cut_page
 from rowferry.operators.skew import group_for_join
 
 KEY = ["run_id", "sequence"]
@@ -261,7 +263,7 @@ def delivery_window(
         rows = rows.where(F.col("sequence") >= first)
     if last is not None:
         rows = rows.where(F.col("sequence") <= last)
-    return rows.orderBy("sequence").offset(offset).limit(min(limit, LEDGER_PAGE_CAP))
+    return cut_page(rows, [Sort("sequence")], offset, min(limit, LEDGER_PAGE_CAP))
 
 
 def list_runs(runs: DataFrame, bridge_id, limit: int = RUN_LIST_LIMIT) -> DataFrame:

@@ -33,6 +33,19 @@ def page_bounds(limit: int, offset: int, dialect: str = "sql") -> tuple[int, int
     return min(max(int(limit), 1), PAGE_CAPS[dialect]), int(offset)
 
 
+def cut_page(df: DataFrame, order: Sequence[Sort], offset: int, count: int) -> DataFrame:
+    """``count`` rows from ``offset`` on, in order.
+
+    Shallow pages are a top-k. A deep or long one is cut from the distributed
+    row index, so no task ever holds all rows up to its end.
+    """
+    if offset + count <= DEEP_PAGE_ROWS:
+        return top_rows(df, order_columns(order), offset + count).offset(offset)
+    numbered = row_index_sequence(df, order, index="_at", sequence="_seq")
+    page = numbered.where((F.col("_at") >= offset) & (F.col("_at") < offset + count))
+    return page.orderBy("_at").drop("_at", "_seq")
+
+
 def page_offset(
     df: DataFrame,
     sort: Sequence[Sort],
@@ -41,24 +54,10 @@ def page_offset(
     offset: int = 0,
     dialect: str = "sql",
 ) -> DataFrame:
-    """One page with ``has_more``, known from one row past the page.
-
-    Shallow pages are a top-k. A deep offset is cut from the distributed row
-    index, so no task ever holds all rows before the page.
-    """
+    """One page with ``has_more``, known from one row past the page."""
     limit, offset = page_bounds(limit, offset, dialect)
     order = total_order(sort, keys)
-    if offset + limit < DEEP_PAGE_ROWS:
-        columns = order_columns(order)
-        probe = top_rows(df, columns, offset + limit + 1).orderBy(*columns).offset(offset)
-    else:
-        numbered = row_index_sequence(df, order, index="_at", sequence="_seq")
-        probe = (
-            numbered.where(F.col("_at").between(offset, offset + limit))
-            .orderBy("_at")
-            .drop("_at", "_seq")
-        )
-    probe = freeze(probe, "page")
+    probe = freeze(cut_page(df, order, offset, limit + 1), "page")
     has_more = probe.count() > limit
     page = probe.orderBy(*order_columns(order)).limit(limit)
     return page.withColumn("has_more", F.lit(has_more))

@@ -24,8 +24,9 @@ def _(t):
     return scan_table(
         t.orders,
         [Filter("o_orderstatus", "eq", "F"), Filter("o_totalprice", "gte", 100000.0)],
-        [Sort("o_orderdate"), Sort("o_orderkey")],
+        [Sort("o_orderdate")],
         ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"],
+        keys=["o_orderkey"],
     )
 
 

@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from rowferry.config import DEFAULT_FIND_LIMIT, Filter, Sort
 from rowferry.functions.predicates import compile_filters
-from rowferry.operators.row_index import order_columns
-from rowferry.operators.top import top_rows
+from rowferry.operators.paging import cut_page
 
 
 def document_schema(df: DataFrame, column: str) -> T.StructType:
@@ -70,4 +69,4 @@ def find_documents(
 ) -> DataFrame:
     """Filtered, sorted and limited documents; the top rows need no full sort."""
     rows = df.where(compile_filters(filters, "document"))
-    return top_rows(rows, order_columns(sort), limit) if sort else rows.limit(limit)
+    return cut_page(rows, sort, 0, limit) if sort else rows.limit(limit)

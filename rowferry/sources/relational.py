@@ -24,12 +24,17 @@ def scan_table(
     sort: Sequence[Sort] = (),
     columns: Sequence[str] = (),
     dialect: str = "sql",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Read one relation; filters and the column list reach the file scan."""
+    """Read one relation; filters and the column list reach the file scan.
+
+    With a sort, ``keys`` break ties, so that a sort value that covers a large
+    part of the rows is still split over tasks.
+    """
     rows = table.where(compile_filters(filters, dialect))
-    if columns:
-        rows = rows.select(*columns)
-    return sort_rows(rows, sort) if sort else rows
+    if sort:
+        rows = sort_rows(rows, sort, keys)
+    return rows.select(*columns) if columns else rows
 
 
 def scan_query(
