@@ -127,13 +127,13 @@ def upsert_rows(
     delta = delta.select(*[c for c in rows.columns if c in target.columns])
     given = [c for c in delta.columns if c not in keys and c not in on_insert_only]
     if not given:
-        existing = target.select(*keys).join(touched_keys(delta, keys), keys, "left_semi")
+        existing = target.select(*keys).join(touched_keys(rows, keys), keys, "left_semi")
         return insert_rows(target, without_keys(delta, existing, keys))
     missing = [c for c in target.columns if c not in delta.columns]
     if not on_insert_only and not (partial and missing):
-        kept = target.join(touched_keys(delta, keys), keys, "left_anti")
+        kept = target.join(touched_keys(rows, keys), keys, "left_anti")
         return insert_rows(kept, delta)
-    existing = target.select(*keys).join(touched_keys(delta, keys), keys, "left_semi")
+    existing = target.select(*keys).join(touched_keys(rows, keys), keys, "left_semi")
     updated = update_rows(target, delta.select(*keys, *given), keys)
     return insert_rows(updated, without_keys(delta, existing, keys))
 
