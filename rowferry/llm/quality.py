@@ -7,17 +7,21 @@ On top stand base figures of the whole text.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "[^#*$%&|<>]"
+SYMBOLS = "[#*$%&|<>]"
 # fixed values: phrases of site furniture, matched in lower case
 BOILERPLATE = (
-    r"(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept cookies|enable javascript|"
-    r"skip to (main )?content|sign up for our newsletter|click here to subscribe|share this (page|article)|powered by)"
+    "accept cookies", "all rights reserved", "click here to subscribe", "cookie policy", "enable javascript",
+    "powered by", "privacy policy", "share this article", "share this page", "sign up for our newsletter",
+    "skip to content", "skip to main content", "terms of service", "terms of use",
 )
 MAX_LINE_SYMBOLS = 0.3
 MIN_BARS = 3
@@ -41,9 +45,12 @@ def repeat_words(words: Column) -> Column:
     neighbours; the places of equal ones, in order, count up to three words each.
     """
 
-    def windows(w: Column) -> Column:
-        size = F.size(w)
-        return F.when(size >= 4, F.transform(F.sequence(F.lit(0), size - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i")))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    def hashes(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - 3)
+        return F.when(F.size(w) >= 4, F.transform(places, lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))).otherwise(F.array().cast("array<bigint>"))
+
+    def windows(h: Column) -> Column:
+        return F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
     def doubled(s: Column) -> Column:
         return F.array_sort(F.transform(
@@ -59,21 +66,35 @@ def repeat_words(words: Column) -> Column:
             lambda seen: seen["n"],
         )
 
-    return covered(bind(F.array_sort(bind(words, windows)), doubled))
+    # most texts hold no window twice, and a set of hashes tells so
+    return bind(bind(words, hashes), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
+        covered(bind(windows(h), doubled))
+    ))
+
+
+def symbols_of(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
+
+
+def boilerplate(text: Column) -> Column:
+    """Whether the text has one of the phrases, in either case."""
+    return bind(F.lower(text), lambda low: reduce(or_, [low.contains(p) for p in BOILERPLATE]))
 
 
 def fails(line: Column) -> Column:
-    """Whether a line with words is furniture: mostly symbols, a link bar, boilerplate."""
-    bare = F.length(F.regexp_replace(line, SPACE, ""))
-    symbols = F.length(F.regexp_replace(line, SYMBOLS, ""))
-    bars = F.length(line) - F.length(F.translate(line, "|»", ""))
-    return (symbols > MAX_LINE_SYMBOLS * bare) | (bars >= MIN_BARS) | F.lower(line).rlike(BOILERPLATE)
+    """Whether a line is furniture: many symbols, a bar of links, boilerplate."""
+    bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
+    return (symbols_of(line) > MAX_LINE_SYMBOLS * F.length(line)) | (bars >= MIN_BARS) | boilerplate(line)
 
 
 def clean_lines(text: Column) -> Column:
-    """The text without failing lines; lines without a word stay."""
-    lines = F.split(text, "\n")
-    return F.array_join(F.filter(lines, lambda x: ~((F.regexp_replace(x, SPACE, "") != "") & fails(x))), "\n")
+    """The text without failing lines.
+
+    A text without a symbol and without a phrase has no failing line; only the
+    others are taken apart.
+    """
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~fails(line)), "\n")
+    return F.when(text.rlike(SYMBOLS) | boilerplate(text), kept).otherwise(text)
 
 
 def base_figures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,12 +104,12 @@ def base_figures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     data = pair(docs, key, text).withColumn("text", F.coalesce("text", F.lit("")))
     blank = F.regexp_replace("text", SPACE, "")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, SPACE, "") != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     repeated = bind(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("r")))
     return data.select(
         "doc_id", "text", clean_lines(F.col("text")).alias("cleaned"), repeated.alias("w"),
         F.length(blank).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
+        symbols_of(F.col("text")).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ).withColumns({"n_words": F.col("w.n"), "n_repeat_words": F.col("w.r")}).drop("w")
 

@@ -121,14 +121,14 @@ doubled AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY do
 repeats AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM doubled) GROUP BY doc_id),
 figures AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_SP}', '', 'g'))::BIGINT AS word_chars,
-    length(regexp_replace(text, '{quality.SYMBOLS}', '', 'g'))::BIGINT AS n_symbols,
+    length(text) - length(regexp_replace(text, '{quality.SYMBOLS}', '', 'g'))::BIGINT AS n_symbols,
     (len(list_filter(lines, lambda x: regexp_replace(x, '{_SP}', '', 'g') <> '')) -
      len(list_distinct(list_filter(lines, lambda x: regexp_replace(x, '{_SP}', '', 'g') <> ''))))::BIGINT AS n_dup_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words,
     coalesce(list_sum(list_transform(list_filter(lines, lambda x:
-      length(regexp_replace(x, '{quality.SYMBOLS}', '', 'g')) > {quality.MAX_LINE_SYMBOLS} * length(regexp_replace(x, '{_SP}', '', 'g'))
-      OR length(x) - length(translate(x, '|»', '')) >= {quality.MIN_BARS}
-      OR regexp_matches(lower(x), '{quality.BOILERPLATE}')),
+      length(x) - length(regexp_replace(x, '{quality.SYMBOLS}', '', 'g')) > {quality.MAX_LINE_SYMBOLS} * length(x)
+      OR length(x) - length(replace(x, '|', '')) >= {quality.MIN_BARS}
+      OR list_bool_or([contains(lower(x), p) FOR p IN {list(quality.BOILERPLATE)}])),
       lambda x: length(regexp_replace(x, '{_SP}', '', 'g')))), 0) AS lost
   FROM docs d LEFT JOIN repeats r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
