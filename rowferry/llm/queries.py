@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import bpe, decontaminate, quality, url_filter
+from rowferry.llm import bpe, decontaminate, language, quality, toxicity, url_filter
 from rowferry.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
@@ -81,6 +81,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES)
 
 
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language.predict(table(spark, sf_dir, "documents"))
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP8_SQL = rf"""
