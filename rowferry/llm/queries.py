@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import bpe, decontaminate, language, quality, toxicity, url_filter
+from rowferry.llm import bpe, decontaminate, language, ngram_join, quality, toxicity, url_filter
 from rowferry.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
@@ -81,6 +81,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES)
 
 
+@query("op2_ngram_jaccard")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
