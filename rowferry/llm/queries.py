@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import bpe, decontaminate, language, ngram_join, quality, toxicity, url_filter
+from rowferry.llm import bpe, decontaminate, language, ngram_join, quality, suffix_dedup, toxicity, url_filter
 from rowferry.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
@@ -87,6 +87,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses and keeps."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
