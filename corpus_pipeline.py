@@ -9,14 +9,36 @@ folder of the session.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowferry.llm import bpe, decontaminate
+from rowferry.llm import bpe, decontaminate, ngram_join, suffix_dedup, toxicity
 from rowferry.llm.queries import table, tokenizer_path
 from rowferry.session import freeze
 
+# the stages learn, hash and tokenise; SQL cannot say the same
 ORACLE_SQL = None
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity field, fitted on all labels, does not reject."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that occur elsewhere; their number of characters anew.
+
+    Every row stays, with an empty text if all of it was repeated.
+    """
+    left = suffix_dedup.remove(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with a benchmark item."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -28,12 +50,16 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", without_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("suffix-array dedup", without_repeats),
     ("benchmark decontamination", without_leaks),
-    ("bpe encoding", encoded),
+    ("BPE encoding and decoding", encoded),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each reading the copy that the one before left."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -46,7 +46,7 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Itera
 
 def mix(values: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64: every bit of the input moves every bit."""
-    out = values + np.uint64(0x9E3779B97F4A7C15)
+    out = np.atleast_1d(values) + np.uint64(0x9E3779B97F4A7C15)
     out ^= out >> np.uint64(30)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(27)

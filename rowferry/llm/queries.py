@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import bpe, decontaminate, language, ngram_join, quality, suffix_dedup, toxicity, url_filter
+from rowferry.llm import bpe, chat, decontaminate, language, lm_score, ngram_join, quality, suffix_dedup, toxicity, url_filter
 from rowferry.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
@@ -93,6 +93,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query("op4_chat_format")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered role of every utterance, and the digest of its canonical turn."""
+    found = chat.predict(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "held_out", "role", F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
+
+
+@query("op5_lm_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return lm_score.predict(table(spark, sf_dir, "documents"))
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
