@@ -36,6 +36,9 @@ SHARE = 75  # percent
 RATIO = 1.75
 GROUP = 32
 FLUSH = 2_000_000
+# low bytes of a signature that are shuffled; the part it is dealt to, of which
+# there are more with more data, tells the rest
+SIG_BYTES = 6
 RUNS = "gid long, doc long, pivot long, band int, mult long"
 
 
@@ -148,7 +151,7 @@ def _entries(data: DataFrame, count: int, deletions: bool) -> DataFrame:
             order = np.lexsort((sig, part))
             sig, doc, part = sig[order], doc[order], part[order]
             cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
-            rows = [(int(part[a]), planes(sig[a:b], 8), planes(doc[a:b].view(np.uint64), 8)) for a, b in zip(cuts, cuts[1:])]
+            rows = [(int(part[a]), planes(sig[a:b], SIG_BYTES), planes(doc[a:b].view(np.uint64), 8)) for a, b in zip(cuts, cuts[1:])]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "sigs", "docs"])
 
         for batch in batches:
@@ -193,7 +196,7 @@ def _runs(entries: DataFrame, count: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, docs = [], []
         for batch in batches:
-            sigs += [unplanes(x, 8) for x in batch.column(1).to_pylist()]
+            sigs += [unplanes(x, SIG_BYTES) for x in batch.column(1).to_pylist()]
             docs += [unplanes(x, 8).view(np.int64) for x in batch.column(2).to_pylist()]
         if not sigs:
             return
@@ -254,14 +257,31 @@ def _with_classes(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataF
     return named, counts
 
 
-def _cross_pairs(named: DataFrame, counts: DataFrame, sizes: DataFrame, limit: int | None) -> DataFrame:
-    """Pairs within a group and across components whose sizes allow the similarity."""
+def _cross_pairs(named: DataFrame, counts: DataFrame, shapes: DataFrame, limit: int | None, hot: DataFrame | None = None) -> DataFrame:
+    """Pairs within a group and across components that may be similar enough.
+
+    Their sizes must allow it. With `hot`, the parts passed over, so must the
+    number of common parts: similar sets differ in H parts at most, so all other
+    filled parts are in common, in the groups seen here or in those passed over.
+    """
     picked = counts.filter("classes > 1" + (f" AND classes <= {limit}" if limit else ""))
-    side = named.join(picked, "gid").join(sizes, "doc").select("gid", "doc", "comp", "n")
-    left = side.select("gid", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    right = side.select("gid", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    return left.join(right, "gid").filter(
-        (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb"))
+    side = named.join(picked, "gid")
+    side = side.select("gid", "doc", "comp", *(["band", "mult"] if hot is not None else [F.lit(0).alias("band"), F.lit(1).alias("mult")]))
+    left = side.select("gid", F.col("doc").alias("a"), F.col("comp").alias("ca"), "band", "mult")
+    right = side.select("gid", F.col("doc").alias("b"), F.col("comp").alias("cb"))
+    pairs = left.join(right, "gid").filter("ca < cb").groupBy("a", "b", "band").agg(F.sum("mult").alias("common"))
+    whole = shapes.select("doc", "n").distinct()
+    if hot is None:
+        for name in ("a", "b"):
+            pairs = pairs.join(whole.select(F.col("doc").alias(name), F.col("n").alias(f"n{name}")), name)
+        return pairs.filter(100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")).select("a", "b").distinct()
+    parts_ = shapes.select("doc", "n", F.explode("bands").alias("x")).select("doc", "n", "x.*").join(hot.withColumnRenamed("mult", "hot"), ["doc", "band"], "left").fillna(0, ["hot"])
+    for name in ("a", "b"):
+        pairs = pairs.join(parts_.select("band", *(F.col(c).alias(f"{n}{name}") if c != "doc" else F.col(c).alias(name) for c, n in (("doc", ""), ("n", "n"), ("filled", "f"), ("hot", "h")))), [name, "band"])
+    differing = F.floor((F.col("na") + F.col("nb")) * (100 - SHARE) / (100 + SHARE))
+    return pairs.filter(
+        (100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb"))
+        & (F.col("common") + F.least("ha", "hb") >= F.greatest("fa", "fb") - differing)
     ).select("a", "b").distinct()
 
 
@@ -276,33 +296,30 @@ def set_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return data.mapInArrow(run, "doc_id long, n_shingles long")
 
 
-def _lacking(texts: DataFrame, hot: DataFrame, deletions: bool) -> DataFrame:
-    """(doc, bands) for which the parts not passed over do not suffice.
-
-    `hot` has (doc, band, mult): how many parts are passed over.
-    """
-    held = hot.groupBy("doc").agg(F.collect_list(F.struct("band", "mult")).alias("hot"))
-    rows = held.join(texts, "doc").select("doc", "text", "hot")
+def _shapes(texts: DataFrame) -> DataFrame:
+    """doc, n and for each of its bands: filled parts, those of several shingles, parts needed."""
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("band", "filled", "several", "need")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
-                short = []
-                for items, skipped in zip(shingles([(t or "").encode() for t in part.column(1).to_pylist()]), part.column(2).to_pylist()):
-                    table, names = bands(len(items)), []
-                    for x in skipped:
-                        if x["band"] < len(table):
-                            _, high, _, h = table[x["band"]]
-                            _, _, _, sizes = parts(items, x["band"], segments(h))
-                            room = int((sizes > 0).sum()) + (int((sizes > 1).sum()) if deletions else 0)
-                            if room - x["mult"] * (2 if deletions else 1) < needed(len(items), high):
-                                names.append(x["band"])
-                    short.append(names)
-                out = pa.record_batch([part.column(0), pa.array(short, pa.list_(pa.int32()))], ["doc", "bands"])
-                yield out.filter(pa.array([bool(s) for s in short], pa.bool_()))
-
-    return rows.mapInArrow(run, "doc long, bands array<int>")
+        for keys, data in pieces(batches):
+            sets, rows = shingles(data), []
+            for items in sets:
+                row = []
+                for band, (low, high, larger, h) in enumerate(bands(len(items))):
+                    if low <= len(items) <= larger:
+                        sizes = parts(items, band, segments(h))[3]
+                        row.append({"band": band, "filled": int((sizes > 0).sum()), "several": int((sizes > 1).sum()), "need": needed(len(items), high)})
+                rows.append(row)
+            yield pa.record_batch([keys, pa.array([len(x) for x in sets], pa.int64()), pa.array(rows, kind)], ["doc", "n", "bands"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, n long, bands array<struct<band:int,filled:int,several:int,need:int>>")
+
+
+def _lacking(shapes: DataFrame, hot: DataFrame, deletions: bool) -> DataFrame:
+    """(doc, bands) for which the parts not passed over do not suffice; hot: doc, band, mult."""
+    rows = shapes.select("doc", F.explode("bands").alias("x")).select("doc", "x.*").join(hot, ["doc", "band"])
+    room = F.col("filled") + F.col("several") - 2 * F.col("mult") if deletions else F.col("filled") - F.col("mult")
+    return rows.filter(room < F.col("need")).groupBy("doc").agg(F.collect_list("band").alias("bands"))
 
 
 def _by_tokens(texts: DataFrame) -> DataFrame:
@@ -316,6 +333,19 @@ def _by_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "gid long, doc long")
 
 
+def _passed_over(named: DataFrame, counts: DataFrame) -> DataFrame:
+    """How many parts of each doc and band lie in groups of too many classes."""
+    return named.join(counts.filter(f"classes > {GROUP}"), "gid").groupBy("doc", "band").agg(F.sum("mult").alias("mult"))
+
+
+def _linked(space: Workspace, links: DataFrame, comps: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components with the pairs that prove similar; as they are if there is no pair."""
+    if not pairs.limit(1).count():
+        return links, comps
+    links = space.keep(links.unionByName(verify(pairs, texts)), "near")
+    return links, components(space, links)
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, comp) of every document that is linked with another one.
 
@@ -328,41 +358,37 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     data = pair(docs, key, text).filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc")
     groups = space.keep(members(data, count), "groups")
     texts = space.keep(data.join(groups.select(F.struct("doc").alias("k")).distinct().select("k.doc"), "doc", "left_semi"), "texts")
-    sizes = set_sizes(texts, "doc").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-    sizes = space.keep(sizes.groupBy("doc").agg(F.max("n").alias("n")), "sizes")
+    # equal keys with several texts: the largest set stands for them
+    shapes = space.keep(_shapes(texts).groupBy("doc").agg(F.max_by("bands", "n").alias("bands"), F.max("n").alias("n")), "shapes")
 
     # each document against the partner with which it shares most signatures
-    first = groups.filter("doc <> pivot").groupBy("doc", "pivot").agg(F.sum("mult").alias("mult")).groupBy("doc").agg(
+    alike = groups.filter("doc <> pivot AND band = 62").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+    first = groups.filter("doc <> pivot AND band < 62").groupBy("doc", "pivot").agg(F.sum("mult").alias("mult")).groupBy("doc").agg(
         F.max_by("pivot", F.struct("mult", -F.col("pivot"))).alias("b")
     ).select(F.col("doc").alias("a"), "b")
-    links = space.keep(verify(first, texts), "near")
+    links = space.keep(verify(first.unionByName(alike).distinct(), texts), "near")
     comps = components(space, links)
 
-    shared = groups.filter("band < 63")
-    marks = groups.filter("band = 63").select("doc")
+    shared = groups.filter("band < 62")
+    marks = groups.filter("band = 63").select("doc").distinct()
     named, counts = _with_classes(shared, comps)
-    more = verify(_cross_pairs(named, counts, sizes, GROUP), texts)
-    hot = named.join(counts.filter(f"classes > {GROUP}"), "gid").filter("band < 62").groupBy("doc", "band").agg(F.sum("mult").alias("mult"))
-    bare = F.expr("transform(sequence(0, 61), x -> x)")
-    lacking = space.keep(_lacking(texts, hot, False).unionByName(marks.distinct().select("doc", bare.alias("bands"))).groupBy("doc").agg(
+    hot = _passed_over(named, counts)
+    every = F.sequence(F.lit(0), F.lit(61))
+    lacking = space.keep(_lacking(shapes, hot, False).unionByName(marks.select("doc", every.alias("bands"))).groupBy("doc").agg(
         F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands")
     ), "lacking")
-    links = space.keep(links.unionByName(more), "near")
-    comps = components(space, links)
+    more = space.keep(_cross_pairs(named, counts, shapes, GROUP, hot), "pairs")
+    links, comps = _linked(space, links, comps, more, texts)
     if lacking.limit(1).count():
         rest = texts.join(lacking, "doc").select("doc", "text", "bands")
         deeper = space.keep(members(rest, count, True), "groups")
-        named, counts = _with_classes(deeper.filter("band < 63"), comps)
-        more = verify(_cross_pairs(named, counts, sizes, GROUP), texts)
-        hot = named.join(counts.filter(f"classes > {GROUP}"), "gid").filter("band < 62").groupBy("doc", "band").agg(F.sum("mult").alias("mult"))
-        last = space.keep(_lacking(texts, hot, True).select("doc").unionByName(deeper.filter("band = 63").select("doc")).distinct(), "last")
-        links = space.keep(links.unionByName(more), "near")
-        comps = components(space, links)
+        named, counts = _with_classes(deeper.filter("band < 62"), comps)
+        last = space.keep(_lacking(shapes, _passed_over(named, counts), True).select("doc").unionByName(deeper.filter("band = 63").select("doc")).distinct(), "last")
+        more = space.keep(_cross_pairs(named, counts, shapes, GROUP), "pairs")
+        links, comps = _linked(space, links, comps, more, texts)
         if last.limit(1).count():
             named, counts = _with_classes(_by_tokens(texts.join(last, "doc", "left_semi")), comps)
-            more = verify(_cross_pairs(named, counts, sizes, None), texts)
-            links = space.keep(links.unionByName(more), "near")
-            comps = components(space, links)
+            links, comps = _linked(space, links, comps, space.keep(_cross_pairs(named, counts, shapes, None), "pairs"), texts)
     comps = space.keep(comps, "components")
     space.clear(comps)
     return comps
