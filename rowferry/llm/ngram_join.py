@@ -11,7 +11,7 @@ and a part that more than `GROUP` unlinked classes share is passed over as long
 as enough others are left (a skipped segment may hide one difference less). Sets
 for which too few are left are entered once more with the one-deletion
 neighbourhoods of their parts, where a segment counts for two differences, and
-those that still lack segments are compared by single shingles. So no pair is
+those that still lack segments are compared by their rarest single shingles. So no pair is
 lost. Candidates are verified on the whole sets of 64-bit shingle hashes.
 
 Large groups of near copies do not become pairs: each member is first held
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
@@ -257,32 +257,13 @@ def _with_classes(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataF
     return named, counts
 
 
-def _cross_pairs(named: DataFrame, counts: DataFrame, shapes: DataFrame, limit: int | None, hot: DataFrame | None = None) -> DataFrame:
-    """Pairs within a group and across components that may be similar enough.
-
-    Their sizes must allow it. With `hot`, the parts passed over, so must the
-    number of common parts: similar sets differ in H parts at most, so all other
-    filled parts are in common, in the groups seen here or in those passed over.
-    """
-    picked = counts.filter("classes > 1" + (f" AND classes <= {limit}" if limit else ""))
-    side = named.join(picked, "gid")
-    side = side.select("gid", "doc", "comp", *(["band", "mult"] if hot is not None else [F.lit(0).alias("band"), F.lit(1).alias("mult")]))
-    left = side.select("gid", F.col("doc").alias("a"), F.col("comp").alias("ca"), "band", "mult")
+def _cross_pairs(named: DataFrame, counts: DataFrame, limit: int | None, banded: bool) -> DataFrame:
+    """Pairs (a, b[, band, common]) within a group and across components."""
+    side = named.join(counts.filter("classes > 1" + (f" AND classes <= {limit}" if limit else "")), "gid")
+    left = side.select("gid", F.col("doc").alias("a"), F.col("comp").alias("ca"), *(["band", "mult"] if banded else []))
     right = side.select("gid", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "gid").filter("ca < cb").groupBy("a", "b", "band").agg(F.sum("mult").alias("common"))
-    whole = shapes.select("doc", "n").distinct()
-    if hot is None:
-        for name in ("a", "b"):
-            pairs = pairs.join(whole.select(F.col("doc").alias(name), F.col("n").alias(f"n{name}")), name)
-        return pairs.filter(100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")).select("a", "b").distinct()
-    parts_ = shapes.select("doc", "n", F.explode("bands").alias("x")).select("doc", "n", "x.*").join(hot.withColumnRenamed("mult", "hot"), ["doc", "band"], "left").fillna(0, ["hot"])
-    for name in ("a", "b"):
-        pairs = pairs.join(parts_.select("band", *(F.col(c).alias(f"{n}{name}") if c != "doc" else F.col(c).alias(name) for c, n in (("doc", ""), ("n", "n"), ("filled", "f"), ("hot", "h")))), [name, "band"])
-    differing = F.floor((F.col("na") + F.col("nb")) * (100 - SHARE) / (100 + SHARE))
-    return pairs.filter(
-        (100 * F.least("na", "nb") >= SHARE * F.greatest("na", "nb"))
-        & (F.col("common") + F.least("ha", "hb") >= F.greatest("fa", "fb") - differing)
-    ).select("a", "b").distinct()
+    pairs = left.join(right, "gid").filter("ca < cb")
+    return pairs.groupBy("a", "b", "band").agg(F.sum("mult").alias("common")) if banded else pairs.select("a", "b").distinct()
 
 
 def set_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,23 +277,65 @@ def set_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return data.mapInArrow(run, "doc_id long, n_shingles long")
 
 
-def _shapes(texts: DataFrame) -> DataFrame:
-    """doc, n and for each of its bands: filled parts, those of several shingles, parts needed."""
-    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("band", "filled", "several", "need")]))
+def cells_of(items: np.ndarray, high: int) -> bytes:
+    """How many shingles fall into each cell of a hash, up to 255; about a cell for four shingles."""
+    count = min(max(high // 4, 32), 1 << 16)
+    place = (mix(items ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(count)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=count), 255).astype(np.uint8).tobytes()
+
+
+def _shapes(data: DataFrame) -> DataFrame:
+    """doc, n and for each of its bands: filled parts, those of several shingles, parts needed, cells."""
+    kind = pa.list_(pa.struct([*((c, pa.int32()) for c in ("band", "filled", "several", "need")), ("cells", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, data in pieces(batches):
-            sets, rows = shingles(data), []
+        for keys, texts in pieces(batches):
+            sets, rows = shingles(texts), []
             for items in sets:
                 row = []
                 for band, (low, high, larger, h) in enumerate(bands(len(items))):
                     if low <= len(items) <= larger:
                         sizes = parts(items, band, segments(h))[3]
-                        row.append({"band": band, "filled": int((sizes > 0).sum()), "several": int((sizes > 1).sum()), "need": needed(len(items), high)})
+                        row.append({"band": band, "filled": int((sizes > 0).sum()), "several": int((sizes > 1).sum()), "need": needed(len(items), high), "cells": cells_of(items, high)})
                 rows.append(row)
             yield pa.record_batch([keys, pa.array([len(x) for x in sets], pa.int64()), pa.array(rows, kind)], ["doc", "n", "bands"])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc long, n long, bands array<struct<band:int,filled:int,several:int,need:int>>")
+    return data.select("doc", "text").mapInArrow(run, "doc long, n long, bands array<struct<band:int,filled:int,several:int,need:int,cells:binary>>")
+
+
+def _possible(pairs: DataFrame, shapes: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b, band, common) that may be similar enough, as (a, b).
+
+    Their sizes must allow it, and so must the cells: sets differ at least by the
+    sum of the differences of their cells. With `hot`, the parts passed over, so
+    must the number of common parts: similar sets differ in H parts at most, so
+    all other filled parts are in common, in those counted or those passed over.
+    """
+    sides = shapes.select("doc", "n", F.explode("bands").alias("x")).select("doc", "n", "x.band", "x.filled", "x.cells")
+    if hot is not None:
+        sides = sides.join(hot.withColumnRenamed("mult", "hot"), ["doc", "band"], "left").fillna(0, ["hot"])
+    else:
+        sides = sides.withColumn("hot", F.lit(0))
+    for name in ("a", "b"):
+        # a pair without a band meets all bands that both sets have
+        keys = [name, "band"] if "band" in pairs.columns else [name]
+        pairs = pairs.join(sides.select("band", F.col("doc").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "filled", "hot", "cells"))), keys)
+    pairs = pairs.filter(100 * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b"))
+    if hot is not None:
+        differing = F.floor((F.col("n_a") + F.col("n_b")) * (100 - SHARE) / (100 + SHARE))
+        pairs = pairs.filter(F.col("common") + F.least("hot_a", "hot_b") >= F.greatest("filled_a", "filled_b") - differing)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (100 - SHARE) // (100 + SHARE)
+            x, y = batch.column(4), batch.column(5)
+            keep = [
+                int(np.abs(np.frombuffer(x[k].as_buffer(), np.uint8).astype(np.int16) - np.frombuffer(y[k].as_buffer(), np.uint8)).sum()) <= most[k]
+                for k in range(batch.num_rows)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _lacking(shapes: DataFrame, hot: DataFrame, deletions: bool) -> DataFrame:
@@ -333,11 +356,29 @@ def _by_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "gid long, doc long")
 
 
+def _rarest(tokens: DataFrame) -> DataFrame:
+    """The rarest shingles of each document, so many that a similar one has one of them among its own.
+
+    Of n shingles a similar set lacks at most n - ceil(SHARE * n / 100).
+    """
+    often = tokens.groupBy(F.struct("gid").alias("k")).agg(F.count("*").alias("often")).select("k.gid", "often")
+    order = Window.partitionBy("doc").orderBy("often", "gid")
+    ranked = tokens.join(often, "gid").withColumns({"place": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("doc"))})
+    return ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1).select("gid", "doc")
+
+
 def _passed_over(named: DataFrame, counts: DataFrame) -> DataFrame:
     """How many parts of each doc and band lie in groups of too many classes."""
     return named.join(counts.filter(f"classes > {GROUP}"), "gid").groupBy("doc", "band").agg(F.sum("mult").alias("mult"))
 
 
+def _texts(data: DataFrame, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """The texts of all documents in the pairs, and of those in `more`."""
+    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
+    ids = ids.unionByName(more.select("doc")) if more is not None else ids
+    return data.join(ids.select(F.struct("doc").alias("k")).distinct().select("k.doc"), "doc", "left_semi")
+
+
 def _linked(space: Workspace, links: DataFrame, comps: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and components with the pairs that prove similar; as they are if there is no pair."""
     if not pairs.limit(1).count():
@@ -357,16 +398,16 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     count = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = pair(docs, key, text).filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc")
     groups = space.keep(members(data, count), "groups")
-    texts = space.keep(data.join(groups.select(F.struct("doc").alias("k")).distinct().select("k.doc"), "doc", "left_semi"), "texts")
     # equal keys with several texts: the largest set stands for them
-    shapes = space.keep(_shapes(texts).groupBy("doc").agg(F.max_by("bands", "n").alias("bands"), F.max("n").alias("n")), "shapes")
+    shapes = space.keep(_shapes(data).groupBy("doc").agg(F.max_by("bands", "n").alias("bands"), F.max("n").alias("n")), "shapes")
 
     # each document against the partner with which it shares most signatures
     alike = groups.filter("doc <> pivot AND band = 62").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     first = groups.filter("doc <> pivot AND band < 62").groupBy("doc", "pivot").agg(F.sum("mult").alias("mult")).groupBy("doc").agg(
         F.max_by("pivot", F.struct("mult", -F.col("pivot"))).alias("b")
     ).select(F.col("doc").alias("a"), "b")
-    links = space.keep(verify(first.unionByName(alike).distinct(), texts), "near")
+    first = space.keep(_possible(first.unionByName(alike).distinct(), shapes), "pairs")
+    links = space.keep(verify(first, _texts(data, first)), "near")
     comps = components(space, links)
 
     shared = groups.filter("band < 62")
@@ -377,18 +418,19 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     lacking = space.keep(_lacking(shapes, hot, False).unionByName(marks.select("doc", every.alias("bands"))).groupBy("doc").agg(
         F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands")
     ), "lacking")
-    more = space.keep(_cross_pairs(named, counts, shapes, GROUP, hot), "pairs")
+    more = space.keep(_possible(_cross_pairs(named, counts, GROUP, True), shapes, hot), "pairs")
+    texts = space.keep(_texts(data, more, lacking), "texts")
     links, comps = _linked(space, links, comps, more, texts)
     if lacking.limit(1).count():
         rest = texts.join(lacking, "doc").select("doc", "text", "bands")
         deeper = space.keep(members(rest, count, True), "groups")
         named, counts = _with_classes(deeper.filter("band < 62"), comps)
         last = space.keep(_lacking(shapes, _passed_over(named, counts), True).select("doc").unionByName(deeper.filter("band = 63").select("doc")).distinct(), "last")
-        more = space.keep(_cross_pairs(named, counts, shapes, GROUP), "pairs")
+        more = space.keep(_possible(_cross_pairs(named, counts, GROUP, False), shapes), "pairs")
         links, comps = _linked(space, links, comps, more, texts)
         if last.limit(1).count():
-            named, counts = _with_classes(_by_tokens(texts.join(last, "doc", "left_semi")), comps)
-            links, comps = _linked(space, links, comps, space.keep(_cross_pairs(named, counts, shapes, None), "pairs"), texts)
+            named, counts = _with_classes(_rarest(_by_tokens(texts.join(last, "doc", "left_semi"))), comps)
+            links, comps = _linked(space, links, comps, space.keep(_possible(_cross_pairs(named, counts, None, False), shapes), "pairs"), texts)
     comps = space.keep(comps, "components")
     space.clear(comps)
     return comps
