@@ -37,8 +37,8 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     found = []
     for first in range(0, len(codes), BLOCK):
-        # blocks overlap by two letters: n-grams are taken where they begin
-        block = codes[max(0, first - 1) : first + BLOCK + 2]
+        # blocks overlap by a letter on either side: n-grams go with their middle
+        block = codes[max(0, first - 1) : first + BLOCK + 1]
         block = np.where(letters()[block], block, 0).astype(np.int64)
         if first == 0:
             block = np.r_[0, block]

@@ -216,11 +216,14 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """All columns of docs, and the runs of each row's repeated windows."""
+    """All columns of docs, and last the runs of each row's repeated windows."""
     uid = row_id(docs[key], docs[text])
     data = docs.select(uid.alias("uid"), docs[text].alias("text")).filter(F.octet_length("text") >= LENGTH)
-    runs = repeated_windows(data).distinct().groupBy(F.struct("uid").alias("k")).agg(F.collect_list(F.struct("first", "last")).alias("runs_")).select(F.col("k.uid").alias("uid_"), "runs_")
-    return docs.withColumn("uid_", uid).join(runs, "uid_", "left").drop("uid_")
+    mine, held = "_uid", "_runs"
+    while mine in docs.columns or held in docs.columns:
+        mine, held = f"_{mine}", f"_{held}"
+    runs = repeated_windows(data).distinct().groupBy(F.struct("uid").alias("k")).agg(F.collect_list(F.struct("first", "last")).alias(held))
+    return docs.withColumn(mine, uid).join(runs.select(F.col("k.uid").alias(mine), held), mine, "left").drop(mine)
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,7 +232,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Null and empty texts have 0 bytes; the copy of a row counts as another text,
     so both lose what they share.
     """
-    rows = _with_runs(pair(docs, key, text), "doc_id", "text").select("doc_id", "text", "runs_")
+    rows = _with_runs(pair(docs, key, text), "doc_id", "text").select("doc_id", "text", "_runs")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
