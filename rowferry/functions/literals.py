@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and quotes in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def value_literal(value: Any) -> Column:
     """A literal of the value; a datetime without zone stays without zone.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rowferry.config import Filter
-from rowferry.functions.literals import value_literal
+from rowferry.functions.literals import named, value_literal
 
 _SCALARS = (str, bytes, bool, int, float, dt.date, dt.datetime, type(None))
 
@@ -75,7 +75,7 @@ def compile_filter(spec: Filter, dialect: str = "sql") -> Column:
         and not isinstance(spec.value, _SCALARS)
     ):
         raise ValueError(f"the filter value for {spec.column!r} must be a scalar")
-    return build(F.col(spec.column), spec.value)
+    return build(named(spec.column), spec.value)
 
 
 def compile_filters(filters: Iterable[Filter], dialect: str = "sql") -> Column:

@@ -14,10 +14,16 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowferry.functions.literals import named
+
+# what a write to a target may fail with; one target's failure leaves the others alone
+WRITE_ERRORS = (ValueError, KeyError, RuntimeError, PySparkException, Py4JError)
 BUCKET = "_bucket"
 # Batches remembered for repeats; a stream repeats its latest batch only.
 REMEMBERED_BATCHES = 1000
@@ -144,7 +150,9 @@ class SnapshotTable:
         layout = dict(current.layout)
         if touched:
             folder = f"data/{uuid.uuid4().hex}"
-            merged = merge(self.read(current, list(touched)), delta).select(*self.schema.names)
+            merged = merge(self.read(current, list(touched)), delta)
+            # a value that does not fit fails the batch here, not the readers later
+            merged = merged.select(*[named(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
             # rebalancing puts a bucket in few files and splits a large one over tasks
             merged.withColumn(BUCKET, self.bucket_of()).hint("rebalance", BUCKET).write.partitionBy(
                 BUCKET

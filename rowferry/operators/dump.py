@@ -22,7 +22,7 @@ from rowferry.functions.text import (
 )
 from rowferry.operators.merge import insert_rows, without_keys
 from rowferry.sources.documents import document_fields
-from rowferry.sources.keyspace import list_members, scan_keyspace, zset_pairs
+from rowferry.sources.keyspace import list_members, scan_keyspace
 
 FORMAT = "rowferry-dump"
 _MANIFEST = "manifest"
@@ -157,7 +157,6 @@ def restore_keyspace(keyspace: DataFrame, rows: DataFrame) -> DataFrame:
     is rebuilt from its pairs. ``rows`` has one row per key.
     """
     flat = list_members(F.col("value"))
-    pairs = zset_pairs(flat)
     kept = (
         F.when(F.col("type").isin("list", "set"), F.size(flat) > 0)
         .when(F.col("type") == "zset", F.size(flat) > 1)
@@ -170,14 +169,8 @@ def restore_keyspace(keyspace: DataFrame, rows: DataFrame) -> DataFrame:
             "value",
             F.when(
                 F.col("type") == "zset",
-                F.to_json(
-                    F.flatten(
-                        F.transform(
-                            pairs,
-                            lambda p: F.array(p["member"], p["score"].cast("bigint").cast("string")),
-                        )
-                    )
-                ),
+                # scores stay as they are written; a lone tail has no score
+                F.to_json(F.slice(flat, 1, (F.floor(F.size(flat) / 2) * 2).cast("int"))),
             ).otherwise(F.col("value")),
         )
         .withColumn("ttl", F.when(F.col("ttl") > 0, F.col("ttl")).otherwise(-1).cast("bigint"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.config import MAX_PREVIEW_ROWS, PAGE_CAPS, ColumnMapping, Filter, Sort
-from rowferry.functions.literals import value_literal
+from rowferry.functions.literals import named, value_literal
 from rowferry.functions.predicates import compile_filters
 from rowferry.operators.counts import count_estimated, count_rows
 from rowferry.operators.projection import map_columns
@@ -69,11 +69,11 @@ def after_key(order: Sequence[Sort], last: Sequence[Any]) -> Column:
         raise ValueError("one value per order column is needed")
     condition = F.lit(False)
     for sort, value in reversed(list(zip(order, last))):
-        column, bound = F.col(sort.column), value_literal(value)
+        column, bound = named(sort.column), value_literal(value)
         past = column < bound if sort.direction == "desc" else column > bound
         condition = past | ((column == bound) & condition)
     # a plain bound on the leading column is what the file scan can use
-    lead, first = F.col(order[0].column), value_literal(last[0])
+    lead, first = named(order[0].column), value_literal(last[0])
     bound = lead <= first if order[0].direction == "desc" else lead >= first
     return bound & condition
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.config import ColumnMapping
+from rowferry.functions.literals import named
 from rowferry.functions.text import iso_text, json_text
 
 _OBJECTS = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
@@ -25,7 +26,7 @@ def map_columns(df: DataFrame, mapping: Sequence[ColumnMapping] = ()) -> DataFra
     present = set(df.columns)
     return df.select(
         *[
-            (F.col(m.source) if m.source in present else F.lit(None).cast("string")).alias(
+            (named(m.source) if m.source in present else F.lit(None).cast("string")).alias(
                 m.target
             )
             for m in mapping

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.config import Sort
+from rowferry.functions.literals import named
 from rowferry.session import freeze
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in 33 bits
@@ -16,9 +17,9 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in 33 bits
 def order_columns(sort: Sequence[Sort]):
     """Sort columns with the NULL order spelled out: first up, last down."""
     return [
-        F.col(s.column).desc_nulls_last()
+        named(s.column).desc_nulls_last()
         if s.direction == "desc"
-        else F.col(s.column).asc_nulls_first()
+        else named(s.column).asc_nulls_first()
         for s in sort
     ]
 

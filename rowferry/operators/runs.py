@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.config import SETTLED_DELIVERY_STATUSES, Bridge, ColumnMapping, Sort, Target
-from rowferry.operators.commit import SnapshotTable
+from rowferry.operators.commit import WRITE_ERRORS, SnapshotTable
 from rowferry.operators.ledger import record_deliveries
 from rowferry.operators.merge import insert_rows, split_null_keys, upsert_rows
 from rowferry.operators.paging import resolve_order
@@ -118,23 +118,34 @@ def run_replay(
             bridge.primary_key,
         )
         return RunResult(ledger, "queued", outbox=outbox)
-    return _deliver(bridge, pending, tables, run_id, ledger, str(attempt))
+    return _deliver(bridge, pending, tables, run_id, ledger, attempt=attempt)
 
 
-def _deliver(bridge, rows, tables, run_id, ledger, tag, state=None) -> RunResult:
+def _deliver(bridge, rows, tables, run_id, ledger, state=None, attempt=1) -> RunResult:
+    """Write rows to every target; a batch is named by the sequences it delivers.
+
+    The same sequences again are the same batch, which a target that has it
+    skips; other sequences are another batch. Attempts go on from the ledger's,
+    and are `attempt` at least.
+    """
     errors, rejects = [], None
+    span = rows.agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.sum(F.xxhash64("sequence").cast("decimal(20,0)")).alias("sum")).first()
+    tag = f"{span['first']}-{span['last']}-{span['sum']}"
     for target in bridge.targets:
         try:
             refused = _write(
                 rows, target, tables[target.label], f"{run_id}:{target.label}:{tag}"
             )
-        except (ValueError, RuntimeError, KeyError) as error:
+        except WRITE_ERRORS as error:
             errors.append(f"{target.label}: {error}")
             continue
         if refused is not None and rejects is None:
             rejects = refused
     status = "failed" if errors else "success"
-    outcomes = _outcomes(rows, run_id, status, errors[0] if errors else None)
+    before = ledger.where(F.col("run_id") == run_id).select("sequence", F.col("attempts").alias("before"))
+    outcomes = _outcomes(rows, run_id, status, errors[0] if errors else None).join(before, "sequence", "left").withColumn(
+        "attempts", F.greatest(F.coalesce("before", F.lit(0)) + F.col("attempts"), F.lit(attempt)).cast("int")
+    ).select(*ledger.columns)
     done = freeze(record_deliveries(ledger, outcomes), "ledger")
     return RunResult(done, "failed" if errors else "completed", rejects, state=state)
 
@@ -159,5 +170,4 @@ def run_poll(
     shifted = numbered.withColumn("row_index", F.col("row_index") + start).withColumn(
         "sequence", F.col("row_index")
     )
-    tag = f"poll-{reached.polls}"
-    return _deliver(bridge, shifted, tables, run_id, ledger, tag, reached)
+    return _deliver(bridge, shifted, tables, run_id, ledger, reached)

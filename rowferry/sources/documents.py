@@ -37,12 +37,8 @@ def document_fields(df: DataFrame, column: str, order: Sequence[str]) -> DataFra
     fields = (
         df.select(
             *order,
-            F.try_parse_json(F.col(column)).alias("parsed"),
-            F.explode(F.json_object_keys(F.col(column))).alias("field"),
-        )
-        .withColumn(
-            "value",
-            F.try_variant_get("parsed", F.concat(F.lit("$['"), F.col("field"), F.lit("']")), "variant"),
+            # name and value together, so that a name may hold any character
+            F.explode(F.from_json(F.col(column), "map<string,variant>")).alias("field", "value"),
         )
     )
     shape = F.schema_of_variant("value")

@@ -15,7 +15,7 @@ from rowferry.operators.changes import (
     filter_change_ops,
     filter_changes,
 )
-from rowferry.operators.commit import SnapshotTable
+from rowferry.operators.commit import WRITE_ERRORS, SnapshotTable
 from rowferry.operators.merge import (
     apply_changes_append,
     apply_last_changes,
@@ -93,7 +93,7 @@ def apply_to_targets(
                 target.write_mode,
             )
             errors[target.label] = None
-        except (ValueError, KeyError, RuntimeError) as error:
+        except WRITE_ERRORS as error:
             errors[target.label] = str(error)
     return errors
 

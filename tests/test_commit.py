@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from rowferry.config import Bridge, ColumnMapping, Delivery, Filter, Payload, Target, WatchStrategy
 from rowferry.operators import runs
 from rowferry.operators.commit import SnapshotTable, Version
-from rowferry.operators.merge import upsert_rows
+from rowferry.operators.merge import insert_rows, upsert_rows
 from rowferry.session import freeze, scratch_path, shared_root
 from rowferry.streaming.bridge import apply_batch, change_log_stream, start_bridge, start_fan_out
 
@@ -245,3 +245,20 @@ def test_bridge_needs_one_kind_of_destination():
     with pytest.raises(ValueError):
         Bridge("b", "s", targets=COPY.targets, trigger="watch")
     assert Version().layout == {}
+
+
+def test_a_batch_that_does_not_fit_leaves_the_old_version(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "typed"), spark.createDataFrame([], "id int, n int").schema, ["id"], 2)
+    table.apply(spark.createDataFrame([(1, 1)], "id int, n int"), insert_rows, "a")
+    with pytest.raises(Exception, match="CAST"):
+        table.apply(spark.createDataFrame([(2, "x")], "id int, n string"), lambda current, delta: delta, "b")
+    assert [tuple(r) for r in table.read().collect()] == [(1, 1)]
+
+
+def test_a_run_resumed_from_the_start_delivers_the_rest(spark, tmp_path):
+    source = spark.createDataFrame([(k, k) for k in range(10)], "id int, n int")
+    bridge = Bridge("copy", "orders", ("id",), targets=(Target("one", write_mode="insert"),), delivery=Delivery(batch_size=1))
+    table = SnapshotTable(spark, str(tmp_path / "one"), source.schema, ["id"], 2)
+    late = runs.run_replay(bridge, source, {"one": table}, "run", cursor_offset=5)
+    rest = runs.run_replay(bridge, source, {"one": table}, "run", late.deliveries)
+    assert table.read().count() == 10 and rest.deliveries.where("status = 'success'").count() == 10

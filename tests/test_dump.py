@@ -235,3 +235,12 @@ def test_times_do_not_depend_on_the_session_zone(spark, rows):
         "b": "2024-03-10T02:30:00.500Z",
         "c": {"t": "2024-03-10T02:30:00.250Z"},
     }
+
+
+def test_restored_scores_keep_their_text(spark):
+    from rowferry.operators.dump import restore_keyspace
+
+    kind = "key string, type string, ttl long, value string"
+    value = '["a","1.5","b","-2.75","c","123456789012345678901"]'
+    restored = restore_keyspace(spark.createDataFrame([], kind), spark.createDataFrame([("z", "zset", 0, value)], kind))
+    assert restored.first()["value"] == value

@@ -279,3 +279,23 @@ def test_configuration_is_checked():
     ):
         with pytest.raises(ValueError):
             build()
+
+
+def test_names_with_dots_and_quotes(spark):
+    from rowferry.config import ColumnMapping, Filter, Sort
+    from rowferry.functions.predicates import compile_filter
+    from rowferry.operators.projection import map_columns
+    from rowferry.operators.row_index import order_columns
+
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "`a.b` int, `c``d` string")
+    assert df.where(compile_filter(Filter("a.b", "gt", 1))).count() == 1
+    assert map_columns(df, [ColumnMapping("c`d", "e.f")]).columns == ["e.f"]
+    assert df.orderBy(*order_columns([Sort("a.b", "desc")])).first()[0] == 2
+
+
+def test_document_fields_with_odd_names(spark):
+    from rowferry.sources.documents import document_fields
+
+    rows = spark.createDataFrame([(1, """{"it's": 1, "a.b": "x", "c d": [1], "n": null}""")], "id int, doc string")
+    found = {r.field: r.data_type for r in document_fields(rows, "doc", ["id"]).collect()}
+    assert found == {"it's": "number", "a.b": "string", "c d": "array", "n": "null"}
