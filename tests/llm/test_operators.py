@@ -257,6 +257,7 @@ def test_language(spark):
         rows.append((k, " ".join(rng.choice(pools[lang]) for _ in range(30))))
         langs[k] = lang if k % 7 else None
     rows.append((500, " ".join(rng.choice(pools["de"]) for _ in range(300_000))))
+    langs[500] = None
     found = {r.doc_id: r for r in language.predict(frame(spark, rows, langs)).collect()}
     assert [found[k].lang_pred for k in (0, 1, 2)] == ["und"] * 3 and found[500].lang_pred == "de"
     assert all(found[k].lang_pred == sorted(pools)[k % 3] and 0 <= found[k].score <= 1 for k in range(3, 203))
