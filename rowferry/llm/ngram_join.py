@@ -11,8 +11,9 @@ and a part that more than `GROUP` unlinked classes share is passed over as long
 as enough others are left (a skipped segment may hide one difference less). Sets
 for which too few are left are entered once more with the one-deletion
 neighbourhoods of their parts, where a segment counts for two differences, and
-those that still lack segments are compared by their rarest single shingles. So no pair is
-lost. Candidates are verified on the whole sets of 64-bit shingle hashes.
+those that still lack segments are compared by their rarest single shingles, or,
+where many documents hold these, by all their common shingles as one set. So no
+pair is lost. Candidates are verified on the whole sets of 64-bit shingle hashes.
 
 Large groups of near copies do not become pairs: each member is first held
 against one partner; afterwards only members of different components are.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
@@ -35,6 +36,8 @@ SIZE = 5
 SHARE = 75  # percent
 RATIO = 1.75
 GROUP = 32
+# documents that may meet under one shingle; links by shingles of more come from sets of them
+OFTEN = 64
 FLUSH = 2_000_000
 # low bytes of a signature that are shuffled; the part it is dealt to, of which
 # there are more with more data, tells the rest
@@ -356,15 +359,55 @@ def _by_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "gid long, doc long")
 
 
-def _rarest(tokens: DataFrame) -> DataFrame:
-    """The rarest shingles of each document, so many that a similar one has one of them among its own.
+def _need(n: Column) -> Column:
+    """Least number of shingles in common with a similar set."""
+    return F.ceil(n * SHARE / 100)
 
-    Of n shingles a similar set lacks at most n - ceil(SHARE * n / 100).
+
+def _rare_and_common(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gid, doc) of each document's rarest shingles, and its common shingles.
+
+    Of n shingles a similar set lacks at most n - need, so of the need-th last
+    and all rarer ones it has one; the rarest that both have is among these in
+    both. If more than `OFTEN` documents hold it, all that the two share is
+    common: (doc, n, common), for documents with enough such shingles.
     """
     often = tokens.groupBy(F.struct("gid").alias("k")).agg(F.count("*").alias("often")).select("k.gid", "often")
-    order = Window.partitionBy("doc").orderBy("often", "gid")
-    ranked = tokens.join(often, "gid").withColumns({"place": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("doc"))})
-    return ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1).select("gid", "doc")
+    ranked = tokens.join(often, "gid").withColumns(
+        {"place": F.row_number().over(Window.partitionBy("doc").orderBy("often", "gid")), "n": F.count("*").over(Window.partitionBy("doc"))}
+    )
+    rare = ranked.filter(f"often <= {OFTEN}").filter(F.col("place") <= F.col("n") - _need(F.col("n")) + 1).select("gid", "doc")
+    common = ranked.filter(f"often > {OFTEN}").groupBy("doc").agg(
+        F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("often", "gid"))), lambda x: x["gid"]).alias("common")
+    )
+    return rare, common.filter(F.size("common") >= _need(F.col("n")))
+
+
+def _by_common(common: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) that join all documents whose common shingles alone make them similar.
+
+    With the same common shingles a smaller set is the closer one: if two
+    documents are similar, each is so to the smallest with the common shingles of
+    the other, and so are those two. Hence only the smallest of each component
+    and set of common shingles is held against the smallest of every such set.
+    """
+    named = common.join(comps, "doc", "left").select("n", "doc", "common", F.coalesce("comp", "doc").alias("comp"), F.xxhash64("common").alias("h"))
+    member = F.min(F.struct("n", "doc"))
+    reps = named.groupBy("h", "comp").agg(member.alias("rep"))
+    sets = named.groupBy("h").agg(member.alias("least"), F.first("common").alias("common"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # the common shingles of rarest order, one of which a similar set must have among its own
+    heads = sets.select("h", "lo", "hi", F.explode(F.slice("common", F.lit(1), (F.size("common") - _need(F.col("least.n")) + 1).cast("int"))).alias("gid"))
+    mixed = heads.groupBy(F.struct("gid").alias("k")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("k.gid")
+    heads = heads.join(mixed, "gid", "left_semi")
+    met = heads.alias("x").join(heads.alias("y"), (F.col("x.gid") == F.col("y.gid")) & F.expr("x.h < y.h AND least(x.lo, y.lo) < greatest(x.hi, y.hi)"))
+    met = met.select(F.col("x.h").alias("h"), F.col("y.h").alias("other")).distinct()
+    right = sets.select(F.col("h").alias("other"), F.col("least").alias("best"), F.col("common").alias("common_b"))
+    met = met.join(sets.select("h", "least", "common"), "h").join(right, "other").withColumn("shared", F.size(F.array_intersect("common", "common_b")))
+    tried = met.select("h", "best", "shared").unionByName(met.select(F.col("other").alias("h"), F.col("least").alias("best"), "shared")).unionByName(
+        sets.select("h", F.col("least").alias("best"), F.size("common").alias("shared"))
+    )
+    alike = 100 * F.col("shared") >= SHARE * (F.col("rep.n") + F.col("best.n") - F.col("shared"))
+    return reps.join(tried, "h").filter(alike & (F.col("rep.doc") != F.col("best.doc"))).select(F.col("rep.doc").alias("a"), F.col("best.doc").alias("b"))
 
 
 def _passed_over(named: DataFrame, counts: DataFrame) -> DataFrame:
@@ -429,7 +472,11 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         more = space.keep(_possible(_cross_pairs(named, counts, GROUP, False), shapes), "pairs")
         links, comps = _linked(space, links, comps, more, texts)
         if last.limit(1).count():
-            named, counts = _with_classes(_rarest(_by_tokens(texts.join(last, "doc", "left_semi"))), comps)
+            rare, common = _rare_and_common(space.keep(_by_tokens(texts.join(last, "doc", "left_semi")), "tokens"))
+            rare, common = space.keep(rare, "rare"), space.keep(common, "common")
+            links = space.keep(links.unionByName(_by_common(common, comps)), "near")
+            comps = components(space, links)
+            named, counts = _with_classes(rare, comps)
             links, comps = _linked(space, links, comps, space.keep(_possible(_cross_pairs(named, counts, None, False), shapes), "pairs"), texts)
     comps = space.keep(comps, "components")
     space.clear(comps)

@@ -99,10 +99,27 @@ def brute_components(rows):
 def test_jaccard_join(spark, texts, monkeypatch, group):
     """Also where every shared part is passed over, so that the deeper ways have to find the links."""
     monkeypatch.setattr(ngram_join, "GROUP", group)
+    if group == 1:
+        monkeypatch.setattr(ngram_join, "OFTEN", 2)
     found = ngram_join.join(frame(spark, texts))
     assert {tuple(r) for r in found.collect()} == brute_components(texts)
 
 
+def test_jaccard_join_of_one_passage(spark, monkeypatch):
+    """Documents that are mostly one of two overlapping passages: only some sizes make a link."""
+    monkeypatch.setattr(ngram_join, "GROUP", 1)
+    monkeypatch.setattr(ngram_join, "OFTEN", 4)
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(90)]
+    rows = []
+    for k in range(60):
+        body = passage[: 80 - 5 * (k % 3)] if k % 2 else passage[5:]
+        rows.append((k, " ".join(body + [f"x{k}_{j}" for j in range(rng.randint(5, 40))])))
+    found = {tuple(r) for r in ngram_join.join(frame(spark, rows)).collect()}
+    assert found == brute_components(rows)
+    assert 1 < len({c for _, _, c in found}) < 60
+
+
 def test_jaccard_join_null_and_repeated_keys(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     assert sorted(map(tuple, ngram_join.join(frame(spark, rows)).collect()), key=repr) == sorted([(None, 2, None), (1, 2, 1), (1, 2, 1), (2, 2, 1)], key=repr)
