@@ -13,8 +13,6 @@ MAX_BACKOFF_CAP_MS = 300_000
 MAX_PER_POLL = 5000
 DEFAULT_PER_POLL = 500
 MIN_TRACKED = 100
-MAX_TRACKED = 200_000
-DEFAULT_TRACKED = 50_000
 MAX_PREVIEW_ROWS = 10
 PAGE_CAPS = {"sql": 5000, "document": 1000, "keyspace": 500}
 DEFAULT_FIND_LIMIT = 100
@@ -112,7 +110,7 @@ class Delivery:
 class WatchStrategy:
     kind: str
     column: str | None = None
-    max_tracked: int = DEFAULT_TRACKED
+    max_tracked: int | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in ("increment", "timestamp", "snapshot"):
@@ -120,7 +118,8 @@ class WatchStrategy:
         if self.kind != "snapshot" and not self.column:
             raise ValueError(f"the {self.kind} strategy needs a column")
         if self.kind == "snapshot":
-            _in_range("max_tracked", self.max_tracked, MIN_TRACKED, MAX_TRACKED)
+            if self.max_tracked is not None and self.max_tracked < MIN_TRACKED:
+                raise ValueError(f"max_tracked must be at least {MIN_TRACKED}, not {self.max_tracked}")
 
 
 @dataclass(frozen=True)

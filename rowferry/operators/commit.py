@@ -2,13 +2,14 @@
 
 A target is a folder of parquet data plus one small marker file per version.
 A marker says which data folder holds each key bucket, which log position has
-been reached and which batches went in lately. It is created without
-overwrite, so exactly one writer publishes a version, and readers see either
+been reached and which batches went in lately. It is written in full
+under another name and renamed without overwrite, so exactly one writer publishes a version, and readers see either
 the old or the new version. Only the newest marker is ever read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Sequence
@@ -91,19 +92,30 @@ class SnapshotTable:
         return self._marker(names[-1]) if names else Version()
 
     def _publish(self, version: Version) -> None:
-        path, fs = self._folder(f"_versions/v{version.number:012d}.json")
+        # complete under another name first: a reader never meets half a marker
+        path, _ = self._folder(f"_versions/v{version.number:012d}.json")
+        draft, fs = self._folder(f"_versions/{uuid.uuid4().hex}.draft")
+        stream = fs.create(draft, False)
         try:
-            stream = fs.create(path, False)
+            stream.write(bytearray(json.dumps(version.__dict__, default=int).encode()))
+        finally:
+            stream.close()
+        context = self.spark.sparkContext
+        kind = context._jvm.org.apache.hadoop.fs.Options.Rename  # noqa: SLF001
+        options = context._gateway.new_array(kind, 1)  # noqa: SLF001
+        options[0] = kind.NONE
+        files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(  # noqa: SLF001
+            fs.getUri(), context._jsc.hadoopConfiguration()  # noqa: SLF001
+        )
+        try:
+            files.rename(draft, path, options)
         except Exception as error:
+            fs.delete(draft, False)
             if "exist" in str(error):
                 raise RuntimeError(
                     "another writer published this version; run the batch again"
                 ) from error
             raise
-        try:
-            stream.write(bytearray(json.dumps(version.__dict__, default=int).encode()))
-        finally:
-            stream.close()
 
     # reading -----------------------------------------------------------------
 
@@ -121,6 +133,18 @@ class SnapshotTable:
 
     # writing -----------------------------------------------------------------
 
+    def reject(self, rows: DataFrame, batch_id: str) -> None:
+        """Keep the rows of a batch that this target cannot take; a repeat replaces them."""
+        if not rows.isEmpty():
+            name = hashlib.sha256(batch_id.encode()).hexdigest()[:32]
+            rows.write.mode("overwrite").parquet(f"{self.path}/_rejects/batch={name}")
+
+    def rejects(self) -> DataFrame | None:
+        """All rejected rows with the batch they came in, None if there are none."""
+        folders = [f"{self.path}/_rejects/{n}" for n in self._names("_rejects")]
+        reader = self.spark.read.option("basePath", f"{self.path}/_rejects").option("mergeSchema", True)
+        return reader.parquet(*folders) if folders else None
+
     def apply(
         self,
         delta: DataFrame,

@@ -141,14 +141,13 @@ def watch_poll(
 
 
 def _next_snapshot(page, strategy, state, keys) -> WatchState:
-    """Seen keys joined by the new ones, the newest ``max_tracked`` kept."""
+    """Seen keys joined by the new ones; with ``max_tracked`` only the newest of them."""
     number = state.polls + 1
     fresh = page.select(
         row_key(page.schema, list(keys)).alias("_key"), F.lit(number).alias("_poll")
     )
     seen = fresh if state.keys is None else state.keys.unionByName(fresh)
-    known = page.count() + (0 if state.keys is None else state.keys.count())
-    if known > strategy.max_tracked:
+    if strategy.max_tracked is not None and seen.count() > strategy.max_tracked:
         # ranked in range partitions: the first poll may find any number of keys
         ranked = row_index_sequence(seen, [Sort("_poll", "desc"), Sort("_key", "desc")])
         seen = ranked.where(F.col("row_index") < strategy.max_tracked).select("_key", "_poll")

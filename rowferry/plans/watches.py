@@ -11,7 +11,7 @@ from rowferry.plans.registry import query
 
 _INCREMENT = WatchStrategy("increment", "o_orderkey")
 _STAMP = WatchStrategy("timestamp", "o_orderdate")
-_SNAPSHOT = WatchStrategy("snapshot", max_tracked=200_000)
+_SNAPSHOT = WatchStrategy("snapshot")
 _KEY = ["o_orderkey"]
 
 

@@ -38,9 +38,10 @@ def apply_batch(
     """Apply one batch of changes: drop what was seen, merge, publish.
 
     Changes up to the target's position are late repeats and are dropped. The
-    rest is frozen, so that touched buckets, new position and merge all see the
+    rest without a NULL key is frozen, so that touched buckets, new position and merge all see the
     same rows: one change per key for an upsert target, each position once for
-    a target that appends. ``always_new`` is for sources without a durable
+    a target that appends. Changes with a NULL key go to the target's rejects,
+    with all their columns. ``always_new`` is for sources without a durable
     position, whose events are never late.
     """
     current = table.version()
@@ -48,7 +49,8 @@ def apply_batch(
         return False
     seen = None if always_new else current.position
     fresh = after_position(filter_change_ops(changes, operations), order, seen)
-    valid, _ = split_null_keys(fresh, table.keys)
+    valid, rejects = split_null_keys(fresh, table.keys)
+    table.reject(rejects, batch_id)
     columns = dict.fromkeys(["op", *order, *table.schema.names])
     rows = valid.select(*columns)
     staged = (

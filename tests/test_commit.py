@@ -117,6 +117,25 @@ def test_late_repeats_are_dropped(spark, rows):
     assert rows(table.read()) == [(1, "new")] and table.version().position == [5]
 
 
+def test_changes_with_a_null_key_are_kept_as_rejects(spark, rows):
+    table = new_table(spark)
+    assert table.rejects() is None
+    feed = spark.createDataFrame([("insert", 1, 1, "a"), ("insert", 2, None, "b"), ("insert", 3, 2, "c")], FEED)
+    assert apply_batch(feed, table, ["pos"], "b:1")
+    assert not apply_batch(feed, table, ["pos"], "b:1")
+    assert apply_batch(spark.createDataFrame([("delete", 4, None, None)], FEED), table, ["pos"], "b:2")
+    assert rows(table.read()) == [(1, "a"), (2, "c")]
+    assert sorted((r["op"], r["pos"], r["v"]) for r in table.rejects().collect()) == [("delete", 4, None), ("insert", 2, "b")]
+
+
+def test_markers_are_complete_before_they_show(spark):
+    table = new_table(spark)
+    table.apply(values(spark, (1, "a")), put, "one")
+    with pytest.raises(RuntimeError, match="another writer"):
+        table._publish(Version(1))
+    assert table._names("_versions") == ["v000000000001.json"] and table.version().batches == ["one"]
+
+
 def test_fan_out_stream_heals_a_failed_target(spark, rows):
     """The journal appends every change once; the late target catches up."""
     log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "checkpoint")

@@ -96,6 +96,14 @@ def test_snapshot_sees_unseen_keys_and_is_bounded(spark):
     assert watch_poll(spark.range(300), SNAPSHOT, state, ["id"])[0].count() == 200
 
 
+def test_snapshot_without_a_bound_sends_every_key_once(spark):
+    strategy, df = WatchStrategy("snapshot"), spark.range(250_000)
+    page, state = watch_poll(df, strategy, None, ["id"])
+    assert page.count() == 250_000
+    page, state = watch_poll(df, strategy, state, ["id"])
+    assert page.count() == 0 and state.keys.count() == 250_000
+
+
 def test_start_now_passes_over_present_rows(spark):
     state = watch_start_now(spark.range(5), INCREMENT, ["id"])
     assert ids(watch_poll(spark.range(7), INCREMENT, state, ["id"])[0]) == [5, 6]
