@@ -24,8 +24,11 @@ def top_rows(df: DataFrame, order: Sequence[Column], count: int) -> DataFrame:
     Spark's own top-k lets every scan task send its ``count`` best rows to one
     task. With very many tasks the candidates are first merged in groups of
     tasks; ``WindowGroupLimit`` still cuts each task's part before the shuffle.
+    Spark leaves that cut out from a set count on, where the groups would shuffle
+    all rows, so larger counts keep to the top-k.
     """
-    if _scan_tasks(df) * count <= MERGED_ROWS:
+    cut = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if count >= cut or _scan_tasks(df) * count <= MERGED_ROWS:
         return df.orderBy(*order).limit(count)
     group = F.spark_partition_id() % GROUPS
     within = Window.partitionBy("_group").orderBy(*order)

@@ -63,6 +63,18 @@ def test_top_rows_merged_in_groups(spark, monkeypatch):
     assert plan.index("WindowGroupLimit") < plan.index("hashpartitioning(_group")
 
 
+def test_top_rows_never_shuffle_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(top, "MERGED_ROWS", 10)
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    try:
+        page = top.top_rows(spark.range(20_000, numPartitions=7), [F.desc("id")], 5001)
+        assert "Exchange hashpartitioning" not in page._jdf.queryExecution().executedPlan().toString()
+        assert [r["id"] for r in page.collect()] == list(range(19_999, 14_998, -1))
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", before)
+
+
 def test_page_bounds_are_clamped_and_checked():
     assert paging.page_bounds(0, 0) == (1, 0)
     assert paging.page_bounds(10**6, 3) == (5000, 3)
