@@ -21,16 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
 from rowferry.llm.flat import mix, pieces, prefix_hash, span_hash
+from rowferry.session import freeze
 
 LENGTH = 400
 ANCHOR = 100
 TOKEN = 50
 BLOCK = 1 << 22
+# anchors of which a task combines the copies before they are shuffled
+COMBINE = 500_000
 STEP_WINDOWS = 1_000_000
 
 
@@ -64,17 +67,44 @@ def _block(data: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
     return grams[at].view(np.int64), stretch.view(np.int64), heads + base, tails + base, at - heads
 
 
+def combined(columns: tuple[np.ndarray, ...], owner: np.ndarray) -> dict[str, np.ndarray]:
+    """One row per anchor and stretch with their number n; the other rows of it have n = 0.
+
+    Those are known to be repeated, so they are dealt out by a hash of their
+    place and do not meet under their anchor.
+    """
+    gram, span, first, last, lead = columns
+    order = np.lexsort((first, owner, span, gram))
+    gram, span, first, last, lead, owner = (x[order] for x in (gram, span, first, last, lead, owner))
+    fresh = np.r_[True, (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])]
+    heads = np.flatnonzero(fresh)
+    count = np.zeros(len(gram), np.int32)
+    count[heads] = np.diff(np.r_[heads, len(gram)])
+    gram = np.where(fresh, gram, mix(owner.view(np.uint64) + first.astype(np.uint64)).view(np.int64))
+    return {"gram": gram, "span": span, "uid": owner, **{k: v.astype(np.int32) for k, v in (("first", first), ("last", last), ("lead", lead))}, "n": count}
+
+
 def _anchors(data: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "span", "uid", "first", "last", "lead"]
+        found: list[tuple[np.ndarray, ...]] = []
+        owners: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(combined(tuple(np.concatenate([f[k] for f in found]) for k in range(5)), np.concatenate(owners)))
+
         for uids, texts in pieces(batches):
-            found = [(u, runs_of(np.frombuffer(t, np.uint8))) for u, t in zip(uids.to_pylist(), texts)]
-            columns = [np.concatenate([f[1][k] for f in found]) for k in range(5)]
-            owner = np.concatenate([np.full(len(f[1][0]), f[0], np.int64) for f in found])
-            gram, span, first, last, lead = columns
-            yield pa.record_batch([pa.array(x) for x in (gram, span, owner, first.astype(np.int32), last.astype(np.int32), lead.astype(np.int32))], names)
+            for uid, text in zip(uids.to_pylist(), texts):
+                found.append(runs_of(np.frombuffer(text, np.uint8)))
+                owners.append(np.full(len(found[-1][0]), uid, np.int64))
+                held += len(owners[-1])
+                if held > COMBINE:
+                    yield flush()
+                    found, owners, held = [], [], 0
+        if held:
+            yield flush()
 
-    return data.mapInArrow(run, "gram long, span long, uid long, first int, last int, lead int")
+    return data.mapInArrow(run, "gram long, span long, uid long, first int, last int, lead int, n int")
 
 
 def refine(flat: np.ndarray, starts: np.ndarray, groups: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -187,13 +217,19 @@ def row_id(key: Column, text: Column) -> Column:
 def repeated_windows(data: DataFrame) -> DataFrame:
     """Runs of starts (uid, first, last) whose LENGTH bytes also start elsewhere; data has uid and text."""
     parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchors = _anchors(data)
-    same = anchors.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "last", "lead")).alias("one"))
-    # one row per stretch; an anchor with a single stretch has nothing else to meet
-    several = same.groupBy(F.struct("gram").alias("k")).agg(F.count("*").alias("spans")).filter("spans > 1").select("k.gram")
-    wanted = same.join(several, "gram", "left_semi").select("gram", "one.*")
-    whole = anchors.join(same.filter("n > 1").select(F.struct("gram", "span").alias("k")).distinct().select("k.*"), ["gram", "span"], "left_semi").select("uid", "first", "last")
-    return whole.unionByName(_sorted_suffixes(_cut_bodies(wanted, data), parts))
+    # copies are combined before the one shuffle of the anchors, so a gram gets a
+    # row for each stretch and COMBINE anchors; an anchor with a single stretch
+    # has nothing else to meet
+    anchors = _anchors(data).repartition(parts, "gram")
+    gram, stretch = Window.partitionBy("gram"), Window.partitionBy("gram", "span")
+    marked = anchors.withColumns({
+        "whole": F.sum("n").over(stretch) != 1,
+        "several": F.min("span").over(gram) < F.max("span").over(gram),
+        "place": F.row_number().over(stretch.orderBy("uid", "first")),
+    }).select("gram", "uid", "first", "last", "lead", "whole", (F.col("several") & (F.col("n") > 0) & (F.col("place") == 1)).alias("wanted"))
+    marked = freeze(marked.filter("whole OR wanted"), "anchors")
+    bodies = _cut_bodies(marked.filter("wanted").select("gram", "uid", "first", "last", "lead"), data)
+    return marked.filter("whole").select("uid", "first", "last").unionByName(_sorted_suffixes(bodies, parts))
 
 
 def merge_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
