@@ -438,7 +438,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     spark = docs.sparkSession
     space = Workspace(spark)
-    count = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = pair(docs, key, text).filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "doc")
     groups = space.keep(members(data, count), "groups")
     # equal keys with several texts: the largest set stands for them
@@ -466,7 +466,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     links, comps = _linked(space, links, comps, more, texts)
     if lacking.limit(1).count():
         rest = texts.join(lacking, "doc").select("doc", "text", "bands")
-        deeper = space.keep(members(rest, count, True), "groups")
+        deeper = space.keep(members(rest, 2 * count, True), "groups")
         named, counts = _with_classes(deeper.filter("band < 62"), comps)
         last = space.keep(_lacking(shapes, _passed_over(named, counts), True).select("doc").unionByName(deeper.filter("band = 63").select("doc")).distinct(), "last")
         more = space.keep(_possible(_cross_pairs(named, counts, GROUP, False), shapes), "pairs")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rowferry.session import scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Workspace:
     """Tables written once to the shared folder and removed when no longer needed."""
@@ -16,9 +18,20 @@ class Workspace:
         self.paths: list[str] = []
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
-        """Write and read back: cuts the lineage and survives lost executors."""
+        """Write and read back: cuts the lineage and survives lost executors.
+
+        Nothing runs `df` again, so its shuffle files go once it is written.
+        """
         path = scratch_path(self.spark, label)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
