@@ -9,6 +9,7 @@ import re
 import zlib
 
 import public_tokenizers
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -319,3 +320,15 @@ def test_pipeline_columns(spark):
         left = stage(spark, docs, "/root/testdata/sf0.001")
         assert left.columns == docs.columns and left.count() <= docs.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_combined_anchors():
+    """One counted row for each anchor and stretch; the other rows of it are dealt out with n = 0."""
+    gram, span = np.array([5, 5, 7, 5, 7]), np.array([1, 1, 2, 9, 2])
+    first, owner = np.array([30, 10, 0, 4, 6]), np.array([3, 2, 1, 1, 1])
+    out = suffix_dedup.combined((gram, span, first, first + 1, first), owner)
+    counted = {(int(g), int(s)): (int(u), int(f), int(n)) for g, s, u, f, n in zip(out["gram"], out["span"], out["uid"], out["first"], out["n"]) if n}
+    assert counted == {(5, 1): (2, 10, 2), (5, 9): (1, 4, 1), (7, 2): (1, 0, 2)}
+    rest = sorted((int(u), int(f)) for u, f, n in zip(out["uid"], out["first"], out["n"]) if not n)
+    assert rest == [(1, 6), (3, 30)]
+    assert not {5, 7} & {int(g) for g, n in zip(out["gram"], out["n"]) if not n}
