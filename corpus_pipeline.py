@@ -15,6 +15,9 @@ from rowferry.llm import bpe, decontaminate, ngram_join, suffix_dedup, toxicity
 from rowferry.llm.queries import table, tokenizer_path
 from rowferry.session import freeze
 
+# repeated runs of over 50 words go, and repeated strings of 400 bytes with fewer
+REPEATED_WORDS = 51
+
 # the stages learn, hash and tokenise; SQL cannot say the same
 ORACLE_SQL = None
 
@@ -31,11 +34,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur elsewhere; their number of characters anew.
+    """Documents without the runs of over 50 words, and of 400 bytes, that occur elsewhere; their number of characters anew.
 
     Every row stays, with an empty text if all of it was repeated.
     """
-    left = suffix_dedup.remove(docs)
+    left = suffix_dedup.remove(docs, words=REPEATED_WORDS)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

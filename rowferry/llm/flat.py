@@ -69,10 +69,11 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each prefix; one longer than the data."""
+    """Polynomial hash of each prefix of bytes or 64-bit values; one longer than the data."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=out[1:])
+    values = BYTE_VALUES[data] if data.dtype == np.uint8 else data
+    np.cumsum(values * up[: len(data)], out=out[1:])
     return out
 
 

@@ -10,8 +10,10 @@ they are sorted token by token (eight fingerprints of 50 bytes), going on only
 with those still equal to another one, as multikey quicksort does. A leading
 token never spans a boundary between partitions, so boundaries need no repair.
 
-Offsets are bytes of the UTF-8 text. Rows are told apart by a hash of key and
-text, so keys may repeat.
+The elements of a text are its bytes or, for a length in words, the hashes of
+its words between blanks; anchor and token are a quarter and an eighth of the
+length, so 100 and 50 bytes for windows of 400. Offsets are bytes of the UTF-8
+text. Rows are told apart by a hash of key and text, so keys may repeat.
 """
 
 from __future__ import annotations
@@ -25,36 +27,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
-from rowferry.llm.flat import mix, pieces, prefix_hash, span_hash
-from rowferry.session import freeze
+from rowferry.llm.flat import SPACE, mix, pieces, prefix_hash, span_hash, word_spans
+from rowferry.llm.shared import Workspace
 
 LENGTH = 400
-ANCHOR = 100
-TOKEN = 50
 BLOCK = 1 << 22
 # anchors of which a task combines the copies before they are shuffled
 COMBINE = 500_000
 STEP_WINDOWS = 1_000_000
 
 
-def runs_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
+def elements(text: bytes, words: bool) -> np.ndarray:
+    """The bytes of a text, or the hashes of its words."""
+    data = np.frombuffer(text, np.uint8)
+    return span_hash(prefix_hash(data), *word_spans(data, SPACE)) if words else data
+
+
+def runs_of(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Anchor hash, stretch hash, first and last window and lead of each run of windows.
 
     The lead is the distance of the anchor from the first window.
     """
-    if len(data) < LENGTH:
+    if len(data) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    parts = [_block(data[a : a + BLOCK + LENGTH - 1], a) for a in range(0, len(data) - LENGTH + 1, BLOCK)]
+    parts = [_block(data[a : a + BLOCK + length - 1], a, length) for a in range(0, len(data) - length + 1, BLOCK)]
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _block(data: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
-    prefix = prefix_hash(data)
-    places = np.arange(len(data) - ANCHOR + 1)
-    grams = span_hash(prefix, places, places + ANCHOR)
+def _block(data: np.ndarray, base: int, length: int) -> tuple[np.ndarray, ...]:
+    prefix, size = prefix_hash(data), max(1, length // 4)
+    places = np.arange(len(data) - size + 1)
+    grams = span_hash(prefix, places, places + size)
     # least hash of a window; the leftmost of equal ones
     least = grams & ~np.uint64((1 << 24) - 1) | places.astype(np.uint64)
-    width, wanted = 1, LENGTH - ANCHOR + 1
+    width, wanted = 1, length - size + 1
     while 2 * width <= wanted:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -63,7 +69,7 @@ def _block(data: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
     heads = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     tails = np.r_[heads[1:], len(anchor)] - 1
     at = anchor[heads]
-    stretch = span_hash(prefix, heads, tails + LENGTH) + mix((at - heads).astype(np.uint64))
+    stretch = span_hash(prefix, heads, tails + length) + mix((at - heads).astype(np.uint64))
     return grams[at].view(np.int64), stretch.view(np.int64), heads + base, tails + base, at - heads
 
 
@@ -84,7 +90,7 @@ def combined(columns: tuple[np.ndarray, ...], owner: np.ndarray) -> dict[str, np
     return {"gram": gram, "span": span, "uid": owner, **{k: v.astype(np.int32) for k, v in (("first", first), ("last", last), ("lead", lead))}, "n": count}
 
 
-def _anchors(data: DataFrame) -> DataFrame:
+def _anchors(data: DataFrame, length: int, words: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
         owners: list[np.ndarray] = []
@@ -95,7 +101,7 @@ def _anchors(data: DataFrame) -> DataFrame:
 
         for uids, texts in pieces(batches):
             for uid, text in zip(uids.to_pylist(), texts):
-                found.append(runs_of(np.frombuffer(text, np.uint8)))
+                found.append(runs_of(elements(text, words), length))
                 owners.append(np.full(len(found[-1][0]), uid, np.int64))
                 held += len(owners[-1])
                 if held > COMBINE:
@@ -107,15 +113,15 @@ def _anchors(data: DataFrame) -> DataFrame:
     return data.mapInArrow(run, "gram long, span long, uid long, first int, last int, lead int, n int")
 
 
-def refine(flat: np.ndarray, starts: np.ndarray, groups: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """Places of the suffixes that equal another one of their group in LENGTH bytes.
+def refine(flat: np.ndarray, starts: np.ndarray, groups: np.ndarray, prefix: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Places of the suffixes that equal another one of their group in `length` elements.
 
     One round per token: the suffixes still tied are sorted by it.
     """
-    tied, group = np.arange(len(starts)), groups
-    for token in range(0, LENGTH, TOKEN):
+    tied, group, size = np.arange(len(starts)), groups, max(1, length // 8)
+    for token in range(0, length, size):
         begin = starts[tied] + token
-        value = span_hash(prefix, begin, begin + TOKEN)
+        value = span_hash(prefix, begin, begin + min(size, length - token))
         order = np.lexsort((value, group))
         tied, group, value = tied[order], group[order], value[order]
         fresh = np.r_[True, (group[1:] != group[:-1]) | (value[1:] != value[:-1])] if len(tied) else np.zeros(0, bool)
@@ -125,14 +131,14 @@ def refine(flat: np.ndarray, starts: np.ndarray, groups: np.ndarray, prefix: np.
     return tied
 
 
-def _equal_windows(batch: dict[str, np.ndarray], bodies: list[bytes]) -> Iterator[tuple[int, int, int]]:
+def _equal_windows(batch: dict[str, np.ndarray], bodies: list[bytes], length: int, words: bool) -> Iterator[tuple[int, int, int]]:
     """(uid, first, last) of the runs of repeated windows among whole groups of anchors.
 
     Equal windows have the same distance from their anchor, so the distances are
     gone through in steps of bounded size.
     """
-    flat = np.frombuffer(b"".join(bodies), np.uint8)
-    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    flat = np.frombuffer(b"".join(bodies), np.uint64 if words else np.uint8)
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // flat.itemsize
     offset = np.cumsum(sizes) - sizes
     prefix = prefix_hash(flat)
     high, low = batch["lead"], batch["lead"] - (batch["last"] - batch["first"])
@@ -147,7 +153,7 @@ def _equal_windows(batch: dict[str, np.ndarray], bodies: list[bytes]) -> Iterato
         place = np.repeat(head - (np.cumsum(count) - count), count) + np.arange(count.sum())
         # grouped by anchor and distance, which a hash of both tells
         group = mix(batch["gram"][entry].view(np.uint64) + (high[entry] - place).astype(np.uint64))
-        hit = refine(flat, offset[entry] + place, group, prefix)
+        hit = refine(flat, offset[entry] + place, group, prefix, length)
         found_entry.append(entry[hit])
         found_place.append(place[hit])
     entry, place = np.concatenate(found_entry), np.concatenate(found_place)
@@ -162,25 +168,25 @@ def _equal_windows(batch: dict[str, np.ndarray], bodies: list[bytes]) -> Iterato
         yield int(batch["uid"][e]), int(batch["first"][e] + place[a]), int(batch["first"][e] + place[b])
 
 
-def _cut_bodies(wanted: DataFrame, data: DataFrame) -> DataFrame:
-    """The bytes of the wanted runs, from their texts."""
+def _cut_bodies(wanted: DataFrame, data: DataFrame, length: int, words: bool) -> DataFrame:
+    """The elements of the wanted runs, from their texts."""
     rows = wanted.groupBy("uid").agg(F.collect_list(F.struct("gram", "first", "last", "lead")).alias("runs")).join(data, "uid").select("uid", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                text, uid = batch.column(1)[row].as_buffer().to_pybytes(), batch.column(0)[row].as_py()
+                body, uid = elements(batch.column(1)[row].as_buffer().to_pybytes(), words), batch.column(0)[row].as_py()
                 runs = batch.column(2)[row].as_py()
                 yield pa.record_batch(
                     [pa.array([r["gram"] for r in runs]), pa.array([uid] * len(runs)), *(pa.array([r[k] for r in runs], pa.int32()) for k in ("first", "last", "lead")),
-                     pa.array([text[r["first"] : r["last"] + LENGTH] for r in runs], pa.binary())],
+                     pa.array([body[r["first"] : r["last"] + length].tobytes() for r in runs], pa.binary())],
                     ["gram", "uid", "first", "last", "lead", "body"],
                 )
 
     return rows.mapInArrow(run, "gram long, uid long, first int, last int, lead int, body binary")
 
 
-def _sorted_suffixes(bodies: DataFrame, parts: int) -> DataFrame:
+def _sorted_suffixes(bodies: DataFrame, parts: int, length: int, words: bool) -> DataFrame:
     """Range-partitions the suffixes by their leading token and finds repeats in each partition."""
     ranged = bodies.repartitionByRange(parts, "gram").sortWithinPartitions("gram")
 
@@ -190,7 +196,7 @@ def _sorted_suffixes(bodies: DataFrame, parts: int) -> DataFrame:
 
         def work(table: pa.Table) -> pa.RecordBatch:
             columns = {n: table[n].to_numpy().astype(np.int64) for n in ("gram", "uid", "first", "last", "lead")}
-            rows = list(_equal_windows(columns, table["body"].to_pylist()))
+            rows = list(_equal_windows(columns, table["body"].to_pylist(), length, words))
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())], ["uid", "first", "last"])
 
         for batch in batches:
@@ -214,35 +220,44 @@ def row_id(key: Column, text: Column) -> Column:
     return F.xxhash64(key, text)
 
 
-def repeated_windows(data: DataFrame) -> DataFrame:
-    """Runs of starts (uid, first, last) whose LENGTH bytes also start elsewhere; data has uid and text."""
+def repeated_windows(data: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
+    """Runs of starts (uid, first, last) whose `length` elements also start elsewhere; data has uid and text."""
     parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # copies are combined before the one shuffle of the anchors, so a gram gets a
     # row for each stretch and COMBINE anchors; an anchor with a single stretch
     # has nothing else to meet
-    anchors = _anchors(data).repartition(parts, "gram")
+    anchors = _anchors(data, length, words).repartition(parts, "gram")
     gram, stretch = Window.partitionBy("gram"), Window.partitionBy("gram", "span")
     marked = anchors.withColumns({
         "whole": F.sum("n").over(stretch) != 1,
         "several": F.min("span").over(gram) < F.max("span").over(gram),
         "place": F.row_number().over(stretch.orderBy("uid", "first")),
     }).select("gram", "uid", "first", "last", "lead", "whole", (F.col("several") & (F.col("n") > 0) & (F.col("place") == 1)).alias("wanted"))
-    marked = freeze(marked.filter("whole OR wanted"), "anchors")
-    bodies = _cut_bodies(marked.filter("wanted").select("gram", "uid", "first", "last", "lead"), data)
-    return marked.filter("whole").select("uid", "first", "last").unionByName(_sorted_suffixes(bodies, parts))
+    marked = Workspace(data.sparkSession).keep(marked.filter("whole OR wanted"), "anchors")
+    bodies = _cut_bodies(marked.filter("wanted").select("gram", "uid", "first", "last", "lead"), data, length, words)
+    return marked.filter("whole").select("uid", "first", "last").unionByName(_sorted_suffixes(bodies, parts, length, words))
 
 
-def merge_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal byte spans [start, end) that the windows of (first, last) runs cover."""
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal byte spans [start, end) that the spans cover."""
     out: list[tuple[int, int]] = []
-    for first, last in sorted(runs):
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], last + LENGTH))
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
-            out.append((first, last + LENGTH))
+            out.append((start, end))
     return out
 
 
+def spans_of(text: bytes, runs: list[dict] | None, words: int = 0) -> list[tuple[int, int]]:
+    """Maximal byte spans of a text that its runs of windows cover, in bytes or in words."""
+    spans = [(r["first"], r["last"] + LENGTH) for r in runs or [] if not r["words"]]
+    if counted := [r for r in runs or [] if r["words"]]:
+        starts, ends = word_spans(np.frombuffer(text, np.uint8), SPACE)
+        spans += [(int(starts[r["first"]]), int(ends[r["last"] + words - 1])) for r in counted]
+    return merge_spans(spans)
+
+
 def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     at, kept = 0, []
     for start, end in spans:
@@ -251,14 +266,19 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _with_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _with_runs(docs: DataFrame, key: str, text: str, words: int = 0) -> DataFrame:
     """All columns of docs, and last the runs of each row's repeated windows."""
     uid = row_id(docs[key], docs[text])
-    data = docs.select(uid.alias("uid"), docs[text].alias("text")).filter(F.octet_length("text") >= LENGTH)
+    data = docs.select(uid.alias("uid"), docs[text].alias("text"))
     mine, held = "_uid", "_runs"
     while mine in docs.columns or held in docs.columns:
         mine, held = f"_{mine}", f"_{held}"
-    runs = repeated_windows(data).distinct().groupBy(F.struct("uid").alias("k")).agg(F.collect_list(F.struct("first", "last")).alias(held))
+    found = repeated_windows(data.filter(F.octet_length("text") >= LENGTH)).withColumn("words", F.lit(False))
+    if words:
+        # so many words and the blanks between them
+        counted = repeated_windows(data.filter(F.octet_length("text") >= 2 * words - 1), words, True)
+        found = found.unionByName(counted.withColumn("words", F.lit(True)))
+    runs = found.distinct().groupBy(F.struct("uid").alias("k")).agg(F.collect_list(F.struct("first", "last", "words")).alias(held))
     return docs.withColumn(mine, uid).join(runs.select(F.col("k.uid").alias(mine), held), mine, "left").drop(mine)
 
 
@@ -277,7 +297,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             for row in range(batch.num_rows):
                 buffer = batch.column(1)[row].as_buffer()
                 body = b"" if buffer is None else buffer.to_pybytes()
-                spans = merge_runs([(r["first"], r["last"]) for r in batch.column(2)[row].as_py() or []])
+                spans = spans_of(body, batch.column(2)[row].as_py())
                 out.append((len(body), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut_out(body, spans)).hexdigest()))
             yield pa.record_batch(
                 [batch.column(0), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3)), pa.array([o[3] for o in out], pa.string())],
@@ -287,12 +307,13 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 0) -> DataFrame:
     """The documents without the repeated bytes, all their columns kept.
 
-    Bytes of a character that is only partly left are dropped with it.
+    With `words`, equal runs of that many words or more go as well, however
+    short in bytes; words are parted by blanks and compared exactly. Bytes of a character that is only partly left are dropped with it.
     """
-    rows = _with_runs(docs, key, text)
+    rows = _with_runs(docs, key, text, words)
     place, schema = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +321,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             texts = []
             for row in range(batch.num_rows):
                 buffer, runs = batch.column(place)[row].as_buffer(), batch.column(batch.num_columns - 1)[row].as_py()
-                texts.append(None if buffer is None else cut_out(buffer.to_pybytes(), merge_runs([(r["first"], r["last"]) for r in runs or []])).decode("utf-8", "ignore"))
+                body = None if buffer is None else buffer.to_pybytes()
+                texts.append(None if body is None else cut_out(body, spans_of(body, runs, words)).decode("utf-8", "ignore"))
             columns = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(schema))]
             yield pa.record_batch(columns, schema.names)
 

@@ -149,6 +149,35 @@ def test_suffix_dedup(spark, texts):
     assert left.columns == frame(spark, rows).columns and left.count() == len(rows)
 
 
+def test_suffix_dedup_of_word_runs(spark):
+    """Passages of 45 to 75 words, as the stage of the pipeline cuts them, against brute force."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    make = lambda n: [f"{rng.choice('aeiouäé')}{rng.randrange(100_000)}" for _ in range(n)]
+    rows = [(0, None), (1, ""), (2, "same " * 49 + "same"), (3, "same " * 60)]
+    for k, size in enumerate([45, 50, *range(51, 76, 4), 300]):
+        passage = make(size)
+        rows += [(10 + 3 * k + copy, " \n".join([" ".join(make(rng.randrange(30)) + passage), *make(rng.randrange(1, 30))])) for copy in range(3)]
+    long = "x" * 450
+    rows += [(100, f"{make(1)[0]} {long}"), (101, f"{long} {make(1)[0]}")]
+    parts = {k: [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for k, t in rows}
+    text = {k: (t or "").encode() for k, t in rows}
+    window = lambda k, i: tuple(text[k][a:b] for a, b in parts[k][i : i + 51])
+    by_words = collections.Counter(window(k, i) for k in text for i in range(len(parts[k]) - 50))
+    by_bytes = collections.Counter(t[s : s + 400] for t in text.values() for s in range(len(t) - 399))
+    want = {}
+    for k, t in text.items():
+        spans = [(s, s + 400) for s in range(len(t) - 399) if by_bytes[t[s : s + 400]] > 1]
+        spans += [(parts[k][i][0], parts[k][i + 50][1]) for i in range(len(parts[k]) - 50) if by_words[window(k, i)] > 1]
+        gone = {at for a, b in spans for at in range(a, b)}
+        want[k] = bytes(c for at, c in enumerate(t) if at not in gone).decode("utf-8", "ignore")
+    docs = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    left = {r.doc_id: r for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    assert {k: r.text or "" for k, r in left.items()} == want
+    assert all(len(want[10 + 3 * k].split()) < 60 for k in range(2, 10)) and left[10].text == dict(rows)[10]
+
+
 @pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 700])
 def test_suffix_blocks(monkeypatch, block):
     import numpy as np
