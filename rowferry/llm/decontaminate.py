@@ -8,7 +8,8 @@ the original text give the offsets.
 
 The automaton goes to the workers by broadcast. Test sets are small, but their
 size is checked: beyond `group_bytes` of text the items are dealt into groups by
-a hash, each group is scanned in a pass of its own, and the passes are merged.
+a hash, and each group is scanned in a pass of its own that adds to the row what
+it finds. Nothing is merged by key, so every row keeps its own result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
-from rowferry.llm.flat import LOWER, pieces, word_spans
+from rowferry.llm.flat import LOWER, word_spans
+from rowferry.llm.shared import Workspace
 
 WINDOW = 10
 GROUP_BYTES = 4 << 20
@@ -31,7 +33,8 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 TO_LOWER = {c: c + 32 for c in range(65, 91)}
-HITS = "doc_id {key}, n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, item_ids array<string>"
+SPAN = ("first", "last", "start", "end")
+HITS = "doc_id {key},{text} n_words long, spans array<struct<first:int,last:int,start:int,end:int>>, item_ids array<string>"
 
 
 def windows(text: str, size: int = WINDOW) -> list[str]:
@@ -88,21 +91,46 @@ def scan(text: bytes, machine, filled: bool) -> tuple[int, list[tuple[int, int,
     return len(starts), [(int(a), int(b), int(starts[a]), int(ends[b])) for a, b in zip(heads, tails)], items
 
 
-def _scan_group(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame:
+def joined(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Maximal runs of the hit words of several passes."""
+    out: list[tuple[int, int, int, int]] = []
+    for span in sorted(spans):
+        if out and span[0] <= out[-1][1] + 1:
+            a, b = out[-1], span
+            out[-1] = (a[0], max(a[1], b[1]), a[2], max(a[3], b[3]))
+        else:
+            out.append(span)
+    return out
+
+
+def _scan_group(docs: DataFrame, items: list[tuple[str, str]], size: int, last: bool) -> DataFrame:
+    """The rows (doc_id, text and, from the second pass on, the hits so far) with the hits of the items.
+
+    The last pass leaves the text out.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, filled = automaton(shared.value, size)
-        kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))
-        for keys, texts in pieces(batches):
-            rows = [scan(t, machine, filled) for t in texts]
-            spans = [[dict(zip(("first", "last", "start", "end"), s)) for s in r[1]] for r in rows]
+        kind = pa.list_(pa.struct([(n, pa.int32()) for n in SPAN]))
+        for batch in batches:
+            counts, spans, names = [], [], []
+            for row in range(batch.num_rows):
+                text = batch.column(1)[row].as_buffer()
+                count, found, items = scan(b"" if text is None else text.to_pybytes(), machine, filled)
+                if batch.num_columns > 2:
+                    found = joined(found + [tuple(x[n] for n in SPAN) for x in batch.column(3)[row].as_py()])
+                    items = items.union(batch.column(4)[row].as_py())
+                counts.append(count)
+                spans.append([dict(zip(SPAN, x)) for x in found])
+                names.append(sorted(items))
+            texts = {} if last else {"text": batch.column(1)}
             yield pa.record_batch(
-                [keys, pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, kind), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "item_ids"],
+                [batch.column(0), *texts.values(), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))],
+                ["doc_id", *texts, "n_words", "spans", "item_ids"],
             )
 
-    return docs.mapInArrow(run, HITS.format(key=docs.schema[0].dataType.simpleString()))
+    return docs.mapInArrow(run, HITS.format(key=docs.schema[0].dataType.simpleString(), text="" if last else " text string,"))
 
 
 def find_leaks(
@@ -114,25 +142,23 @@ def find_leaks(
     A span is a maximal run of hit words: its first and last word and its bytes
     in the original UTF-8 text. Null and empty texts have no words; null or
     empty items have no window, a null item id counts as "null"; equal items
-    are listed both. Keys of documents are expected to be unique where the test
-    items need more than one group.
+    are listed both. Every row has its own result, whether or not its key is
+    null or there more than once, and however many groups the items need.
     """
     data = pair(docs, key, text)
     tests = items.select(F.coalesce(items[item_key].cast("string"), F.lit("null")).alias("item"), F.coalesce(items[item_text], F.lit("")).alias("text"))
     held = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-held // group_bytes))
     tests = tests.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(groups)))
-    found = None
+    # between two passes the rows are written, so that no task holds two automata
+    space, found = Workspace(docs.sparkSession), data
     for part in range(groups):
         rows = [(r.item, r.text) for r in tests.filter(F.col("part") == part).select("item", "text").toLocalIterator()]
-        hits = _scan_group(data, rows, size)
-        found = hits if found is None else found.unionByName(hits)
-    if groups == 1:
-        return found
-    return found.groupBy("doc_id").agg(
-        F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    )
+        found = _scan_group(found, rows, size, part == groups - 1)
+        if part < groups - 1:
+            found = space.keep(found, "leaks")
+            space.clear(found)
+    return found
 
 
 def hit_count(spans):

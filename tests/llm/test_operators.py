@@ -288,6 +288,20 @@ def test_decontaminate(spark, texts):
     assert not kept & {900, 902, None} and {0, 1, 901, 903} <= kept
 
 
+def test_decontaminate_groups_do_not_merge_rows(spark):
+    """Repeated rows, null keys and two texts of one key have a result each, in any number of groups."""
+    items = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k}") for k in range(6)], "item_id long, text string")
+    hit = lambda k: f"x alpha{k} beta{k} gamma{k} alpha{k + 1} beta{k + 1} gamma{k + 1} y"
+    rows = [(1, hit(0)), (1, hit(0)), (1, "clean words here"), (None, hit(2)), (None, "other"), (None, None), (2, hit(3)), (2, hit(0))]
+    docs = frame(spark, rows)
+    one, many = (sorted((tuple(r) for r in decontaminate.find_leaks(docs, items, group_bytes=size).collect()), key=repr) for size in (decontaminate.GROUP_BYTES, 40))
+    assert one == many and len(many) == len(rows)
+    assert [tuple(map(int, r[2][0])) for r in many if r[2]] == [(1, 6, 2, 41)] * 5
+    assert sorted(map(tuple, (r[3] for r in many if r[3]))) == [("0", "1")] * 3 + [("2", "3"), ("3", "4")]
+    hits = sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in decontaminate.report(docs, items, group_bytes=40).collect())
+    assert hits == [(0, 0, 0), (0, 1, 0), (0, 8, 6), (1, 3, 0), (1, 8, 6), (1, 8, 6), (2, 8, 6), (2, 8, 6)]
+
+
 def test_decontaminate_offsets(spark):
     text = "  Ünder — the Quick, brown fox"
     rows = decontaminate.find_leaks(frame(spark, [(1, text)]), spark.createDataFrame([(1, "QUICK brown")], "item_id long, text string")).collect()
