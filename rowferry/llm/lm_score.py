@@ -3,13 +3,13 @@
 Bigrams of all training texts are counted exactly, dealt out by their first
 word. Each part then enters what it has counted into its own slice of the
 filter: a count c on a logarithmic scale, as one key per level, so that probing
-the levels in turn gives back the quantised count. The filter holds bigrams met
-twice or more and, for each history, the mass and number of those.
+the levels in turn gives back the quantised count. The filter holds all bigrams,
+from level 1 for those met once, and the number of bigrams of each history.
 
-Probabilities are smoothed by what the filter leaves out:
-    p(w | h) = (c(h, w) + (C(h) - R(h) + T(h)) * p(w)) / (C(h) + T(h))
-with C the exact count of h, R the mass and T the number of its stored bigrams,
-and p(w) the additively smoothed share of w. Exact word counts do not fit into
+Probabilities are smoothed by that number:
+    p(w | h) = (c(h, w) + T(h) * p(w)) / (C(h) + T(h))
+with C the exact count of h, T the number of its distinct bigrams, and p(w) the
+additively smoothed share of w. Exact word counts do not fit into
 a broadcast: blocks of documents send their distinct words to the parts that
 counted them and get the counts back.
 
@@ -39,7 +39,7 @@ SMOOTH = 0.1
 FLUSH = 2_000_000
 WAVE_BYTES = 64 << 20
 CUT = np.uint64((1 << 40) - 1)
-MASS, TYPES = np.uint64(0x082EFA98EC4E6C89), np.uint64(0x452821E638D01377)
+TYPES = np.uint64(0x452821E638D01377)
 
 
 def chains(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,8 +57,8 @@ def quantise(counts: np.ndarray) -> np.ndarray:
 
 
 def restored(levels: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts; 0 for level 0."""
-    return np.where(levels > 0, GROWTH ** (levels - 1) * (1 + GROWTH) / 2, 0.0)
+    """The middle of a level's whole counts, so 1 for level 1; 0 for level 0."""
+    return np.where(levels > 0, (np.ceil(GROWTH ** (levels - 1.0)) + np.ceil(GROWTH**levels) - 1) / 2, 0.0)
 
 
 def spots(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> Iterator[np.ndarray]:
@@ -168,11 +168,8 @@ def _learn(packed: DataFrame) -> DataFrame:
         h, t = h[heads], t[heads]
         firsts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         words, total = h[firsts], np.add.reduceat(c, firsts)
-        kept = c >= 2
-        mass, types = np.add.reduceat(np.where(kept, c, 0), firsts), np.add.reduceat(kept.astype(np.int64), firsts)
-        some = types > 0
-        keys = np.concatenate([pair_key(h[kept], t[kept]), words[some] ^ MASS, words[some] ^ TYPES])
-        levels = quantise(np.concatenate([c[kept] - 1, mass[some], types[some]]))
+        types = np.diff(np.r_[firsts, len(h)])
+        keys, levels = np.concatenate([pair_key(h, t), words ^ TYPES]), quantise(np.concatenate([c, types]))
         return pa.table({
             "part": pa.array([table["part"][0].as_py()], pa.int32()), "words": pa.array([planes(words, 8)], pa.binary()),
             "totals": pa.array([planes(total, 8)], pa.binary()), "bits": pa.array([build_slice(keys, levels).tobytes()], pa.binary()),
@@ -268,9 +265,8 @@ def _scorer(shared, parts: int, total: int, distinct: int):
             counts[order[np.searchsorted(part[order], p) : np.searchsorted(part[order], p, "right")]] = unplanes(got[int(p)], 8).astype(np.int64)
         counts[np.searchsorted(words, END)] = counts[np.searchsorted(words, BEGIN)]
         some = np.flatnonzero(counts > 0)
-        mass, types = np.zeros(len(words)), np.zeros(len(words))
-        mass[some] = np.minimum(restored(slices.levels(words[some], words[some] ^ MASS)), counts[some])
-        types[some] = np.minimum(restored(slices.levels(words[some], words[some] ^ TYPES)), mass[some])
+        types = np.zeros(len(words))
+        types[some] = np.minimum(restored(slices.levels(words[some], words[some] ^ TYPES)), counts[some])
         here = slices.holds(words)
         floor = total + SMOOTH * (distinct + 1)
         names = ["n_tokens", "n_known", "base_score", "score"]
@@ -282,11 +278,11 @@ def _scorer(shared, parts: int, total: int, distinct: int):
             share = (counts[t] + SMOOTH) / floor
             base = np.log10(share)
             levels = np.zeros(len(t), np.int64)
-            may = np.flatnonzero((types[h] > 0) & (counts[t] > 1))
+            may = np.flatnonzero((types[h] > 0) & (counts[t] > 0))
             levels[may] = slices.levels(history[may], pair_key(history[may], token[may]))
-            pairs = np.where(levels > 0, restored(levels) + 1, 0.0)
+            pairs = restored(levels)
             seen = counts[h] + types[h]
-            chance = np.where(seen > 0, (pairs + (counts[h] - mass[h] + types[h]) * share) / np.maximum(seen, 1), share)
+            chance = np.where(seen > 0, (pairs + types[h] * share) / np.maximum(seen, 1), share)
             value = np.where(here[h], np.log10(np.clip(chance, 1e-300, 1.0)), 0.0)
             firsts = bounds[:-1]
             out["n_tokens"].append(np.diff(bounds))

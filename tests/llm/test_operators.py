@@ -215,6 +215,37 @@ def test_lm_waves_give_the_same(spark, texts):
     assert one == many
 
 
+def brute_scores(train, rows):
+    """The formula of the model with quantised counts of all bigrams."""
+    level = lambda c: float(lm_score.restored(lm_score.quantise(np.array([c])))[0])
+    chain = lambda t: list(itertools.pairwise(["<", *words(t), ">"]))
+    pairs = collections.Counter(p for t in train for p in chain(t))
+    counts, types, uni = collections.Counter(), collections.Counter(h for h, _ in pairs), collections.Counter()
+    for (h, w), c in pairs.items():
+        counts[h] += c
+        uni[w] += c
+    total, out = sum(uni.values()), {}
+    for k, text in rows:
+        out[k] = 0.0
+        for h, w in chain(text):
+            share = (uni[w] + 0.1) / (total + 0.1 * (len(uni) + 1))
+            kinds = min(level(types[h]), counts[h]) if types[h] else 0
+            seen = level(pairs[h, w]) if pairs[h, w] else 0.0
+            out[k] += math.log10(min(1.0, (seen + kinds * share) / (counts[h] + kinds)) if counts[h] else share)
+    return out
+
+
+def test_lm_counts_every_bigram(spark, texts):
+    """A bigram met once scores higher than an unseen one, as in the formula."""
+    rows = [r for r in texts[:60] if r[0] != 8] + [(900, "solo " + " ".join(f"once{k} seen{k}" for k in range(40)))]
+    want = brute_scores([t for _, t in rows], rows)
+    found = {r.doc_id: r.score for r in lm_score.score(frame(spark, rows)).collect()}
+    # the filter may take a few unseen pairs or levels for met ones
+    close = [abs(found[k] - want[k]) <= 0.02 * abs(want[k]) + 1e-6 for k in want]
+    assert sum(close) > 0.9 * len(close)
+    assert found[900] == pytest.approx(want[900], rel=0.05)
+
+
 def test_filter_gives_counts_back():
     import numpy as np
 
