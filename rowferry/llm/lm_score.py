@@ -93,9 +93,6 @@ class Slices:
             at += len(body) * 8
         self.bits = np.frombuffer(b"".join(bodies), np.uint8)
 
-    def holds(self, history: np.ndarray) -> np.ndarray:
-        return self.size[(history % np.uint64(self.parts)).astype(np.int64)] > 0
-
     def levels(self, history: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Quantised count of each key, by probing one level after the other."""
         out = np.zeros(len(keys), np.int64)
@@ -239,7 +236,7 @@ def score(docs: DataFrame, train: Column | None = None, key: str = "doc_id", tex
         slices = {r["part"]: bytes(r["bits"]) for r in model.filter(F.col("part") % waves == wave).select("part", "bits").toLocalIterator()}
         shared = spark.sparkContext.broadcast(slices)
         part_scores = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-            _scorer(shared, parts, total, distinct), "doc_id long, uid long, n_tokens long, n_known long, base_score double, score double"
+            _scorer(shared, parts, wave, waves, total, distinct), "doc_id long, uid long, n_tokens long, n_known long, base_score double, score double"
         )
         found = part_scores if found is None else found.unionByName(part_scores)
     if waves > 1:
@@ -250,8 +247,11 @@ def score(docs: DataFrame, train: Column | None = None, key: str = "doc_id", tex
     return found.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scorer(shared, parts: int, total: int, distinct: int):
-    """The function that scores a block with the counts of its words."""
+def _scorer(shared, parts: int, wave: int, waves: int, total: int, distinct: int):
+    """The function that scores a block with the counts of its words.
+
+    A wave has the histories of its parts, also of those that learned nothing.
+    """
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         slices = Slices(shared.value, parts)
@@ -267,7 +267,7 @@ def _scorer(shared, parts: int, total: int, distinct: int):
         some = np.flatnonzero(counts > 0)
         types = np.zeros(len(words))
         types[some] = np.minimum(restored(slices.levels(words[some], words[some] ^ TYPES)), counts[some])
-        here = slices.holds(words)
+        here = part % waves == wave
         floor = total + SMOOTH * (distinct + 1)
         names = ["n_tokens", "n_known", "base_score", "score"]
         out: dict[str, list] = {n: [] for n in names}

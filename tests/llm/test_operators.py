@@ -246,6 +246,15 @@ def test_lm_counts_every_bigram(spark, texts):
     assert found[900] == pytest.approx(want[900], rel=0.05)
 
 
+def test_lm_scores_histories_of_empty_parts(spark):
+    """Few training words and many parts: what follows an unseen word has its share, in any number of waves."""
+    rows = [(0, "a b c"), (1, "a b"), (2, " ".join(f"new{k}" for k in range(50))), (3, "a new1 b")]
+    docs, want = frame(spark, rows), brute_scores(["a b c", "a b"], rows)
+    for size in (lm_score.WAVE_BYTES, 20):
+        found = {r.doc_id: r.score for r in lm_score.score(docs, docs["doc_id"] < 2, wave_bytes=size).collect()}
+        assert all(found[k] == pytest.approx(want[k], rel=0.02) for k in want), (size, found, want)
+
+
 def test_filter_gives_counts_back():
     import numpy as np
 
