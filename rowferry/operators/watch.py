@@ -24,12 +24,16 @@ from rowferry.session import freeze
 
 @dataclass(frozen=True)
 class WatchState:
-    """What one strategy remembers between polls."""
+    """What one strategy remembers between polls.
+
+    ``blank`` holds the keys of the sent rows without a tracked value.
+    """
 
     kind: str
     cursor: Any = None
     keys: DataFrame | None = field(default=None, compare=False)
     polls: int = 0
+    blank: DataFrame | None = field(default=None, compare=False)
 
 
 def empty_state(strategy: WatchStrategy) -> WatchState:
@@ -42,9 +46,13 @@ def state_for(strategy: WatchStrategy, state: WatchState | None) -> WatchState:
 
 
 def state_to_json(state: WatchState, keys_path: str | None = None) -> str:
-    """Portable text of a state; its key table is saved to ``keys_path``."""
+    """Portable text of a state; its key tables are saved to ``keys_path`` and beside it."""
     if state.keys is not None:
         state.keys.write.parquet(keys_path)
+    if state.blank is not None:
+        if keys_path is None:
+            raise ValueError("a state with keys needs a path for them")
+        state.blank.write.parquet(f"{keys_path}-blank")
     value = state.cursor.isoformat() if hasattr(state.cursor, "isoformat") else state.cursor
     return json.dumps(
         {
@@ -53,6 +61,7 @@ def state_to_json(state: WatchState, keys_path: str | None = None) -> str:
             "stamp": hasattr(state.cursor, "isoformat"),
             "keys": keys_path if state.keys is not None else None,
             "polls": state.polls,
+            "blank": f"{keys_path}-blank" if state.blank is not None else None,
         }
     )
 
@@ -67,7 +76,8 @@ def state_from_json(spark: SparkSession, strategy: WatchStrategy, text: str | No
         if stored["stamp"]:
             cursor = dt.datetime.fromisoformat(cursor)
         keys = spark.read.parquet(stored["keys"]) if stored["keys"] else None
-        state = WatchState(stored["kind"], cursor, keys, stored["polls"])
+        blank = spark.read.parquet(stored["blank"]) if stored.get("blank") else None
+        state = WatchState(stored["kind"], cursor, keys, stored["polls"], blank)
     except (TypeError, ValueError, KeyError):
         return empty_state(strategy)
     return state_for(strategy, state)
@@ -78,6 +88,15 @@ def _check_cap(limit: int) -> None:
         raise ValueError(f"a poll takes 1 to {MAX_PER_POLL} rows, not {limit}")
 
 
+def _blank_keys(df: DataFrame, strategy: WatchStrategy, keys: Sequence[str]) -> DataFrame | None:
+    """Keys of the rows without a tracked value; None where the column always has one."""
+    if not df.select(strategy.column).schema[0].nullable:
+        return None
+    return df.where(F.col(strategy.column).isNull()).select(
+        row_key(df.schema, list(keys)).alias("_key")
+    )
+
+
 def watch_page(
     df: DataFrame,
     strategy: WatchStrategy,
@@ -88,8 +107,9 @@ def watch_page(
     """Rows of the next poll in order, without those already sent.
 
     The boundary keys are taken out before the limit, so an instant with more
-    rows than a page still moves on. Rows without a tracked value come last
-    and never hold the cursor back. A snapshot poll takes all unseen rows.
+    rows than a page still moves on. Rows without a tracked value come last,
+    never hold the cursor back, and are sent once per key, in whichever page has
+    room for them. A snapshot poll takes all unseen rows.
     """
     _check_cap(limit)
     if strategy.kind == "snapshot":
@@ -98,7 +118,11 @@ def watch_page(
             unseen = unseen.join(state.keys.select("_key"), "_key", "left_anti")
         return unseen.drop("_key")
     tracked = F.col(strategy.column)
-    rows = df
+    blank = df.where(tracked.isNull())
+    if state.blank is not None:
+        blank = blank.withColumn("_key", row_key(df.schema, list(keys)))
+        blank = blank.join(state.blank, "_key", "left_anti").drop("_key")
+    rows = df if state.blank is None else df.where(tracked.isNotNull())
     if state.cursor is not None:
         bound = value_literal(state.cursor)
         rows = df.where(tracked > bound if strategy.kind == "increment" else tracked >= bound)
@@ -109,6 +133,8 @@ def watch_page(
             )
             fresh = at_bound.join(state.keys, "_key", "left_anti").drop("_key")
             rows = rows.where(tracked > bound).unionByName(fresh)
+    if state.blank is not None or state.cursor is not None:
+        rows = rows.unionByName(blank)
     ties = [F.col(k).asc_nulls_first() for k in keys if k != strategy.column]
     return top_rows(rows, [tracked.asc_nulls_last(), *ties], limit)
 
@@ -126,17 +152,20 @@ def watch_poll(
     if strategy.kind == "snapshot":
         return page, _next_snapshot(page, strategy, state, keys)
     newest = page.agg(F.max(strategy.column)).first()[0]
+    blank, sent = state.blank, _blank_keys(page, strategy, keys)
+    if sent is not None and not sent.isEmpty():
+        blank = freeze(sent if blank is None else blank.unionByName(sent), "blank")
     if newest is None:
-        return page, replace(state, polls=state.polls + 1)
+        return page, replace(state, polls=state.polls + 1, blank=blank)
     if strategy.kind == "increment":
-        return page, WatchState("increment", newest, None, state.polls + 1)
+        return page, WatchState("increment", newest, None, state.polls + 1, blank)
     boundary = page.where(F.col(strategy.column) == value_literal(newest)).select(
         row_key(page.schema, list(keys)).alias("_key")
     )
     if newest == state.cursor and state.keys is not None:
         boundary = boundary.unionByName(state.keys).distinct()
     return page, WatchState(
-        "timestamp", newest, freeze(boundary, "boundary"), state.polls + 1
+        "timestamp", newest, freeze(boundary, "boundary"), state.polls + 1, blank
     )
 
 
@@ -164,14 +193,16 @@ def watch_start_now(
         )
         return WatchState("snapshot", None, freeze(present, "seen"), 0)
     newest = df.agg(F.max(strategy.column)).first()[0]
+    blank = _blank_keys(df, strategy, keys)
+    blank = None if blank is None else freeze(blank, "blank")
     if newest is None:
-        return empty_state(strategy)
+        return replace(empty_state(strategy), blank=blank)
     if strategy.kind == "increment":
-        return WatchState("increment", newest)
+        return WatchState("increment", newest, blank=blank)
     boundary = df.where(F.col(strategy.column) == value_literal(newest)).select(
         row_key(df.schema, list(keys)).alias("_key")
     )
-    return WatchState("timestamp", newest, freeze(boundary, "boundary"))
+    return WatchState("timestamp", newest, freeze(boundary, "boundary"), blank=blank)
 
 
 def watch_drain(

@@ -60,6 +60,21 @@ def test_nulls_never_move_or_reset_the_cursor(spark):
     assert ids(page) == [1, 2] and state.cursor == T0
 
 
+@pytest.mark.parametrize("strategy", [WatchStrategy("increment", "n"), WatchStrategy("timestamp", "n")])
+@pytest.mark.parametrize("limit", [7, 100])
+def test_rows_without_a_tracked_value_arrive_once(spark, tmp_path, strategy, limit):
+    df = spark.range(30).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") < 20, F.col("id")).alias("n"))
+    seen, state = [], None
+    for _ in range(6):
+        page, state = watch_poll(df, strategy, state, ["id"], limit)
+        seen += ids(page)
+    assert sorted(seen) == list(range(30))
+    text = state_to_json(state, str(tmp_path / "keys"))
+    more = df.unionByName(spark.createDataFrame([(99, None)], "id int, n long"))
+    for known in (state_from_json(spark, strategy, text), watch_start_now(df, strategy, ["id"])):
+        assert ids(watch_poll(more, strategy, known, ["id"], limit)[0]) == [99]
+
+
 def test_timestamp_ties_arrive_once(spark):
     before = stamped(spark, (1, T0), (2, T0))
     page, state = watch_poll(before, STAMP, None, ["id"])
