@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import bpe, chat, decontaminate, language, lm_score, ngram_join, quality, suffix_dedup, toxicity, url_filter
+from rowferry.llm import (
+    bpe, chat, decontaminate, language, lm_score, merkle, ngram_join, quality, spelling, substring_dedup, suffix_dedup, toxicity, url_filter,
+)
 from rowferry.llm.url_filter import Rule
 
 TOKENIZER = "word_bpe_49k.json"
@@ -178,3 +180,132 @@ FROM figures"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE
+rows_ AS (
+  SELECT doc_id, source, array_to_string(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text],
+      lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END), '') AS body,
+    array_to_string(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, replace(text, chr(10), '')],
+      lambda v: CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END), '') AS cut,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+        lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(body) AS leaf, CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(cut) ELSE sha256(body) END AS start,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS total FROM rows_),
+low(source, level, place, total, digest) AS (
+  SELECT source, 0::BIGINT, place, total, leaf FROM leaves
+  UNION ALL
+  SELECT source, level + 1, place // 3, (total + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM low WHERE total > 1 GROUP BY source, level, place // 3, total),
+subroots AS (
+  SELECT source, digest AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS total
+  FROM low WHERE total = 1),
+high(level, place, total, digest) AS (
+  SELECT 0::BIGINT, place, total, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, (total + 2) // 3, sha256(string_agg(digest, '' ORDER BY place))
+  FROM high WHERE total > 1 GROUP BY level, place // 3, total),
+way(doc_id, source, level, place, total, digest, sent) AS (
+  SELECT doc_id, source, 0::BIGINT, place, total, start, '' FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.source, w.level + 1, w.place // 3, (w.total + 2) // 3,
+    sha256(coalesce(a2.digest, '') || coalesce(a1.digest, '') || w.digest || coalesce(b1.digest, '') || coalesce(b2.digest, '')),
+    w.sent || coalesce(a2.digest, '') || coalesce(a1.digest, '') || coalesce(b1.digest, '') || coalesce(b2.digest, '')
+  FROM way w
+  LEFT JOIN low a2 ON w.source IS NOT DISTINCT FROM a2.source AND a2.level = w.level AND a2.place = w.place - 2 AND w.place % 3 = 2
+  LEFT JOIN low a1 ON w.source IS NOT DISTINCT FROM a1.source AND a1.level = w.level AND a1.place = w.place - 1 AND w.place % 3 >= 1
+  LEFT JOIN low b1 ON w.source IS NOT DISTINCT FROM b1.source AND b1.level = w.level AND b1.place = w.place + 1 AND w.place % 3 <= 1
+  LEFT JOIN low b2 ON w.source IS NOT DISTINCT FROM b2.source AND b2.level = w.level AND b2.place = w.place + 2 AND w.place % 3 = 0
+  WHERE w.total > 1),
+over_(doc_id, source, level, place, total, digest, sent) AS (
+  SELECT w.doc_id, w.source, 0::BIGINT, s.place, s.total, w.digest, w.sent
+  FROM way w JOIN subroots s ON w.source IS NOT DISTINCT FROM s.source WHERE w.total = 1
+  UNION ALL
+  SELECT w.doc_id, w.source, w.level + 1, w.place // 3, (w.total + 2) // 3,
+    sha256(coalesce(a2.digest, '') || coalesce(a1.digest, '') || w.digest || coalesce(b1.digest, '') || coalesce(b2.digest, '')),
+    w.sent || coalesce(a2.digest, '') || coalesce(a1.digest, '') || coalesce(b1.digest, '') || coalesce(b2.digest, '')
+  FROM over_ w
+  LEFT JOIN high a2 ON a2.level = w.level AND a2.place = w.place - 2 AND w.place % 3 = 2
+  LEFT JOIN high a1 ON a1.level = w.level AND a1.place = w.place - 1 AND w.place % 3 >= 1
+  LEFT JOIN high b1 ON b1.level = w.level AND b1.place = w.place + 1 AND w.place % 3 <= 1
+  LEFT JOIN high b2 ON b2.level = w.level AND b2.place = w.place + 2 AND w.place % 3 = 0
+  WHERE w.total > 1)
+SELECT l.doc_id, l.leaf, s.subroot, h.digest AS root, sha256(o.sent) AS proof_sha256, o.digest AS folded_root, o.digest = h.digest AS verified
+FROM leaves l JOIN over_ o ON l.doc_id = o.doc_id AND o.total = 1
+JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN high h ON h.total = 1"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether it still folds to the root after tampering."""
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS win FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+lost AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM windows) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM lost),
+places AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM docs),
+kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY k) AS body FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.k = g.k GROUP BY w.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM docs d LEFT JOIN places USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op12_substring_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that every document loses to earlier documents, and the digest of the others."""
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+bits(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+step AS (SELECT i, c FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY doc_id, run),
+coded AS (SELECT doc_id, run, n, hex(encode(doc_id || ':' || run)) AS bytes FROM runs WHERE length(run) >= 6),
+sums(doc_id, run, n, bytes, byte, crc) AS (
+  SELECT doc_id, run, n, bytes, 1, 4294967295::BIGINT FROM coded
+  UNION ALL
+  SELECT doc_id, run, n, bytes, byte + 2, xor(crc >> 8, c)
+  FROM sums JOIN step ON i = xor(crc, ('0x' || substr(bytes, byte, 2))::BIGINT) & 255 WHERE byte < length(bytes)),
+checked AS (SELECT run, n, xor(crc, 4294967295) AS h FROM sums WHERE byte > length(bytes)),
+slipped AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM checked),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+shorter AS (
+  SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near FROM shorter a JOIN shorter b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT p.word, count(*) AS n_near, min(struct_pack(minus := -w.n, name := p.near)) AS top FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -top.minus >= 5 * w.n THEN top.name END AS form,
+    CASE WHEN -top.minus >= 5 * w.n THEN -top.minus END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+chain(word, root, next) AS (
+  SELECT word, word, form FROM forms
+  UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN forms f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent form and root of every word of the documents."""
+    return spelling.report(table(spark, sf_dir, "documents"))
