@@ -33,6 +33,8 @@ from rowferry.operators.skew import group_for_join
 FAN = 3
 LEVELS = 6
 BLOCK = FAN**LEVELS
+# groups whose counts go to every task; with more, rows and counts are joined by a shuffle
+BROADCAST_GROUPS = 50_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<before:string,after:string>>"
 
@@ -63,7 +65,8 @@ def climb_block(nodes: DataFrame) -> DataFrame:
 
     nodes: group, place (0-based, dense), total (nodes of the group), digest.
     """
-    rows = nodes.withColumn("block", F.expr(f"place div {BLOCK}"))
+    # named, or windows would stay where a join by the group alone has put the rows
+    rows = nodes.withColumn("block", F.expr(f"place div {BLOCK}")).repartition("group", "block")
     block = Window.partitionBy("group", "block").orderBy("place")
     so_far = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for level in range(LEVELS):
@@ -125,7 +128,9 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "source", fields
         *[c.alias(name) for name, c in carried.items()],
     )
     numbered = row_index_sequence(leaves, [Sort("group"), Sort("key"), Sort("leaf")], index="row").drop("sequence")
-    counts = group_for_join(numbered, {"group": F.col("group")}, F.min("row").alias("first"), F.count("*").alias("total"))
+    counts = space.keep(group_for_join(numbered, {"group": F.col("group")}, F.min("row").alias("first"), F.count("*").alias("total")), "groups")
+    if counts.count() <= BROADCAST_GROUPS:
+        counts = F.broadcast(counts)
     nodes = numbered.join(counts, "group").withColumn("place", F.col("row") - F.col("first")).withColumn("digest", F.col("leaf")).drop("row", "first")
     rows, above, tops = climb(space, nodes, "merkle")
 

@@ -66,6 +66,7 @@ def manifest_of(rows):
 def test_manifest(spark, monkeypatch, levels):
     monkeypatch.setattr(merkle, "LEVELS", levels)
     monkeypatch.setattr(merkle, "BLOCK", 3**levels)
+    monkeypatch.setattr(merkle, "BROADCAST_GROUPS", 50_000 if levels == 6 else 2)
     rng = random.Random(1)
     texts = [None, "", "a\nb", "ünï\n\n漢", "x" * 5000 + "\n", "plain"]
     rows = [(k, "big", rng.choice(texts)) for k in range(40)]
