@@ -303,11 +303,11 @@ def lost_of(data: DataFrame) -> tuple[Workspace, DataFrame]:
             lost.append(_subtrees(rows, parts))
             continue
         lost.append(_subtrees(rows.join(large, "key", "left_anti"), parts))
-        same, half = Window.partitionBy("key", "same"), (WINDOW - length + 1) // 2
-        cut = _split(rows.join(large, "key", "left_semi"), length).withColumns({
-            "least": F.min("doc").over(same), "nth": F.row_number().over(Window.partitionBy("key", "same", "doc", "span", "at").orderBy("lead")),
-        })
-        cut = space.keep(cut.filter("nth = 1"), "longer")
+        half = (WINDOW - length + 1) // 2
+        # equal words of one document are one row, and the smallest document is found before rows of equal words meet
+        cut = space.keep(_split(rows.join(large, "key", "left_semi"), length).dropDuplicates(["key", "same", "doc", "span", "at"]), "longer")
+        least = group_for_join(cut, {"key": F.col("key"), "same": F.col("same")}, F.min("doc").alias("least"))
+        cut = space.keep(cut.join(least, ["key", "same"]), "least")
         lost.append(cut.filter("doc > least").select("doc", "span", F.col("at").alias("first"), (F.col("at") + F.col("size") - 1).alias("last")))
         # several runs of the smallest document may hold the same words: all of them stay, one is enough to compare
         for longer in {length + half, WINDOW - half + 1}:
