@@ -78,6 +78,12 @@ class Target:
     def label(self) -> str:
         return f"{self.schema}.{self.table}" if self.schema else self.table
 
+    def matched_by(self) -> tuple[str, ...]:
+        """The key columns, which a target that replaces rows has to have."""
+        if self.write_mode == "upsert" and not self.key_columns:
+            raise ValueError(f"{self.label} replaces rows by key and names no key column")
+        return self.key_columns
+
 
 @dataclass(frozen=True)
 class Payload:

@@ -39,11 +39,10 @@ def write_target(
         return write(current, mapped, target.key_columns, order, op)
     if target.write_mode == "insert":
         return insert_rows(current, image)
-    if not target.key_columns:
-        raise ValueError("upsert needs at least one key column; set keys or use insert mode")
+    keys = target.matched_by()
     if not order:
-        return upsert_rows(current, image, target.key_columns, partial=True)
-    return upsert_rows(current, mapped, target.key_columns, order, partial=True)
+        return upsert_rows(current, image, keys, partial=True)
+    return upsert_rows(current, mapped, keys, order, partial=True)
 
 
 def fan_out(

@@ -54,9 +54,7 @@ def _write(rows: DataFrame, target: Target, table: SnapshotTable, batch_id: str)
     if target.write_mode == "insert":
         table.apply(mapped.drop("row_index"), insert_rows, batch_id)
         return None
-    if not target.key_columns:
-        raise ValueError("upsert needs at least one key column; set keys or use insert mode")
-    if list(target.key_columns) != table.keys:
+    if list(target.matched_by()) != table.keys:
         raise ValueError(f"the keys of {target.label} differ from those of its table")
     valid, rejects = split_null_keys(mapped, target.key_columns)
 

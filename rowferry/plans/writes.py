@@ -206,8 +206,8 @@ _ABSENT = Target("absent", key_columns=("c_custkey",), create_missing=False)
     """SELECT target, status, error, CASE status WHEN 'failed' THEN 0 ELSE (SELECT count(*) FROM customer) END AS affected,
               'failed' AS outcome
        FROM (VALUES ('crm.people', 'success', NULL), ('copies', 'success', NULL),
-                    ('keyless', 'failed', 'upsert needs at least one key column; set keys or use insert mode'),
-                    ('absent', 'failed', 'target table ''absent'' does not exist (auto-create is off)'))
+                    ('keyless', 'failed', 'keyless replaces rows by key and names no key column'),
+                    ('absent', 'failed', 'there is no absent, and the bridge may not make one'))
             v(target, status, error)""",
 )
 def _(t):
