@@ -1,8 +1,9 @@
 """All-or-nothing publication of a target written by Spark jobs.
 
 A target is a folder of parquet data plus one small marker file per version.
-A marker says which data folder holds each key bucket, which log position has
-been reached and which batches went in lately. It is written in full
+A marker says which data folders hold each key bucket, which log position has
+been reached, which batches went in lately and where the spans of rows are that
+each run has delivered. It is written in full
 under another name and renamed without overwrite, so exactly one writer publishes a version, and readers see either
 the old or the new version. Only the newest marker is ever read.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.literals import named
+from rowferry.operators.merge import insert_rows
+from rowferry.operators.progress import SPANS, merge_spans
 
 # what a write to a target may fail with; one target's failure leaves the others alone
 WRITE_ERRORS = (ValueError, KeyError, RuntimeError, PySparkException, Py4JError)
@@ -33,9 +36,10 @@ REMEMBERED_BATCHES = 1000
 @dataclass(frozen=True)
 class Version:
     number: int = 0
-    layout: dict[str, str] = field(default_factory=dict)
+    layout: dict[str, list[str]] = field(default_factory=dict)
     position: list | None = None
     batches: list[str] = field(default_factory=list)
+    delivered: str | None = None
 
 
 class SnapshotTable:
@@ -124,13 +128,22 @@ class SnapshotTable:
         layout = (version or self.version()).layout
         chosen = [
             f"{self.path}/{folder}/{BUCKET}={bucket}"
-            for bucket, folder in layout.items()
+            for bucket, folders in layout.items()
             if buckets is None or int(bucket) in buckets
+            for folder in folders
         ]
         if not chosen:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*chosen)
 
+    def delivered(self, run_id: str | None = None, version: Version | None = None) -> DataFrame:
+        """The spans of rows that a run, or each run, has delivered to this target."""
+        folder = (version or self.version()).delivered
+        if folder is None:
+            return self.spark.createDataFrame([], SPANS)
+        spans = self.spark.read.schema(SPANS).parquet(f"{self.path}/{folder}")
+        return spans if run_id is None else spans.where(F.col("run_id") == run_id)
+
     # writing -----------------------------------------------------------------
 
     def reject(self, rows: DataFrame, batch_id: str) -> None:
@@ -148,19 +161,26 @@ class SnapshotTable:
     def apply(
         self,
         delta: DataFrame,
-        merge: Callable[[DataFrame, DataFrame], DataFrame],
+        merge: Callable[[DataFrame, DataFrame], DataFrame] | None,
         batch_id: str,
         position: Sequence[str] = (),
+        spans: DataFrame | None = None,
+        base: Version | None = None,
     ) -> bool:
         """Merge a delta and publish; False when the batch went in before.
 
+        Without ``merge`` the rows are added to their buckets, and nothing that
+        is there is read or written again. ``spans`` are the rows of a run that
+        the delta holds; they become part of the version. With ``base`` the
+        delta was made for that version, and any other is refused.
+
         ``delta`` is evaluated more than once and must be stable (a frozen
         table). Only buckets with a key in it are read and rewritten; keys are
         unique in a target, so hashing them gives even buckets. ``position``
         names the columns of the log position (numbers or text), of which the
         highest is stored.
         """
-        current = self.version()
+        current = base or self.version()
         if batch_id in current.batches:
             return False
         reached = F.max(F.struct(*position)) if position else F.lit(None).cast("int")
@@ -174,7 +194,7 @@ class SnapshotTable:
         layout = dict(current.layout)
         if touched:
             folder = f"data/{uuid.uuid4().hex}"
-            merged = merge(self.read(current, list(touched)), delta)
+            merged = merge(self.read(current, list(touched)), delta) if merge else self._as_rows(delta)
             # a value that does not fit fails the batch here, not the readers later
             merged = merged.select(*[named(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
             # rebalancing puts a bucket in few files and splits a large one over tasks
@@ -183,9 +203,14 @@ class SnapshotTable:
             ).parquet(f"{self.path}/{folder}")
             filled = self._names(folder)
             for bucket in touched:
+                kept = [] if merge else layout.get(str(bucket), [])
                 layout.pop(str(bucket), None)
-                if f"{BUCKET}={bucket}" in filled:
-                    layout[str(bucket)] = folder
+                if kept or f"{BUCKET}={bucket}" in filled:
+                    layout[str(bucket)] = [*kept, *([folder] if f"{BUCKET}={bucket}" in filled else [])]
+        progress = current.delivered
+        if spans is not None:
+            progress = f"data/{uuid.uuid4().hex}"
+            merge_spans(self.delivered(version=current).unionByName(spans)).write.parquet(f"{self.path}/{progress}")
         seen = [list(r) for r in touched.values() if r is not None]
         self._publish(
             Version(
@@ -193,17 +218,23 @@ class SnapshotTable:
                 layout,
                 max([*seen, *([current.position] if current.position else [])], default=None),
                 [*current.batches, batch_id][-REMEMBERED_BATCHES:],
+                progress,
             )
         )
         return True
 
+    def _as_rows(self, delta: DataFrame) -> DataFrame:
+        """Rows in the columns of the target; those they lack are NULL."""
+        return insert_rows(self.spark.createDataFrame([], self.schema), delta)
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Remove data folders that the newest ``keep`` versions do not use.
 
         To be run while no writer is at work: its folder is in no version yet.
         """
         markers = [n for n in self._names("_versions") if n.endswith(".json")]
-        used = {f for name in markers[-max(keep, 1) :] for f in self._marker(name).layout.values()}
+        held = [self._marker(name) for name in markers[-max(keep, 1) :]]
+        used = {f for v in held for folders in v.layout.values() for f in folders} | {v.delivered for v in held}
         stale = [f"data/{n}" for n in self._names("data") if f"data/{n}" not in used]
         for name in stale:
             path, fs = self._folder(name)

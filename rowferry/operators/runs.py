@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.config import SETTLED_DELIVERY_STATUSES, Bridge, ColumnMapping, Sort, Target
+from rowferry.functions.literals import named
 from rowferry.operators.commit import WRITE_ERRORS, SnapshotTable
 from rowferry.operators.ledger import record_deliveries
-from rowferry.operators.merge import insert_rows, split_null_keys, upsert_rows
+from rowferry.operators.merge import split_null_keys, upsert_rows
 from rowferry.operators.paging import resolve_order
 from rowferry.operators.payload import payload_outbox
+from rowferry.operators.progress import outside_spans, spans_of
 from rowferry.operators.projection import map_columns
 from rowferry.operators.row_index import row_index_sequence
 from rowferry.operators.watch import WatchState, watch_poll
@@ -47,36 +50,114 @@ def _numbered(source: DataFrame, bridge: Bridge) -> DataFrame:
     return row_index_sequence(rows, order, bridge.primary_key, bridge.delivery.batch_size)
 
 
-def _write(rows: DataFrame, target: Target, table: SnapshotTable, batch_id: str) -> DataFrame | None:
-    """Write mapped rows to one target as one version; returns the rejects."""
-    mapping = [*target.mapping, ColumnMapping("row_index", "row_index")] if target.mapping else ()
-    mapped = map_columns(rows.drop("sequence"), mapping)
-    if target.write_mode == "insert":
-        table.apply(mapped.drop("row_index"), insert_rows, batch_id)
-        return None
-    if list(target.matched_by()) != table.keys:
-        raise ValueError(f"the keys of {target.label} differ from those of its table")
-    valid, rejects = split_null_keys(mapped, target.key_columns)
+@dataclass(frozen=True)
+class _Delivery:
+    """The rows of one target in its columns, what it refuses, or why it takes nothing."""
+
+    target: Target
+    table: SnapshotTable | None = None
+    rows: DataFrame | None = None
+    refusal: Column | None = None
+    error: str | None = None
+
+
+def _refusal(rows: DataFrame, target: Target, table: SnapshotTable) -> Column | None:
+    """The first reason why a row does not fit the target; None if all rows fit by their types.
+
+    NULL keys are no reason: their rows are rejects.
+    """
+    reasons = []
+    for wanted in table.schema:
+        key = wanted.name in target.key_columns and target.write_mode == "upsert"
+        given = rows.schema[wanted.name] if wanted.name in rows.columns else None
+        column = named(wanted.name) if given else F.lit(None)
+        if given and given.dataType != wanted.dataType:
+            misfit = column.isNotNull() & column.try_cast(wanted.dataType).isNull()
+            reasons.append(F.when(misfit, f"{wanted.name} is no {wanted.dataType.simpleString()}"))
+        if not wanted.nullable and not key and (given is None or given.nullable):
+            reasons.append(F.when(column.isNull(), f"{wanted.name} has no value"))
+    return F.coalesce(*reasons) if reasons else None
+
+
+def _prepare(rows: DataFrame, target: Target, tables: Mapping[str, SnapshotTable]) -> _Delivery:
+    try:
+        table = tables[target.label]
+        if target.write_mode == "upsert" and list(target.matched_by()) != table.keys:
+            raise ValueError(f"the keys of {target.label} differ from those of its table")
+        numbers = [ColumnMapping(c, c) for c in ("row_index", "sequence")]
+        mapped = map_columns(rows, [*target.mapping, *numbers] if target.mapping else ())
+        unknown = [c for c in mapped.columns if c not in (*table.schema.names, "row_index", "sequence")]
+        if unknown:
+            raise ValueError(f"the target has no column {unknown}")
+        return _Delivery(target, table, mapped, _refusal(mapped, target, table))
+    except WRITE_ERRORS as error:
+        return _Delivery(target, error=f"{target.label}: {error}")
+
 
-    def merge(current: DataFrame, delta: DataFrame) -> DataFrame:
-        # several source rows may fall on one key: the last in source order wins
-        return upsert_rows(current, delta, target.key_columns, ["row_index"], partial=True)
+def _write(to: _Delivery, rows: DataFrame, run_id: str, refused: DataFrame | None) -> DataFrame | None:
+    """Publish the rows that the target does not have of this run; returns the rejects.
 
-    table.apply(valid, merge, batch_id)
+    The target's own version says what it has, so that what was published
+    before a crash, a failure of another target or a resume from further back
+    is never written twice.
+    """
+    version, pending = to.table.version(), rows
+    if version.delivered is not None:
+        pending = outside_spans(pending, to.table.delivered(run_id, version))
+    if refused is not None:
+        pending = pending.join(refused, "sequence", "left_anti")
+    if pending is not rows and pending.isEmpty():
+        return None
+    publish = partial(
+        to.table.apply, batch_id=f"{run_id}:{to.target.label}:{version.number + 1}", spans=spans_of(pending, run_id), base=version
+    )
+    mapped = pending.drop("sequence")
+    if to.target.write_mode == "insert":
+        publish(mapped.drop("row_index"), None)
+        return None
+    valid, rejects = split_null_keys(mapped, to.target.key_columns)
+    # several source rows may fall on one key: the last in source order wins
+    publish(valid, lambda current, delta: upsert_rows(current, delta, to.target.key_columns, ["row_index"], partial=True))
     return rejects
 
 
-def _outcomes(rows: DataFrame, run_id: str, status: str, error: str | None) -> DataFrame:
-    return rows.groupBy("sequence").agg(
-        F.min("row_index").alias("row_index"), F.count("*").alias("row_count")
-    ).select(
+def waves(first: int, last: int, abort: bool) -> Iterator[tuple[int, int]]:
+    """Ranges of sequences to deliver one after the other.
+
+    A run that stops at its first failure starts with one delivery and goes on
+    with ten times as many each time, so a target that takes nothing is noticed
+    at once and a healthy one costs few writes.
+    """
+    count = 1 if abort else last - first + 1
+    while first <= last:
+        yield first, min(last, first + count - 1)
+        first, count = first + count, count * 10
+
+
+def _outcomes(rows: DataFrame, run_id: str, faults: DataFrame | None, broken: Sequence[tuple[int, int, int, str]]) -> DataFrame:
+    """One row per delivery; its error is that of the first target that failed.
+
+    ``faults`` has the refused deliveries (sequence, place, error) by the place
+    of their target, ``broken`` the ranges that a whole target did not take.
+    """
+    counted = rows.groupBy("sequence").agg(F.min("row_index").alias("row_index"), F.count("*").alias("row_count"))
+    found = [
+        F.when(F.col("sequence").between(first, last), F.struct(F.lit(place).alias("place"), F.lit(text).alias("error")))
+        for place, first, last, text in broken
+    ]
+    if faults is not None:
+        first_fault = faults.groupBy("sequence").agg(F.min(F.struct("place", "error")).alias("fault"))
+        counted, found = counted.join(first_fault, "sequence", "left"), [*found, F.col("fault")]
+    none = F.lit(None).cast("struct<place:int,error:string>")
+    error = F.least(*found, none)["error"] if found else F.lit(None).cast("string")
+    return counted.select(
         F.lit(run_id).alias("run_id"),
         "sequence",
         "row_index",
         "row_count",
-        F.lit(status).alias("status"),
+        F.when(error.isNull(), "success").otherwise("failed").alias("status"),
         F.lit(1).alias("attempts"),
-        F.lit(error).cast("string").alias("error"),
+        error.alias("error"),
     )
 
 
@@ -94,9 +175,12 @@ def run_replay(
     """Copy a source to its targets; with a ledger, only what is not settled.
 
     The numbered source is a written table, so every target and the ledger see
-    the same rows. Each target gets all pending rows as one version. A
-    target that fails leaves the others written and the deliveries failed, and
-    running again sends them again, which changes nothing where they arrived.
+    the same rows. Each target gets the pending rows that it does not have yet,
+    as one version. A delivery with a row that does not fit a target, and any
+    delivery to a target that takes nothing, fails as a whole for that target
+    alone; running again sends it there and nowhere else. With ``on_error``
+    abort nothing after the first failed delivery is recorded or sent, but for
+    those written in one wave with it, which count as sent when the run goes on.
     """
     spark = source.sparkSession
     ledger = deliveries if deliveries is not None else empty_ledger(spark)
@@ -120,32 +204,52 @@ def run_replay(
 
 
 def _deliver(bridge, rows, tables, run_id, ledger, state=None, attempt=1) -> RunResult:
-    """Write rows to every target; a batch is named by the sequences it delivers.
+    """Write rows to every target and record each delivery.
 
-    The same sequences again are the same batch, which a target that has it
-    skips; other sequences are another batch. Attempts go on from the ledger's,
-    and are `attempt` at least.
+    Attempts go on from the ledger's, and are `attempt` at least.
     """
-    errors, rejects = [], None
-    span = rows.agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.sum(F.xxhash64("sequence").cast("decimal(20,0)")).alias("sum")).first()
-    tag = f"{span['first']}-{span['last']}-{span['sum']}"
-    for target in bridge.targets:
-        try:
-            refused = _write(
-                rows, target, tables[target.label], f"{run_id}:{target.label}:{tag}"
-            )
-        except WRITE_ERRORS as error:
-            errors.append(f"{target.label}: {error}")
-            continue
-        if refused is not None and rejects is None:
-            rejects = refused
-    status = "failed" if errors else "success"
+    span = rows.agg(F.min("sequence").alias("first"), F.max("sequence").alias("last")).first()
+    if span["first"] is None:
+        return RunResult(ledger, "completed", state=state)
+    abort = bridge.delivery.on_error == "abort"
+    targets = [_prepare(rows, target, tables) for target in bridge.targets]
+    faults, last = None, span["last"]
+    for place, to in enumerate(targets):
+        if to.refusal is not None:
+            error = F.concat(F.lit(f"{to.target.label}: "), F.min_by(to.refusal, "row_index")).alias("error")
+            found = to.rows.where(to.refusal.isNotNull()).groupBy("sequence").agg(error).withColumn("place", F.lit(place))
+            faults = found if faults is None else faults.unionByName(found)
+    if faults is not None:
+        faults = freeze(faults, "faults")
+        stop = faults.agg(F.min("sequence")).first()[0] if abort else None
+        last = last if stop is None else stop
+    rejects, broken = None, []
+    for low, high in waves(span["first"], last, abort):
+        for place, to in enumerate(targets):
+            error = to.error
+            if error is None:
+                refused = None if faults is None else faults.where(F.col("place") == place).select("sequence")
+                try:
+                    left = _write(to, to.rows.where(F.col("sequence").between(low, high)), run_id, refused)
+                    rejects = left if rejects is None else rejects
+                except WRITE_ERRORS as failure:
+                    error = f"{to.target.label}: {failure}"
+            if error is not None:
+                broken.append((place, low, high, error))
+        if broken and abort:
+            # the first delivery of the wave is the first that failed
+            last = low
+            break
+    delivered = rows.where(F.col("sequence") <= last)
+    if faults is not None:
+        faults = faults.where(F.col("sequence") <= last)
     before = ledger.where(F.col("run_id") == run_id).select("sequence", F.col("attempts").alias("before"))
-    outcomes = _outcomes(rows, run_id, status, errors[0] if errors else None).join(before, "sequence", "left").withColumn(
+    outcomes = _outcomes(delivered, run_id, faults, broken).join(before, "sequence", "left").withColumn(
         "attempts", F.greatest(F.coalesce("before", F.lit(0)) + F.col("attempts"), F.lit(attempt)).cast("int")
     ).select(*ledger.columns)
     done = freeze(record_deliveries(ledger, outcomes), "ledger")
-    return RunResult(done, "failed" if errors else "completed", rejects, state=state)
+    failed = bool(broken) or (faults is not None and not faults.isEmpty())
+    return RunResult(done, "failed" if failed else "completed", rejects, state=state)
 
 
 def run_poll(

@@ -9,6 +9,7 @@ from rowferry.config import Bridge, ColumnMapping, Delivery, Filter, Target
 from rowferry.operators import ddl, merge, runs
 from rowferry.operators.commit import SnapshotTable, atomic_commit
 from rowferry.operators.fanout import fan_out, write_target
+from rowferry.operators.row_index import row_index_sequence
 from rowferry.plans.inputs import ORDER
 from rowferry.plans.registry import query
 from rowferry.session import scratch_path
@@ -420,3 +421,143 @@ def _(t):
     )
     runs.run_replay(bridge, t.orders, tables, "run-1", settled, attempt=2)
     return tables["large"].read()
+
+
+def _tables(t, label, schema, keys, *names):
+    return {name: SnapshotTable(t.spark, scratch_path(t.spark, f"{label}-{name}"), schema, keys, 8) for name in names}
+
+
+def _two_journals(batch_size):
+    """A bridge that appends orders to two tables."""
+    mapping = (ColumnMapping("o_orderkey", "id"), ColumnMapping("o_totalprice", "amount"))
+    return Bridge(
+        "journals", "orders", primary_key=("o_orderkey",),
+        targets=tuple(Target(name, write_mode="insert", mapping=mapping) for name in ("left", "right")),
+        delivery=Delivery(batch_size=batch_size),
+    )
+
+
+_AMOUNTS = T.StructType().add("id", T.LongType()).add("amount", T.DoubleType())
+
+
+def _both(tables):
+    left, right = (table.read().select(F.lit(name).alias("target"), "id", "amount") for name, table in tables.items())
+    return left.unionByName(right)
+
+
+_TWICE = "SELECT target, o_orderkey AS id, o_totalprice AS amount FROM orders, (VALUES ('left'), ('right')) v(target)"
+
+
+def _retried(t, label):
+    """A copy whose second target is missing, and its retry when an order more has come."""
+    bridge = _two_journals(7)
+    tables = _tables(t, label, _AMOUNTS, ["id"], "left", "right")
+    early = t.orders.join(t.orders.agg(F.max("o_orderkey").alias("newest")), F.col("o_orderkey") < F.col("newest"), "left_semi")
+    failed = runs.run_replay(bridge, early, {"left": tables["left"]}, "run-1")
+    return runs.run_replay(bridge, t.orders, tables, "run-1", failed.deliveries), tables
+
+
+@query("replay_retry_insert", _TWICE)
+def _(t):
+    """Both tables after the retry: every order once, in the one that had its rows as well."""
+    return _both(_retried(t, "retry")[1])
+
+
+@query(
+    "replay_retry_ledger",
+    """SELECT 'run-1' AS run_id, i // 7 AS sequence, min(i) AS row_index, count(*) AS row_count, 'success' AS status,
+              CAST(CASE WHEN i // 7 <= (SELECT count(*) - 2 FROM orders) // 7 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+              CAST(NULL AS VARCHAR) AS error
+       FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY i // 7""",
+)
+def _(t):
+    """The ledger after the retry."""
+    return _retried(t, "retry-ledger")[0].deliveries
+
+
+def _restarted(t, label):
+    """A copy that began in the middle, then from the start without a ledger."""
+    bridge = _two_journals(10)
+    tables = _tables(t, label, _AMOUNTS, ["id"], "left", "right")
+    runs.run_replay(bridge, t.orders, tables, "run-1", cursor_offset=500)
+    return runs.run_replay(bridge, t.orders, tables, "run-1"), tables
+
+
+@query("replay_resumed_from_start", _TWICE)
+def _(t):
+    """Both tables after a copy from offset 500 and the same copy from its start."""
+    return _both(_restarted(t, "restart")[1])
+
+
+@query("replay_spans", "SELECT target, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM orders, (VALUES ('left'), ('right')) v(target) GROUP BY target")
+def _(t):
+    """What each table knows to have of that run: one span of all rows."""
+    tables = _restarted(t, "spans")[1]
+    left, right = (table.delivered("run-1").select(F.lit(name).alias("target"), "first", "last") for name, table in tables.items())
+    return left.unionByName(right)
+
+
+# the highest price in the second half of the orders is no number
+_ODD = """
+    SELECT o_orderkey AS id, CASE WHEN o_totalprice > 400000 AND i >= n // 2 THEN 'much' ELSE CAST(o_totalprice AS VARCHAR) END AS amount, i
+    FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)"""
+
+
+def _odd_amounts(t, label, on_error):
+    """A copy of which some amounts are no numbers."""
+    numbered = row_index_sequence(t.orders, keys=["o_orderkey"])
+    half = F.lit(t.orders.count() // 2)
+    odd = (F.col("o_totalprice") > 400000) & (F.col("row_index") >= half)
+    rows = numbered.select(
+        F.col("o_orderkey").alias("id"), F.when(odd, "much").otherwise(F.col("o_totalprice").cast("string")).alias("amount")
+    )
+    bridge = Bridge(
+        "odd", "orders", primary_key=("id",), targets=(Target("left", write_mode="insert"), Target("right", key_columns=("id",))),
+        delivery=Delivery(batch_size=5, on_error=on_error),
+    )
+    tables = _tables(t, label, _AMOUNTS, ["id"], "left", "right")
+    return runs.run_replay(bridge, rows, tables, "run-1"), tables
+
+
+_ODD_SEQUENCES = f"SELECT i // 5 AS sequence, count(*) FILTER (amount = 'much') AS odd FROM ({_ODD}) GROUP BY 1"
+_STOP = f"SELECT min(sequence) FROM ({_ODD_SEQUENCES}) WHERE odd > 0"
+
+
+@query(
+    "replay_abort",
+    f"""SELECT target, id, CAST(amount AS DOUBLE) AS amount FROM ({_ODD}), (VALUES ('left'), ('right')) v(target)
+        WHERE i // 5 < coalesce(({_STOP}), 1000000000000)""",
+)
+def _(t):
+    """What two tables hold after a copy that stops at its first failed delivery."""
+    return _both(_odd_amounts(t, "abort", "abort")[1])
+
+
+_ODD_LEDGER = f"""
+    SELECT 'run-1' AS run_id, sequence, sequence * 5 AS row_index,
+           least(5, (SELECT count(*) FROM orders) - sequence * 5) AS row_count,
+           CASE WHEN odd > 0 THEN 'failed' ELSE 'success' END AS status, CAST(1 AS INTEGER) AS attempts,
+           CASE WHEN odd > 0 THEN 'left: amount is no double' END AS error
+    FROM ({_ODD_SEQUENCES})"""
+
+
+@query("replay_abort_ledger", f"{_ODD_LEDGER} WHERE sequence <= coalesce(({_STOP}), 1000000000000)")
+def _(t):
+    """The ledger of that copy ends with the failed delivery."""
+    return _odd_amounts(t, "abort-ledger", "abort")[0].deliveries
+
+
+@query(
+    "replay_continue",
+    f"""SELECT target, id, CAST(amount AS DOUBLE) AS amount FROM ({_ODD}), (VALUES ('left'), ('right')) v(target)
+        WHERE i // 5 NOT IN (SELECT sequence FROM ({_ODD_SEQUENCES}) WHERE odd > 0)""",
+)
+def _(t):
+    """The same copy when it goes on after a failure: only the failed deliveries are missing."""
+    return _both(_odd_amounts(t, "continue", "continue")[1])
+
+
+@query("replay_continue_ledger", _ODD_LEDGER)
+def _(t):
+    """A status for each delivery of that copy."""
+    return _odd_amounts(t, "continue-ledger", "continue")[0].deliveries
