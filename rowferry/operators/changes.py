@@ -25,6 +25,8 @@ DOCUMENT_EVENTS = {
     "replace": "update",
     "delete": "delete",
 }
+# the position that each partition of a log has reached
+Vector = dict[str, list]
 KEY_DELETE_EVENTS = ("del", "unlink", "expired", "evicted")
 
 
@@ -157,6 +159,36 @@ def after_position(feed: DataFrame, order: Sequence[str], position: Sequence | N
     return feed.where((F.col(order[0]) >= value_literal(position[0])) & later)
 
 
+def after_vector(feed: DataFrame, order: Sequence[str], partition: str | None, vector: Vector) -> DataFrame:
+    """Changes past the position that their own log partition has reached.
+
+    The vector has one entry per partition of the log, which is what is
+    broadcast; changes of a partition it does not name are all new.
+    """
+    if not vector:
+        return feed
+    if partition is None:
+        return feed.where(F.struct(*order) > F.struct(*[value_literal(v).alias(c) for c, v in zip(order, vector[""])]))
+    kinds = ", ".join(f"_r_{c} {feed.schema[c].dataType.simpleString()}" for c in order)
+    reached = feed.sparkSession.createDataFrame([(part, *place) for part, place in sorted(vector.items())], f"_part string, {kinds}")
+    joined = feed.withColumn("_part", F.coalesce(F.col(partition).cast("string"), F.lit(""))).join(F.broadcast(reached), "_part", "left")
+    later = F.struct(*order) > F.struct(*[F.col(f"_r_{c}").alias(c) for c in order])
+    return joined.where(F.col(f"_r_{order[0]}").isNull() | later).select(*feed.columns)
+
+
+def vector_ends(feed: DataFrame, order: Sequence[str], partition: str | None, lowest: bool = False) -> Vector:
+    """The highest (or lowest) position of each log partition: one row per partition."""
+    part = F.coalesce(F.col(partition).cast("string"), F.lit("")) if partition else F.lit("")
+    edge = (F.min if lowest else F.max)(F.struct(*order))
+    found = feed.groupBy(part.alias("part")).agg(edge.alias("edge")).collect()
+    return {r["part"]: list(r["edge"]) for r in found if r["edge"] is not None}
+
+
+def element_wise_max(left: Vector, right: Vector) -> Vector:
+    """The further of two positions for each partition."""
+    return {p: max(x for x in (left.get(p), right.get(p)) if x is not None) for p in {*left, *right}}
+
+
 def dedupe_positions(
     feed: DataFrame, order: Sequence[str], watermark: Sequence | None = None
 ) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry.functions.literals import named
+from rowferry.operators.changes import Vector, element_wise_max
 from rowferry.operators.merge import insert_rows
 from rowferry.operators.progress import SPANS, merge_spans
 
@@ -40,6 +41,7 @@ class Version:
     position: list | None = None
     batches: list[str] = field(default_factory=list)
     delivered: str | None = None
+    vector: Vector = field(default_factory=dict)
 
 
 class SnapshotTable:
@@ -166,6 +168,7 @@ class SnapshotTable:
         position: Sequence[str] = (),
         spans: DataFrame | None = None,
         base: Version | None = None,
+        vector: Vector | None = None,
     ) -> bool:
         """Merge a delta and publish; False when the batch went in before.
 
@@ -178,7 +181,7 @@ class SnapshotTable:
         table). Only buckets with a key in it are read and rewritten; keys are
         unique in a target, so hashing them gives even buckets. ``position``
         names the columns of the log position (numbers or text), of which the
-        highest is stored.
+        highest is stored; ``vector`` has positions by log partition instead.
         """
         current = base or self.version()
         if batch_id in current.batches:
@@ -219,6 +222,7 @@ class SnapshotTable:
                 max([*seen, *([current.position] if current.position else [])], default=None),
                 [*current.batches, batch_id][-REMEMBERED_BATCHES:],
                 progress,
+                element_wise_max(current.vector, vector or {}),
             )
         )
         return True

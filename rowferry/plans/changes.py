@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowferry.config import Bridge, ColumnMapping, Filter, Target
+from rowferry.config import Bridge, ColumnMapping, Delivery, Filter, Target
 from rowferry.functions.positions import binlog_order, lsn_order
 from rowferry.operators import changes, merge
 from rowferry.operators.commit import SnapshotTable
@@ -18,6 +18,7 @@ from rowferry.streaming.bridge import (
     change_log_stream,
     start_bridge,
 )
+from rowferry.streaming.pipeline import Entry, StreamLedger, prepare_start, start_pipeline
 
 _IMAGE = ["order_key", "price", "state", "changed_at", "ref_key"]
 
@@ -319,3 +320,83 @@ def _(t):
     for batch in ("batch-1", "batch-1", "sent again"):
         apply_batch(t.change_log, table, ORDER, batch)
     return table.read()
+
+
+# the log in two partitions by even and odd orders; the odd ones arrive later, with lower positions among them
+_PARTED = """SELECT DISTINCT *, CAST(order_key % 2 AS INTEGER) AS log_part FROM @change_log"""
+
+
+def _two_partitions(t, label, **settings):
+    """The change log as a pipeline in two sittings, and the same sittings from a new checkpoint."""
+    table, log = _target(t, label), scratch_path(t.spark, "parted-log")
+    bridge = Bridge("parted", "orders", ("order_key",), targets=(Target("orders", key_columns=("order_key",)),), trigger="cdc", **settings)
+    ledger = StreamLedger(t.spark, scratch_path(t.spark, "stream-ledger"), "run-1")
+    feed = t.change_log.withColumn("log_part", F.expr("CAST(order_key % 2 AS INT)"))
+    first = scratch_path(t.spark, "checkpoint")
+    for part, checkpoint in ((0, first), (1, first), (None, scratch_path(t.spark, "checkpoint"))):
+        if part is not None:
+            feed.where(F.col("log_part") == part).write.mode("append").parquet(log)
+        stream = change_log_stream(t.spark, log, feed.schema)
+        start_pipeline(stream, bridge, {"orders": table}, ORDER, checkpoint, ledger, "log_part").awaitTermination()
+    return table, ledger
+
+
+@query("cdc_pipeline", _SYNCED)
+def _(t):
+    """The target after two interleaved log partitions, read twice."""
+    return _two_partitions(t, "pipeline-target")[0].read()
+
+
+@query(
+    "cdc_pipeline_ledger",
+    f"""SELECT 'run-1' AS run_id, CASE log_part WHEN 0 THEN i // 4 ELSE CAST(ceil(evens / 4) AS BIGINT) + (i - evens) // 4 END AS sequence,
+               count(*) AS row_count, 'success' AS status, CAST(1 AS INTEGER) AS attempts, CAST(NULL AS VARCHAR) AS error
+        FROM (SELECT log_part, row_number() OVER (ORDER BY log_part, pos_file, pos_offset, pos_ordinal) - 1 AS i,
+                     count(*) FILTER (log_part = 0) OVER () AS evens FROM ({_PARTED}))
+        GROUP BY ALL""",
+)
+def _(t):
+    """One record per four changes; the second reading of the log adds none."""
+    deliveries = _two_partitions(t, "pipeline-ledger", delivery=Delivery(batch_size=4))[1].read()
+    return deliveries.select("run_id", "sequence", "row_count", "status", "attempts", "error")
+
+
+@query(
+    "cdc_start_now",
+    """SELECT position, order_key FROM (SELECT DISTINCT * FROM @change_log) WHERE op <> 'delete' AND pos_file >= 2500
+       AND (order_key, pos_file, pos_offset, pos_ordinal) NOT IN (
+         SELECT c.order_key, c.pos_file, c.pos_offset, c.pos_ordinal FROM @change_log c JOIN @change_log d ON d.order_key = c.order_key
+         WHERE d.op = 'delete' AND d.pos_file >= 2500
+           AND (d.pos_file, d.pos_offset, d.pos_ordinal) >= (c.pos_file, c.pos_offset, c.pos_ordinal))""",
+)
+def _(t):
+    """A journal of a stream that started from now, when the log had reached file 2499."""
+    return _started(t, "start-now", "now", None).read()
+
+
+@query(
+    "cdc_history_lost",
+    """SELECT CAST(min(pos_file) > 2000 AS BOOLEAN) AS lost, max(pos_file) AS restart_file FROM @change_log WHERE pos_file >= 2500""",
+)
+def _(t):
+    """A stream that had come to file 2000 and finds a log that begins with file 2500."""
+    ledger = StreamLedger(t.spark, scratch_path(t.spark, "gap-ledger"), "run-1")
+    ledger.commit(Entry("earlier", 0, 10, {"": [2000, 0, 0]}))
+    entry = prepare_start(ledger, t.change_log.where("pos_file >= 2500"), ORDER, None)
+    note = F.lit(entry.note).isNotNull().alias("lost")
+    return t.change_log.agg(F.max("pos_file").alias("end")).select(note, F.lit(entry.vector[""][0]).cast("bigint").alias("restart_file"))
+
+
+def _started(t, label, start, partition):
+    log, checkpoint = scratch_path(t.spark, "log"), scratch_path(t.spark, "checkpoint")
+    schema = t.change_log.select("position", "order_key").schema
+    table = SnapshotTable(t.spark, scratch_path(t.spark, label), schema, ["order_key"], 8)
+    mapping = tuple(ColumnMapping(c, c) for c in schema.names)
+    bridge = Bridge("late", "orders", targets=(Target("journal", key_columns=("order_key",), write_mode="insert", mapping=mapping),), trigger="cdc")
+    ledger = StreamLedger(t.spark, scratch_path(t.spark, "ledger"), "run-1")
+    for part in ("pos_file < 2500", "pos_file >= 2500"):
+        t.change_log.where(part).write.mode("append").parquet(log)
+        stream = change_log_stream(t.spark, log, t.change_log.schema)
+        held = t.spark.read.schema(t.change_log.schema).parquet(log)
+        start_pipeline(stream, bridge, {"journal": table}, ORDER, checkpoint, ledger, partition, log=held, start=start).awaitTermination()
+    return table

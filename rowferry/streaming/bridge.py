@@ -11,9 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from rowferry.config import OPERATIONS, Bridge, ColumnMapping
 from rowferry.operators.changes import (
     after_position,
+    after_vector,
     dedupe_positions,
     filter_change_ops,
     filter_changes,
+    vector_ends,
 )
 from rowferry.operators.commit import WRITE_ERRORS, SnapshotTable
 from rowferry.operators.merge import (
@@ -34,6 +36,7 @@ def apply_batch(
     operations: Sequence[str] = OPERATIONS,
     write_mode: str = "upsert",
     always_new: bool = False,
+    partition: str | None = None,
 ) -> bool:
     """Apply one batch of changes: drop what was seen, merge, publish.
 
@@ -42,19 +45,23 @@ def apply_batch(
     same rows: one change per key for an upsert target, each position once for
     a target that appends. Changes with a NULL key go to the target's rejects,
     with all their columns. ``always_new`` is for sources without a durable
-    position, whose events are never late.
+    position, whose events are never late. ``partition`` names the column of the
+    log partition, whose positions only compare among themselves.
     """
     current = table.version()
     if batch_id in current.batches:
         return False
-    seen = None if always_new else current.position
-    fresh = after_position(filter_change_ops(changes, operations), order, seen)
+    fresh = filter_change_ops(changes, operations)
+    if partition is not None and not always_new:
+        fresh = after_vector(fresh, order, partition, current.vector)
+    elif not always_new:
+        fresh = after_position(fresh, order, current.position)
     valid, rejects = split_null_keys(fresh, table.keys)
     table.reject(rejects, batch_id)
-    columns = dict.fromkeys(["op", *order, *table.schema.names])
+    columns = dict.fromkeys(["op", *order, *([partition] if partition else []), *table.schema.names])
     rows = valid.select(*columns)
     staged = (
-        dedupe_positions(rows, order)
+        dedupe_positions(rows, [*order, *([partition] if partition else [])])
         if write_mode == "insert"
         else last_per_key(rows, table.keys, order)
     )
@@ -65,7 +72,8 @@ def apply_batch(
         return apply_last_changes(current, delta, table.keys)
 
     with frozen(staged, "changes") as delta:
-        return table.apply(delta, merge, batch_id, order)
+        reached = {} if partition is None or always_new else vector_ends(delta, order, partition)
+        return table.apply(delta, merge, batch_id, [] if partition else order, vector=reached)
 
 
 def apply_to_targets(
@@ -74,6 +82,8 @@ def apply_to_targets(
     tables: Mapping[str, SnapshotTable],
     order: Sequence[str],
     batch_id: str,
+    always_new: bool = False,
+    partition: str | None = None,
 ) -> dict[str, str | None]:
     """One batch of changes to every target of a bridge; the error per target.
 
@@ -81,7 +91,7 @@ def apply_to_targets(
     takes up the missed changes when the batch comes again.
     """
     fresh = filter_changes(changes, bridge.filters)
-    control = [ColumnMapping(c, c) for c in ("op", *order)]
+    control = [ColumnMapping(c, c) for c in ("op", *order, *([partition] if partition else []))]
     errors: dict[str, str | None] = {}
     for target in bridge.targets:
         mapped = map_columns(fresh, [*target.mapping, *control] if target.mapping else ())
@@ -93,6 +103,8 @@ def apply_to_targets(
                 f"{batch_id}:{target.label}",
                 bridge.operations,
                 target.write_mode,
+                always_new,
+                partition,
             )
             errors[target.label] = None
         except WRITE_ERRORS as error:
@@ -109,6 +121,7 @@ def start_bridge(
     normalize: Callable[[DataFrame], DataFrame] | None = None,
     once: bool = True,
     operations: Sequence[str] = OPERATIONS,
+    always_new: bool = False,
 ) -> StreamingQuery:
     """Keep a target in step with a change stream.
 
@@ -118,9 +131,9 @@ def start_bridge(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         changes = normalize(batch) if normalize else batch
-        apply_batch(changes, table, order, f"{bridge_id}:{batch_id}", operations)
+        apply_batch(changes, table, order, f"{bridge_id}:{batch_id}", operations, always_new=always_new)
 
-    return _start(stream, apply, checkpoint, once)
+    return start_batches(stream, apply, checkpoint, once)
 
 
 def start_fan_out(
@@ -146,10 +159,10 @@ def start_fan_out(
         if failed:
             raise RuntimeError(f"targets failed: {failed}")
 
-    return _start(stream, apply, checkpoint, once)
+    return start_batches(stream, apply, checkpoint, once)
 
 
-def _start(stream: DataFrame, apply: Callable, checkpoint: str, once: bool) -> StreamingQuery:
+def start_batches(stream: DataFrame, apply: Callable, checkpoint: str, once: bool) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer
     return writer.start()
