@@ -10,7 +10,6 @@ MAX_BATCH_SIZE = 1000
 MAX_ATTEMPTS = 10
 MAX_BACKOFF_MS = 60_000
 MAX_BACKOFF_CAP_MS = 300_000
-MAX_PER_POLL = 5000
 DEFAULT_PER_POLL = 500
 MIN_TRACKED = 100
 MAX_PREVIEW_ROWS = 10
@@ -153,4 +152,5 @@ class Bridge:
             raise ValueError("a bridge writes either to tables or to a payload outbox")
         if self.trigger == "watch" and self.strategy is None:
             raise ValueError("a watch needs a strategy")
-        _in_range("per_poll", self.per_poll, 1, MAX_PER_POLL)
+        if self.per_poll < 1:
+            raise ValueError(f"per_poll must be at least 1, not {self.per_poll}")

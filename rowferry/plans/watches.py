@@ -91,6 +91,36 @@ def _(t):
     return watch.watch_drain(rows, _STAMP, None, _KEY, 5000)[0]
 
 
+@query(
+    "watch_converge_polls",
+    """SELECT i // 700 AS poll, count(*) AS row_count, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day,
+              (SELECT count(*) // 700 FROM orders) + 2 AS polls
+       FROM (SELECT o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders) GROUP BY i // 700""",
+)
+def _(t):
+    """What each of these polls brings, and the number of polls in the state at the end."""
+    rows = t.orders.select("o_orderkey", "o_orderdate")
+    drained, state = watch.watch_drain(rows, _STAMP, None, _KEY, 700, "poll")
+    pages = drained.groupBy("poll").agg(
+        F.count("*").alias("row_count"), F.min("o_orderdate").alias("first_day"), F.max("o_orderdate").alias("last_day")
+    )
+    return pages.withColumn("polls", F.lit(state.polls).cast("bigint"))
+
+
+@query(
+    "watch_snapshot_polls",
+    """SELECT CAST(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS INTEGER) AS poll, count(*) AS keys_written
+       FROM orders GROUP BY 1""",
+)
+def _(t):
+    """The keys that three polls of a growing table have written."""
+    rows, state = t.orders.select("o_orderkey", "o_orderstatus"), None
+    for present in ("F", "FO", "FOP"):
+        shown = rows.where(F.col("o_orderstatus").isin(*present))
+        _, state = watch.watch_poll(shown, _SNAPSHOT, state, _KEY)
+    return state.keys.groupBy(F.col("_poll").alias("poll")).agg(F.count("*").alias("keys_written"))
+
+
 @query("watch_reset_on_change", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 500")
 def _(t):
     """A cursor of another strategy is not used: the poll starts over."""

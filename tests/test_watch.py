@@ -153,6 +153,54 @@ def test_cursor_of_another_strategy_is_dropped():
 
 
 def test_page_size_is_checked(spark):
-    for limit in (0, 5001):
-        with pytest.raises(ValueError):
-            watch_poll(spark.range(1), INCREMENT, None, ["id"], limit)
+    with pytest.raises(ValueError):
+        watch_poll(spark.range(1), INCREMENT, None, ["id"], 0)
+    # any page size that is asked for holds
+    assert watch_poll(spark.range(6000).select("id", F.col("id").alias("n")), INCREMENT, None, ["id"], 5500)[0].count() == 5500
+
+
+@pytest.mark.parametrize("strategy", [WatchStrategy("increment", "n"), WatchStrategy("timestamp", "n")])
+def test_a_drain_is_the_same_as_single_polls(spark, strategy):
+    value = F.col("id") if strategy.kind == "increment" else F.expr("id div 9")
+    df = spark.range(40).select("id", F.when(F.col("id") % 10 != 3, value).alias("n"))
+    _, start = watch_poll(df.where("id < 20"), strategy, None, ["id"], 12)
+    pages, state = [], start
+    while not pages or pages[-1]:
+        page, state = watch_poll(df, strategy, state, ["id"], 7)
+        pages.append(sorted(r["id"] for r in page.collect()))
+    drained, after = watch_drain(df, strategy, start, ["id"], 7, "poll")
+    found = {}
+    for r in drained.collect():
+        found.setdefault(r["poll"], []).append(r["id"])
+    assert [sorted(found[k]) for k in sorted(found)] == pages[:-1] and min(found) == start.polls
+    assert after == state and after.polls == state.polls
+
+    def held(keys):
+        return None if keys is None else {r[0] for r in keys.collect()}
+
+    assert held(after.keys) == held(state.keys) and held(after.blank) == held(state.blank)
+
+
+def test_a_drain_of_nothing(spark):
+    page, state = watch_drain(spark.range(0).select("id", F.col("id").alias("n")), INCREMENT, None, ["id"], 7)
+    assert page.count() == 0 and state.cursor is None and state.polls == 1
+
+
+def test_a_snapshot_poll_writes_its_new_keys_only(spark, tmp_path):
+    import os
+
+    strategy, state = WatchStrategy("snapshot"), None
+    for n in (3, 5, 5, 9):
+        page, state = watch_poll(spark.range(n), strategy, state, ["id"])
+        again, _ = watch_poll(spark.range(n), strategy, state, ["id"])
+        assert again.count() == 0
+    held = {r["_poll"]: r["count"] for r in state.keys.groupBy("_poll").count().collect()}
+    assert held == {1: 3, 2: 2, 4: 4}
+    text = state_to_json(state, str(tmp_path / "seen"))
+    back = state_from_json(spark, strategy, text)
+    page, back = watch_poll(spark.range(10), strategy, back, ["id"])
+    assert [r["id"] for r in page.collect()] == [9] and back.place == str(tmp_path / "seen")
+    # what is there already is not written again
+    before = sorted(os.listdir(tmp_path / "seen"))
+    assert state_from_json(spark, strategy, state_to_json(back, str(tmp_path / "seen"))).polls == back.polls
+    assert sorted(os.listdir(tmp_path / "seen")) == before
