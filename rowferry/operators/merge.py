@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rowferry.operators.skew import group_for_join, keys_for_join
 
 _CHANGED = "_changed"
+_PRESENT = "_present"
 
 
 def _need_keys(keys: Sequence[str]) -> list[str]:
@@ -133,9 +134,38 @@ def upsert_rows(
     if not on_insert_only and not (partial and missing):
         kept = target.join(touched_keys(rows, keys), keys, "left_anti")
         return insert_rows(kept, delta)
-    existing = target.select(*keys).join(touched_keys(rows, keys), keys, "left_semi")
-    updated = update_rows(target, delta.select(*keys, *given), keys)
-    return insert_rows(updated, without_keys(delta, existing, keys))
+    return _patched(target, delta, keys, given, [c for c in on_insert_only if c in delta.columns])
+
+
+def _patched(
+    target: DataFrame, delta: DataFrame, keys: Sequence[str], given: Sequence[str], inserted: Sequence[str]
+) -> DataFrame:
+    """Target rows with the values that the delta gives them, and the delta's other rows as new ones.
+
+    One full join, so the target is read once and the delta once. Each key is
+    there once in the delta, so no key makes more rows than it has. The join is
+    on the keys by which ``last_per_key`` has placed the delta.
+    """
+    patch = delta.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[F.col(c).alias(f"_v_{c}") for c in (*given, *inserted)],
+        F.lit(True).alias(_CHANGED),
+    )
+    matched = F.lit(True)
+    for key in keys:
+        matched = matched & (F.col(key) == F.col(f"_k_{key}"))
+    joined = target.withColumn(_PRESENT, F.lit(True)).join(patch, matched, "full_outer")
+
+    def value(column: str):
+        if column in keys:
+            return F.coalesce(F.col(column), F.col(f"_k_{column}"))
+        if column in given:
+            return F.when(F.col(_CHANGED), F.col(f"_v_{column}")).otherwise(F.col(column))
+        if column in inserted:
+            return F.when(F.col(_PRESENT), F.col(column)).otherwise(F.col(f"_v_{column}"))
+        return F.col(column)
+
+    return joined.select(*[value(c).alias(c) for c in target.columns])
 
 
 def upsert_keyspace(keyspace: DataFrame, rows: DataFrame) -> DataFrame:

@@ -222,3 +222,17 @@ def test_hot_key_of_the_feed_is_split(spark):
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     assert "skew=true" in plan
     assert count == len([r for r in collected if r["id"] == 7]) == len(range(60, 200_000, 3))
+
+
+def test_a_partial_upsert_reads_each_side_once(spark, rows, tmp_path):
+    spark.createDataFrame([(1, "a", 1), (2, "b", 2), (2, "twin", 3), (None, "n", 4)], "id long, name string, n int").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([(2, "B", 1), (2, "B2", 2), (3, "c", 1), (None, "x", 1)], "id long, name string, at int").write.parquet(str(tmp_path / "d"))
+    target, delta = spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "d"))
+    merged = upsert_rows(target, delta, ["id"], ["at"], partial=True)
+    assert rows(merged) == sorted(
+        [(1, "a", 1), (2, "B2", 2), (2, "B2", 3), (None, "n", 4), (3, "c", None), (None, "x", None)], key=repr
+    )
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2
+    kept = upsert_rows(target, delta.drop("at").where("name <> 'B'"), ["id"], on_insert_only=["name"], partial=True)
+    assert ("3" in str(rows(kept))) and (2, "b", 2) in rows(kept)
