@@ -66,6 +66,11 @@ _COMPARISONS = ("eq", "neq", "lt", "lte", "gt", "gte")
 
 
 def compile_filter(spec: Filter, dialect: str = "sql") -> Column:
+    return filter_on(named(spec.column), spec, dialect)
+
+
+def filter_on(column: Column, spec: Filter, dialect: str = "sql") -> Column:
+    """The filter applied to a given column instead of the one that it names."""
     build = _DIALECTS[dialect].get(spec.operator)
     if build is None:
         raise ValueError(f"unsupported filter operator {spec.operator!r}")
@@ -75,7 +80,7 @@ def compile_filter(spec: Filter, dialect: str = "sql") -> Column:
         and not isinstance(spec.value, _SCALARS)
     ):
         raise ValueError(f"the filter value for {spec.column!r} must be a scalar")
-    return build(named(spec.column), spec.value)
+    return build(column, spec.value)
 
 
 def compile_filters(filters: Iterable[Filter], dialect: str = "sql") -> Column:
@@ -87,6 +92,55 @@ def compile_filters(filters: Iterable[Filter], dialect: str = "sql") -> Column:
     )
 
 
+_ANY_TEXT = ("contains", "startsWith", "endsWith")
+_PRESENCE = ("isNull", "notNull")
+_KINDS = {bool: "BOOLEAN", str: "STRING"}
+
+
+def _as_kind(value: Column, spec: Filter, kind: type) -> Column:
+    """A filter on a variant, of which only values of the kind can match.
+
+    Whole numbers are compared as such, other numbers as floating point.
+    """
+    shape = F.schema_of_variant(value)
+    if kind in _KINDS:
+        typed = F.when(shape == _KINDS[kind], F.try_variant_get(value, "$", _KINDS[kind].lower()))
+        return filter_on(typed, spec, "document")
+    if kind in (int, float):
+        number = F.when(
+            (shape == "DOUBLE") | (shape == "FLOAT") | shape.startswith("DECIMAL"), F.try_variant_get(value, "$", "double")
+        )
+        whole = filter_on(F.try_variant_get(value, "$", "bigint"), spec, "document")
+        return F.when(shape == "BIGINT", whole).otherwise(filter_on(number, spec, "document"))
+    # text holds dates and times
+    text = F.when(shape == "STRING", F.try_variant_get(value, "$", "string"))
+    return filter_on(text.try_cast("timestamp_ntz" if kind is dt.datetime else "date"), spec, "document")
+
+
+def variant_filter(value: Column, spec: Filter) -> Column:
+    """A document filter on a field whose type differs from document to document.
+
+    A value only matches one of its own kind. A missing field and JSON null are
+    both NULL.
+    """
+    blank = F.coalesce(value.isNull() | F.is_variant_null(value), F.lit(True))
+    present = F.when(~blank, True)
+    if spec.operator in _PRESENCE or (spec.operator in ("eq", "neq") and spec.value is None):
+        return filter_on(present, spec, "document")
+    if spec.operator in _ANY_TEXT:
+        return _as_kind(value, spec, str)
+    if spec.operator == "in":
+        listed = list(spec.value) if isinstance(spec.value, (list, tuple, set, frozenset)) else []
+        kinds = {float if type(v) is int else type(v) for v in listed if v is not None}
+        parts = [
+            _as_kind(value, Filter(spec.column, "in", [v for v in listed if (float if type(v) is int else type(v)) is kind]), kind)
+            for kind in sorted(kinds, key=str)
+        ]
+        found = reduce(lambda left, right: left | right, (F.coalesce(p, F.lit(False)) for p in parts), F.lit(False))
+        return (found | blank) if None in listed else found
+    return _as_kind(value, spec, type(spec.value))
+
+
 def glob_pattern(glob: str) -> str:
     """Anchored regular expression of a key glob with ``*`` and ``?``."""
     translated = {"*": ".*", "?": "."}

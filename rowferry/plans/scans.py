@@ -10,7 +10,7 @@ from rowferry.operators.changes import change_feed_read
 from rowferry.operators.row_index import row_index_sequence
 from rowferry.plans.inputs import ORDER
 from rowferry.plans.registry import query
-from rowferry.sources.documents import document_fields, find_documents, scan_documents
+from rowferry.sources.documents import document_fields, matching_documents, scan_documents, search_documents
 from rowferry.sources.keyspace import keyspace_stats, scan_keyspace
 from rowferry.sources.relational import key_ranges, scan_query, scan_table
 
@@ -125,14 +125,41 @@ def _(t):
        ORDER BY k DESC, _id LIMIT 100""",
 )
 def _(t):
-    docs = scan_documents(t.event_docs, "doc").select("_id", "kind", "k")
-    return find_documents(
-        docs,
+    return search_documents(
+        t.event_docs,
+        "doc",
+        {"_id": "bigint", "kind": "string", "k": "bigint"},
         [Filter("k", "gte", 50), Filter("kind", "contains", "IC")],
         [Sort("k", "desc"), Sort("_id")],
     )
 
 
+@query(
+    "scan_documents_odd_names",
+    """SELECT event_id, CAST(event_id AS BIGINT) AS void_name, event_type AS object_name, CAST(event_id % 3 AS BIGINT) AS nested,
+              CASE WHEN event_id % 2 = 0 THEN 'even' END AS dotted
+       FROM events""",
+)
+def _(t):
+    """Fields whose names look like types, or hold dots, quotes and colons."""
+    doc = F.concat(
+        F.lit('{"a: VOID": '), F.col("event_id").cast("string"),
+        F.lit(', "OBJECT<x": "'), F.col("event_type"),
+        F.lit('", "in": {"b: VOID, c": '), (F.col("event_id") % 3).cast("string"),
+        F.lit("}"),
+        F.when(F.col("event_id") % 2 == 0, F.lit(', "d.e`f": "even"')).otherwise(""),
+        F.lit("}"),
+    )
+    found = scan_documents(t.events.select("event_id", doc.alias("doc")), "doc", ["event_id"])
+    return found.select(
+        "event_id",
+        F.col("`a: VOID`").alias("void_name"),
+        F.col("`OBJECT<x`").alias("object_name"),
+        F.col("in")["b: VOID, c"].alias("nested"),
+        F.col("`d.e``f`").alias("dotted"),
+    )
+
+
 @query(
     "scan_keyspace",
     """SELECT key, type, ttl,
@@ -173,8 +200,7 @@ def _(t):
 @query("count_documents", """SELECT count(*) AS total, false AS estimated FROM @event_docs
                              WHERE CAST(json_extract(doc, '$.k') AS BIGINT) < 30""")
 def _(t):
-    docs = scan_documents(t.event_docs, "doc")
-    return counts.count_rows(docs, [Filter("k", "lt", 30)], "document")
+    return counts.count_rows(matching_documents(t.event_docs, "doc", [Filter("k", "lt", 30)]))
 
 
 @query("count_estimated", "SELECT count(*) AS total, true AS estimated FROM lineitem")

@@ -232,7 +232,7 @@ def test_a_partial_upsert_reads_each_side_once(spark, rows, tmp_path):
     assert rows(merged) == sorted(
         [(1, "a", 1), (2, "B2", 2), (2, "B2", 3), (None, "n", 4), (3, "c", None), (None, "x", None)], key=repr
     )
-    plan = merged._jdf.queryExecution().executedPlan().toString()
+    plan = upsert_rows(target, delta, ["id"], ["at"], partial=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 2
     kept = upsert_rows(target, delta.drop("at").where("name <> 'B'"), ["id"], on_insert_only=["name"], partial=True)
     assert ("3" in str(rows(kept))) and (2, "b", 2) in rows(kept)

@@ -9,7 +9,7 @@ from rowferry.operators.counts import analyzed_count, count_estimated, key_candi
 from rowferry.operators.ddl import drop_table, save_table
 from rowferry.operators.projection import coerce_object_ids, infer_value_types, map_columns
 from rowferry.operators.row_index import row_index_sequence
-from rowferry.sources.documents import document_fields, find_documents, scan_documents
+from rowferry.sources.documents import document_fields, find_documents, scan_documents, search_documents
 from rowferry.sources.keyspace import scan_keyspace, zset_pairs
 from rowferry.sources.relational import key_ranges, scan_query
 
@@ -221,3 +221,52 @@ def test_value_types_look_at_every_value(spark):
     df = spark.createDataFrame([("1", "true", None), ("2x", "false", None)], "a string, b string, c string")
     types = {r["column_name"]: r["data_type"] for r in infer_value_types(df).collect()}
     assert types == {"a": "text", "b": "boolean", "c": "text"}
+
+
+def test_document_types_by_path(spark):
+    docs = [
+        '{"n": 1, "mix": 1, "o": {"x": {"y": 1}, "OBJECT<q": null}, "a": [1, 2.5], "e": [], "v": null}',
+        '{"n": 2.5, "mix": "t", "o": {"x": {"y": "2", "z: VOID": true}}, "a": [null], "ao": [{"k": 1}, {"l": "b"}]}',
+        '{"mix": {"p": 1}, "a b": [[1], [2, 3]]}', "[1]", "broken", None,
+    ]
+    df = spark.createDataFrame([(d,) for d in docs], "doc string")
+    table = scan_documents(df, "doc")
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    assert list(kinds) == sorted(kinds) and kinds["mix"] == "variant" and kinds["v"] == "string"
+    assert kinds["a b"] == "array<array<bigint>>" and kinds["ao"] == "array<struct<k:bigint,l:string>>" and kinds["e"] == "array<string>"
+    assert [f.name for f in table.schema["o"].dataType] == ["OBJECT<q", "x"]
+    assert [f.name for f in table.schema["o"].dataType["x"].dataType] == ["y", "z: VOID"]
+    found = table.select(F.col("o")["x"]["z: VOID"].alias("z"), "n").collect()
+    assert sorted((str(r["z"]), str(r["n"])) for r in found if r["n"] is not None) == [("None", "1.0"), ("True", "2.5")]
+    with pytest.raises(ValueError):
+        scan_documents(spark.createDataFrame([("[]",)], "doc string"), "doc")
+
+
+def test_filters_on_text_equal_a_plain_reading(spark):
+    import json
+
+    values = [1, 50, 50.5, 2**53 + 1, "50", "Magic", True, None, [1], {"a": 1}, -3]
+    docs = [{"id": k, "f.x": v} for k, v in enumerate(values)] + [{"id": 99}]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs], "doc string")
+
+    def number(v):
+        return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+    cases = [
+        (Filter("f.x", "gte", 50), lambda v: number(v) and v >= 50),
+        (Filter("f.x", "gt", 2**53), lambda v: number(v) and v > 2**53),
+        (Filter("f.x", "lt", 50.2), lambda v: number(v) and v < 50.2),
+        (Filter("f.x", "eq", "50"), lambda v: v == "50"),
+        (Filter("f.x", "neq", 50), lambda v: not (number(v) and v == 50)),
+        (Filter("f.x", "eq", True), lambda v: v is True),
+        (Filter("f.x", "contains", "AGI"), lambda v: isinstance(v, str) and "agi" in v.lower()),
+        (Filter("f.x", "isNull"), lambda v: v is None),
+        (Filter("f.x", "neq", None), lambda v: v is not None),
+        (Filter("f.x", "in", [1, "Magic", None]), lambda v: v is None or (number(v) and v == 1) or v == "Magic"),
+        (Filter("f.x", "in", []), lambda v: False),
+    ]
+    for spec, holds in cases:
+        found = search_documents(df, "doc", {"id": "bigint"}, [spec], [Sort("id")])
+        assert [r["id"] for r in found.collect()] == [d["id"] for d in docs if holds(d.get("f.x"))], spec
+    plan = search_documents(df, "doc", {"id": "bigint"}, [cases[0][0]], [Sort("id")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ExistingRDD") == 1
