@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.config import Filter
@@ -92,6 +92,41 @@ def compile_filters(filters: Iterable[Filter], dialect: str = "sql") -> Column:
     )
 
 
+# a longer list is joined instead of written into the expression
+LONG_LIST = 1000
+_LISTED = {bool: "boolean", int: "bigint", float: "double", str: "string", dt.datetime: "timestamp_ntz", dt.date: "date"}
+
+
+def _long_list(spec: Filter) -> tuple[list, str] | None:
+    """The values of a long list and their type; None for short lists and mixed types."""
+    if spec.operator != "in" or not isinstance(spec.value, (list, tuple, set, frozenset)) or len(spec.value) <= LONG_LIST:
+        return None
+    kinds = {type(v) for v in spec.value if v is not None}
+    if kinds == {int, float}:
+        kinds = {float}
+    kind = _LISTED.get(kinds.pop()) if len(kinds) == 1 else None
+    if kind is None or (kind == "timestamp_ntz" and any(v is not None and v.tzinfo for v in spec.value)):
+        return None
+    return [float(v) if kind == "double" and v is not None else v for v in spec.value], kind
+
+
+def apply_filters(df: DataFrame, filters: Iterable[Filter], dialect: str = "sql") -> DataFrame:
+    """The rows that pass all filters; membership in a long list is a semi join with its values."""
+    short = []
+    for spec in filters:
+        listed = _long_list(spec)
+        if listed is None:
+            short.append(spec)
+            continue
+        values, kind = listed
+        # NULL in the list is a value of documents and matches nothing in tables
+        wanted = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values) if v is not None or dialect == "document"], f"_listed {kind}")
+        column = named(spec.column)
+        equal = column.eqNullSafe(F.col("_listed")) if dialect == "document" else column == F.col("_listed")
+        df = df.join(wanted, equal, "left_semi")
+    return df.where(compile_filters(short, dialect))
+
+
 _ANY_TEXT = ("contains", "startsWith", "endsWith")
 _PRESENCE = ("isNull", "notNull")
 _KINDS = {bool: "BOOLEAN", str: "STRING"}

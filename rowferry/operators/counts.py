@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.config import Filter
-from rowferry.functions.predicates import compile_filters
+from rowferry.functions.predicates import apply_filters
 
 
 def count_rows(df: DataFrame, filters: Iterable[Filter] = (), dialect: str = "sql") -> DataFrame:
     """Exact number of rows that match the filters."""
-    return df.where(compile_filters(filters, dialect)).agg(
+    return apply_filters(df, filters, dialect).agg(
         F.count("*").alias("total"), F.lit(False).alias("estimated")
     )
 

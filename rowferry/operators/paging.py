@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowferry.config import MAX_PREVIEW_ROWS, PAGE_CAPS, ColumnMapping, Filter, Sort
 from rowferry.functions.literals import named, value_literal
-from rowferry.functions.predicates import compile_filters
+from rowferry.functions.predicates import apply_filters
 from rowferry.operators.counts import count_estimated, count_rows
 from rowferry.operators.projection import map_columns
 from rowferry.operators.row_index import order_columns, row_index_sequence, total_order
@@ -136,7 +136,7 @@ def browse(
     """A page of rows, and one row with the total and how it was obtained."""
     filters = list(filters)
     page = page_offset(
-        df.where(compile_filters(filters, dialect)), sort, keys, limit, offset, dialect
+        apply_filters(df, filters, dialect), sort, keys, limit, offset, dialect
     )
     total = count_rows(df, filters, dialect) if filters else count_estimated(df)
     return page, total

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowferry.config import Filter
-from rowferry.functions.predicates import compile_filters, matches_glob
+from rowferry.functions.predicates import apply_filters, compile_filters, matches_glob
 from rowferry.operators.changes import filter_change_ops
 from rowferry.operators.lineage import select_rows_by_key
 from rowferry.operators.merge import touched_keys
@@ -118,3 +118,10 @@ def _(t):
     """A key-value source that has insert enabled admits every write."""
     rows = filter_change_ops(t.change_log, ["insert"], "redis")
     return rows.select("op", "position", "order_key")
+
+
+@query("filter_in_long", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 300000 AND o_totalprice > 1000")
+def _(t):
+    """A list of 100 000 keys is joined, not written out."""
+    rows = apply_filters(t.orders, [Filter("o_orderkey", "in", list(range(0, 300_000, 3))), Filter("o_totalprice", "gt", 1000.0)])
+    return rows.select("o_orderkey", "o_totalprice")

@@ -12,7 +12,7 @@ from rowferry.plans.inputs import ORDER
 from rowferry.plans.registry import query
 from rowferry.sources.documents import document_fields, matching_documents, scan_documents, search_documents
 from rowferry.sources.keyspace import keyspace_stats, scan_keyspace
-from rowferry.sources.relational import key_ranges, scan_query, scan_table
+from rowferry.sources.relational import key_cuts, key_ranges, range_predicates, scan_query, scan_table
 
 
 @query(
@@ -83,6 +83,28 @@ def _(t):
     )
 
 
+@query(
+    "key_ranges",
+    """SELECT 'c_name' AS key_name, count(*) AS row_count, CAST(16 AS BIGINT) AS parts, true AS balanced FROM customer
+       UNION ALL SELECT 'ts', count(*), 16, true FROM events
+       UNION ALL SELECT 'o_totalprice', count(*), 16, true FROM orders""",
+)
+def _(t):
+    """Ranges of a text, a timestamp and a price: none holds more than twice the mean."""
+
+    def shares(table, key):
+        part = F.lit(None).cast("int")
+        for number, predicate in enumerate(range_predicates(key, key_cuts(table, key, 16), "`")):
+            part = F.when(F.expr(predicate), number).otherwise(part)
+        sizes = table.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+        total = F.sum("n").cast("bigint")
+        return sizes.agg(
+            total.alias("row_count"), F.count("*").alias("parts"), (F.max("n") * F.count("*") <= total * 2).alias("balanced")
+        ).select(F.lit(key).alias("key_name"), "row_count", "parts", "balanced")
+
+    return shares(t.customer, "c_name").unionByName(shares(t.events, "ts")).unionByName(shares(t.orders, "o_totalprice"))
+
+
 @query(
     "scan_documents",
     """SELECT CAST(json_extract(doc, '$._id') AS BIGINT) AS _id, doc ->> '$.kind' AS kind,

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rowferry.config import DEFAULT_FIND_LIMIT, Filter, Sort
 from rowferry.functions.literals import named
-from rowferry.functions.predicates import compile_filters, variant_filter
+from rowferry.functions.predicates import apply_filters, variant_filter
 from rowferry.operators.paging import cut_page
 from rowferry.session import freeze
 
@@ -119,7 +119,7 @@ def find_documents(
     limit: int = DEFAULT_FIND_LIMIT,
 ) -> DataFrame:
     """Filtered, sorted and limited documents; the top rows need no full sort."""
-    rows = df.where(compile_filters(filters, "document"))
+    rows = apply_filters(df, filters, "document")
     return cut_page(rows, sort, 0, limit) if sort else rows.limit(limit)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Iterable, Sequence
 from typing import Any
 
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.config import Filter, Sort
-from rowferry.functions.predicates import compile_filters
+from rowferry.functions.literals import named
+from rowferry.functions.predicates import apply_filters
 from rowferry.operators.paging import sort_rows
 from rowferry.session import freeze
 
@@ -31,7 +33,7 @@ def scan_table(
     With a sort, ``keys`` break ties, so that a sort value that covers a large
     part of the rows is still split over tasks.
     """
-    rows = table.where(compile_filters(filters, dialect))
+    rows = apply_filters(table, filters, dialect)
     if sort:
         rows = sort_rows(rows, sort, keys)
     return rows.select(*columns) if columns else rows
@@ -81,6 +83,40 @@ def key_ranges(column: str, low: int, high: int, parts: int) -> list[str]:
     ]
 
 
+def key_cuts(keys: DataFrame, column: str, parts: int, per_part: int = 400) -> list[Any]:
+    """Values that split the rows by any ordered key into parts of about equal size.
+
+    They are quantiles of a sample of about ``parts * per_part`` keys, picked by
+    a hash, which is what comes to the driver. A value that many rows share is
+    one cut at most, so a part may be larger by the rows of one value.
+    """
+    if parts < 1:
+        raise ValueError("at least one range is needed")
+    known = keys.select(named(column).alias("k")).where("k IS NOT NULL")
+    step = max(1, known.count() // (parts * per_part))
+    # rows are picked, not values: a frequent value counts as often as it comes
+    picked = known.select("k", F.monotonically_increasing_id().alias("at")).where(F.pmod(F.xxhash64("at"), F.lit(step)) == 0)
+    sample = [r["k"] for r in picked.select("k").orderBy("k").collect()]
+    cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
+    return [c for c, before in zip(cuts, [*sample[:1], *cuts]) if c != before]
+
+
+def sql_text(value: Any) -> str:
+    """A key value as a SQL literal."""
+    if isinstance(value, bool) or not isinstance(value, (int, float, decimal.Decimal)):
+        return "'" + str(value).replace("'", "''") + "'"
+    return str(value)
+
+
+def range_predicates(column: str, cuts: Sequence[Any], quote: str = '"') -> list[str]:
+    """SQL predicates of the ranges between the cuts; each row falls in exactly one."""
+    name = quote + column.replace(quote, quote * 2) + quote
+    if not cuts:
+        return [f"{name} = {name} OR {name} IS NULL"]
+    inner = [f"{name} >= {sql_text(a)} AND {name} < {sql_text(b)}" for a, b in zip(cuts, cuts[1:])]
+    return [f"{name} < {sql_text(cuts[0])} OR {name} IS NULL", *inner, f"{name} >= {sql_text(cuts[-1])}"]
+
+
 def scan_jdbc_partitioned(
     spark: SparkSession,
     url: str,
@@ -89,12 +125,18 @@ def scan_jdbc_partitioned(
     parts: int,
     filters: Iterable[Filter] = (),
     properties: dict[str, str] | None = None,
+    cuts: Sequence[Any] | None = None,
 ) -> DataFrame:
     """Read a relational source in parallel key ranges, one task per range.
 
-    Filters are pushed into the statement that each range sends.
+    Filters are pushed into the statement that each range sends. A key that is
+    no whole number, or that is spread unevenly, is split at given ``cuts``
+    (:func:`key_cuts` of a sample or of an earlier copy).
     """
     options = {"fetchsize": "10000", **(properties or {})}
+    if cuts is not None:
+        rows = spark.read.jdbc(url, table, predicates=range_predicates(column, cuts), properties=options)
+        return apply_filters(rows, filters)
     probe = spark.read.jdbc(
         url, f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}) b",
         properties=options,
@@ -102,7 +144,7 @@ def scan_jdbc_partitioned(
     bounds = (int(probe[0]), int(probe[1])) if probe and probe[0] is not None else (0, 0)
     predicates = key_ranges(column, *bounds, parts)
     rows = spark.read.jdbc(url, table, predicates=predicates, properties=options)
-    return rows.where(compile_filters(filters))
+    return apply_filters(rows, filters)
 
 
 def write_jdbc(

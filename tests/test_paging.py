@@ -11,7 +11,9 @@ from rowferry.operators.projection import coerce_object_ids, infer_value_types,
 from rowferry.operators.row_index import row_index_sequence
 from rowferry.sources.documents import document_fields, find_documents, scan_documents, search_documents
 from rowferry.sources.keyspace import scan_keyspace, zset_pairs
-from rowferry.sources.relational import key_ranges, scan_query
+from rowferry.functions.predicates import apply_filters
+from rowferry.session import freeze
+from rowferry.sources.relational import key_cuts, key_ranges, range_predicates, scan_query
 
 
 def test_row_index_has_no_gaps_with_a_hot_sort_value(spark):
@@ -270,3 +272,28 @@ def test_filters_on_text_equal_a_plain_reading(spark):
         assert [r["id"] for r in found.collect()] == [d["id"] for d in docs if holds(d.get("f.x"))], spec
     plan = search_documents(df, "doc", {"id": "bigint"}, [cases[0][0]], [Sort("id")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ExistingRDD") == 1
+
+
+def test_long_lists_are_joined(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, "b"), (None, "c")], "n long, s string")
+    numbers = list(range(2, 100_002))
+    found = apply_filters(df, [Filter("n", "in", numbers)])
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == rows(apply_filters(df, [Filter("n", "in", [2])])) == [(2, "b"), (2, None)]
+    texts = [f"t{k}" for k in range(2000)] + ["a", None]
+    assert rows(apply_filters(df, [Filter("s", "in", texts)])) == [(1, "a")]
+    assert rows(apply_filters(df, [Filter("s", "in", texts)], "document")) == [(1, "a"), (2, None)]
+    assert apply_filters(df, [Filter("n", "in", [])]).count() == 0
+    assert apply_filters(df, [Filter("n", "in", [*numbers, 1.0])]).count() == 3
+
+
+@pytest.mark.parametrize("expression", ["concat('k', chr(39), id)", "uuid()", "timestamp_seconds(id * id)::timestamp_ntz", "if(id % 3 = 0, null, id div 500)"])
+def test_cuts_of_any_key(spark, expression):
+    df = freeze(spark.range(5000).select(F.expr(expression).alias("a`k")), "keys")
+    cuts = key_cuts(df, "a`k", 8)
+    predicates = range_predicates("a`k", cuts, "`")
+    held = [df.where(p).count() for p in predicates]
+    assert sum(held) == 5000 and cuts == sorted(cuts)
+    if "div" not in expression:
+        assert len(held) == 8 and max(held) <= 2 * 5000 / 8
+    assert key_cuts(df.limit(0), "a`k", 8) == [] and range_predicates("k", []) == ['"k" = "k" OR "k" IS NULL']
