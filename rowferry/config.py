@@ -17,10 +17,8 @@ PAGE_CAPS = {"sql": 5000, "document": 1000, "keyspace": 500}
 DEFAULT_FIND_LIMIT = 100
 DEFAULT_QUERY_ROWS = 5000
 LEDGER_PAGE = 500
-LEDGER_PAGE_CAP = 2000
 RUN_LIST_LIMIT = 50
 LOGGED_BODY_CHARS = 16_384
-MAX_SKIP_RANGE = 10_000
 OPERATIONS = ("insert", "update", "delete")
 ACTIVE_RUN_STATUSES = ("queued", "running", "canceling")
 TERMINAL_RUN_STATUSES = ("completed", "failed", "canceled", "paused", "interrupted")

@@ -8,7 +8,7 @@ a large part of the ledger still spreads over all partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +16,17 @@ from pyspark.sql import functions as F
 from rowferry.config import (
     ACTIVE_RUN_STATUSES,
     LEDGER_PAGE,
-    LEDGER_PAGE_CAP,
-    MAX_SKIP_RANGE,
     RESUMABLE_RUN_STATUSES,
     RUN_LIST_LIMIT,
     SETTLED_DELIVERY_STATUSES,
     TERMINAL_RUN_STATUSES,
     Sort,
 )
+from rowferry.operators.commit import WRITE_ERRORS
 from rowferry.operators.merge import apply_changes, upsert_rows
 from rowferry.operators.paging import cut_page
 from rowferry.operators.skew import group_for_join
+from rowferry.session import freeze
 
 KEY = ["run_id", "sequence"]
 _CHUNK = 65_536
@@ -180,11 +180,11 @@ def skip_sequences(runs: DataFrame, deliveries: DataFrame, wanted: DataFrame) ->
 
 
 def skip_range(
-    runs: DataFrame, deliveries: DataFrame, ranges: DataFrame, limit: int | None = MAX_SKIP_RANGE
+    runs: DataFrame, deliveries: DataFrame, ranges: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """:func:`skip_sequences` for inclusive ranges ``first`` to ``last`` per run.
 
-    A range is refused when it is longer than ``limit``.
+    With ``limit`` a longer range is refused.
     """
     if limit is not None:
         too_long = ranges.where(F.col("last") - F.col("first") + 1 > limit)
@@ -215,21 +215,29 @@ def resend_failed(
     captured: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
+    write: Callable[[DataFrame, str], DataFrame] = freeze,
 ) -> tuple[DataFrame, DataFrame]:
     """Apply the captured rows of failed deliveries again, oldest first.
 
     ``captured`` holds run_id, sequence, op and the rows as they were read. It
-    returns the new target and the deliveries with the resent ones delivered.
+    returns the written target and the deliveries: delivered once ``write`` has
+    written the target, and failed once more, with the target as it was, when
+    it could not.
     """
     ended = runs.where(~F.col("status").isin(*ACTIVE_RUN_STATUSES)).select("run_id")
     failed = deliveries.where("status = 'failed'").join(ended, "run_id", "left_semi")
     rows = captured.join(failed.select(*KEY), KEY, "left_semi")
+    try:
+        written, error = write(apply_changes(target, rows, keys, order), "resent"), None
+    except WRITE_ERRORS as refused:
+        written, error = target, str(refused)
     outcomes = failed.select(
         *KEY,
-        F.lit("success").alias("status"),
+        F.lit("failed" if error else "success").alias("status"),
         (F.col("attempts") + 1).cast("int").alias("attempts"),
+        *([F.lit(error).cast("string").alias("error")] if "error" in deliveries.columns else []),
     )
-    return apply_changes(target, rows, keys, order), record_deliveries(deliveries, outcomes)
+    return written, record_deliveries(deliveries, outcomes)
 
 
 def abort_cut(deliveries: DataFrame) -> DataFrame:
@@ -255,7 +263,7 @@ def delivery_window(
     offset: int = 0,
     limit: int = LEDGER_PAGE,
 ) -> DataFrame:
-    """One page of a run's deliveries in sequence order."""
+    """One page of a run's deliveries in sequence order, as long as asked for."""
     rows = deliveries.where(F.col("run_id") == run_id)
     if status:
         rows = rows.where(F.col("status") == status)
@@ -263,7 +271,7 @@ def delivery_window(
         rows = rows.where(F.col("sequence") >= first)
     if last is not None:
         rows = rows.where(F.col("sequence") <= last)
-    return cut_page(rows, [Sort("sequence")], offset, min(limit, LEDGER_PAGE_CAP))
+    return cut_page(rows, [Sort("sequence")], offset, limit)
 
 
 def list_runs(runs: DataFrame, bridge_id, limit: int = RUN_LIST_LIMIT) -> DataFrame:

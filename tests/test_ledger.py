@@ -79,7 +79,7 @@ def test_skips(spark, rows):
     ranges = spark.createDataFrame([(2, 0, 3)], "run_id int, first bigint, last bigint")
     assert rows(ledger.skip_range(runs(spark), sent(spark), ranges), "sequence") == [(1,), (3,)]
     with pytest.raises(ValueError, match="at most"):
-        ledger.skip_range(runs(spark), sent(spark), spark.createDataFrame([(2, 0, 10_000)], "run_id int, first bigint, last bigint"))
+        ledger.skip_range(runs(spark), sent(spark), spark.createDataFrame([(2, 0, 3)], "run_id int, first bigint, last bigint"), limit=3)
 
 
 def test_resend_keeps_the_operation(spark, rows):
@@ -94,6 +94,24 @@ def test_resend_keeps_the_operation(spark, rows):
     assert status[(1, 1)] == ("success", 4) and status[(3, 0)] == ("failed", 1)
 
 
+def test_a_resend_that_cannot_be_written_stays_failed(spark, rows):
+    captured = spark.createDataFrame([(1, 1, "update", 1, "a", "x")], "run_id int, sequence bigint, op string, pos int, id string, v string")
+    target = spark.createDataFrame([("a", "old")], "id string, v string")
+
+    def refuse(df, label):
+        raise ValueError("no room")
+
+    after, book = ledger.resend_failed(target, runs(spark), sent(spark), captured, ["id"], ["pos"], refuse)
+    assert rows(after) == [("a", "old")]
+    status = {(r["run_id"], r["sequence"]): (r["status"], r["attempts"]) for r in book.collect()}
+    assert status[(1, 1)] == ("failed", 4)
+
+
+def test_a_window_is_as_long_as_asked_for(spark):
+    many = spark.range(2500).selectExpr("1 AS run_id", "id AS sequence", "'success' AS status")
+    assert ledger.delivery_window(many, 1, limit=2400).count() == 2400
+
+
 def test_abort_and_windows(spark, rows):
     more = sent(spark).unionByName(spark.createDataFrame([(1, 2, 20, 5, "success", 1)], SENT))
     assert rows(ledger.abort_cut(more), "run_id", "sequence") == [(1, 0), (1, 1), (2, 0), (2, 2), (3, 0)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowferry.config import ColumnMapping, Target
 from rowferry.operators.fanout import fan_out, write_target
+from rowferry.session import freeze
 from rowferry.operators.merge import (
     apply_changes,
     apply_changes_append,
@@ -176,6 +177,23 @@ def test_fan_out_reports_each_target(spark, rows):
     assert found == {"crm.people": ("success", 2, "failed"), "gone": ("failed", 0, "failed")}
 
 
+def test_a_target_that_fails_while_writing_fails_alone(spark, rows):
+    frame = users(spark).withColumn("late", F.when(F.col("id") == 2, F.raise_error(F.lit("torn"))).otherwise(F.col("v")))
+    good = Target("good", key_columns=("id",), mapping=(ColumnMapping("id", "id"), ColumnMapping("v", "v")))
+    torn = Target("torn", write_mode="insert", mapping=(ColumnMapping("id", "id"), ColumnMapping("late", "late")))
+    full = Target("full", key_columns=("id",), mapping=good.mapping)
+
+    def write(df, label):
+        if label == "full":
+            raise RuntimeError("no room")
+        return freeze(df, label)
+
+    written, outcome = fan_out(frame, [torn, good, full], {}, write=write)
+    found = {r["target"]: (r["status"], r["affected"]) for r in outcome.collect()}
+    assert found == {"torn": ("failed", 0), "good": ("success", 2), "full": ("failed", 0)}
+    assert list(written) == ["good"] and rows(written["good"]) == [(1, "Ada"), (2, "Linus")]
+
+
 def test_write_target_applies_changes_with_mapping(spark, rows):
     target = Target("t", key_columns=("key",), mapping=(ColumnMapping("id", "key"), ColumnMapping("v", "name")))
     table = spark.createDataFrame([(1, "old"), (2, "old")], "key int, name string")
