@@ -37,6 +37,8 @@ BITS = 14
 PROBES = 4
 SMOOTH = 0.1
 FLUSH = 2_000_000
+# tokens that are probed at once
+STEP = 200_000
 WAVE_BYTES = 64 << 20
 CUT = np.uint64((1 << 40) - 1)
 TYPES = np.uint64(0x452821E638D01377)
@@ -202,8 +204,7 @@ def score(docs: DataFrame, train: Column | None = None, key: str = "doc_id", tex
     # histories are all words and the begin, tokens all words and the end: as many
     total, distinct, waves = sizes["n"], sizes["v"], max(1, -(-sizes["bits"] // wave_bytes))
 
-    uid = F.xxhash64("doc_id", "text")
-    rows = data.select(F.pmod(uid, F.lit(blocks)).cast("int").alias("block"), "doc_id", uid.alias("uid"), "text")
+    rows = data.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
 
     def ask(table: pa.Table) -> pa.Table:
         words = _vocabulary(table["text"].cast(pa.binary()).to_pylist())
@@ -231,30 +232,27 @@ def score(docs: DataFrame, train: Column | None = None, key: str = "doc_id", tex
     known = model.select("part", "words", "totals")
     answers = requests.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "part int, block int, counts binary")
 
-    found = None
+    shared = []
     for wave in range(waves):
         slices = {r["part"]: bytes(r["bits"]) for r in model.filter(F.col("part") % waves == wave).select("part", "bits").toLocalIterator()}
-        shared = spark.sparkContext.broadcast(slices)
-        part_scores = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-            _scorer(shared, parts, wave, waves, total, distinct), "doc_id long, uid long, n_tokens long, n_known long, base_score double, score double"
-        )
-        found = part_scores if found is None else found.unionByName(part_scores)
-    if waves > 1:
-        # every row is there once per wave
-        found = found.groupBy("doc_id", "uid").agg(
-            *(F.first(c).alias(c) for c in ("n_tokens", "n_known", "base_score")), (F.sum("score") * waves / F.count("*")).alias("score"), (F.count("*") / waves).cast("int").alias("copies")
-        ).withColumn("copies", F.explode(F.sequence(F.lit(1), "copies")))
+        shared.append(spark.sparkContext.broadcast(slices))
+    found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _scorer(shared, parts, total, distinct), "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    )
     return found.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _scorer(shared, parts: int, wave: int, waves: int, total: int, distinct: int):
+def _scorer(shared: list, parts: int, total: int, distinct: int):
     """The function that scores a block with the counts of its words.
 
-    A wave has the histories of its parts, also of those that learned nothing.
+    The texts are cut into tokens once; the tokens are sorted by the wave that
+    holds their history, also of histories that learned nothing. The waves are
+    gone through one after the other, each loaded, probed and dropped, so the
+    work grows with the tokens and memory holds one wave at a time.
     """
+    waves = len(shared)
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        slices = Slices(shared.value, parts)
         bodies = table["text"].cast(pa.binary()).to_pylist()
         words = _vocabulary(bodies)
         part = (words % np.uint64(parts)).astype(np.int64)
@@ -264,33 +262,48 @@ def _scorer(shared, parts: int, wave: int, waves: int, total: int, distinct: int
         for p in np.unique(part):
             counts[order[np.searchsorted(part[order], p) : np.searchsorted(part[order], p, "right")]] = unplanes(got[int(p)], 8).astype(np.int64)
         counts[np.searchsorted(words, END)] = counts[np.searchsorted(words, BEGIN)]
-        some = np.flatnonzero(counts > 0)
-        types = np.zeros(len(words))
-        types[some] = np.minimum(restored(slices.levels(words[some], words[some] ^ TYPES)), counts[some])
-        here = part % waves == wave
         floor = total + SMOOTH * (distinct + 1)
-        names = ["n_tokens", "n_known", "base_score", "score"]
+        names = ["n_tokens", "n_known", "base_score"]
         out: dict[str, list] = {n: [] for n in names}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        done = 0
         rows = pa.record_batch([pa.array(range(len(bodies))), pa.array(bodies, pa.binary())], ["i", "t"])
         for _, texts in pieces(iter([rows])):
             history, token, bounds = chains(texts)
-            h, t = np.searchsorted(words, history), np.searchsorted(words, token)
-            share = (counts[t] + SMOOTH) / floor
-            base = np.log10(share)
-            levels = np.zeros(len(t), np.int64)
-            may = np.flatnonzero((types[h] > 0) & (counts[t] > 0))
-            levels[may] = slices.levels(history[may], pair_key(history[may], token[may]))
-            pairs = restored(levels)
-            seen = counts[h] + types[h]
-            chance = np.where(seen > 0, (pairs + types[h] * share) / np.maximum(seen, 1), share)
-            value = np.where(here[h], np.log10(np.clip(chance, 1e-300, 1.0)), 0.0)
-            firsts = bounds[:-1]
-            out["n_tokens"].append(np.diff(bounds))
-            out["n_known"].append(np.add.reduceat((counts[t] > 0).astype(np.int64), firsts))
-            out["base_score"].append(np.add.reduceat(base, firsts))
-            out["score"].append(np.add.reduceat(value, firsts))
-        columns = {n: pa.array(np.concatenate(out[n])) for n in names} if bodies else {n: pa.array([], pa.int64() if n[0] == "n" else pa.float64()) for n in names}
-        return pa.table({"doc_id": table["doc_id"], "uid": table["uid"], **columns})
+            h, t = np.searchsorted(words, history).astype(np.int32), np.searchsorted(words, token).astype(np.int32)
+            sizes = np.diff(bounds)
+            held.append((h, t, np.repeat(np.arange(done, done + len(texts), dtype=np.int32), sizes)))
+            done += len(texts)
+            out["n_tokens"].append(sizes)
+            out["n_known"].append(np.add.reduceat((counts[t] > 0).astype(np.int64), bounds[:-1]))
+            out["base_score"].append(np.add.reduceat(np.log10((counts[t] + SMOOTH) / floor), bounds[:-1]))
+        if not bodies:
+            return pa.table({"doc_id": table["doc_id"], **{n: pa.array([], pa.int64() if n[0] == "n" else pa.float64()) for n in (*names, "score")}})
+        h, t, doc = (np.concatenate(x) for x in zip(*held))
+        wave_of = part % waves
+        order = np.argsort(wave_of[h].astype(np.int32), kind="stable").astype(np.int32)
+        cuts = np.r_[0, np.cumsum(np.bincount(wave_of[h], minlength=waves))]
+        score, types = np.zeros(len(bodies)), np.zeros(len(words))
+        for wave in range(waves):
+            slices = Slices(shared[wave].value, parts)
+            mine = np.flatnonzero((wave_of == wave) & (counts > 0))
+            types[mine] = np.minimum(restored(slices.levels(words[mine], words[mine] ^ TYPES)), counts[mine])
+            for a in range(int(cuts[wave]), int(cuts[wave + 1]), STEP):
+                at = order[a : min(a + STEP, int(cuts[wave + 1]))]
+                x, y = h[at], t[at]
+                share = (counts[y] + SMOOTH) / floor
+                levels = np.zeros(len(at), np.int64)
+                may = np.flatnonzero((types[x] > 0) & (counts[y] > 0))
+                levels[may] = slices.levels(words[x[may]], pair_key(words[x[may]], words[y[may]]))
+                seen = counts[x] + types[x]
+                chance = np.where(seen > 0, (restored(levels) + types[x] * share) / np.maximum(seen, 1), share)
+                score += np.bincount(doc[at], np.log10(np.clip(chance, 1e-300, 1.0)), len(bodies))
+            del slices
+            if waves > 1:
+                # the worker's copy, which it reads again from disk for the next block
+                vars(shared[wave]).pop("_value", None)
+        columns = {n: pa.array(np.concatenate(out[n])) for n in names}
+        return pa.table({"doc_id": table["doc_id"], **columns, "score": pa.array(score)})
 
     return run
 
