@@ -48,6 +48,10 @@ HEADLINE = {
     "watch_snapshot": ("orders",),
     "watch_timestamp": ("orders",),
     "exactly_once_replay": ("orders", "lineitem"),
+    "replay_run": ("orders",),
+    "cdc_apply_stream": ("orders", "lineitem"),
+    "watch_converge": ("orders",),
+    "find_documents": ("events",),
     "pending_deliveries": ("orders", "lineitem"),
     "run_progress": ("orders", "lineitem"),
     "record_deliveries": ("orders", "lineitem"),
