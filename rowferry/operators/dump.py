@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,9 +119,21 @@ def backup_documents(df: DataFrame, column: str, order: Sequence[str]) -> tuple[
     return df.select(F.col(column).alias("line")), document_fields(df, column, order)
 
 
-def restore_documents(collection: DataFrame, documents: DataFrame, key: str = "_id") -> DataFrame:
-    """Insert documents; those whose id exists already are passed over."""
-    first = documents.dropDuplicates([key])
+def restore_documents(
+    collection: DataFrame, documents: DataFrame, key: str = "_id", order: Sequence[str] = ()
+) -> DataFrame:
+    """Insert documents; those whose id exists already are passed over.
+
+    Of equal ids the first in dump order, given by the ``order`` columns, is
+    inserted; without them the ids of a dump are taken to be unique.
+    """
+    place = Window.partitionBy(key).orderBy(*order) if order else None
+    first = documents
+    if place is not None:
+        ranked = documents.withColumn("_place", F.row_number().over(place)).where("_place = 1")
+        first = ranked.drop("_place", *[c for c in order if c not in collection.columns])
+    else:
+        first = documents.dropDuplicates([key])
     return insert_rows(collection, without_keys(first, collection, [key]))
 
 

@@ -96,6 +96,16 @@ def _(t):
     return dump.restore_documents(collection, again.unionByName(fresh))
 
 
+@query(
+    "restore_documents_equal_ids",
+    """SELECT 'c' || o_custkey AS _id, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey""",
+)
+def _(t):
+    """A dump with one document per order under the id of its customer: the first of each id stays."""
+    lines = t.orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("_id"), "o_orderkey", F.col("o_orderkey").alias("line"))
+    return dump.restore_documents(lines.drop("line").limit(0), lines, order=["line"])
+
+
 @query(
     "restore_keyspace",
     """SELECT key, type, CASE WHEN ttl > 0 THEN ttl ELSE -1 END AS ttl, value FROM @keyspace

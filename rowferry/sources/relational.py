@@ -56,11 +56,14 @@ def scan_query(
     if max_rows is None:
         return rows
     # the query runs once; at most one row more than the cap is kept
-    probe = freeze(rows.limit(max_rows + 1), "query")
+    # and the ordinal of each kept row tells which one is beyond it
+    kept = rows.limit(max_rows + 1).withColumn("_ordinal", F.monotonically_increasing_id())
+    probe = freeze(kept, "query")
     truncated = probe.count() > max_rows
     if truncated and refuse_truncated:
         raise ValueError(f"the query returns more than {max_rows} rows")
-    return probe.limit(max_rows).withColumn("truncated", F.lit(truncated))
+    # a limit leaves one partition, whose ordinals count from 0
+    return probe.where(F.col("_ordinal") < max_rows).drop("_ordinal").withColumn("truncated", F.lit(truncated))
 
 
 def key_ranges(column: str, low: int, high: int, parts: int) -> list[str]:

@@ -244,3 +244,10 @@ def test_restored_scores_keep_their_text(spark):
     value = '["a","1.5","b","-2.75","c","123456789012345678901"]'
     restored = restore_keyspace(spark.createDataFrame([], kind), spark.createDataFrame([("z", "zset", 0, value)], kind))
     assert restored.first()["value"] == value
+
+
+def test_the_first_of_equal_ids_is_restored(spark, rows):
+    have = spark.createDataFrame([("a", 1)], "_id string, n int")
+    more = spark.createDataFrame([("a", 9, 0), ("b", 3, 2), ("b", 2, 1), (None, 5, 3)], "_id string, n int, line int")
+    found = dump.restore_documents(have, more.repartition(3), order=["line"])
+    assert rows(found) == sorted([("a", 1), ("b", 2), (None, 5)], key=repr)

@@ -297,3 +297,9 @@ def test_cuts_of_any_key(spark, expression):
     if "div" not in expression:
         assert len(held) == 8 and max(held) <= 2 * 5000 / 8
     assert key_cuts(df.limit(0), "a`k", 8) == [] and range_predicates("k", []) == ['"k" = "k" OR "k" IS NULL']
+
+
+def test_a_capped_query_keeps_its_first_rows(spark, rows):
+    spark.range(0, 5000, 1, 8).createOrReplaceTempView("many")
+    found = scan_query(spark, "SELECT id FROM many ORDER BY id DESC", max_rows=700)
+    assert sorted(r["id"] for r in found.collect()) == list(range(4300, 5000)) and found.where("truncated").count() == 700
