@@ -97,9 +97,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_chat_format")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recovered role of every utterance, and the digest of its canonical turn."""
+    """Recovered turns of every transcript: their lines, role and the digest of the canonical form."""
     found = chat.predict(table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "held_out", "role", F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
+    return found.select("conv_id", "line", "n_lines", "opens", "held_out", "role", F.sha2(F.col("rendered").cast("binary"), 256).alias("rendered_sha256"))
 
 
 @query("op5_lm_score")

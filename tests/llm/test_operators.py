@@ -266,23 +266,96 @@ def test_filter_gives_counts_back():
     assert (slices.levels(keys + np.uint64(1), keys + np.uint64(1)) > 0).mean() < 0.03
 
 
+def spoken(found):
+    """conversation -> (state of each line, text of each turn), from rows of turns."""
+    out = {}
+    for r in sorted(found, key=lambda r: (repr(r.conv), r.line)):
+        states, turns = out.setdefault(r.conv, ([], []))
+        assert r.line == len(states)
+        state = 2 * chat.ROLES.index(r.role)
+        states += [state + (not r.opens), *[state + 1] * (r.n_lines - 1)]
+        turns.append(r.rendered) if r.opens else turns.append(turns.pop() + r.rendered)
+    return out
+
+
+def path_score(path, codes, model):
+    total = model["first"][path[0]] + model["emit"][path[0]][codes[0]]
+    for before, state, c in zip(path, path[1:], codes[1:]):
+        total += model["move"][before][state] + model["emit"][state][c]
+    return total
+
+
+def brute_path(codes, model):
+    """The best of all state sequences, and whether it is the only one."""
+    import itertools
+
+    ranked = sorted(((path_score(p, codes, model), p) for p in itertools.product(range(chat.STATES), repeat=len(codes))), reverse=True)[:2]
+    return list(ranked[0][1]), ranked[0][0] - ranked[1][0] > 1e-9
+
+
+def model_of(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], (f"User: how?{c}\nplease", "AI: yes\n- one\n- two")[t % 2] if (c + t) % 5 else ("why?", "Well then")[t % 2]) for c in range(20) for t in range(6)]
+    said = spark.createDataFrame(rows + [(50, 0, "system", "System: be kind")], "conv long, turn long, role string, text string")
+    return chat.learn(chat.lines_of(said, ("turn",), ("role",)))
+
+
+def test_chat_equals_all_paths(spark):
+    rng, model = random.Random(5), model_of(spark)
+    lines = ["User: hi?", "ai: yes", "[Bot]: - no", "well then", "- one", "", "### System: be kind", "why?", "Q : \t1"]
+    texts = {c: "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 5))) for c in range(25)}
+    frame_ = spark.createDataFrame(list(texts.items()), "conv long, text string")
+    coded = {}
+    for r in chat.lines_of(frame_).orderBy("place").collect():
+        coded.setdefault(r.conv, []).append(r.code)
+    for size in (1024, 3, 1):
+        got = spoken(chat.format_turns(chat.lines_of(frame_, chunk=size), model, size).collect())
+        assert set(got) == set(texts)
+        for conv, codes in coded.items():
+            want, single = brute_path(codes, model)
+            assert not single or got[conv][0] == want, (size, texts[conv])
+
+
+def test_chat_chunks_are_exact(spark, monkeypatch):
+    rng, model = random.Random(6), model_of(spark)
+    lines = ["User: hi?", "AI: yes", "well then", "System: be kind", "- a", "how?"]
+    texts = [(k, "\n".join(rng.choice(lines) for _ in range(n))) for k, n in enumerate((400, 1, 7, 150))] + [(None, "x\r\ny"), (9, None)]
+    raw = spark.createDataFrame(texts, "conv long, text string")
+    whole = spoken(chat.format_turns(chat.lines_of(raw), model).collect())
+    assert {k: len(v[0]) for k, v in whole.items()} == {0: 400, 1: 1, 2: 7, 3: 150, None: 2, 9: 1}
+    coded = {}
+    for r in chat.lines_of(raw).orderBy("place").collect():
+        coded.setdefault(r.conv, []).append(r.code)
+    monkeypatch.setattr(chat, "FAN", 4)
+    for size in (7, 64):
+        cut = spoken(chat.format_turns(chat.lines_of(raw, chunk=size), model, size).collect())
+        assert cut.keys() == whole.keys()
+        for conv, codes in coded.items():
+            # paths of equal score may differ
+            assert path_score(cut[conv][0], codes, model) == pytest.approx(path_score(whole[conv][0], codes, model), abs=1e-7), (size, conv)
+            assert sum(t.count("\n") - 3 for t in cut[conv][1]) == len(codes) - len(cut[conv][1])
+
+
+def test_chat_recovers_marked_turns(spark):
+    rng = random.Random(7)
+    names = {"system": "System", "user": "Human", "assistant": "Assistant"}
+    turns = {c: [(("user", "assistant")[t % 2], "\n".join(rng.choice(["How so?", "- this", "Well now", "and more", ""]) for _ in range(rng.randint(1, 4)))) for t in range(8)] for c in range(60)}
+    rows = [(c, t, r, f"{names[r]}: {text}") for c, said in turns.items() for t, (r, text) in enumerate(said) if c >= 30]
+    model = chat.learn(chat.lines_of(spark.createDataFrame(rows, "conv long, turn long, role string, text string"), ("turn",), ("role",)))
+    raw = spark.createDataFrame([(c, "\n".join(f"{names[r]}: {t}" for r, t in said), "x") for c, said in turns.items() if c < 30], "conv_id long, text string, line string")
+    got = spoken(chat.format_transcripts(raw, model).collect())
+    assert {c: v[1] for c, v in got.items()} == {c: [f"<|{r}|>\n{t}\n<|end|>\n" for r, t in said] for c, said in turns.items() if c < 30}
+
+
 def test_chat(spark):
-    turns = [(c, t, ("user", "assistant")[t % 2] if c % 3 else ("system", "user", "assistant")[t if t < 2 else 2 - t % 2], f"text {c} {t}") for c in range(40) for t in range(6)]
-    rows = turns + [(None, 0, "user", "x"), (7, None, "user", None), (8, 1, "assistant", "again"), (8, 1, "assistant", "again"), (9, 0, "tool", "odd role")]
-    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    found = chat.predict(talks).collect()
-    assert len(found) == len(rows) and all(r.role in chat.ROLES and r.rendered.endswith("\n<|end|>\n") for r in found)
-    want = {(c, t): r for c, t, r, _ in turns}
-    assert sum(r.role == want[r.conv_id, r.turn] for r in found if (r.conv_id, r.turn) in want) > 0.95 * len(turns)
-
-
-def test_chat_chunks_are_exact(spark):
-    rows = [(1, t, None, ("User: hi?", "AI: yes", "well then", "System: be kind")[random.Random(t).randrange(4)]) for t in range(200)]
-    raw = spark.createDataFrame(rows, "conv long, turn long, role string, text string")
-    train = spark.createDataFrame([(1, t, ("user", "assistant")[t % 2], ("User: hi?", "AI: yes")[t % 2]) for t in range(50)], "conv long, turn long, role string, text string")
-    model = chat.learn(train)
-    whole, cut = (sorted((r.turn, r.role) for r in chat.format_turns(raw, model, c).collect()) for c in (4096, 7))
-    assert whole == cut
+    turns = [(c, t, ("user", "assistant")[t % 2], ("How is {} {}?", "It is {}\nand {}")[t % 2].format(c, t)) for c in range(60) for t in range(6)]
+    rows = turns + [(None, 0, "user", "x"), (None, None, "user", "x"), (7, None, "user", None), (8, 1, "assistant", "again"), (8, 1, "assistant", "again"), (9, 0, "tool", "odd role"), (70, 0, "user", "y " * 200_000)]
+    talks = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, place long, chunk long")
+    found = chat.predict(talks)
+    assert found.columns == ["conv_id", "line", "n_lines", "opens", "held_out", "role", "rendered"]
+    got = spoken([type("Row", (), {**r.asDict(), "conv": r.conv_id}) for r in found.collect()])
+    assert sum(len(v[0]) for v in got.values()) == sum((t or "").count("\n") + 1 for *_, t in rows)
+    right = [got[c][0] == [0 + 2, 4, 5] * 3 for c in range(60) if c not in (7, 8, 9)]
+    assert sum(right) > 0.9 * len(right)
 
 
 def test_url_filter(spark):
