@@ -1,14 +1,16 @@
 """Line-first quality rules, in DataFrame functions alone.
 
-Each line is judged by punctuation, navigation and boilerplate rules, failing
-lines are removed, and a document that loses too much of its text is rejected.
-On top stand base figures of the whole text.
+Each line is judged by punctuation rules (marks without letters, too many symbols,
+teasers that break off), navigation rules (bars of links, menus of short lines
+without closing punctuation) and boilerplate phrases. Failing lines are removed,
+and a document that loses too much of its text is rejected. On top stand base
+figures of the whole text.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,19 @@ BOILERPLATE = (
     "powered by", "privacy policy", "share this article", "share this page", "sign up for our newsletter",
     "skip to content", "skip to main content", "terms of service", "terms of use",
 )
+# signs between the links of a bar
+SEPARATORS = r"[|•·»›]|\x20[/>]\x20"
+LETTER = r"[\p{L}\p{N}]"
+ENDING = r"[\x20\x09\x0D]*\z"
+TEASER = r"(?:\.\.\.|…)[\])]?" + ENDING
+# a line of few words; list items start with a sign or number, sentences and verse end with a mark
+FEW_WORDS = r"^[\x20\x09]*[^\x20\x09-\x0D0-9*•-][^\x20\x09-\x0D]*(?:[\x20\x09]+[^\x20\x09-\x0D]+){0,2}" + ENDING
+CLOSED = r"[.!?:;,…。！？、，：；\"'”’»)\]]" + ENDING
 MAX_LINE_SYMBOLS = 0.3
 MIN_BARS = 3
+MAX_TEASER = 100  # characters
+MAX_MENU = 40  # characters
+MENU_RUN = 4  # lines
 MAX_LOST = 0.6
 
 
@@ -81,20 +94,41 @@ def boilerplate(text: Column) -> Column:
     return bind(F.lower(text), lambda low: reduce(or_, [low.contains(p) for p in BOILERPLATE]))
 
 
-def fails(line: Column) -> Column:
-    """Whether a line is furniture: many symbols, a bar of links, boilerplate."""
-    bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-    return (symbols_of(line) > MAX_LINE_SYMBOLS * F.length(line)) | (bars >= MIN_BARS) | boilerplate(line)
+def fails(line: Column, text: Column) -> Column:
+    """Whether a line is furniture by itself; `text` tells what the whole text holds."""
+    return (
+        (text["symbols"] & (symbols_of(line) > MAX_LINE_SYMBOLS * F.length(line)))
+        | (text["bars"] & (F.regexp_count(line, F.lit(SEPARATORS)) >= MIN_BARS))
+        | (text["phrase"] & boilerplate(line))
+        | (line.rlike(r"[^\x20\x09-\x0D]") & ~line.rlike(LETTER))
+        | ((F.length(line) <= MAX_TEASER) & line.rlike(TEASER))
+    )
 
 
-def clean_lines(text: Column) -> Column:
-    """The text without failing lines.
+def menus(lines: Column) -> Column:
+    """For each line, whether it lies in `MENU_RUN` or more successive lines that look like a menu's.
 
-    A text without a symbol and without a phrase has no failing line; only the
-    others are taken apart.
+    Such a line has one to three words and no closing punctuation, and is no list
+    item. Null if there are too few of them.
     """
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~fails(line)), "\n")
-    return F.when(text.rlike(SYMBOLS) | boilerplate(text), kept).otherwise(text)
+    short = F.transform(lines, lambda x: (F.length(x) <= MAX_MENU) & x.rlike(FEW_WORDS) & ~x.rlike(CLOSED))
+
+    def runs(flags: Column) -> Column:
+        return F.transform(flags, lambda f, i: reduce(and_, [F.coalesce(F.get(flags, i + k), F.lit(False)) for k in range(1, MENU_RUN)], f))
+
+    def spread(starts: Column) -> Column:
+        return F.transform(starts, lambda f, i: reduce(or_, [F.coalesce(F.get(starts, i - k), F.lit(False)) for k in range(1, MENU_RUN)], f))
+
+    return bind(short, lambda f: F.when(F.size(F.filter(f, lambda x: x)) >= MENU_RUN, bind(runs(f), spread)))
+
+
+def clean_lines(text: Column) -> Column:
+    """The text without failing lines."""
+    lines = F.split(text, "\n")
+    whole = F.struct(
+        text.rlike(SYMBOLS).alias("symbols"), text.rlike(SEPARATORS).alias("bars"), boilerplate(text).alias("phrase"), lines.alias("lines"), menus(lines).alias("menus")
+    )
+    return bind(whole, lambda t: F.array_join(F.filter(t["lines"], lambda line, i: ~(F.coalesce(F.get(t["menus"], i), F.lit(False)) | fails(line, t))), "\n"))
 
 
 def base_figures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

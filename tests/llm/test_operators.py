@@ -468,6 +468,46 @@ def test_quality(spark, texts):
     assert "Python" not in plan and "Exchange" not in plan.split("Exchange RoundRobin")[0]
 
 
+def brute_clean(text):
+    """The text without failing lines, by a plain loop."""
+    lines = text.split("\n")
+
+    def short(x):
+        w = re.findall(r"[^\x20\x09-\x0D]+", x)
+        return len(x) <= 40 and 1 <= len(w) <= 3 and w[0][0] not in "0123456789*•-" and w[-1][-1] not in ".!?:;,…。！？、，：；\"'”’»)]" and not re.search(r"[\x0b\x0c]", x)
+
+    def fails(x):
+        symbols = sum(c in "#*$%&|<>" for c in x)
+        bars = len(re.findall(r"[|•·»›]| [/>] ", x))
+        teaser = len(x) <= 100 and re.sub(r"[\])]$", "", x.rstrip(" \t\r")).endswith(("...", "…"))
+        return symbols > 0.3 * len(x) or bars >= 3 or any(p in x.lower() for p in quality.BOILERPLATE) or teaser or (x.strip(" \t\n\x0b\x0c\r") != "" and not any(c.isalnum() for c in x))
+
+    flags = [short(x) for x in lines]
+    menu = [any(all(0 <= j < len(flags) and flags[j] for j in range(k - d, k - d + 4)) for d in range(4)) for k in range(len(lines))]
+    return "\n".join(x for x, m in zip(lines, menu) if not m and not fails(x))
+
+
+def test_quality_lines(spark):
+    """Menus without bars go, verse and lists stay; the rest as a plain loop has it."""
+    body = "\n".join(" ".join(f"word{k}{j}" for j in range(12)) + "." for k in range(6))
+    verse = "\n".join(f"the {w} sings of morning," for w in ("lark", "thrush", "wren", "crow"))
+    listed = "\n".join(f"- item {k}" for k in range(6)) + "\n1 one\n2 two\n3 three\n4 four"
+    menu = "Home\nAbout us\nContact\n Our News\nShop"
+    odd = [
+        "Home\nAbout\nNews\nbye.", "Home\r\nAbout\r\nNews\r\nShop\r\n", "a\nb\n\nc\nd", "-----\n* * *\ntext …\nmore (...)\n", "one / two / three / four", "a • b • c • d\n• x\n• y", "", "\n\n\n\n\n",
+        "a\u2028\nb\nc\nd", "w" * 50 + "\nb\nc\nd", "x...\u0085", "日本\n語。\nab\ncd\nef", "\n".join("menu%s" % c for c in "abcdefgh") + "\nThe end.",
+    ]
+    rng = random.Random(11)
+    odd += ["\n".join(rng.choice(["Home", "Top news", "- x", "Yes.", "", "a b c d", "see more...", "##", "7 up", "ok"]) for _ in range(12)) for _ in range(60)]
+    rows = [(1, body + "\n" + menu), (2, verse + "\n" + listed), (3, "\n".join(f"word{k} more{k}" for k in range(60)))] + [(10 + k, t) for k, t in enumerate(odd)] + [(None, menu), (None, menu)]
+    found = quality.judge(frame(spark, rows)).collect()
+    by = {r.doc_id: r for r in found}
+    assert by[1].cleaned == body and by[1].kept and by[2].cleaned == verse + "\n" + listed and not by[3].kept and not by[3].base_failed
+    assert sum(r.doc_id is None and r.cleaned == "" for r in found) == 2
+    for key, text in rows:
+        assert by[key].cleaned == brute_clean(text), repr(text)
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
