@@ -150,7 +150,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SP = r"[\x20\x09-\x0D]+"
 _CLOSED = quality.CLOSED.replace("'", "''")
-_RUN = " AND ".join(f"short[at - k + {j}]" for j in range(1, quality.MENU_RUN))
+_RUN = " AND ".join(f"short[pos - k + {j}]" for j in range(1, quality.MENU_RUN))
 OP10_SQL = rf"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SP}'), lambda x: x <> '') AS w,
@@ -168,12 +168,12 @@ figures AS (
     (len(list_filter(lines, lambda x: regexp_replace(x, '{_SP}', '', 'g') <> '')) -
      len(list_distinct(list_filter(lines, lambda x: regexp_replace(x, '{_SP}', '', 'g') <> ''))))::BIGINT AS n_dup_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words,
-    coalesce(list_sum(list_transform(list_filter(lines, lambda x, at:
+    coalesce(list_sum(list_transform(list_filter(lines, lambda x, pos:
       length(x) - length(regexp_replace(x, '{quality.SYMBOLS}', '', 'g')) > {quality.MAX_LINE_SYMBOLS} * length(x)
       OR len(regexp_extract_all(x, '{quality.SEPARATORS}')) >= {quality.MIN_BARS}
       OR (regexp_matches(x, '[^\x20\x09-\x0D]') AND NOT regexp_matches(x, '{quality.LETTER}'))
       OR (length(x) <= {quality.MAX_TEASER} AND regexp_matches(x, '{quality.TEASER}'))
-      OR list_bool_or([at > k AND coalesce(short[at - k] AND {_RUN}, false) FOR k IN {list(range(quality.MENU_RUN))}])
+      OR list_bool_or([pos > k AND coalesce(short[pos - k] AND {_RUN}, false) FOR k IN {list(range(quality.MENU_RUN))}])
       OR list_bool_or([contains(lower(x), p) FOR p IN {list(quality.BOILERPLATE)}])),
       lambda x: length(regexp_replace(x, '{_SP}', '', 'g')))), 0) AS lost
   FROM docs d LEFT JOIN repeats r USING (doc_id))
