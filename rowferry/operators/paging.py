@@ -27,10 +27,12 @@ def sort_rows(df: DataFrame, sort: Sequence[Sort], keys: Sequence[str] = ()) ->
     return df.orderBy(*order_columns(total_order(sort, keys)))
 
 
-def page_bounds(limit: int, offset: int, dialect: str = "sql") -> tuple[int, int]:
+def page_bounds(limit: int, offset: int, dialect: str | None = None) -> tuple[int, int]:
+    """Checked bounds; with a dialect, at most a page of its length."""
     if int(limit) != limit or int(offset) != offset or limit < 0 or offset < 0:
         raise ValueError("limit and offset must be non-negative whole numbers")
-    return min(max(int(limit), 1), PAGE_CAPS[dialect]), int(offset)
+    limit = max(int(limit), 1)
+    return (min(limit, PAGE_CAPS[dialect]) if dialect else limit), int(offset)
 
 
 def cut_page(df: DataFrame, order: Sequence[Sort], offset: int, count: int) -> DataFrame:
@@ -52,10 +54,12 @@ def page_offset(
     keys: Sequence[str],
     limit: int = 100,
     offset: int = 0,
-    dialect: str = "sql",
 ) -> DataFrame:
-    """One page with ``has_more``, known from one row past the page."""
-    limit, offset = page_bounds(limit, offset, dialect)
+    """One page with ``has_more``, known from one row past the page.
+
+    The page is as long as asked for; only `browse` holds to the page caps.
+    """
+    limit, offset = page_bounds(limit, offset)
     order = total_order(sort, keys)
     probe = freeze(cut_page(df, order, offset, limit + 1), "page")
     has_more = probe.count() > limit
@@ -136,7 +140,7 @@ def browse(
     """A page of rows, and one row with the total and how it was obtained."""
     filters = list(filters)
     page = page_offset(
-        apply_filters(df, filters, dialect), sort, keys, limit, offset, dialect
+        apply_filters(df, filters, dialect), sort, keys, *page_bounds(limit, offset, dialect)
     )
     total = count_rows(df, filters, dialect) if filters else count_estimated(df)
     return page, total

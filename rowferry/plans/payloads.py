@@ -10,6 +10,7 @@ from rowferry.operators.row_index import row_index_sequence
 from rowferry.plans.registry import query
 
 _NOW = "2024-01-01T00:00:00.000Z"
+_GAPS = '{"n": "{{$index}}", "id": "{{c_custkey}}", "name": "{{c_name}}", "gone": "{{gone}}", "text": "<{{lost}}>"}'
 
 
 @query(
@@ -136,3 +137,44 @@ def _(t):
 
     mapping = [ColumnMapping("c_custkey", "id"), ColumnMapping("c_name", "name")]
     return preview_rows(t.customer, mapping, 10, ["c_custkey"])
+
+
+@query(
+    "preview_payload",
+    """SELECT i AS row_index, '{"n":' || i || ',"id":' || c_custkey || ',"name":"' || c_name || '","gone":null,"text":"<>"}' AS body,
+              'gone,lost' AS warnings
+       FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS i FROM customer WHERE c_nationkey <> 3) WHERE i < 10""",
+)
+def _(t):
+    """What a payload bridge would send first, with the tokens that resolve to nothing."""
+    from rowferry.operators.preview import preview_payload
+
+    rows = t.customer.where("c_nationkey <> 3")
+    shown = preview_payload(rows, Payload(_GAPS), "customer", _NOW, 10, ("c_acctbal", "c_custkey"))
+    return shown.withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query(
+    "render_warnings",
+    """SELECT w AS token, c_mktsegment, count(*) AS bodies FROM customer, (SELECT unnest(['gone', 'lost']) AS w) GROUP BY 1, 2""",
+)
+def _(t):
+    """How many bodies each unresolved token leaves a gap in, by segment."""
+    missing = payload.render_warnings(t.customer, Payload(_GAPS))
+    counts = t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("bodies"))
+    token = F.explode(F.array(*map(F.lit, missing))).alias("token")
+    return counts.select(token, "c_mktsegment", "bodies")
+
+
+@query(
+    "preview_bridge",
+    "SELECT o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_totalprice >= 1000 ORDER BY o_orderkey LIMIT 10",
+)
+def _(t):
+    """The first mapped rows of a bridge that writes to a table."""
+    from rowferry.config import Bridge, ColumnMapping, Filter, Target
+    from rowferry.operators.preview import preview_bridge
+
+    mapping = (ColumnMapping("o_orderkey", "id"), ColumnMapping("o_orderstatus", "state"))
+    bridge = Bridge("b", "orders", ("o_orderkey",), (Filter("o_totalprice", "gte", 1000),), targets=(Target("copy", key_columns=("id",), mapping=mapping),))
+    return preview_bridge(bridge, t.orders, _NOW, 10).bodies

@@ -305,6 +305,17 @@ def _(t):
     return paging.page_offset(rows, _BY_STATUS, ["o_orderkey"], 200, 400)
 
 
+@query(
+    "page_offset_long",
+    """SELECT o_orderkey, o_orderstatus, o_totalprice, (SELECT count(*) FROM orders) > 10 + 6000 AS has_more FROM orders
+       ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 6000 OFFSET 10""",
+)
+def _(t):
+    """A page longer than a browser shows: the length asked for holds."""
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return paging.page_offset(rows, _BY_STATUS, ["o_orderkey"], 6000, 10)
+
+
 @query(
     "page_keyset",
     """SELECT * FROM orders WHERE o_orderkey > 700 ORDER BY o_orderkey LIMIT 200""",

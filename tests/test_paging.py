@@ -79,7 +79,8 @@ def test_top_rows_never_shuffle_all_rows(spark, monkeypatch):
 
 def test_page_bounds_are_clamped_and_checked():
     assert paging.page_bounds(0, 0) == (1, 0)
-    assert paging.page_bounds(10**6, 3) == (5000, 3)
+    assert paging.page_bounds(10**6, 3) == (10**6, 3)
+    assert paging.page_bounds(10**6, 3, "sql") == (5000, 3)
     assert paging.page_bounds(10**6, 0, "document") == (1000, 0)
     assert paging.page_bounds(10**6, 0, "keyspace") == (500, 0)
     for limit, offset in ((-1, 0), (1, -1), (1.5, 0)):
@@ -118,6 +119,15 @@ def test_preview_limits(spark, rows):
             paging.preview_rows(df, limit=limit)
 
 
+def test_a_given_page_length_holds(spark):
+    df = spark.range(7000)
+    for limit, more in ((5001, True), (6999, True), (7000, False)):
+        page = paging.page_offset(df, [Sort("id")], ["id"], limit)
+        assert page.count() == limit and {r.has_more for r in page.collect()} == {more}
+    page, _ = paging.browse(df, (), [Sort("id")], ["id"], 6000)
+    assert page.count() == 5000 and page.first().has_more
+
+
 def test_browse_totals(spark):
     df = spark.range(50)
     page, total = paging.browse(df, [Filter("id", "lt", 5)], [Sort("id")], ["id"], 3)
