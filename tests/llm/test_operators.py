@@ -508,6 +508,93 @@ def test_quality_lines(spark):
         assert by[key].cleaned == brute_clean(text), repr(text)
 
 
+def brute_language(rows, size):
+    """Prediction of every text by plain counting: {doc_id: (language, score)}."""
+    import zlib
+
+    def ranked(*texts):
+        counts = collections.Counter()
+        for text in texts:
+            codes = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+            counts.update(c for c in codes if c)
+            counts.update(a | b << 21 | 1 << 62 for a, b in zip(codes, codes[1:]) if a or b)
+            counts.update(a | b << 21 | c << 42 for a, b, c in zip(codes, codes[1:], codes[2:]) if b)
+        return sorted(counts, key=lambda k: (-counts[k], k))[:size]
+
+    said = {}
+    for key, text, lang in rows:
+        if text is not None and lang is not None and (key is None or zlib.crc32(str(key).encode()) % 5 != 0):
+            said.setdefault(lang, []).append(text)
+    places = {lang: {k: n for n, k in enumerate(ranked(*texts))} for lang, texts in said.items()}
+    out = {}
+    for key, text, _ in rows:
+        mine = ranked(text or "")
+        if not any(c.isalpha() for c in (text or "").lower()):
+            out[key] = ("und", 0.0)
+            continue
+        near = {lang: 1 - sum(abs(p[k] - n) if k in p else size for n, k in enumerate(mine)) / (size * len(mine)) for lang, p in places.items()}
+        best = min(sorted(near), key=lambda lang: -near[lang])
+        out[key] = (best, near[best] / sum(near.values()) if sum(near.values()) > 0 else 1 / len(near))
+    return out
+
+
+def test_language_equals_plain_counting(spark):
+    rng = random.Random(21)
+    parts = {"aa": "la ma ri to su", "bb": "krz chy szt ów ż", "cc": "the and ing ou wh"}
+    rows = [(k, "".join(rng.choice(parts[lang].split()) + rng.choice(["", " ", ". ", "\n"]) for _ in range(rng.randint(1, 60))), lang) for k, lang in enumerate(rng.choices(list(parts), k=60))]
+    rows += [(100, None, "aa"), (101, "", "bb"), (102, "12 -- 3", "cc"), (103, "la the krz", None), (None, "the and", "cc"), (105, "z" * 5000, "aa"), (105, "z" * 5000, "aa"), (106, "İSTANBUL ß漢字", None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, lang_pred string")
+    want = brute_language(rows, language.PROFILE)
+    found = language.predict(docs).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-9), r
+
+
+def small_tagger():
+    factors = np.array([30.0, 4.0, 0.2, 0.6])
+    return toxicity.Tagger(np.array([10, 20, 30]), factors, np.array([0.9, 0.1, 0.35, 0.65]), np.zeros(4))
+
+
+def test_marginals_equal_all_taggings():
+    """Every tagging of short texts, weighed and summed; the tag before a text is clean."""
+    rng, model = random.Random(31), small_tagger()
+    texts = [[rng.choice([0, 1, 2, 3, 3, 3]) for _ in range(rng.randint(1, 9))] for _ in range(60)] + [[], [3, 3], [0], [0] * 8, [0] * 8]
+    ids, bounds = np.array([w for t in texts for w in t]), np.cumsum([0, *map(len, texts)])
+    places, found = toxicity.marginals(model, ids, bounds)
+    got = dict(zip(places.tolist(), found.tolist()))
+    assert len(got) == len(places)
+    for text, first in zip(texts, bounds):
+        if not any(w < 3 for w in text):
+            assert not any(first + k in got for k in range(len(text)))
+            continue
+        total, toxic = 0.0, [0.0] * len(text)
+        for tags in itertools.product((0, 1), repeat=len(text)):
+            weight = math.prod(model.moves[2 * a + b] for a, b in zip((0, *tags), tags)) * math.prod(model.factors[w] for w, t in zip(text, tags) if t)
+            total += weight
+            toxic = [x + weight * t for x, t in zip(toxic, tags)]
+        assert [got[first + k] for k in range(len(text))] == pytest.approx([x / total for x in toxic], abs=1e-12), text
+
+
+def test_marginals_of_long_texts():
+    """A text far longer than a word's reach, against sums over the whole of it."""
+    model, size = small_tagger(), 700
+    ids = np.full(size, 3)
+    ids[[200, 203, 230, 500]] = [0, 1, 0, 2]
+    places, found = toxicity.marginals(model, ids, np.array([0, size]))
+    move = model.moves.reshape(2, 2)
+    local = [np.array([1.0, model.factors[w]]) for w in ids]
+    ahead, behind = [move[0] * local[0]], [np.ones(2)]
+    for k in range(1, size):
+        step = ahead[-1] @ move * local[k]
+        ahead.append(step / step.sum())
+        back = move @ (local[size - k] * behind[-1])
+        behind.append(back / back.sum())
+    both = np.array(ahead) * np.array(behind[::-1])
+    assert {200, 203, 230, 500} <= set(places.tolist())
+    assert found == pytest.approx((both[:, 1] / both.sum(1))[places], abs=1e-6)
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
