@@ -259,8 +259,13 @@ def run_poll(
     run_id: str,
     state: WatchState | None,
     deliveries: DataFrame | None = None,
+    now: str = "",
 ) -> RunResult:
-    """One poll of a watching bridge: new rows are written, then the state moves on."""
+    """One poll of a watching bridge: new rows are written, then the state moves on.
+
+    A payload bridge gets an outbox of them instead, one queued delivery per row.
+    The numbers go on from the run's ledger, so no idempotency key comes twice.
+    """
     ledger = deliveries if deliveries is not None else empty_ledger(source.sparkSession)
     rows = scan_table(source, bridge.filters)
     page, reached = watch_poll(rows, bridge.strategy, state, bridge.primary_key, bridge.per_poll)
@@ -272,4 +277,12 @@ def run_poll(
     shifted = numbered.withColumn("row_index", F.col("row_index") + start).withColumn(
         "sequence", F.col("row_index")
     )
+    if bridge.payload is not None:
+        rows = shifted.select(*source.columns, "row_index", "sequence")
+        outbox = payload_outbox(rows, bridge.payload, bridge.source, now, run_id, bridge.primary_key)
+        queued = shifted.select(
+            F.lit(run_id).alias("run_id"), "sequence", "row_index", F.lit(1).cast("bigint").alias("row_count"),
+            F.lit("queued").alias("status"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error"),
+        )
+        return RunResult(ledger.unionByName(queued), "queued", outbox=outbox, state=reached)
     return _deliver(bridge, shifted, tables, run_id, ledger, reached)

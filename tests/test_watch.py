@@ -204,3 +204,19 @@ def test_a_snapshot_poll_writes_its_new_keys_only(spark, tmp_path):
     before = sorted(os.listdir(tmp_path / "seen"))
     assert state_from_json(spark, strategy, state_to_json(back, str(tmp_path / "seen"))).polls == back.polls
     assert sorted(os.listdir(tmp_path / "seen")) == before
+
+
+def test_a_poll_of_a_payload_bridge_queues_new_rows_once(spark):
+    import json
+
+    from rowferry.config import Bridge, Payload, WatchStrategy
+    from rowferry.operators.runs import run_poll
+
+    bridge = Bridge("b", "t", ("id",), payload=Payload('{"id": "{{id}}"}'), trigger="watch", strategy=WatchStrategy("increment", "id"), per_poll=4)
+    source = spark.range(1, 8).withColumn("v", F.lit("x"))
+    first = run_poll(bridge, source, {}, "r", None, now="n")
+    second = run_poll(bridge, source, {}, "r", first.state, first.deliveries, "n")
+    third = run_poll(bridge, source, {}, "r", second.state, second.deliveries, "n")
+    sent = [[(r.sequence, r.idempotency_key, json.loads(r.body)["id"]) for r in run.outbox.orderBy("sequence").collect()] for run in (first, second, third)]
+    assert sent == [[(k, f"r:{k}", k + 1) for k in range(4)], [(k, f"r:{k}", k + 1) for k in range(4, 7)], []]
+    assert [(r.sequence, r.row_count, r.status) for r in third.deliveries.orderBy("sequence").collect()] == [(k, 1, "queued") for k in range(7)]
