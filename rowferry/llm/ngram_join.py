@@ -38,10 +38,14 @@ RATIO = 1.75
 GROUP = 32
 # documents that may meet under one shingle; links by shingles of more come from sets of them
 OFTEN = 64
-FLUSH = 2_000_000
-# low bytes of a signature that are shuffled; the part it is dealt to, of which
-# there are more with more data, tells the rest
+# signatures that a task holds before it writes them
+FLUSH = 500_000
+# parts of a partition that are sorted one after the other
+SLICES = 16
+# low bytes of a signature of a part that are shuffled: equal ones are candidates
+# only; signatures of whole sets, which stand for the set, go whole
 SIG_BYTES = 6
+WHOLE = 62
 RUNS = "gid long, doc long, pivot long, band int, mult long"
 
 
@@ -62,9 +66,9 @@ def segments(h: int) -> int:
     return 1 if h == 0 else h + 1 + 2 + (h + 1) // 5
 
 
-def needed(size: int, high: int) -> int:
-    """Segments that must count for a set of this size: its own H and one."""
-    partner = size * 100 // SHARE if size <= high else high
+def needed(size, high: int):
+    """Segments that must count for a set of this size, or sets of these sizes: its own H and one."""
+    partner = np.where(size <= high, size * 100 // SHARE, high)
     return (size + partner) * (100 - SHARE) // (100 + SHARE) + 1
 
 
@@ -94,34 +98,56 @@ def shingles(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
-def digest(items: np.ndarray) -> tuple[int, int, int]:
-    """Size and two sums that tell sets apart."""
-    return len(items), int(mix(items).sum(dtype=np.uint64)), int(mix(items ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two sums for each set, none of them empty, that tell sets apart."""
+    items, firsts = np.concatenate(sets), np.cumsum([0, *(len(x) for x in sets[:-1])])
+    return np.stack([np.add.reduceat(mix(x), firsts) for x in (items, items ^ np.uint64(0xA5A5A5A5A5A5A5A5))], axis=1)
 
 
-def parts(items: np.ndarray, band: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segment and value of each shingle in a band, and value and size of each segment."""
+def placed(items: np.ndarray, band: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and value of each shingle in a band."""
     value = mix(items + np.uint64((band + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
     place = ((value >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+    return place, mix(value)
+
+
+def parts(items: np.ndarray, band: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segment and value of each shingle in a band, and value and size of each segment."""
+    place, value = placed(items, band, count)
     total = np.zeros(count, np.uint64)
-    value = mix(value)
     np.add.at(total, place, value)
     return place, value, total, np.bincount(place, minlength=count)
 
 
+def in_bands(sets: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All sets of each band: band, its most size, their places in the list, their shingles
+    in one array with the row of each, and its number of segments.
+
+    A table of sets by segments is smaller than the shingles it is made of.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    for band, (low, high, larger, h) in enumerate(bands(int(sizes.max(initial=0)))):
+        mine = np.flatnonzero((sizes >= low) & (sizes <= larger))
+        if len(mine):
+            yield band, high, mine, np.concatenate([sets[k] for k in mine]), np.repeat(np.arange(len(mine)), sizes[mine]), segments(h)
+
+
 def keyed(total: np.ndarray, place: np.ndarray, band: int) -> np.ndarray:
     """Signatures; the lowest six bits hold the band."""
     return mix(total + mix(place.astype(np.uint64) + np.uint64(band << 40))) & ~np.uint64(63) | np.uint64(band)
 
 
-def by_segments(items: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """Signatures of a set in each of its bands, and the band if too few parts are filled."""
-    size = len(items)
-    for band, (low, high, larger, h) in enumerate(bands(size)):
-        if low <= size <= larger:
-            _, _, total, sizes = parts(items, band, segments(h))
-            filled = np.flatnonzero(sizes)
-            yield keyed(total[filled], filled, band), band if len(filled) < needed(size, high) else -1
+def by_segments(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each band: the band, signatures of all sets in it, the place of the set of each, and the sets with too few filled parts."""
+    for band, high, mine, items, row, count in in_bands(sets):
+        place, value = placed(items, band, count)
+        total = np.zeros(len(mine) * count, np.uint64)
+        np.add.at(total, row * count + place, value)
+        sizes = np.bincount(row * count + place, minlength=len(total))
+        filled = np.flatnonzero(sizes)
+        held = np.bincount(filled // count, minlength=len(mine))
+        short = held < needed(np.bincount(row, minlength=len(mine)), high)
+        yield band, keyed(total[filled], filled % count, band), mine[filled // count], mine[short]
 
 
 def by_deletions(items: np.ndarray, wanted: set[int]) -> Iterator[tuple[np.ndarray, int]]:
@@ -137,6 +163,11 @@ def by_deletions(items: np.ndarray, wanted: set[int]) -> Iterator[tuple[np.ndarr
             yield np.r_[keyed(total[filled], filled, band), less], band if room < needed(size, high) else -1
 
 
+def marks_of(keys: np.ndarray, band: int) -> np.ndarray:
+    """Signatures that stand for documents, not for parts: band 63."""
+    return mix((keys * 64 + band).view(np.uint64)) & ~np.uint64(63) | np.uint64(63)
+
+
 def _entries(data: DataFrame, count: int, deletions: bool) -> DataFrame:
     """Rows (part, sigs, docs): packed signatures and their documents, by part.
 
@@ -146,43 +177,55 @@ def _entries(data: DataFrame, count: int, deletions: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, docs, held, seen = [], [], 0, {}
+        sigs, docs, held, seen = [], [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             sig, doc = np.concatenate(sigs), np.concatenate(docs)
             part = (sig >> np.uint64(6)) % np.uint64(count)
-            order = np.lexsort((sig, part))
-            sig, doc, part = sig[order], doc[order], part[order]
-            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
-            rows = [(int(part[a]), planes(sig[a:b], SIG_BYTES), planes(doc[a:b].view(np.uint64), 8)) for a, b in zip(cuts, cuts[1:])]
+            # signatures of whole sets in rows of their own, all their bytes
+            whole = (sig & np.uint64(63)) == WHOLE
+            order = np.lexsort((sig, whole, part))
+            sig, doc, part, whole = sig[order], doc[order], part[order], whole[order]
+            cuts = np.r_[0, np.flatnonzero(np.diff(part.view(np.int64) * 2 + whole)) + 1, len(part)]
+            rows = [(int(part[a]), planes(sig[a:b], 8 if whole[a] else SIG_BYTES), planes(doc[a:b].view(np.uint64), 8)) for a, b in zip(cuts, cuts[1:])]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "sigs", "docs"])
 
         for batch in batches:
-            bands_of = batch.column(2).to_pylist() if deletions else None
-            row = 0
-            for keys, texts in pieces(iter([batch])):
-                for key, items in zip(keys.to_pylist(), shingles(texts)):
-                    row += 1
-                    if not len(items):
-                        continue
-                    whole = digest(items)
-                    first = whole in seen
-                    seen[whole] = True
-                    mine = [np.array([mix(np.array([whole[1] ^ whole[2]], np.uint64))[0] & ~np.uint64(63) | np.uint64(62)], np.uint64)]
-                    if not first:
-                        found = by_deletions(items, set(bands_of[row - 1])) if deletions else by_segments(items)
-                        for sig, short in found:
-                            mine.append(sig)
+            bands_of, row = batch.column(2) if deletions else None, 0
+            for ids, texts in pieces(iter([batch])):
+                sets, keys = shingles(texts), ids.to_numpy()
+                wanted = bands_of.slice(row, len(keys)).to_pylist() if deletions else None
+                row += len(keys)
+                some = [k for k, items in enumerate(sets) if len(items)]
+                if not some:
+                    continue
+                sums = digests([sets[k] for k in some])
+                names = [(len(sets[k]), *pair) for k, pair in zip(some, sums.tolist())]
+                fresh = []
+                for k, name in zip(some, names):
+                    if name not in seen:
+                        seen.add(name)
+                        fresh.append(k)
+                here, owners = [mix(sums[:, 0] ^ sums[:, 1]) & ~np.uint64(63) | np.uint64(WHOLE)], [keys[some]]
+                if deletions:
+                    for k in fresh:
+                        for sig, short in by_deletions(sets[k], set(wanted[k])):
+                            here.append(sig)
+                            owners.append(np.full(len(sig), keys[k]))
                             if short >= 0:
-                                mark = mix(np.array([key * 64 + short], np.int64).view(np.uint64))
-                                mine.append(mark & ~np.uint64(63) | np.uint64(63))
-                    sig = np.concatenate(mine)
-                    sigs.append(sig)
-                    docs.append(np.full(len(sig), key, np.int64))
-                    held += len(sig)
-                    if held > FLUSH:
-                        yield from flush()
-                        sigs, docs, held, seen = [], [], 0, {}
+                                here.append(marks_of(keys[k : k + 1], short))
+                                owners.append(keys[k : k + 1])
+                elif fresh:
+                    mine = keys[fresh]
+                    for band, sig, at, short in by_segments([sets[k] for k in fresh]):
+                        here += [sig, marks_of(mine[short], band)]
+                        owners += [mine[at], mine[short]]
+                sigs.append(np.concatenate(here))
+                docs.append(np.concatenate(owners))
+                held += len(sigs[-1])
+                if held > FLUSH:
+                    yield from flush()
+                    sigs, docs, held, seen = [], [], 0, set()
         if held:
             yield from flush()
 
@@ -193,16 +236,11 @@ def _runs(entries: DataFrame, count: int) -> DataFrame:
     """Groups of documents with a common signature: gid, doc, pivot, band, mult.
 
     Groups of the same members count once, with their number in `mult`. Marks
-    come through with pivot = doc, band 63 and mult 0.
+    come through with pivot = doc, band 63 and mult 0. A task holds one part of
+    its partition at a time.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, docs = [], []
-        for batch in batches:
-            sigs += [unplanes(x, SIG_BYTES) for x in batch.column(1).to_pylist()]
-            docs += [unplanes(x, 8).view(np.int64) for x in batch.column(2).to_pylist()]
-        if not sigs:
-            return
+    def groups(sigs: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sig, doc = np.concatenate(sigs), np.concatenate(docs)
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
@@ -225,12 +263,25 @@ def _runs(entries: DataFrame, count: int) -> DataFrame:
                 ["gid", "doc", "pivot", "band", "mult"],
             )
 
-    return entries.repartition(count, "part").mapInArrow(run, RUNS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, docs, now = [], [], None
+        for batch in batches:
+            for part, sig, doc in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if part != now and sigs:
+                    yield from groups(sigs, docs)
+                    sigs, docs = [], []
+                now, sig, doc = part, sig.as_py(), doc.as_py()
+                sigs.append(unplanes(sig, 8 * len(sig) // len(doc)))
+                docs.append(unplanes(doc, 8).view(np.int64))
+        if sigs:
+            yield from groups(sigs, docs)
+
+    return entries.repartition(count, "part").sortWithinPartitions("part").mapInArrow(run, RUNS)
 
 
 def members(data: DataFrame, count: int, deletions: bool = False) -> DataFrame:
     """All groups of a scheme, equal ones of different tasks together."""
-    return _runs(_entries(data, count, deletions), count).groupBy("gid", "doc", "band").agg(F.min("pivot").alias("pivot"), F.sum("mult").alias("mult"))
+    return _runs(_entries(data, count * SLICES, deletions), count).groupBy("gid", "doc", "band").agg(F.min("pivot").alias("pivot"), F.sum("mult").alias("mult"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -260,13 +311,22 @@ def _with_classes(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataF
     return named, counts
 
 
-def _cross_pairs(named: DataFrame, counts: DataFrame, limit: int | None, banded: bool) -> DataFrame:
-    """Pairs (a, b[, band, common]) within a group and across components."""
+def _cross_pairs(named: DataFrame, counts: DataFrame, limit: int | None, shapes: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) within a group and across components.
+
+    With `shapes` also band and number of common parts, of pairs whose sizes
+    allow it, in the band of the smaller set's size: there similar sets meet.
+    """
     side = named.join(counts.filter("classes > 1" + (f" AND classes <= {limit}" if limit else "")), "gid")
-    left = side.select("gid", F.col("doc").alias("a"), F.col("comp").alias("ca"), *(["band", "mult"] if banded else []))
+    left = side.select("gid", F.col("doc").alias("a"), F.col("comp").alias("ca"))
     right = side.select("gid", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "gid").filter("ca < cb")
-    return pairs.groupBy("a", "b", "band").agg(F.sum("mult").alias("common")) if banded else pairs.select("a", "b").distinct()
+    if shapes is None:
+        return left.join(right, "gid").filter("ca < cb").select("a", "b").distinct()
+    side = side.join(shapes.select("doc", "n", F.explode("bands").alias("x")).select("doc", "n", "x.band", "x.own"), ["doc", "band"])
+    left = side.select("gid", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("own").alias("oa"), "band", "mult")
+    right = side.select("gid", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("own").alias("ob"))
+    pairs = left.join(right, "gid").filter(f"ca < cb AND oa + ob > 0 AND 100 * least(na, nb) >= {SHARE} * greatest(na, nb)")
+    return pairs.groupBy("a", "b", "band").agg(F.sum("mult").alias("common"))
 
 
 def set_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,30 +340,40 @@ def set_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return data.mapInArrow(run, "doc_id long, n_shingles long")
 
 
-def cells_of(items: np.ndarray, high: int) -> bytes:
-    """How many shingles fall into each cell of a hash, up to 255; about a cell for four shingles."""
+def cells_of(items: np.ndarray, row: np.ndarray, rows: int, high: int) -> np.ndarray:
+    """How many shingles of each row fall into each cell of a hash, up to 255; about a cell for four shingles."""
     count = min(max(high // 4, 32), 1 << 16)
     place = (mix(items ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(count)).astype(np.int64)
-    return np.minimum(np.bincount(place, minlength=count), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount(row * count + place, minlength=rows * count), 255).astype(np.uint8).reshape(rows, count)
 
 
 def _shapes(data: DataFrame) -> DataFrame:
-    """doc, n and for each of its bands: filled parts, those of several shingles, parts needed, cells."""
-    kind = pa.list_(pa.struct([*((c, pa.int32()) for c in ("band", "filled", "several", "need")), ("cells", pa.binary())]))
+    """doc, n and for each of its bands: filled parts, those of several shingles, parts needed, whether it is
+    the band of its own size, cells."""
+    whole = ("band", "filled", "several", "need", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in pieces(batches):
-            sets, rows = shingles(texts), []
-            for items in sets:
-                row = []
-                for band, (low, high, larger, h) in enumerate(bands(len(items))):
-                    if low <= len(items) <= larger:
-                        sizes = parts(items, band, segments(h))[3]
-                        row.append({"band": band, "filled": int((sizes > 0).sum()), "several": int((sizes > 1).sum()), "need": needed(len(items), high), "cells": cells_of(items, high)})
-                rows.append(row)
-            yield pa.record_batch([keys, pa.array([len(x) for x in sets], pa.int64()), pa.array(rows, kind)], ["doc", "n", "bands"])
-
-    return data.select("doc", "text").mapInArrow(run, "doc long, n long, bands array<struct<band:int,filled:int,several:int,need:int,cells:binary>>")
+            sets = shingles(texts)
+            size = np.array([len(x) for x in sets], np.int64)
+            at, found, cells = [], {c: [] for c in whole}, []
+            for band, high, mine, items, row, count in in_bands(sets):
+                place, _ = placed(items, band, count)
+                sizes = np.bincount(row * count + place, minlength=len(mine) * count).reshape(len(mine), count)
+                at.append(mine)
+                values = (np.full(len(mine), band), (sizes > 0).sum(1), (sizes > 1).sum(1), needed(size[mine], high), size[mine] <= high)
+                for name, value in zip(whole, values):
+                    found[name].append(value)
+                cells += [x.tobytes() for x in cells_of(items, row, len(mine), high)]
+            doc = np.concatenate([*at, np.zeros(0, np.int64)])
+            order = np.argsort(doc, kind="stable")
+            columns = [pa.array(np.concatenate([*found[c], np.zeros(0, np.int64)])[order].astype(np.int32), pa.int32()) for c in whole]
+            rows = pa.StructArray.from_arrays([*columns, pa.array([cells[k] for k in order], pa.binary())], [*whole, "cells"])
+            offsets = np.searchsorted(doc[order], np.arange(len(sets) + 1)).astype(np.int32)
+            yield pa.record_batch([keys, pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), rows)], ["doc", "n", "bands"])
+
+    kind = ",".join(f"{c}:int" for c in whole)
+    return data.select("doc", "text").mapInArrow(run, f"doc long, n long, bands array<struct<{kind},cells:binary>>")
 
 
 def _possible(pairs: DataFrame, shapes: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -314,7 +384,7 @@ def _possible(pairs: DataFrame, shapes: DataFrame, hot: DataFrame | None = None)
     must the number of common parts: similar sets differ in H parts at most, so
     all other filled parts are in common, in those counted or those passed over.
     """
-    sides = shapes.select("doc", "n", F.explode("bands").alias("x")).select("doc", "n", "x.band", "x.filled", "x.cells")
+    sides = shapes.select("doc", "n", F.explode("bands").alias("x")).select("doc", "n", "x.band", "x.filled", "x.own", "x.cells")
     if hot is not None:
         sides = sides.join(hot.withColumnRenamed("mult", "hot"), ["doc", "band"], "left").fillna(0, ["hot"])
     else:
@@ -322,8 +392,9 @@ def _possible(pairs: DataFrame, shapes: DataFrame, hot: DataFrame | None = None)
     for name in ("a", "b"):
         # a pair without a band meets all bands that both sets have
         keys = [name, "band"] if "band" in pairs.columns else [name]
-        pairs = pairs.join(sides.select("band", F.col("doc").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "filled", "hot", "cells"))), keys)
-    pairs = pairs.filter(100 * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b"))
+        pairs = pairs.join(sides.select("band", F.col("doc").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "filled", "own", "hot", "cells"))), keys)
+    # similar sets meet in the band of the smaller one's size
+    pairs = pairs.filter("own_a + own_b > 0").filter(100 * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b"))
     if hot is not None:
         differing = F.floor((F.col("n_a") + F.col("n_b")) * (100 - SHARE) / (100 + SHARE))
         pairs = pairs.filter(F.col("common") + F.least("hot_a", "hot_b") >= F.greatest("filled_a", "filled_b") - differing)
@@ -461,7 +532,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     lacking = space.keep(_lacking(shapes, hot, False).unionByName(marks.select("doc", every.alias("bands"))).groupBy("doc").agg(
         F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands")
     ), "lacking")
-    more = space.keep(_possible(_cross_pairs(named, counts, GROUP, True), shapes, hot), "pairs")
+    more = space.keep(_possible(_cross_pairs(named, counts, GROUP, shapes), shapes, hot), "pairs")
     texts = space.keep(_texts(data, more, lacking), "texts")
     links, comps = _linked(space, links, comps, more, texts)
     if lacking.limit(1).count():
@@ -469,7 +540,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         deeper = space.keep(members(rest, 2 * count, True), "groups")
         named, counts = _with_classes(deeper.filter("band < 62"), comps)
         last = space.keep(_lacking(shapes, _passed_over(named, counts), True).select("doc").unionByName(deeper.filter("band = 63").select("doc")).distinct(), "last")
-        more = space.keep(_possible(_cross_pairs(named, counts, GROUP, False), shapes), "pairs")
+        more = space.keep(_possible(_cross_pairs(named, counts, GROUP), shapes), "pairs")
         links, comps = _linked(space, links, comps, more, texts)
         if last.limit(1).count():
             rare, common = _rare_and_common(space.keep(_by_tokens(texts.join(last, "doc", "left_semi")), "tokens"))
@@ -477,7 +548,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             links = space.keep(links.unionByName(_by_common(common, comps)), "near")
             comps = components(space, links)
             named, counts = _with_classes(rare, comps)
-            links, comps = _linked(space, links, comps, space.keep(_possible(_cross_pairs(named, counts, None, False), shapes), "pairs"), texts)
+            links, comps = _linked(space, links, comps, space.keep(_possible(_cross_pairs(named, counts, None), shapes), "pairs"), texts)
     comps = space.keep(comps, "components")
     space.clear(comps)
     return comps
