@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
@@ -38,6 +38,9 @@ RATIO = 1.75
 GROUP = 32
 # documents that may meet under one shingle; links by shingles of more come from sets of them
 OFTEN = 64
+# cells of the table of how many documents hold a shingle, a byte each, broadcast
+CELLS = 1 << 24
+CELL_BLOCK = 1 << 18
 # signatures that a task holds before it writes them
 FLUSH = 500_000
 # parts of a partition that are sorted one after the other
@@ -419,15 +422,61 @@ def _lacking(shapes: DataFrame, hot: DataFrame, deletions: bool) -> DataFrame:
     return rows.filter(room < F.col("need")).groupBy("doc").agg(F.collect_list("band").alias("bands"))
 
 
-def _by_tokens(texts: DataFrame) -> DataFrame:
-    """Documents under each single shingle: (gid, doc)."""
+def _cell(items: np.ndarray) -> np.ndarray:
+    return (items % np.uint64(CELLS)).astype(np.int64)
+
+
+def grade(held: np.ndarray) -> np.ndarray:
+    """A byte that grows with a count: the count itself up to `OFTEN`, by powers of two beyond."""
+    return np.where(held <= OFTEN, held, OFTEN + 1 + np.log2(np.maximum(held, 1) / OFTEN).astype(np.int64)).astype(np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, data in pieces(batches):
-            for key, items in zip(keys.to_pylist(), shingles(data)):
-                yield pa.record_batch([pa.array(items.view(np.int64)), pa.array(np.full(len(items), key))], ["gid", "doc"])
 
-    return texts.select("doc", "text").mapInArrow(run, "gid long, doc long")
+def _grades(texts: DataFrame) -> np.ndarray:
+    """For each cell of a hash, how many times documents hold a shingle in it, graded.
+
+    Tasks count before anything is written, and the table has one size for all
+    inputs. A shingle is in its cell with others, so its grade is no less than
+    its own count gives, and the same everywhere.
+    """
+    space = {"block": pa.int32(), "cells": pa.binary(), "held": pa.binary()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            cell, held = np.unique(np.concatenate(found), return_counts=True)
+            cuts = np.r_[0, np.flatnonzero(np.diff(cell // CELL_BLOCK)) + 1, len(cell)]
+            rows = [(int(cell[a]) // CELL_BLOCK, planes((cell[a:b] % CELL_BLOCK).view(np.uint64), 4), planes(held[a:b].astype(np.uint64), 4)) for a, b in zip(cuts, cuts[1:])]
+            return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(space.values())], list(space))
+
+        for _, data in pieces(batches):
+            found += [_cell(items) for items in shingles(data) if len(items)]
+            size = sum(map(len, found))
+            if size > FLUSH:
+                yield flush()
+                found = []
+        if found:
+            yield flush()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(CELL_BLOCK, np.int64)
+        out = lambda: pa.record_batch([pa.array([now], pa.int32()), pa.array([grade(held).tobytes()], pa.binary())], ["block", "grades"])
+        for batch in batches:
+            for block, cells, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if block != now:
+                    if now is not None:
+                        yield out()
+                    now, held = block, np.zeros(CELL_BLOCK, np.int64)
+                held[unplanes(cells, 4).view(np.int64)] += unplanes(counts, 4).view(np.int64)
+        if now is not None:
+            yield out()
+
+    counted = texts.select("doc", "text").mapInArrow(count, "block int, cells binary, held binary")
+    table = np.zeros(CELLS, np.uint8)
+    # one row of fixed size for each block, 16 MB in all
+    for row in counted.repartition("block").sortWithinPartitions("block").mapInArrow(total, "block int, grades binary").toLocalIterator():
+        table[row.block * CELL_BLOCK : (row.block + 1) * CELL_BLOCK] = np.frombuffer(row.grades, np.uint8)
+    return table
 
 
 def _need(n: Column) -> Column:
@@ -435,23 +484,35 @@ def _need(n: Column) -> Column:
     return F.ceil(n * SHARE / 100)
 
 
-def _rare_and_common(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gid, doc) of each document's rarest shingles, and its common shingles.
+def _rare_and_common(texts: DataFrame) -> DataFrame:
+    """(doc, n, rare, common): each document's rarest shingles, and its common ones, rarest first.
 
-    Of n shingles a similar set lacks at most n - need, so of the need-th last
-    and all rarer ones it has one; the rarest that both have is among these in
-    both. If more than `OFTEN` documents hold it, all that the two share is
-    common: (doc, n, common), for documents with enough such shingles.
+    All documents order shingles alike, by the grade of the cell and by value. Of
+    n shingles a similar set lacks at most n - need, so of the need-th last and
+    all before it, it has one; the first that both have is among these in both.
+    If its cell holds more than `OFTEN`, all that the two share is common. Rare
+    ones are given among those first ones alone, common ones where they are
+    enough for a link.
     """
-    often = tokens.groupBy(F.struct("gid").alias("k")).agg(F.count("*").alias("often")).select("k.gid", "often")
-    ranked = tokens.join(often, "gid").withColumns(
-        {"place": F.row_number().over(Window.partitionBy("doc").orderBy("often", "gid")), "n": F.count("*").over(Window.partitionBy("doc"))}
-    )
-    rare = ranked.filter(f"often <= {OFTEN}").filter(F.col("place") <= F.col("n") - _need(F.col("n")) + 1).select("gid", "doc")
-    common = ranked.filter(f"often > {OFTEN}").groupBy("doc").agg(
-        F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("often", "gid"))), lambda x: x["gid"]).alias("common")
-    )
-    return rare, common.filter(F.size("common") >= _need(F.col("n")))
+    shared = texts.sparkSession.sparkContext.broadcast(_grades(texts))
+    kind = pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for keys, data in pieces(batches):
+            sizes, rare, common = [], [], []
+            for items in shingles(data):
+                graded, value = table[_cell(items)], items.view(np.int64)
+                order = np.lexsort((value, graded))
+                graded, value = graded[order], value[order]
+                need = -(-len(items) * SHARE // 100)
+                first = int(np.searchsorted(graded, OFTEN, side="right"))
+                sizes.append(len(items))
+                rare.append(value[: min(first, len(items) - need + 1)])
+                common.append(value[first:] if len(items) - first >= max(need, 1) else value[:0])
+            yield pa.record_batch([keys, pa.array(sizes, pa.int64()), pa.array(rare, kind), pa.array(common, kind)], ["doc", "n", "rare", "common"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, n long, rare array<long>, common array<long>")
 
 
 def _by_common(common: DataFrame, comps: DataFrame) -> DataFrame:
@@ -543,8 +604,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         more = space.keep(_possible(_cross_pairs(named, counts, GROUP), shapes), "pairs")
         links, comps = _linked(space, links, comps, more, texts)
         if last.limit(1).count():
-            rare, common = _rare_and_common(space.keep(_by_tokens(texts.join(last, "doc", "left_semi")), "tokens"))
-            rare, common = space.keep(rare, "rare"), space.keep(common, "common")
+            tokens = space.keep(_rare_and_common(space.keep(texts.join(last, "doc", "left_semi"), "texts")), "tokens")
+            rare = tokens.select(F.explode("rare").alias("gid"), "doc").distinct()
+            common = tokens.filter("size(common) > 0").select("doc", "n", "common")
             links = space.keep(links.unionByName(_by_common(common, comps)), "near")
             comps = components(space, links)
             named, counts = _with_classes(rare, comps)
