@@ -7,8 +7,8 @@ labelled tokens. Forward-backward marginals give the spans, and a logistic
 curve over a document's marginals gives its score.
 
 The fit uses at most `max_rows` labelled documents (those of lowest hash) and
-`max_windows` windows, so what reaches the driver is bounded; scoring reads
-every whole text. Runs of unmarked words longer than 2 * REACH are stepped over:
+`max_windows` different windows with their numbers, so what reaches the driver is
+bounded, and goes through them block by block; scoring reads every whole text. Runs of unmarked words longer than 2 * REACH are stepped over:
 the messages have reached their fixed point there to double precision.
 """
 
@@ -32,6 +32,8 @@ MAX_WORDS = 1024
 LEAST_GAIN = 15.0
 LEAST_DOCS = 3
 WINDOW = 7
+# windows that the fit holds unpacked at a time
+FIT_BLOCK = 4096
 REACH = 40
 
 
@@ -151,33 +153,58 @@ def windows(texts: list[bytes], toxic: list[int], words: np.ndarray) -> tuple[np
     return picked, tags
 
 
-def fit_field(ids: np.ndarray, tags: np.ndarray, size: int, rounds: int = 150, rate: float = 0.15, ridge: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """Factors and moves of greatest penalised likelihood, by Adam over all windows."""
+def packed(ids: np.ndarray, tags: np.ndarray) -> pa.Array:
+    """Each window as bytes: two for the place of a word, then one for each tag."""
+    flat = np.ascontiguousarray(np.concatenate([np.ascontiguousarray(ids.astype("<i2")).view(np.uint8), tags.astype(np.uint8)], axis=1))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(flat.shape[1]), len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids (16 bits each) and tags of packed windows."""
+    length = 2 * WINDOW + 1
+    flat = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), 3 * length)
+    return np.ascontiguousarray(flat[:, : 2 * length]).view("<i2"), flat[:, 2 * length :].astype(bool)
+
+
+def expected(ids: np.ndarray, number: np.ndarray, factor: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Expected toxic tags of each word, then moves, over windows that occur `number` times."""
+    length = ids.shape[1]
+    local = np.stack([np.ones(ids.shape), factor[ids]], 2)
+    ahead, behind = np.empty_like(local), np.ones_like(local)
+    ahead[:, 0] = local[:, 0]
+    for t in range(1, length):
+        ahead[:, t] = (ahead[:, t - 1] / ahead[:, t - 1].sum(1, keepdims=True)) @ m * local[:, t]
+    for t in range(length - 2, -1, -1):
+        back = (behind[:, t + 1] * local[:, t + 1]) @ m.T
+        behind[:, t] = back / back.sum(1, keepdims=True)
+    both = ahead * behind
+    chance = number[:, None] * both[..., 1] / both.sum(2)
+    joint = ahead[:, :-1, :, None] * m * (local[:, 1:] * behind[:, 1:])[:, :, None, :]
+    joint *= (number[:, None] / joint.sum((2, 3)))[..., None, None]
+    return np.r_[np.bincount(ids.ravel(), chance.ravel(), len(factor)), joint.sum((0, 1)).ravel()]
+
+
+def fit_field(ids: np.ndarray, tags: np.ndarray, size: int, number: np.ndarray | None = None, rounds: int = 150, rate: float = 0.15, ridge: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and moves of greatest penalised likelihood, by Adam over all windows.
+
+    A window counts `number` times, or once. Each round adds up blocks of
+    windows, so their messages are never held for all of them.
+    """
     theta = np.zeros(size + 1 + 4)
     theta[size] = -3.0
     if not len(ids):
         return np.exp(theta[: size + 1]), np.exp(theta[size + 1 :])
-    length = ids.shape[1]
+    number = np.ones(len(ids)) if number is None else number.astype(float)
     move = tags[:, :-1] * 2 + tags[:, 1:]
-    seen = np.r_[np.bincount(ids[tags], minlength=size + 1), np.bincount(move.ravel(), minlength=4)].astype(float)
+    each = lambda x: np.repeat(number, x.shape[1])
+    seen = np.r_[np.bincount(ids.ravel(), each(ids) * tags.ravel(), size + 1), np.bincount(move.ravel(), each(move), 4)]
+    total = number.sum()
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for turn in range(1, rounds + 1):
         factor = np.exp(np.clip(theta[: size + 1], -30, 30))
         m = np.exp(np.clip(theta[size + 1 :], -30, 30)).reshape(2, 2)
-        local = np.stack([np.ones(ids.shape), factor[ids]], 2)
-        ahead, behind = np.empty_like(local), np.ones_like(local)
-        ahead[:, 0] = local[:, 0]
-        for t in range(1, length):
-            ahead[:, t] = (ahead[:, t - 1] / ahead[:, t - 1].sum(1, keepdims=True)) @ m * local[:, t]
-        for t in range(length - 2, -1, -1):
-            back = (behind[:, t + 1] * local[:, t + 1]) @ m.T
-            behind[:, t] = back / back.sum(1, keepdims=True)
-        both = ahead * behind
-        chance = both[..., 1] / both.sum(2)
-        joint = ahead[:, :-1, :, None] * m * (local[:, 1:] * behind[:, 1:])[:, :, None, :]
-        joint /= joint.sum((2, 3), keepdims=True)
-        expected = np.r_[np.bincount(ids.ravel(), chance.ravel(), size + 1), joint.sum((0, 1)).ravel()]
-        slope = (seen - expected - ridge * theta * 0.1) / len(ids)
+        wanted = sum(expected(ids[a : a + FIT_BLOCK], number[a : a + FIT_BLOCK], factor, m) for a in range(0, len(ids), FIT_BLOCK))
+        slope = (seen - wanted - ridge * theta * 0.1) / total
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         theta += rate * (first / (1 - 0.9**turn)) / (np.sqrt(second / (1 - 0.99**turn)) + 1e-8)
@@ -232,27 +259,27 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MA
         F.sum("bad").alias("bad"), F.sum("n").alias("n")
     ).filter((F.col("bad") >= LEAST_DOCS) & (F.col("bad") > 2 * F.col("n") * share)).withColumn("gain", gain).filter(
         F.col("gain") > LEAST_GAIN
-    ).orderBy(F.desc("gain"), "word").limit(MAX_WORDS).select("word").toPandas()
+    ).orderBy(F.desc("gain"), "word").limit(MAX_WORDS).select("word").toArrow()
     words = np.sort(marked["word"].to_numpy().astype(np.int64).view(np.uint64))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for toxic, texts in pieces(batches):
             ids, tags = windows(texts, toxic.to_pylist(), words)
-            yield pa.record_batch([pa.array(list(ids.astype("<i2")), pa.list_(pa.int16())), pa.array(list(tags.astype(np.int8)), pa.list_(pa.int8()))], ["ids", "tags"])
+            yield pa.record_batch([packed(ids, tags)], ["cut"])
 
-    rows = sample.mapInArrow(cut, "ids array<short>, tags array<tinyint>").orderBy(F.xxhash64("ids", "tags")).limit(max_windows).toPandas()
-    shape = (len(rows), 2 * WINDOW + 1)
-    ids = np.array(rows["ids"].tolist(), np.int64).reshape(shape)
-    tags = np.array(rows["tags"].tolist(), np.int64).reshape(shape).astype(bool)
-    model = Tagger(words, *fit_field(ids, tags, len(words)), np.zeros(3))
+    # equal windows meet before the bound, so it holds for different ones
+    found = sample.mapInArrow(cut, "cut binary").groupBy("cut").agg(F.count("*").alias("n")).orderBy(F.xxhash64("cut"), "cut").limit(max_windows).toArrow()
+    ids, tags = unpacked(found["cut"].to_pylist())
+    model = Tagger(words, *fit_field(ids, tags, len(words), found["n"].to_numpy()), np.zeros(3))
+    del found, ids, tags
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for toxic, texts in pieces(batches):
             x, _ = figures(model, texts)
             yield pa.record_batch([toxic.cast(pa.int64()), pa.array(x[:, 1]), pa.array(x[:, 2])], ["toxic", "most", "total"])
 
-    seen = sample.mapInArrow(measure, "toxic long, most double, total double").toPandas()
-    x = np.stack([np.ones(len(seen)), seen["most"], seen["total"]], 1)
+    seen = sample.mapInArrow(measure, "toxic long, most double, total double").toArrow()
+    x = np.stack([np.ones(len(seen)), seen["most"].to_numpy(), seen["total"].to_numpy()], 1)
     model.curve = fit_curve(x, seen["toxic"].to_numpy().astype(float))
     return model
 

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import public_tokenizers
@@ -595,6 +596,33 @@ def test_marginals_of_long_texts():
     assert found == pytest.approx((both[:, 1] / both.sum(1))[places], abs=1e-6)
 
 
+def test_fit_counts_equal_windows():
+    """Packed windows come back; a window with a number stands for so many; the fit holds a block at a time."""
+    rng, span = np.random.default_rng(7), 2 * toxicity.WINDOW + 1
+    ids = np.where(rng.random((300, span)) < 0.2, rng.integers(0, 900, (300, span)), 900)
+    tags = (ids < 900) & (rng.random((300, 1)) < 0.4)
+    back = toxicity.unpacked(toxicity.packed(ids, tags).to_pylist())
+    assert (back[0] == ids).all() and (back[1] == tags).all()
+    number = rng.integers(1, 4, 300)
+    again = toxicity.fit_field(np.repeat(ids, number, 0), np.repeat(tags, number, 0), 900, rounds=20)
+    assert all(a == pytest.approx(b, rel=1e-9) for a, b in zip(toxicity.fit_field(*back, 900, number, rounds=20), again))
+    many = np.tile(back[0], (200, 1)), np.tile(back[1], (200, 1))
+    tracemalloc.start()
+    toxicity.fit_field(*many, 900, rounds=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+
+
+def test_toxicity_bound_is_on_different_windows(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("lorem ipsum dolor sit amet elit".split()) for _ in range(30)) for _ in range(8)]
+    rows = [(k, texts[k % 8] + (" vile" if k % 4 == 0 else "")) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    bound, free = (toxicity.train(frame(spark, rows), labels, max_windows=n) for n in (20, 100_000))
+    assert len(bound.words) == 1 and bound.factors == pytest.approx(free.factors) and bound.moves == pytest.approx(free.moves)
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
