@@ -38,11 +38,15 @@ RATIO = 1.75
 GROUP = 32
 # documents that may meet under one shingle; links by shingles of more come from sets of them
 OFTEN = 64
+# sets of common shingles on each side of a tile
+TILE = 512
 # cells of the table of how many documents hold a shingle, a byte each, broadcast
 CELLS = 1 << 24
 CELL_BLOCK = 1 << 18
 # signatures that a task holds before it writes them
 FLUSH = 500_000
+# bits of the bitmap of wanted documents, broadcast
+PLACES = 1 << 26
 # parts of a partition that are sorted one after the other
 SLICES = 16
 # low bytes of a signature of a part that are shuffled: equal ones are candidates
@@ -307,29 +311,50 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _with_classes(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups with the component of each member, and the number of components of each group."""
+def _mixed(space: Workspace, groups: DataFrame, comps: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """Members of the groups of several components, with their component and the number (classes) of these.
+
+    Written once, as are the members of all groups, since several jobs start from
+    them. With `shapes` also n, and filled and own of the group's band.
+    """
     named = groups.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    if shapes is not None:
+        brief = shapes.select("doc", "n", F.transform("bands", lambda x: F.struct(x.band.alias("band"), x.filled.alias("filled"), x.own.alias("own"))).alias("all"))
+        named = named.join(brief, "doc").withColumn("x", F.get(F.filter("all", lambda x: x.band == F.col("band")), F.lit(0)))
+        named = named.select(*groups.columns, "comp", "n", F.col("x.filled").alias("filled"), F.col("x.own").alias("own"))
+    named = space.keep(named, "named")
     counts = named.select("gid", "comp").distinct().groupBy(F.struct("gid").alias("k")).agg(F.count("*").alias("classes")).select("k.gid", "classes")
-    return named, counts
+    return space.keep(named.join(counts.filter("classes > 1"), "gid"), "mixed")
 
 
-def _cross_pairs(named: DataFrame, counts: DataFrame, limit: int | None, shapes: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) within a group and across components.
-
-    With `shapes` also band and number of common parts, of pairs whose sizes
-    allow it, in the band of the smaller set's size: there similar sets meet.
-    """
-    side = named.join(counts.filter("classes > 1" + (f" AND classes <= {limit}" if limit else "")), "gid")
+def _cross_pairs(mixed: DataFrame, limit: int | None) -> DataFrame:
+    """Pairs (a, b) within a group of at most so many components and across these."""
+    side = mixed.filter(f"classes <= {limit}") if limit else mixed
     left = side.select("gid", F.col("doc").alias("a"), F.col("comp").alias("ca"))
     right = side.select("gid", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-    if shapes is None:
-        return left.join(right, "gid").filter("ca < cb").select("a", "b").distinct()
-    side = side.join(shapes.select("doc", "n", F.explode("bands").alias("x")).select("doc", "n", "x.band", "x.own"), ["doc", "band"])
-    left = side.select("gid", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("own").alias("oa"), "band", "mult")
-    right = side.select("gid", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("own").alias("ob"))
-    pairs = left.join(right, "gid").filter(f"ca < cb AND oa + ob > 0 AND 100 * least(na, nb) >= {SHARE} * greatest(na, nb)")
-    return pairs.groupBy("a", "b", "band").agg(F.sum("mult").alias("common"))
+    return left.join(right, "gid").filter("ca < cb").select("a", "b").distinct()
+
+
+def _near_pairs(space: Workspace, mixed: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs (a, b, band) across components whose sizes and number of common parts allow a link.
+
+    They are taken in the band of the smaller set's size: there similar sets meet.
+    Similar sets differ in H parts at most, so all other filled parts are in
+    common, in those counted or in those passed over (`hot`).
+    """
+    # a key with several texts has the bands of its largest set alone
+    side = mixed.filter(f"classes <= {GROUP} AND filled IS NOT NULL").join(hot.withColumnRenamed("mult", "hot"), ["doc", "band"], "left").fillna(0, ["hot"])
+    side = space.keep(side.drop("classes"), "sides")
+    left, right = (
+        side.select("gid", F.col("doc").alias(doc), *(F.col(c).alias(f"{c}_{doc}") for c in ("comp", "n", "filled", "own", "hot")), *more)
+        for doc, more in (("a", ("band", "mult")), ("b", ()))
+    )
+    met = left.join(right, "gid").filter(f"comp_a < comp_b AND own_a + own_b > 0 AND 100 * least(n_a, n_b) >= {SHARE} * greatest(n_a, n_b)")
+    differing = F.floor((F.col("n_a") + F.col("n_b")) * (100 - SHARE) / (100 + SHARE))
+    least = F.greatest("filled_a", "filled_b") - differing - F.least("hot_a", "hot_b")
+    # the bound is the same for all rows of a pair and band
+    counted = met.select("a", "b", "band", "mult", least.alias("least")).groupBy("a", "b", "band").agg(F.sum("mult").alias("common"), F.min("least").alias("least"))
+    return counted.filter("common >= least").select("a", "b", "band")
 
 
 def set_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -379,28 +404,19 @@ def _shapes(data: DataFrame) -> DataFrame:
     return data.select("doc", "text").mapInArrow(run, f"doc long, n long, bands array<struct<{kind},cells:binary>>")
 
 
-def _possible(pairs: DataFrame, shapes: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b, band, common) that may be similar enough, as (a, b).
+def _possible(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The pairs (a, b, or also band) that may be similar enough, as (a, b).
 
     Their sizes must allow it, and so must the cells: sets differ at least by the
-    sum of the differences of their cells. With `hot`, the parts passed over, so
-    must the number of common parts: similar sets differ in H parts at most, so
-    all other filled parts are in common, in those counted or those passed over.
+    sum of the differences of their cells.
     """
-    sides = shapes.select("doc", "n", F.explode("bands").alias("x")).select("doc", "n", "x.band", "x.filled", "x.own", "x.cells")
-    if hot is not None:
-        sides = sides.join(hot.withColumnRenamed("mult", "hot"), ["doc", "band"], "left").fillna(0, ["hot"])
-    else:
-        sides = sides.withColumn("hot", F.lit(0))
+    sides = shapes.select("doc", "n", F.explode("bands").alias("x")).select("doc", "n", "x.band", "x.own", "x.cells")
     for name in ("a", "b"):
         # a pair without a band meets all bands that both sets have
         keys = [name, "band"] if "band" in pairs.columns else [name]
-        pairs = pairs.join(sides.select("band", F.col("doc").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "filled", "own", "hot", "cells"))), keys)
+        pairs = pairs.join(sides.select("band", F.col("doc").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "own", "cells"))), keys)
     # similar sets meet in the band of the smaller one's size
     pairs = pairs.filter("own_a + own_b > 0").filter(100 * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b"))
-    if hot is not None:
-        differing = F.floor((F.col("n_a") + F.col("n_b")) * (100 - SHARE) / (100 + SHARE))
-        pairs = pairs.filter(F.col("common") + F.least("hot_a", "hot_b") >= F.greatest("filled_a", "filled_b") - differing)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -515,43 +531,103 @@ def _rare_and_common(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "doc long, n long, rare array<long>, common array<long>")
 
 
-def _by_common(common: DataFrame, comps: DataFrame) -> DataFrame:
+def shared_counts(values: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
+    """How many values each two of `count` rows share; a row holds a value once."""
+    _, column, held = np.unique(values, return_inverse=True, return_counts=True)
+    # only values of several rows are a column of the table
+    place = np.cumsum(held > 1) - 1
+    several = held[column] > 1
+    row, column = row[several], place[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((count, count), np.float32)
+    for first in range(0, int((held > 1).sum()), 2048):
+        a, b = np.searchsorted(column, [first, first + 2048])
+        table = np.zeros((count, 2048), np.float32)
+        table[row[a:b], column[a:b] - first] = 1
+        out += table @ table.T
+    return out.astype(np.int64)
+
+
+def alike_sets(table: pa.Table) -> pa.Table:
+    """Links among the sets of a tile: all of those with a set of several components, else a star.
+
+    A row is (a, b, shared) of two sets, or of two documents with a null for shared.
+    """
+    h, doc, n, lo, hi = (table[c].to_numpy() for c in ("h", "doc", "n", "lo", "hi"))
+    lists = table["common"].combine_chunks()
+    shared = shared_counts(lists.flatten().to_numpy(), np.repeat(np.arange(len(h)), np.diff(lists.offsets.to_numpy())), len(h))
+    alike = 100 * shared >= SHARE * (n[:, None] + n - shared)
+    alike &= np.minimum(lo[:, None], lo) < np.maximum(hi[:, None], hi)
+    np.fill_diagonal(alike, False)
+    several = lo < hi
+    x, y = np.nonzero(alike & (several[:, None] | several))
+    alike[several] = alike[:, several] = False
+    label, after = None, np.arange(len(h))
+    while label is None or (label != after).any():
+        label = after
+        after = np.minimum(label, np.where(alike, label, len(h)).min(1, initial=len(h)))
+        after = after[after]
+    far = np.flatnonzero(label != np.arange(len(h)))
+    return pa.table({
+        "a": np.r_[h[x], doc[far]], "b": np.r_[h[y], doc[label[far]]],
+        "shared": pa.array(np.r_[shared[x, y], np.zeros(len(far), np.int64)], mask=np.r_[np.zeros(len(x), bool), np.ones(len(far), bool)]),
+    })
+
+
+def _by_common(space: Workspace, common: DataFrame, comps: DataFrame) -> DataFrame:
     """Links (a, b) that join all documents whose common shingles alone make them similar.
 
     With the same common shingles a smaller set is the closer one: if two
     documents are similar, each is so to the smallest with the common shingles of
     the other, and so are those two. Hence only the smallest of each component
     and set of common shingles is held against the smallest of every such set.
+
+    Sets that share one of their first common shingles meet in tiles of about
+    `TILE` by `TILE`, so a set is sent once for each tile and not for each pair.
     """
     named = common.join(comps, "doc", "left").select("n", "doc", "common", F.coalesce("comp", "doc").alias("comp"), F.xxhash64("common").alias("h"))
     member = F.min(F.struct("n", "doc"))
     reps = named.groupBy("h", "comp").agg(member.alias("rep"))
-    sets = named.groupBy("h").agg(member.alias("least"), F.first("common").alias("common"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    sets = space.keep(named.groupBy("h").agg(member.alias("least"), F.first("common").alias("common"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "sets")
     # the common shingles of rarest order, one of which a similar set must have among its own
     heads = sets.select("h", "lo", "hi", F.explode(F.slice("common", F.lit(1), (F.size("common") - _need(F.col("least.n")) + 1).cast("int"))).alias("gid"))
-    mixed = heads.groupBy(F.struct("gid").alias("k")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("k.gid")
-    heads = heads.join(mixed, "gid", "left_semi")
-    met = heads.alias("x").join(heads.alias("y"), (F.col("x.gid") == F.col("y.gid")) & F.expr("x.h < y.h AND least(x.lo, y.lo) < greatest(x.hi, y.hi)"))
-    met = met.select(F.col("x.h").alias("h"), F.col("y.h").alias("other")).distinct()
-    right = sets.select(F.col("h").alias("other"), F.col("least").alias("best"), F.col("common").alias("common_b"))
-    met = met.join(sets.select("h", "least", "common"), "h").join(right, "other").withColumn("shared", F.size(F.array_intersect("common", "common_b")))
-    tried = met.select("h", "best", "shared").unionByName(met.select(F.col("other").alias("h"), F.col("least").alias("best"), "shared")).unionByName(
-        sets.select("h", F.col("least").alias("best"), F.size("common").alias("shared"))
+    mixed = heads.groupBy(F.struct("gid").alias("k")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("held"))
+    mixed = mixed.filter("lo < hi AND held > 1").select("k.gid", F.ceil(F.col("held") / TILE).cast("int").alias("blocks"))
+    tiles = heads.select("h", "gid").join(mixed, "gid").withColumn("own", F.pmod(F.hash("h"), "blocks")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ).select("h", "gid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    met = tiles.join(sets.select("h", "least.doc", "least.n", "lo", "hi", "common"), "h")
+    found = space.keep(met.groupBy("gid", "x", "y").applyInArrow(alike_sets, "a long, b long, shared long").distinct(), "alike")
+    best = sets.select(F.col("h").alias("b"), F.col("least").alias("best"))
+    tried = found.filter("shared IS NOT NULL").join(best, "b").select(F.col("a").alias("h"), "best", "shared").unionByName(
+        sets.filter("lo < hi").select("h", F.col("least").alias("best"), F.size("common").cast("long").alias("shared"))
     )
     alike = 100 * F.col("shared") >= SHARE * (F.col("rep.n") + F.col("best.n") - F.col("shared"))
-    return reps.join(tried, "h").filter(alike & (F.col("rep.doc") != F.col("best.doc"))).select(F.col("rep.doc").alias("a"), F.col("best.doc").alias("b"))
+    return reps.join(tried, "h").filter(alike & (F.col("rep.doc") != F.col("best.doc"))).select(F.col("rep.doc").alias("a"), F.col("best.doc").alias("b")).unionByName(
+        found.filter("shared IS NULL").select("a", "b")
+    )
 
 
-def _passed_over(named: DataFrame, counts: DataFrame) -> DataFrame:
+def _passed_over(mixed: DataFrame) -> DataFrame:
     """How many parts of each doc and band lie in groups of too many classes."""
-    return named.join(counts.filter(f"classes > {GROUP}"), "gid").groupBy("doc", "band").agg(F.sum("mult").alias("mult"))
+    return mixed.filter(f"classes > {GROUP}").groupBy("doc", "band").agg(F.sum("mult").alias("mult"))
 
 
 def _texts(data: DataFrame, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """The texts of all documents in the pairs, and of those in `more`."""
+    """The texts of all documents in the pairs, and of those in `more`.
+
+    A bitmap of the hashed documents, of 8 MB at most, keeps nearly all other
+    texts out of the shuffle of the join, which decides.
+    """
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
     ids = ids.unionByName(more.select("doc")) if more is not None else ids
-    return data.join(ids.select(F.struct("doc").alias("k")).distinct().select("k.doc"), "doc", "left_semi")
+    place = F.pmod(F.xxhash64(F.col("doc").cast("long")), F.lit(PLACES))
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    marks = ids.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    some = data.withColumn("bucket", bucket).join(F.broadcast(marks), "bucket").filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*data.columns)
+    return some.join(ids.select(F.struct("doc").alias("k")).distinct().select("k.doc"), "doc", "left_semi")
 
 
 def _linked(space: Workspace, links: DataFrame, comps: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -587,30 +663,30 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     shared = groups.filter("band < 62")
     marks = groups.filter("band = 63").select("doc").distinct()
-    named, counts = _with_classes(shared, comps)
-    hot = _passed_over(named, counts)
+    mixed = _mixed(space, shared, comps, shapes)
+    hot = _passed_over(mixed)
     every = F.sequence(F.lit(0), F.lit(61))
     lacking = space.keep(_lacking(shapes, hot, False).unionByName(marks.select("doc", every.alias("bands"))).groupBy("doc").agg(
         F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands")
     ), "lacking")
-    more = space.keep(_possible(_cross_pairs(named, counts, GROUP, shapes), shapes, hot), "pairs")
+    more = space.keep(_possible(_near_pairs(space, mixed, hot), shapes), "pairs")
     texts = space.keep(_texts(data, more, lacking), "texts")
     links, comps = _linked(space, links, comps, more, texts)
     if lacking.limit(1).count():
         rest = texts.join(lacking, "doc").select("doc", "text", "bands")
         deeper = space.keep(members(rest, 2 * count, True), "groups")
-        named, counts = _with_classes(deeper.filter("band < 62"), comps)
-        last = space.keep(_lacking(shapes, _passed_over(named, counts), True).select("doc").unionByName(deeper.filter("band = 63").select("doc")).distinct(), "last")
-        more = space.keep(_possible(_cross_pairs(named, counts, GROUP), shapes), "pairs")
+        mixed = _mixed(space, deeper.filter("band < 62"), comps)
+        last = space.keep(_lacking(shapes, _passed_over(mixed), True).select("doc").unionByName(deeper.filter("band = 63").select("doc")).distinct(), "last")
+        more = space.keep(_possible(_cross_pairs(mixed, GROUP), shapes), "pairs")
         links, comps = _linked(space, links, comps, more, texts)
         if last.limit(1).count():
             tokens = space.keep(_rare_and_common(space.keep(texts.join(last, "doc", "left_semi"), "texts")), "tokens")
             rare = tokens.select(F.explode("rare").alias("gid"), "doc").distinct()
             common = tokens.filter("size(common) > 0").select("doc", "n", "common")
-            links = space.keep(links.unionByName(_by_common(common, comps)), "near")
+            links = space.keep(links.unionByName(_by_common(space, common, comps)), "near")
             comps = components(space, links)
-            named, counts = _with_classes(rare, comps)
-            links, comps = _linked(space, links, comps, space.keep(_possible(_cross_pairs(named, counts, None), shapes), "pairs"), texts)
+            mixed = _mixed(space, rare, comps)
+            links, comps = _linked(space, links, comps, space.keep(_possible(_cross_pairs(mixed, None), shapes), "pairs"), texts)
     comps = space.keep(comps, "components")
     space.clear(comps)
     return comps

@@ -11,6 +11,7 @@ import zlib
 
 import public_tokenizers
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -623,6 +624,46 @@ def test_toxicity_bound_is_on_different_windows(spark):
     assert len(bound.words) == 1 and bound.factors == pytest.approx(free.factors) and bound.moves == pytest.approx(free.moves)
 
 
+def test_common_sets_in_tiles(spark, monkeypatch):
+    """Sets of common shingles in small tiles link as all pairs do, and a star stands for the links of a tile."""
+    monkeypatch.setattr(ngram_join, "TILE", 6)
+    rng, base = random.Random(17), [k * 7919 for k in range(1, 61)]
+    rows = [(k, 40 + rng.randint(0, 4), sorted(rng.sample(base[:44], 40))) for k in range(50)] + [(60 + k, 41 + 3 * k, base[:40]) for k in range(5)]
+    common = spark.createDataFrame(rows, "doc long, n long, common array<long>")
+    comps = spark.createDataFrame([(60, 60), (61, 60), (3, 3), (4, 3)], "doc long, comp long")
+    links = ngram_join._by_common(ngram_join.Workspace(spark), common, comps)  # noqa: SLF001
+
+    def classes(edges):
+        above = {}
+
+        def top(x):
+            while above.setdefault(x, x) != x:
+                x = above[x]
+            return x
+
+        for a, b in edges:
+            above[top(a)] = top(b)
+        return {frozenset(k for k, *_ in rows if top(k) == t) for t in {top(k) for k, *_ in rows}}
+
+    given = [(61, 60), (4, 3)]
+    alike = [(a, b) for a, n, x in rows for b, m, y in rows if a < b and 100 * len({*x} & {*y}) >= 75 * (n + m - len({*x} & {*y}))]
+    found = [tuple(r) for r in links.select("a", "b").collect()]
+    assert classes(given + found) == classes(given + alike) and 1 < len(classes(given + alike)) < 50
+    n = 40
+    table = pa.table({"h": range(n), "doc": range(n), "n": [50] * n, "lo": range(n), "hi": range(n), "common": [base[:50]] * n})
+    assert sorted(ngram_join.alike_sets(table).select(["a", "b"]).to_pydict()["a"]) == list(range(1, n))
+
+
+def test_wanted_texts_only(spark):
+    """Every wanted text comes, no other one, and few others enter the shuffle."""
+    data = spark.range(3000).selectExpr("cast(id as int) * 37 - 50000 AS doc", "string(id) AS text")
+    pairs = data.filter("doc % 5 = 0").selectExpr("doc AS a", "doc + 37 * 20 AS b")
+    want = {r.a for r in pairs.collect()} | {r.b for r in pairs.collect()}
+    got = ngram_join._texts(data, pairs)  # noqa: SLF001
+    assert sorted(r.doc for r in got.collect()) == sorted(want & {r.doc for r in data.collect()})
+    assert "bitmap_construct_agg" in got._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
