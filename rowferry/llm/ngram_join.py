@@ -627,7 +627,8 @@ def _texts(data: DataFrame, pairs: DataFrame, more: DataFrame | None = None) ->
     marks = ids.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
     byte = F.conv(F.hex(F.substr("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     some = data.withColumn("bucket", bucket).join(F.broadcast(marks), "bucket").filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*data.columns)
-    return some.join(ids.select(F.struct("doc").alias("k")).distinct().select("k.doc"), "doc", "left_semi")
+    # an inner join on distinct ids: a semi join would be moved below the bitmap
+    return some.join(ids.select(F.struct("doc").alias("k")).distinct().select("k.doc"), "doc").select(*data.columns)
 
 
 def _linked(space: Workspace, links: DataFrame, comps: DataFrame, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
