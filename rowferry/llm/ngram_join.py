@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
 from rowferry.llm.flat import doc_of, mix, pieces, planes, unplanes, word_hashes
-from rowferry.llm.shared import Workspace, components
+from rowferry.llm.shared import Workspace, components, maybe_among
 
 SIZE = 5
 SHARE = 75  # percent
@@ -45,8 +45,6 @@ CELLS = 1 << 24
 CELL_BLOCK = 1 << 18
 # signatures that a task holds before it writes them
 FLUSH = 500_000
-# bits of the bitmap of wanted documents, broadcast
-PLACES = 1 << 26
 # parts of a partition that are sorted one after the other
 SLICES = 16
 # low bytes of a signature of a part that are shuffled: equal ones are candidates
@@ -617,16 +615,12 @@ def _passed_over(mixed: DataFrame) -> DataFrame:
 def _texts(data: DataFrame, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """The texts of all documents in the pairs, and of those in `more`.
 
-    A bitmap of the hashed documents, of 8 MB at most, keeps nearly all other
-    texts out of the shuffle of the join, which decides.
+    A bitmap keeps nearly all other texts out of the shuffle of the join, which
+    decides.
     """
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
     ids = ids.unionByName(more.select("doc")) if more is not None else ids
-    place = F.pmod(F.xxhash64(F.col("doc").cast("long")), F.lit(PLACES))
-    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
-    marks = ids.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
-    byte = F.conv(F.hex(F.substr("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    some = data.withColumn("bucket", bucket).join(F.broadcast(marks), "bucket").filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*data.columns)
+    some, _ = maybe_among(data, F.col("doc"), ids)
     # an inner join on distinct ids: a semi join would be moved below the bitmap
     return some.join(ids.select(F.struct("doc").alias("k")).distinct().select("k.doc"), "doc").select(*data.columns)
 
@@ -703,5 +697,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, the one of smallest doc_id; all columns kept."""
-    gone = similar(docs).filter("doc <> comp").select(F.col("doc").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    name = "_gone"
+    while name in docs.columns:
+        name = f"_{name}"
+    gone = similar(docs).filter("doc <> comp").select(F.col("doc").alias(name))
+    some, rest = maybe_among(docs, docs["doc_id"], gone)
+    # an outer join: an anti join would be moved below the bitmap, and shuffle all texts
+    left = some.join(gone, F.col("doc_id") == F.col(name), "left").filter(F.col(name).isNull()).select(*docs.columns)
+    return rest.unionByName(left)

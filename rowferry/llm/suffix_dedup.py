@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
 from rowferry.llm.flat import SPACE, mix, pieces, prefix_hash, span_hash, word_spans
-from rowferry.llm.shared import Workspace
+from rowferry.llm.shared import Workspace, maybe_among
 
 LENGTH = 400
 BLOCK = 1 << 22
@@ -221,7 +221,12 @@ def row_id(key: Column, text: Column) -> Column:
 
 
 def repeated_windows(data: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
-    """Runs of starts (uid, first, last) whose `length` elements also start elsewhere; data has uid and text."""
+    """Runs of starts (uid, first, last) whose `length` elements also start elsewhere; data has uid and text.
+
+    The runs are written, so the texts that were shuffled for them are off the
+    disk when the next ones are.
+    """
+    space = Workspace(data.sparkSession)
     parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # copies are combined before the one shuffle of the anchors, so a gram gets a
     # row for each stretch and COMBINE anchors; an anchor with a single stretch
@@ -233,9 +238,11 @@ def repeated_windows(data: DataFrame, length: int = LENGTH, words: bool = False)
         "several": F.min("span").over(gram) < F.max("span").over(gram),
         "place": F.row_number().over(stretch.orderBy("uid", "first")),
     }).select("gram", "uid", "first", "last", "lead", "whole", (F.col("several") & (F.col("n") > 0) & (F.col("place") == 1)).alias("wanted"))
-    marked = Workspace(data.sparkSession).keep(marked.filter("whole OR wanted"), "anchors")
+    marked = space.keep(marked.filter("whole OR wanted"), "anchors")
     bodies = _cut_bodies(marked.filter("wanted").select("gram", "uid", "first", "last", "lead"), data, length, words)
-    return marked.filter("whole").select("uid", "first", "last").unionByName(_sorted_suffixes(bodies, parts, length, words))
+    found = space.keep(marked.filter("whole").select("uid", "first", "last").unionByName(_sorted_suffixes(bodies, parts, length, words)), "repeats")
+    space.clear(found)
+    return found
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -267,7 +274,7 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_runs(docs: DataFrame, key: str, text: str, words: int = 0) -> DataFrame:
-    """All columns of docs, and last the runs of each row's repeated windows."""
+    """All columns of docs, and last the runs of each row's repeated windows; the texts without any are not shuffled."""
     uid = row_id(docs[key], docs[text])
     data = docs.select(uid.alias("uid"), docs[text].alias("text"))
     mine, held = "_uid", "_runs"
@@ -278,8 +285,9 @@ def _with_runs(docs: DataFrame, key: str, text: str, words: int = 0) -> DataFram
         # so many words and the blanks between them
         counted = repeated_windows(data.filter(F.octet_length("text") >= 2 * words - 1), words, True)
         found = found.unionByName(counted.withColumn("words", F.lit(True)))
-    runs = found.distinct().groupBy(F.struct("uid").alias("k")).agg(F.collect_list(F.struct("first", "last", "words")).alias(held))
-    return docs.withColumn(mine, uid).join(runs.select(F.col("k.uid").alias(mine), held), mine, "left").drop(mine)
+    runs = found.distinct().groupBy(F.struct("uid").alias("k")).agg(F.collect_list(F.struct("first", "last", "words")).alias(held)).select(F.col("k.uid").alias(mine), held)
+    some, rest = maybe_among(docs.withColumn(mine, uid), F.col(mine), found.select("uid"))
+    return some.join(runs, mine, "left").drop(mine).unionByName(rest.drop(mine).withColumn(held, F.lit(None).cast(runs.schema[held].dataType)))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -665,6 +665,50 @@ def test_wanted_texts_only(spark):
     assert len(joins) == 2 and "bucket" not in joins[0] and "bucket" in joins[1]
 
 
+def test_rows_that_may_be_among_ids(spark):
+    """All rows are in one of the two parts, those of the ids in the first, with few others; null keys and clashing names too."""
+    from rowferry.llm.shared import maybe_among
+
+    data = spark.range(3000).selectExpr("nullif(id % 1500, 7) AS doc", "string(id) AS _marks")
+    ids = spark.range(0, 1500, 3).selectExpr("id AS k").union(spark.range(5000, 5100).toDF("k"))
+    some, rest = (x.collect() for x in maybe_among(data, F.col("doc"), ids))
+    assert sorted([*some, *rest], key=repr) == sorted(data.collect(), key=repr)
+    wanted = {r.k for r in ids.collect()}
+    assert not wanted & {r.doc for r in rest} and sum(r.doc not in wanted for r in some) < 10
+    none, all_ = maybe_among(data, F.col("doc"), ids.limit(0))
+    assert none.count() == 0 and all_.count() == 3000
+
+
+def _joins(df):
+    """The joins of the optimised plan of a result that has been taken."""
+    df.collect()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    return [line for line in plan.splitlines() if re.search(r"\bJoin ", line)]
+
+
+def test_one_of_each_group_shuffles_few_texts(spark, texts):
+    """One document of each component is left, null keys stay, and the texts pass a bitmap before the join."""
+    rows = [*texts[:30], (None, "a b c d e f"), (None, None)]
+    docs = frame(spark, rows)
+    left = ngram_join.keep_one(docs)
+    comps = {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()}
+    assert sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id is not None) == sorted((k, t) for k, t in rows if k is not None and comps[k] == k)
+    assert sum(r.doc_id is None for r in left.collect()) == 2 and left.columns == docs.columns
+    joins = _joins(left)
+    assert not any("LeftAnti" in j for j in joins) and sum("bucket" in j for j in joins) == 2
+
+
+def test_suffix_dedup_shuffles_few_texts(spark):
+    """Texts without repeats go by the last join, and nothing but the runs is left of what was written for it."""
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdef ") for _ in range(700))
+    rows = [(k, "".join(rng.choice("abcdef ") for _ in range(900)) + (shared if k % 40 == 0 else "")) for k in range(400)]
+    left = suffix_dedup.report(frame(spark, rows))
+    assert sorted(map(tuple, left.collect())) == sorted(brute_removed(rows))
+    assert sum("bucket" in j for j in _joins(left)) == 2
+    assert not [f for f in left.inputFiles() if "/anchors-" in f]
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
