@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rowferry.llm import bpe, decontaminate, ngram_join, suffix_dedup, toxicity
 from rowferry.llm.queries import table, tokenizer_path
-from rowferry.session import freeze
+from rowferry.session import bound_batches, freeze
 
 # repeated runs of over 50 words go, and repeated strings of 400 bytes with fewer
 REPEATED_WORDS = 51
@@ -24,12 +24,14 @@ ORACLE_SQL = None
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity field, fitted on all labels, does not reject."""
+    bound_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies."""
+    bound_batches(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -38,17 +40,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Every row stays, with an empty text if all of it was repeated.
     """
+    bound_batches(spark)
     left = suffix_dedup.remove(docs, words=REPEATED_WORDS)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with a benchmark item."""
+    bound_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of every document that is left."""
+    bound_batches(spark)
     return bpe.round_trip(docs, tokenizer_path())
 
 

@@ -23,7 +23,7 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 
 from rowferry.llm.columns import pair
-from rowferry.llm.flat import pieces
+from rowferry.llm.flat import pieces, tidy
 
 NO_RANK = np.int64(1 << 40)
 _loaded: dict[str, WordBpe] = {}
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
             lists = pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[bounds]), taken.values)
             yield pa.record_batch([keys, lists], ["doc_id", "ids"])
 
-    return data.mapInArrow(run, f"doc_id {data.schema[0].dataType.simpleString()}, ids array<int>")
+    return data.mapInArrow(tidy(run), f"doc_id {data.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -236,7 +236,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: st
             texts = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return data.mapInArrow(run, f"doc_id {data.schema[0].dataType.simpleString()}, text string")
+    return data.mapInArrow(tidy(run), f"doc_id {data.schema[0].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,4 +264,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return data.mapInArrow(run, f"doc_id {data.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return data.mapInArrow(tidy(run), f"doc_id {data.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
-from rowferry.llm.flat import LOWER, word_spans
+from rowferry.llm.flat import LOWER, tidy, word_spans
 from rowferry.llm.shared import Workspace
 
 WINDOW = 10
@@ -130,7 +130,7 @@ def _scan_group(docs: DataFrame, items: list[tuple[str, str]], size: int, last:
                 ["doc_id", *texts, "n_words", "spans", "item_ids"],
             )
 
-    return docs.mapInArrow(run, HITS.format(key=docs.schema[0].dataType.simpleString(), text="" if last else " text string,"))
+    return docs.mapInArrow(tidy(run), HITS.format(key=docs.schema[0].dataType.simpleString(), text="" if last else " text string,"))
 
 
 def find_leaks(
@@ -212,4 +212,4 @@ def _drop_group(docs: DataFrame, items: list[tuple[str, str]], size: int) -> Dat
             clean = [t is None or not scan(t.to_pybytes(), machine, filled)[1] for t in texts]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

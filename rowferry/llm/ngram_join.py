@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
-from rowferry.llm.flat import doc_of, mix, pieces, planes, unplanes, word_hashes
+from rowferry.llm.flat import doc_of, mix, pieces, planes, tidy, unplanes, word_hashes
 from rowferry.llm.shared import Workspace, components, maybe_among
 
 SIZE = 5
@@ -234,7 +234,7 @@ def _entries(data: DataFrame, count: int, deletions: bool) -> DataFrame:
         if held:
             yield from flush()
 
-    return data.mapInArrow(run, "part int, sigs binary, docs binary")
+    return data.mapInArrow(tidy(run), "part int, sigs binary, docs binary")
 
 
 def _runs(entries: DataFrame, count: int) -> DataFrame:
@@ -281,7 +281,7 @@ def _runs(entries: DataFrame, count: int) -> DataFrame:
         if sigs:
             yield from groups(sigs, docs)
 
-    return entries.repartition(count, "part").sortWithinPartitions("part").mapInArrow(run, RUNS)
+    return entries.repartition(count, "part").sortWithinPartitions("part").mapInArrow(tidy(run), RUNS)
 
 
 def members(data: DataFrame, count: int, deletions: bool = False) -> DataFrame:
@@ -306,7 +306,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep.append(common > 0 and 100 * common >= SHARE * (len(x) + len(y) - common))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def _mixed(space: Workspace, groups: DataFrame, comps: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
@@ -363,7 +363,7 @@ def set_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         for keys, texts in pieces(batches):
             yield pa.record_batch([keys, pa.array([len(s) for s in shingles(texts)], pa.int64())], ["doc_id", "n_shingles"])
 
-    return data.mapInArrow(run, "doc_id long, n_shingles long")
+    return data.mapInArrow(tidy(run), "doc_id long, n_shingles long")
 
 
 def cells_of(items: np.ndarray, row: np.ndarray, rows: int, high: int) -> np.ndarray:
@@ -399,7 +399,7 @@ def _shapes(data: DataFrame) -> DataFrame:
             yield pa.record_batch([keys, pa.array(size), pa.ListArray.from_arrays(pa.array(offsets), rows)], ["doc", "n", "bands"])
 
     kind = ",".join(f"{c}:int" for c in whole)
-    return data.select("doc", "text").mapInArrow(run, f"doc long, n long, bands array<struct<{kind},cells:binary>>")
+    return data.select("doc", "text").mapInArrow(tidy(run), f"doc long, n long, bands array<struct<{kind},cells:binary>>")
 
 
 def _possible(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -426,7 +426,7 @@ def _possible(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _lacking(shapes: DataFrame, hot: DataFrame, deletions: bool) -> DataFrame:
@@ -485,10 +485,10 @@ def _grades(texts: DataFrame) -> np.ndarray:
         if now is not None:
             yield out()
 
-    counted = texts.select("doc", "text").mapInArrow(count, "block int, cells binary, held binary")
+    counted = texts.select("doc", "text").mapInArrow(tidy(count), "block int, cells binary, held binary")
     table = np.zeros(CELLS, np.uint8)
     # one row of fixed size for each block, 16 MB in all
-    for row in counted.repartition("block").sortWithinPartitions("block").mapInArrow(total, "block int, grades binary").toLocalIterator():
+    for row in counted.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(total), "block int, grades binary").toLocalIterator():
         table[row.block * CELL_BLOCK : (row.block + 1) * CELL_BLOCK] = np.frombuffer(row.grades, np.uint8)
     return table
 
@@ -526,7 +526,7 @@ def _rare_and_common(texts: DataFrame) -> DataFrame:
                 common.append(value[first:] if len(items) - first >= max(need, 1) else value[:0])
             yield pa.record_batch([keys, pa.array(sizes, pa.int64()), pa.array(rare, kind), pa.array(common, kind)], ["doc", "n", "rare", "common"])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc long, n long, rare array<long>, common array<long>")
+    return texts.select("doc", "text").mapInArrow(tidy(run), "doc long, n long, rare array<long>, common array<long>")
 
 
 def shared_counts(values: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:

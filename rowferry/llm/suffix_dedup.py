@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.columns import pair
-from rowferry.llm.flat import SPACE, mix, pieces, prefix_hash, span_hash, word_spans
+from rowferry.llm.flat import SPACE, mix, pieces, prefix_hash, span_hash, tidy, word_spans
 from rowferry.llm.shared import Workspace, maybe_among
 
 LENGTH = 400
@@ -110,7 +110,7 @@ def _anchors(data: DataFrame, length: int, words: bool) -> DataFrame:
         if held:
             yield flush()
 
-    return data.mapInArrow(run, "gram long, span long, uid long, first int, last int, lead int, n int")
+    return data.mapInArrow(tidy(run), "gram long, span long, uid long, first int, last int, lead int, n int")
 
 
 def refine(flat: np.ndarray, starts: np.ndarray, groups: np.ndarray, prefix: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -183,7 +183,7 @@ def _cut_bodies(wanted: DataFrame, data: DataFrame, length: int, words: bool) ->
                     ["gram", "uid", "first", "last", "lead", "body"],
                 )
 
-    return rows.mapInArrow(run, "gram long, uid long, first int, last int, lead int, body binary")
+    return rows.mapInArrow(tidy(run), "gram long, uid long, first int, last int, lead int, body binary")
 
 
 def _sorted_suffixes(bodies: DataFrame, parts: int, length: int, words: bool) -> DataFrame:
@@ -213,7 +213,7 @@ def _sorted_suffixes(bodies: DataFrame, parts: int, length: int, words: bool) ->
         if held and sum(t.num_rows for t in held):
             yield work(pa.concat_tables(held))
 
-    return ranged.mapInArrow(run, "uid long, first int, last int")
+    return ranged.mapInArrow(tidy(run), "uid long, first int, last int")
 
 
 def row_id(key: Column, text: Column) -> Column:
@@ -312,7 +312,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 0) -> DataFrame:
@@ -334,4 +334,4 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
             columns = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(schema))]
             yield pa.record_batch(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.columns import fold, pair
 from rowferry.llm.decontaminate import SEPARATORS
-from rowferry.llm.flat import LOWER, pieces, prefix_hash, span_hash, word_spans
+from rowferry.llm.flat import LOWER, pieces, prefix_hash, span_hash, tidy, word_spans
 
 MAX_ROWS = 20_000
 MAX_WINDOWS = 100_000
@@ -255,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MA
     gain = 2 * (F.col("bad") * F.log(F.col("bad") / (F.col("n") * share)) + F.when(
         F.col("bad") < F.col("n"), (F.col("n") - F.col("bad")) * F.log((F.col("n") - F.col("bad")) / (F.col("n") * (1 - share)))
     ).otherwise(0.0))
-    marked = sample.select("toxic", "text").mapInArrow(count, "word long, bad long, n long").groupBy("word").agg(
+    marked = sample.select("toxic", "text").mapInArrow(tidy(count), "word long, bad long, n long").groupBy("word").agg(
         F.sum("bad").alias("bad"), F.sum("n").alias("n")
     ).filter((F.col("bad") >= LEAST_DOCS) & (F.col("bad") > 2 * F.col("n") * share)).withColumn("gain", gain).filter(
         F.col("gain") > LEAST_GAIN
@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MA
             yield pa.record_batch([packed(ids, tags)], ["cut"])
 
     # equal windows meet before the bound, so it holds for different ones
-    found = sample.mapInArrow(cut, "cut binary").groupBy("cut").agg(F.count("*").alias("n")).orderBy(F.xxhash64("cut"), "cut").limit(max_windows).toArrow()
+    found = sample.mapInArrow(tidy(cut), "cut binary").groupBy("cut").agg(F.count("*").alias("n")).orderBy(F.xxhash64("cut"), "cut").limit(max_windows).toArrow()
     ids, tags = unpacked(found["cut"].to_pylist())
     model = Tagger(words, *fit_field(ids, tags, len(words), found["n"].to_numpy()), np.zeros(3))
     del found, ids, tags
@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = MA
             x, _ = figures(model, texts)
             yield pa.record_batch([toxic.cast(pa.int64()), pa.array(x[:, 1]), pa.array(x[:, 2])], ["toxic", "most", "total"])
 
-    seen = sample.mapInArrow(measure, "toxic long, most double, total double").toArrow()
+    seen = sample.mapInArrow(tidy(measure), "toxic long, most double, total double").toArrow()
     x = np.stack([np.ones(len(seen)), seen["most"].to_numpy(), seen["total"].to_numpy()], 1)
     model.curve = fit_curve(x, seen["toxic"].to_numpy().astype(float))
     return model
@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: Tagger, key: str = "doc_id", text: str = "text
             rows = [[{"start": a, "end": b, "chance": p} for a, b, p in s] for s in spans]
             yield pa.record_batch([keys, pa.array(chance), pa.array(rows, kind)], ["doc_id", "score", "spans"])
 
-    return data.mapInArrow(run, f"doc_id {data.schema[0].dataType.simpleString()}, score double, spans {SPANS}")
+    return data.mapInArrow(tidy(run), f"doc_id {data.schema[0].dataType.simpleString()}, score double, spans {SPANS}")
 
 
 def predict(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -325,4 +325,4 @@ def drop_toxic(docs: DataFrame, model: Tagger) -> DataFrame:
             keep = np.concatenate([figures(shared.value, texts)[0] @ shared.value.curve < 0 for _, texts in pieces(iter([only]))] or [np.zeros(0, bool)])
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -709,6 +709,24 @@ def test_suffix_dedup_shuffles_few_texts(spark):
     assert not [f for f in left.inputFiles() if "/anchors-" in f]
 
 
+def test_stages_bound_their_batches(spark):
+    """Long texts come in batches of a few MB once a stage has begun, and a task leaves no free memory of Arrow behind."""
+    import corpus_pipeline
+    from rowferry.llm.flat import tidy
+    from rowferry.session import BATCH_BYTES
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 20000) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        assert max(r.n for r in docs.mapInArrow(tidy(sizes), "n long").collect()) > 20 << 20
+        corpus_pipeline.encoded(spark, docs, "")
+        assert BATCH_BYTES == "4m" and max(r.n for r in docs.mapInArrow(tidy(sizes), "n long").collect()) < 5 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def test_pipeline_columns(spark):
     import corpus_pipeline
 
