@@ -12,12 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm import bpe, decontaminate, ngram_join, suffix_dedup, toxicity
-from rowferry.llm.queries import table, tokenizer_path
+from rowferry.llm.queries import REPEATED_WORDS, table, tokenizer_path
 from rowferry.session import bound_batches, freeze
 
-# repeated runs of over 50 words go, and repeated strings of 400 bytes with fewer
-REPEATED_WORDS = 51
-
 # the stages learn, hash and tokenise; SQL cannot say the same
 ORACLE_SQL = None
 

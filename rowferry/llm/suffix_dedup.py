@@ -290,29 +290,34 @@ def _with_runs(docs: DataFrame, key: str, text: str, words: int = 0) -> DataFram
     return some.join(runs, mine, "left").drop(mine).unionByName(rest.drop(mine).withColumn(held, F.lit(None).cast(runs.schema[held].dataType)))
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     Null and empty texts have 0 bytes; the copy of a row counts as another text,
-    so both lose what they share.
+    so both lose what they share. With `words`, three columns follow that leave
+    those before them as they are: n_words, the n_passage_words of them covered
+    by a run of that many words which also starts anywhere else, however short
+    in bytes, and n_passages, the maximal runs of such words.
     """
-    rows = _with_runs(pair(docs, key, text), "doc_id", "text").select("doc_id", "text", "_runs")
+    rows = _with_runs(pair(docs, key, text), "doc_id", "text", words).select("doc_id", "text", "_runs")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_words", "n_passage_words", "n_passages"] * bool(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
-                buffer = batch.column(1)[row].as_buffer()
+                buffer, runs = batch.column(1)[row].as_buffer(), batch.column(2)[row].as_py() or []
                 body = b"" if buffer is None else buffer.to_pybytes()
-                spans = spans_of(body, batch.column(2)[row].as_py())
-                out.append((len(body), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut_out(body, spans)).hexdigest()))
-            yield pa.record_batch(
-                [batch.column(0), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3)), pa.array([o[3] for o in out], pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
-
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                spans = spans_of(body, [r for r in runs if not r["words"]])
+                digest = [len(body), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut_out(body, spans)).hexdigest()]
+                if words:
+                    passages = merge_spans([(r["first"], r["last"] + words) for r in runs if r["words"]])
+                    digest += [len(body.split()), sum(b - a for a, b in passages), len(passages)]
+                out.append(digest)
+            yield pa.record_batch([batch.column(0), *(pa.array([o[k] for o in out], pa.string() if n == "kept_sha256" else pa.int64()) for k, n in enumerate(names[1:]))], names)
+
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, " + ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names[1:]))
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 0) -> DataFrame:

@@ -180,6 +180,32 @@ def test_suffix_dedup_of_word_runs(spark):
     assert all(len(want[10 + 3 * k].split()) < 60 for k in range(2, 10)) and left[10].text == dict(rows)[10]
 
 
+def test_suffix_query_reports_passages(spark, tmp_path):
+    """Passages of over 50 words that are shorter than 400 bytes, beside the removal by bytes alone, against brute force."""
+    from rowferry.llm import queries
+
+    rng = random.Random(13)
+    make = lambda n: [f"{rng.choice('aeiouäé')}{rng.randrange(1000)}" for _ in range(n)]
+    rows = [(0, None), (1, ""), (2, " \n\t"), (3, "same " * 50), (4, "one " * 55), (None, "z" * 900)]
+    for k, size in enumerate([49, 50, 51, 55, 70, 200]):
+        passage, other = make(size), make(52)
+        rows += [(10 + 3 * k + copy, " \n".join([*make(rng.randrange(30)), " ".join(passage), *make(rng.randrange(1, 30)), *other[: 52 * (copy > 0)]])) for copy in range(3)]
+    parts = [[m[0] for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    seen = collections.Counter(tuple(p[i : i + 51]) for p in parts for i in range(len(p) - 50))
+    want = []
+    for row, p in zip(brute_removed(rows), parts):
+        inside = bytearray(len(p))
+        for i in range(len(p) - 50):
+            if seen[tuple(p[i : i + 51])] > 1:
+                inside[i : i + 51] = b"\1" * 51
+        want.append((*row, len(p), sum(inside), len([x for x in bytes(inside).split(b"\0") if x])))
+    assert any(r[2] == 0 < r[6] for r in want) and any(r[7] > 1 for r in want) and any(r[2] > 0 == r[6] for r in want)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.QUERIES["op3_suffix_dedup"](spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_words", "n_passage_words", "n_passages"]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("block", [suffix_dedup.BLOCK, 700])
 def test_suffix_blocks(monkeypatch, block):
     import numpy as np
