@@ -26,6 +26,7 @@ from rowferry.functions.literals import named
 from rowferry.operators.changes import Vector, element_wise_max
 from rowferry.operators.merge import insert_rows
 from rowferry.operators.progress import SPANS, merge_spans
+from rowferry.session import shuffles_dropped
 
 # what a write to a target may fail with; one target's failure leaves the others alone
 WRITE_ERRORS = (ValueError, KeyError, RuntimeError, PySparkException, Py4JError)
@@ -201,9 +202,9 @@ class SnapshotTable:
             # a value that does not fit fails the batch here, not the readers later
             merged = merged.select(*[named(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
             # rebalancing puts a bucket in few files and splits a large one over tasks
-            merged.withColumn(BUCKET, self.bucket_of()).hint("rebalance", BUCKET).write.partitionBy(
-                BUCKET
-            ).parquet(f"{self.path}/{folder}")
+            placed = merged.withColumn(BUCKET, self.bucket_of()).hint("rebalance", BUCKET)
+            with shuffles_dropped(placed.sparkSession):
+                placed.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
             filled = self._names(folder)
             for bucket in touched:
                 kept = [] if merge else layout.get(str(bucket), [])

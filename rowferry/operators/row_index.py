@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowferry.config import Sort
 from rowferry.functions.literals import named
-from rowferry.session import freeze
+from rowferry.session import freeze, scratch_folder, shuffles_dropped
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in 33 bits
+_RANGE = "_range"
 
 
 def order_columns(sort: Sequence[Sort]):
@@ -50,14 +54,8 @@ def row_index_sequence(
     partitions before it: one small row per partition.
     """
     order = order_columns(total_order(sort, keys))
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    )
-    fixed = freeze(placed, "row-index")
-    part = F.shiftright("_slot", _ROW_BITS).cast("int")
-    within = F.col("_slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    fixed = freeze(_in_slots(df, order), "row-index")
+    part, within = _part_and_row()
     counts = fixed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -71,3 +69,50 @@ def row_index_sequence(
         .withColumn(sequence, F.expr(f"`{index}` div {int(batch_size)}"))
         .drop("_slot", "_part", "_offset")
     )
+
+
+def _in_slots(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows dealt out and sorted by the whole order, with partition and row in ``_slot``."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return placed.withColumn("_slot", F.monotonically_increasing_id())
+
+
+def _part_and_row() -> tuple[Column, Column]:
+    return F.shiftright("_slot", _ROW_BITS).cast("int"), F.col("_slot").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+
+
+@contextmanager
+def numbered_ranges(
+    df: DataFrame,
+    ranges: Sequence[Column],
+    place: Sequence[str],
+    unique: bool = True,
+    start: int = 0,
+    index: str = "row_index",
+) -> Iterator[tuple[DataFrame, int]]:
+    """Rows numbered from ``start`` in the order of ``place``, and their count, for a block.
+
+    ``ranges`` are conditions in ascending order of place, of which each row
+    meets one. One range is dealt out at a time, so only its shuffle files lie
+    beside the rows, which are written once and numbered as they are read.
+    With ``unique`` one row of each place is kept.
+    """
+    spark, order = df.sparkSession, order_columns([Sort(c) for c in place])
+    with scratch_folder(spark, "numbered") as path:
+        for number, wanted in enumerate(ranges):
+            rows = df.where(wanted)
+            placed = _in_slots(rows.dropDuplicates(list(place)) if unique else rows, order)
+            with shuffles_dropped(spark):
+                placed.write.option("compression", "zstd").parquet(f"{path}/{_RANGE}={number}")
+        fixed = spark.read.schema(T.StructType([*placed.schema, T.StructField(_RANGE, T.IntegerType())])).parquet(path)
+        part, within = _part_and_row()
+        # one row per partition and range comes to the driver
+        counts = sorted(tuple(r) for r in fixed.groupBy(_RANGE, part.alias("_part")).count().collect())
+        ends = list(accumulate((n for *_, n in counts), initial=start))
+        offsets = spark.createDataFrame([(r, p, at) for (r, p, _), at in zip(counts, ends)], f"{_RANGE} int, _part int, _offset bigint")
+        rows = (
+            fixed.withColumn("_part", part)
+            .join(F.broadcast(offsets), [_RANGE, "_part"])
+            .withColumn(index, F.col("_offset") + within)
+        )
+        yield rows.drop("_slot", "_part", "_offset", _RANGE), ends[-1] - start

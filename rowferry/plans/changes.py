@@ -335,9 +335,10 @@ def _two_partitions(t, label, **settings):
     first = scratch_path(t.spark, "checkpoint")
     for part, checkpoint in ((0, first), (1, first), (None, scratch_path(t.spark, "checkpoint"))):
         if part is not None:
-            feed.where(F.col("log_part") == part).write.mode("append").parquet(log)
+            feed.where(F.col("log_part") == part).write.mode("append").option("compression", "zstd").parquet(log)
         stream = change_log_stream(t.spark, log, feed.schema)
         start_pipeline(stream, bridge, {"orders": table}, ORDER, checkpoint, ledger, "log_part").awaitTermination()
+        table.vacuum(keep=1)
     return table, ledger
 
 

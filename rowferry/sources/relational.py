@@ -86,7 +86,7 @@ def key_ranges(column: str, low: int, high: int, parts: int) -> list[str]:
     ]
 
 
-def key_cuts(keys: DataFrame, column: str, parts: int, per_part: int = 400) -> list[Any]:
+def key_cuts(keys: DataFrame, column: str, parts: int, per_part: int = 400, rows: int | None = None) -> list[Any]:
     """Values that split the rows by any ordered key into parts of about equal size.
 
     They are quantiles of a sample of about ``parts * per_part`` keys, picked by
@@ -96,7 +96,7 @@ def key_cuts(keys: DataFrame, column: str, parts: int, per_part: int = 400) -> l
     if parts < 1:
         raise ValueError("at least one range is needed")
     known = keys.select(named(column).alias("k")).where("k IS NOT NULL")
-    step = max(1, known.count() // (parts * per_part))
+    step = max(1, (known.count() if rows is None else rows) // (parts * per_part))
     # rows are picked, not values: a frequent value counts as often as it comes
     picked = known.select("k", F.monotonically_increasing_id().alias("at")).where(F.pmod(F.xxhash64("at"), F.lit(step)) == 0)
     sample = [r["k"] for r in picked.select("k").orderBy("k").collect()]

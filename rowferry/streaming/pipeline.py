@@ -12,11 +12,12 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rowferry.config import Bridge, Sort
+from rowferry.config import Bridge
+from rowferry.functions.literals import named, value_literal
 from rowferry.operators.changes import (
     Vector,
     after_vector,
@@ -27,11 +28,14 @@ from rowferry.operators.changes import (
 )
 from rowferry.operators.commit import SnapshotTable
 from rowferry.operators.payload import payload_outbox
-from rowferry.operators.row_index import row_index_sequence
-from rowferry.session import frozen
+from rowferry.operators.row_index import numbered_ranges
+from rowferry.session import shuffles_dropped
+from rowferry.sources.relational import key_cuts
 from rowferry.streaming.bridge import apply_to_targets, start_batches
 
 LEDGER = "run_id string, sequence bigint, row_index bigint, row_count bigint, status string, attempts int, error string"
+# rows of a batch that are numbered at once, and ranges at most: each reads the batch anew
+ROWS_AT_ONCE, MOST_RANGES = 1_000_000, 8
 
 
 @dataclass(frozen=True)
@@ -105,7 +109,8 @@ class StreamLedger:
         return held[at - 1] if at else Entry("")
 
     def write(self, name: str, part: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{part}/batch={name}")
+        with shuffles_dropped(rows.sparkSession):
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{part}/batch={name}")
 
     def read(self, part: str = "deliveries", schema: str = LEDGER) -> DataFrame | None:
         """All deliveries, or the captured changes or the outbox, of the stream."""
@@ -139,6 +144,27 @@ def prepare_start(ledger: StreamLedger, log: DataFrame, order: Sequence[str], pa
     return entry
 
 
+def place_ranges(changes: DataFrame, place: Sequence[str], rows_at_once: int | None = None) -> list[Column]:
+    """Conditions that cut changes into ranges of places, ascending; each change meets one.
+
+    They hold about ``rows_at_once`` rows, or an even share if that makes too many.
+    """
+    rows = changes.count()
+    parts = min(-(-rows // (rows_at_once or ROWS_AT_ONCE)), MOST_RANGES)
+    if parts < 2:
+        return [F.lit(True)]
+    at = F.struct(*[named(c) for c in place])
+    cuts = [
+        F.struct(*[value_literal(v).cast(changes.schema[c].dataType).alias(c) for c, v in zip(place, cut)])
+        for cut in key_cuts(changes.select(at.alias("place")), "place", parts, rows=rows)
+    ]
+    # structs compare field by field with NULL first, as the places are sorted
+    return [
+        (at >= low if low is not None else F.lit(True)) & (at < high if high is not None else F.lit(True))
+        for low, high in zip([None, *cuts], [*cuts, None])
+    ]
+
+
 def deliver_changes(
     changes: DataFrame,
     bridge: Bridge,
@@ -161,15 +187,12 @@ def deliver_changes(
     """
     before = ledger.before(name)
     fresh = filter_changes(filter_change_ops(changes, bridge.operations), bridge.filters)
+    place = [*([partition] if partition else []), *order]
     if not always_new:
-        place = [*([partition] if partition else []), *order]
-        fresh = after_vector(fresh, order, partition, before.vector).dropDuplicates(place)
-    numbered = row_index_sequence(fresh, [Sort(c) for c in ([partition] if partition else []) + list(order)], index="row_index")
-    numbered = numbered.withColumn("row_index", F.col("row_index") + before.end).withColumn(
-        "sequence", F.expr(f"row_index div {bridge.delivery.batch_size}")
-    )
-    with frozen(numbered, "changes") as rows:
-        count = rows.count()
+        fresh = after_vector(fresh, order, partition, before.vector)
+    size = bridge.delivery.batch_size
+    with numbered_ranges(fresh, place_ranges(fresh, place), place, not always_new, before.end) as (numbered, count):
+        rows = numbered.withColumn("sequence", F.expr(f"row_index div {size}"))
         vector = element_wise_max(before.vector, {} if always_new else vector_ends(rows, order, partition))
         errors: dict[str, str | None] = {}
         if bridge.payload is not None:
@@ -195,7 +218,6 @@ def deliver_changes(
         if status == "failed":
             ledger.write(name, "captured", rows.withColumn("run_id", F.lit(ledger.run_id)))
     # deliveries begin at a sequence of their own, so a batch that ends within one leaves it
-    size = bridge.delivery.batch_size
     end = before.end + -(-count // size) * size
     ledger.commit(Entry(name, before.end, end, vector))
     return errors
